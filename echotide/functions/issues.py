@@ -1,14 +1,15 @@
-"""Multi-label issue rules over folded text (see text.fold_case)."""
+"""Multi-label issue rules."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add, or_
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from echotide.functions.fixed_values import ISSUE_RULES, NEAR_FAILURE_GAP, NEAR_FAILURE_PATTERN
-from echotide.functions.text import CLOSE_MARK, OPEN_MARK, any_present
+from echotide.functions.text import CLOSE_MARK, OPEN_MARK, any_present, bind, fold_case, parse_json, strip_whitespace
 
 ISSUE_LIST = "array<struct<label:string,confidence:double,evidence:array<string>>>"
 
@@ -68,18 +69,42 @@ def has_failure_word(text: Column) -> Column:
     return any_present(text, ("can't", "cant", "cannot", "failed", "failure", "error"))
 
 
+def _near(label: str, text: Column, counts: Column, failing: Column) -> Column:
+    found = zip(_counts_of(label, counts), _CHECKS[label])
+    return failing & reduce(or_, [(n > 0) & near_failure(text, pattern) for n, (_, pattern, _) in found])
+
+
+def near_labels(content: Column) -> Column:
+    """Labels with a match near a failure word."""
+    return _matched(content, lambda text, counts, failing: F.array_compact(
+        F.array(*[F.when(_near(x, text, counts, failing), F.lit(x)) for x in _CHECKS])
+    ))
+
+
+def _matched(content: Column, body: Callable[[Column, Column, Column], Column]) -> Column:
+    """Give the folded text, its match counts and whether it has failure words to an expression."""
+    found = bind(fold_case(content), lambda text: F.struct(
+        text.alias("text"), match_counts(text).alias("counts"), has_failure_word(text).alias("failing")
+    ))
+    return bind(found, lambda f: body(f["text"], f["counts"], f["failing"]))
+
+
+def issues_in(content: Column) -> Column:
+    """Label, confidence and evidence of every rule that matches the text, in rule order."""
+    return _matched(content, issue_list)
+
+
 def issue_list(text: Column, counts: Column, failing: Column) -> Column:
-    """Label, confidence and evidence of every matched rule, in rule order."""
+    """The entries of all matched rules, from the match counts."""
 
     def entry(label: str) -> Column:
         found = _counts_of(label, counts)
         matches = reduce(add, found)
         evidence = F.array(*[F.when(n > 0, F.lit(name)) for n, (name, _, _) in zip(found, _CHECKS[label])])
-        near = [(n > 0) & near_failure(text, pattern) for n, (_, pattern, _) in zip(found, _CHECKS[label])]
         confidence = (
             F.lit(0.60)
             + F.when(matches >= 2, 0.10).otherwise(0.0)
-            + F.when(failing & reduce(or_, near), 0.10).otherwise(0.0)
+            + F.when(_near(label, text, counts, failing), 0.10).otherwise(0.0)
         )
         issue = F.struct(
             F.lit(label).alias("label"),
@@ -97,13 +122,18 @@ def labels_of(issues: Column) -> Column:
     return F.filter(labels, lambda label: label.isNotNull())
 
 
+def issue_rows(reviews: DataFrame, *keep: str) -> DataFrame:
+    """One row per issue of each review. Exploding the plain column would make Spark add a filter
+    on it, computed a second time where the issues are not stored yet."""
+    return reviews.select(*keep, F.inline(F.filter("issues", lambda i: i["label"].isNotNull())))
+
+
 def has_label(issues: Column, label: str) -> Column:
     return F.exists(labels_of(issues), lambda x: F.lower(x) == label.lower())
 
 
 def labels_from_json(payload: Column) -> Column:
     """Lower-case labels from foreign JSON: a list of objects or strings, or one object."""
-    document = F.try_parse_json(payload)
 
     def is_text(value: Column) -> Column:
         return F.schema_of_variant(value) == "STRING"
@@ -113,13 +143,16 @@ def labels_from_json(payload: Column) -> Column:
         named = F.when(is_text(inner), F.try_variant_get(value, "$.label", "string"))
         return F.when(is_text(value), F.try_variant_get(value, "$", "string")).otherwise(named)
 
-    items = F.coalesce(
-        F.try_variant_get(document, "$", "array<variant>"),
-        F.when(F.schema_of_variant(document).startswith("OBJECT"), F.array(document)),
-        F.array().cast("array<variant>"),
-    )
-    labels = F.transform(items, lambda v: F.nullif(F.lower(F.trim(label_in(v))), F.lit("")))
-    return F.filter(labels, lambda label: label.isNotNull())
+    def labels_in(document: Column) -> Column:
+        items = F.coalesce(
+            F.try_variant_get(document, "$", "array<variant>"),
+            F.when(F.schema_of_variant(document).startswith("OBJECT"), F.array(document)),
+            F.array().cast("array<variant>"),
+        )
+        labels = F.transform(items, lambda v: F.nullif(F.lower(strip_whitespace(label_in(v))), F.lit("")))
+        return F.filter(labels, lambda label: label.isNotNull())
+
+    return bind(parse_json(payload), labels_in)
 
 
 def needs_review(issues: Column, taxonomy: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 from echotide.functions.fixed_values import (
     CRITICAL_ISSUES, FAILURE_TERMS, HIGH_ISSUES, SEVERITY_BANDS, SEVERITY_WEIGHTS,
 )
-from echotide.functions.text import any_present
+from echotide.functions.text import any_present, bind
 
 
 def rating_part(score: Column) -> Column:
@@ -24,12 +24,13 @@ def failure_part(content: Column) -> Column:
 
 
 def issue_part(labels: Column) -> Column:
-    lowered = F.transform(labels, lambda label: F.lower(F.trim(label)))
+    def weigh(lowered: Column) -> Column:
+        def any_of(names: tuple[str, ...]) -> Column:
+            return F.arrays_overlap(lowered, F.array(*[F.lit(n) for n in names]))
 
-    def any_of(names: tuple[str, ...]) -> Column:
-        return F.arrays_overlap(lowered, F.array(*[F.lit(n) for n in names]))
+        return F.when(any_of(CRITICAL_ISSUES), 1.0).when(any_of(HIGH_ISSUES), 0.5).otherwise(0.3)
 
-    return F.when(any_of(CRITICAL_ISSUES), 1.0).when(any_of(HIGH_ISSUES), 0.5).otherwise(0.3)
+    return bind(F.transform(labels, lambda label: F.lower(F.trim(label))), weigh)
 
 
 def thumbs_part(thumbs_up: Column) -> Column:

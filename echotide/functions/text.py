@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add, or_
 
@@ -10,6 +11,15 @@ from pyspark.sql import Column, functions as F
 OPEN_MARK, CLOSE_MARK = "\x01", "\x02"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Use one computed value several times in an expression without computing it again.
+
+    Separate projections would do as well, but a filter on the result is pushed down through
+    them and repeats the value once per use, which multiplies over several steps.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_spaces(value: Column) -> Column:
     """Strip Unicode space characters (not tabs or newlines) from both ends."""
     return F.regexp_replace(value, r"^\p{Zs}+|\p{Zs}+$", "")
@@ -111,6 +121,15 @@ def percent_text(share: Column) -> Column:
     return F.concat(fixed_text(share * 100, 1), F.lit("%"))
 
 
+def parse_json(text: Column) -> Column:
+    """A JSON document as a variant; null unless the text holds exactly one document.
+
+    Parsing alone stops after the first document, so it is read as the only item of a list.
+    """
+    wrapped = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return bind(wrapped, lambda items: F.when(F.size(items) == 1, F.get(items, F.lit(0))))
+
+
 def json_string(value: Column) -> Column:
     """A JSON string literal in pure ASCII, for keys that are hashed."""
 

@@ -66,10 +66,11 @@ def count_reviews(reviews: DataFrame, scope: Scope) -> DataFrame:
 
 def evidence_quotes(reviews: DataFrame, scope: Scope, limit: int = 5) -> DataFrame:
     """The most severe and most supported reviews of a scope, as short quotes."""
-    best = scope.apply(reviews).orderBy(
-        F.desc(_severity()), F.desc(F.coalesce("thumbs_up", F.lit(0))), F.desc_nulls_last("at_ts"), F.asc("review_id")
-    ).limit(max(1, min(int(limit), MAX_QUOTES)))
+    order = [F.desc(_severity()), F.desc(F.coalesce("thumbs_up", F.lit(0))),
+             F.desc_nulls_last("at_ts"), F.asc("review_id")]
+    best = scope.apply(reviews).orderBy(*order).limit(max(1, min(int(limit), MAX_QUOTES)))
     return best.select(
+        F.row_number().over(Window.orderBy(*order)).alias("rank"),
         "review_id", "day", "score", "thumbs_up", "app_version",
         F.coalesce("category_taxonomy", F.lit("Other")).alias("category_taxonomy"),
         F.coalesce("sentiment_label", F.lit("unknown")).alias("sentiment_label"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from echotide.functions import issues, sentiment, severity
 from echotide.functions.fixed_values import EMPTY_REVIEW
-from echotide.functions.text import fold_case, tidy_content
+from echotide.functions.text import tidy_content
 from echotide.sources.taxonomy import category_taxonomy
 
 
@@ -33,20 +33,12 @@ def add_sentiment(df: DataFrame) -> DataFrame:
 
 
 def add_issues(df: DataFrame) -> DataFrame:
-    """Match counts are projected first, so the issue list reads them more than once
-    without matching again."""
-    return (
-        df.withColumn("_text", fold_case(F.col("content")))
-        .withColumns({
-            "_counts": issues.match_counts(F.col("_text")),
-            "_failing": issues.has_failure_word(F.col("_text")),
-        })
-        .withColumns({
-            "issues": issues.issue_list(F.col("_text"), F.col("_counts"), F.col("_failing")),
-            "issues_method": F.lit("rule"),
-        })
-        .drop("_text", "_counts", "_failing")
-    )
+    return df.withColumns({"issues": issues.issues_in(F.col("content")), "issues_method": F.lit("rule")})
+
+
+def near_failures(df: DataFrame) -> DataFrame:
+    """(review_id, label) where a match lies near a failure word."""
+    return df.select("review_id", F.explode(issues.near_labels(F.col("content"))).alias("label"))
 
 
 def add_severity(df: DataFrame) -> DataFrame:

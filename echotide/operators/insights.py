@@ -10,7 +10,7 @@ from echotide.functions.issues import labels_of
 from echotide.functions.text import excerpt
 from echotide.operators.aggregates import by_weight, issue_totals, measures_by_day
 from echotide.operators.scope import Scope
-from echotide.operators.trends import SPIKE_DAYS, daily_signals, spike_flags
+from echotide.operators.trends import SPIKE_DAYS, day_profile, spike_flags
 
 MAX_NAMES = 200
 
@@ -171,38 +171,35 @@ def competitor_mentions(scoped: DataFrame, names: list[str]) -> DataFrame:
 
 
 def spike_drivers(reviews: DataFrame, top: int = 3) -> DataFrame:
-    """For each flagged day: labels whose share rose most over the preceding days, with a quote."""
-    parts = measures_by_day(reviews).filter(F.col("day").isNotNull())
-    flags = spike_flags(daily_signals(parts))
-    totals = parts.filter("kind = 'all'").select("day", F.col("n").alias("total"))
+    """For each spike: labels whose share rose most over the preceding days, with the id of the
+    strongest review. Days and labels are few, so their comparison is small; it is broadcast
+    (at most `top` rows per metric and calendar day) to pick quotes in one more scan."""
     earlier = Window.orderBy("day").rowsBetween(-SPIKE_DAYS, -1)
-    baseline = totals.withColumns({
-        "total_before": F.sum("total").over(earlier), "first_before": F.min("day").over(earlier),
-    })
-    flagged = flags.select("day").distinct().join(baseline, "day")
-    labels = parts.filter("kind = 'issue'").select("day", F.col("name").alias("label"), "n")
-    compared = flagged.join(
-        labels.withColumnRenamed("day", "seen"),
-        (F.col("seen") <= F.col("day")) & (F.col("seen") >= F.col("first_before")),
-    ).groupBy("day", "label", "total", "total_before").agg(
-        F.sum(F.when(F.col("seen") == F.col("day"), F.col("n")).otherwise(0)).alias("n"),
-        F.sum(F.when(F.col("seen") < F.col("day"), F.col("n")).otherwise(0)).alias("n_before"),
-    )
-    share, before = F.col("n") / F.col("total"), F.col("n_before") / F.col("total_before")
-    lifts = compared.select("day", "label", F.round(share, 4).alias("share"), F.round(before, 4).alias("share_before"),
-                            F.round(share - before, 4).alias("lift"))
-    order = Window.partitionBy("day").orderBy(F.desc("lift"), "label")
-    drivers = (
-        lifts.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= top) & (F.col("lift") > 0))
-    )
-    quotes = reviews.select(
+    profile = day_profile(measures_by_day(reviews)).withColumn(
+        "earlier", F.collect_list(F.struct("n", "labels")).over(earlier)
+    )
+    spikes = spike_flags(profile, ("n", "labels", "earlier"))
+    total_before = F.aggregate("earlier", F.lit(0).cast("bigint"), lambda acc, d: acc + d["n"])
+    label_before = F.aggregate(
+        "earlier", F.lit(0).cast("bigint"),
+        lambda acc, d: acc + F.coalesce(F.try_element_at(d["labels"], F.col("label")), F.lit(0)),
+    )
+    lifts = spikes.select(
+        "day", "metric", "z_score", "n", "earlier", F.explode("labels").alias("label", "label_n")
+    ).withColumns({"now": F.col("label_n") / F.col("n"), "before": label_before / total_before}).select(
+        "day", "metric", "z_score", "label", F.round("now", 4).alias("share"),
+        F.round("before", 4).alias("share_before"), F.round(F.col("now") - F.col("before"), 4).alias("lift"),
+    )
+    order = Window.partitionBy("day", "metric").orderBy(F.desc("lift"), "label")
+    drivers = lifts.filter("lift > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    mentions = reviews.select(
         "day", F.explode(labels_of(F.col("issues"))).alias("label"), "review_id",
         F.coalesce("severity_score", F.lit(0.0)).alias("s"), F.coalesce("thumbs_up", F.lit(0)).alias("t"), "at_ts",
-    ).join(flags.select("day").distinct(), "day", "left_semi").groupBy("day", "label").agg(
-        F.max_by("review_id", F.struct("s", "t", "at_ts", "review_id")).alias("evidence_review_id")
     )
-    spikes = flags.select("day", "metric", "z_score")
-    return spikes.join(drivers, "day").join(quotes, ["day", "label"], "left")
+    strongest = F.max_by("review_id", F.struct("s", "t", "at_ts", "review_id"))
+    return mentions.join(F.broadcast(drivers), ["day", "label"]).groupBy(*drivers.columns).agg(
+        strongest.alias("evidence_review_id")
+    )
 
 
 def kpi_tiles(reviews: DataFrame, scope: Scope) -> DataFrame:

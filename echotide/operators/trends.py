@@ -31,43 +31,45 @@ def moving_averages(daily: DataFrame, days: int = 7) -> DataFrame:
     )
 
 
-def spike_flags(signals: DataFrame) -> DataFrame:
-    """Values far above the preceding observed days, per metric."""
-    before = Window.partitionBy("metric").orderBy("day").rowsBetween(-SPIKE_DAYS, -1)
-    scored = signals.filter(F.col("day").isNotNull() & F.col("value").isNotNull()).withColumns({
-        "points": F.count("value").over(before),
-        "mean": F.avg("value").over(before),
-        "spread": F.stddev_samp("value").over(before),
-    })
-    z = (F.col("value") - F.col("mean")) / F.col("spread")
-    return (
-        scored.filter((F.col("points") >= SPIKE_MIN_POINTS) & (F.round("spread", 12) > 0))
-        .withColumn("z_score", F.round(z, 4)).filter(F.col("z_score") >= SPIKE_Z)
-        .select("day", "metric", F.round("value", 4).alias("value"), F.round("mean", 4).alias("mean"), "z_score")
-    )
-
-
-def daily_signals(parts: DataFrame) -> DataFrame:
-    """The watched metrics of each day, one row per metric, from the day measures."""
+def day_profile(parts: DataFrame) -> DataFrame:
+    """One row per day from the day measures: watched metrics and the reviews of each label."""
 
     def own(column: str) -> Column:
         return F.max(F.when(F.col("kind") == "all", F.col(column)))
 
-    failures = (F.col("kind") == "issue") & (F.col("name") == "Transaction Failure")
-    wide = parts.groupBy("day").agg(
+    is_issue = F.col("kind") == "issue"
+    failures = is_issue & (F.col("name") == "Transaction Failure")
+    return parts.filter(F.col("day").isNotNull()).groupBy("day").agg(
+        own("n").alias("n"),
         F.round(own("negative") / own("n"), 4).alias("pct_negative"),
         own("critical").cast("double").alias("critical_count"),
         F.coalesce(F.max(F.when(failures, F.col("n"))), F.lit(0)).cast("double").alias("transaction_failures"),
+        F.map_from_entries(F.collect_list(F.when(is_issue, F.struct("name", "n")))).alias("labels"),
     )
+
+
+def spike_flags(profile: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Days on which a metric lies far above the preceding observed days."""
     metrics = F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
         for m in ("pct_negative", "critical_count", "transaction_failures")
     ])
-    return wide.select("day", F.inline(metrics))
+    before = Window.partitionBy("metric").orderBy("day").rowsBetween(-SPIKE_DAYS, -1)
+    scored = profile.select("day", *keep, F.inline(metrics)).withColumns({
+        "points": F.count("value").over(before),
+        "mean": F.avg("value").over(before),
+        "spread": F.stddev_samp("value").over(before),
+    })
+    z = (F.col("value") - F.col("mean")) / F.col("spread")
+    return (
+        scored.filter((F.col("points") >= SPIKE_MIN_POINTS) & (F.round("spread", 12) > 0))
+        .withColumn("z_score", F.round(z, 4)).filter(F.col("z_score") >= SPIKE_Z)
+        .select("day", "metric", F.round("value", 4).alias("value"), F.round("mean", 4).alias("mean"), "z_score", *keep)
+    )
 
 
 def daily_flags(reviews: DataFrame) -> DataFrame:
-    return spike_flags(daily_signals(measures_by_day(reviews)))
+    return spike_flags(day_profile(measures_by_day(reviews)))
 
 
 def flags_per_day(flags: DataFrame) -> DataFrame:

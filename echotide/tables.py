@@ -9,10 +9,11 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from echotide.schemas import TABLES, empty_table
 
-_staged: dict[tuple[str, ...], str] = {}
+_staged: dict[tuple[str, ...], tuple[str, StructType]] = {}
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -55,6 +56,20 @@ def _fingerprint(spark: SparkSession, path: str) -> str:
     return f"{changed}-{size.getLength()}-{size.getFileCount()}"
 
 
+def _write_once(
+    spark: SparkSession, source: str, name: str, write: Callable[[str], StructType]
+) -> tuple[str, StructType] | None:
+    root = staging_root(spark)
+    if root is None:
+        return None
+    key = (spark.sparkContext.applicationId, root, source, _fingerprint(spark, source), name)
+    if key not in _staged:
+        folder = hashlib.sha256("|".join(key).encode()).hexdigest()[:16]
+        path = f"{root}/echotide/{name}/{folder}-{uuid.uuid4().hex[:8]}"
+        _staged[key] = (path, write(path))
+    return _staged[key]
+
+
 def stage(
     spark: SparkSession,
     source: str,
@@ -68,14 +83,22 @@ def stage(
     deduplication and text work, and a written table survives the loss of executors.
     Without a shared folder the plan is returned as it is.
     """
-    root = staging_root(spark)
-    df = build()
-    if root is None:
-        return df
-    key = (spark.sparkContext.applicationId, root, source, _fingerprint(spark, source), name)
-    if key not in _staged:
-        folder = hashlib.sha256("|".join(key).encode()).hexdigest()[:16]
-        path = f"{root}/echotide/{name}/{folder}-{uuid.uuid4().hex[:8]}"
+
+    def write(path: str) -> StructType:
+        df = build()
         write_table(df, path, partition_by)
-        _staged[key] = path
-    return spark.read.schema(df.schema).parquet(_staged[key])
+        return df.schema
+
+    stored = _write_once(spark, source, name, write)
+    return build() if stored is None else spark.read.schema(stored[1]).parquet(stored[0])
+
+
+def stage_csv(spark: SparkSession, source: str, name: str, df: DataFrame) -> str | None:
+    """Write a frame as CSV files once and return their folder."""
+
+    def write(path: str) -> StructType:
+        df.write.option("header", True).option("escape", '"').csv(path)
+        return df.schema
+
+    stored = _write_once(spark, source, name, write)
+    return stored and stored[0]
