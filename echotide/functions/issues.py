@@ -117,8 +117,11 @@ def issue_list(text: Column, counts: Column, failing: Column) -> Column:
 
 
 def labels_of(issues: Column) -> Column:
-    """Non-null labels of an issue list; a missing list is an empty one."""
-    labels = F.transform(F.coalesce(issues, F.array().cast(ISSUE_LIST)), lambda i: i["label"])
+    """Non-null labels of an issue list; a missing list is an empty one.
+
+    Taking the field from the whole list lets the scan skip confidence and evidence.
+    """
+    labels = F.coalesce(issues.getField("label"), F.array().cast("array<string>"))
     return F.filter(labels, lambda label: label.isNotNull())
 
 

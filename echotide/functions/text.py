@@ -59,10 +59,15 @@ def any_present(text: Column, phrases: tuple[str, ...]) -> Column:
 def fold_case(value: Column) -> Column:
     """Lower case, plus the two letters that case-insensitive matching also equates with ASCII.
 
-    The two marks used while matching are replaced too. Every character keeps its position.
+    Only letters, numbers and the underscore count as parts of words. Java also counts marks,
+    circled letters, joiners and other connectors, and leaves out numbers such as a raised two,
+    so in non-ASCII text the former become a control character and the latter a letter. The two
+    marks used while matching are replaced too. Every character keeps its position.
     """
     text = F.lower(strip_whitespace(F.coalesce(value, F.lit(""))))
-    return F.translate(text, f"ſı{OPEN_MARK}{CLOSE_MARK}", "si\x03\x03")
+    words = F.regexp_replace(F.regexp_replace(text, r"[\p{M}\p{So}\p{Cf}\p{Pc}&&[^_]]", "\x03"), r"\p{No}", "ß")
+    plain = F.when(F.octet_length(text) == F.length(text), text).otherwise(words)
+    return F.translate(plain, f"ſı{OPEN_MARK}{CLOSE_MARK}", "si\x03\x03")
 
 
 def excerpt(content: Column, label: str | None = None, width: int = 180) -> Column:

@@ -25,8 +25,8 @@ def moving_averages(daily: DataFrame, days: int = 7) -> DataFrame:
     recent = Window.orderBy(_day_number()).rangeBetween(-(days - 1), 0)
     return daily.filter(F.col("day").isNotNull()).select(
         "day",
-        F.round(F.avg("avg_rating").over(recent), 4).alias("avg_rating_7dma"),
-        F.round(F.avg("pct_negative").over(recent), 4).alias("pct_negative_7dma"),
+        F.round(F.avg("avg_rating").over(recent), 6).alias("avg_rating_7dma"),
+        F.round(F.avg("pct_negative").over(recent), 6).alias("pct_negative_7dma"),
         F.count(F.lit(1)).over(recent).alias("days_in_window"),
     )
 
@@ -64,7 +64,7 @@ def spike_flags(profile: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return (
         scored.filter((F.col("points") >= SPIKE_MIN_POINTS) & (F.round("spread", 12) > 0))
         .withColumn("z_score", F.round(z, 4)).filter(F.col("z_score") >= SPIKE_Z)
-        .select("day", "metric", F.round("value", 4).alias("value"), F.round("mean", 4).alias("mean"), "z_score", *keep)
+        .select("day", "metric", F.round("value", 4).alias("value"), F.round("mean", 8).alias("mean"), "z_score", *keep)
     )
 
 
@@ -82,7 +82,7 @@ def anomaly_flags(daily: DataFrame, scope: Scope, limit: int = 10) -> DataFrame:
     if not scope.only_dates():
         daily = daily.limit(0)
     return (
-        scope.apply(daily).select("day", F.explode("anomaly_flags").alias("f")).select("day", "f.*")
+        Scope(scope.start_date, scope.end_date).apply(daily).select("day", F.explode("anomaly_flags").alias("f")).select("day", "f.*")
         .orderBy("day", "metric").limit(limit)
     )
 

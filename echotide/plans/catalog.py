@@ -368,7 +368,6 @@ def document_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog() -> dict[str, Query]:
-    sentiment_columns = ("review_id", "sentiment_label", F.round("sentiment_confidence", 6).alias("sentiment_confidence"))
     return {
         "ingest_stage_cast": staged_texts,
         "ingest_header_alias": ingest_header_alias,
@@ -380,7 +379,8 @@ def catalog() -> dict[str, Query]:
         "category_taxonomy": _on(_normalized, lambda d: d.groupBy("category_raw", "category_taxonomy").count()
                                  .withColumnRenamed("count", "review_count")),
         "normalize_summary": _on(_normalized, enrich.normalize_summary),
-        "sentiment_rule": _on(_with_sentiment, lambda d: d.select(*sentiment_columns)),
+        "sentiment_rule": _on(_with_sentiment, lambda d: d.select(
+            "review_id", "sentiment_label", F.round("sentiment_confidence", 6).alias("sentiment_confidence"))),
         "sentiment_summary": _on(_with_sentiment, enrich.sentiment_summary),
         "sentiment_triggers": sentiment_triggers,
         "sentiment_hybrid": sentiment_hybrid,

@@ -199,7 +199,7 @@ day_metrics AS (
     LEFT JOIN day_issue i ON i.day = d.day AND i.label = 'Transaction Failure'),
 day_stats AS (SELECT *, count(value) OVER w AS points, avg(value) OVER w AS mean, stddev_samp(value) OVER w AS spread
   FROM day_metrics WINDOW w AS (PARTITION BY metric ORDER BY day ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING)),
-flags AS (SELECT day, metric, round(value, 4) AS value, round(mean, 4) AS mean, round((value - mean) / spread, 4) AS z_score
+flags AS (SELECT day, metric, round(value, 4) AS value, round(mean, 8) AS mean, round((value - mean) / spread, 4) AS z_score
   FROM day_stats WHERE points >= 7 AND round(spread, 12) > 0 AND round((value - mean) / spread, 4) >= 2.0)"""
 
 VERSIONS = ENRICHED + """,

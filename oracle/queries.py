@@ -271,8 +271,8 @@ def oracle_queries() -> dict[str, str]:
             CAST(CASE priority WHEN 'P1' THEN 2 ELSE 0 END AS BIGINT) AS p1,
             CAST(CASE WHEN severity_score >= 0.75 THEN 2 ELSE 0 END AS BIGINT) AS risk_flags,
             round(2.0::DOUBLE * review_count + 1.5, 1) AS estimated_effort FROM candidates"""),
-        "moving_avg_7d": with_(DAILY, """SELECT day, round(avg(avg_rating) OVER w, 4) AS avg_rating_7dma,
-          round(avg(pct_negative) OVER w, 4) AS pct_negative_7dma, count(*) OVER w AS days_in_window FROM daily
+        "moving_avg_7d": with_(DAILY, """SELECT day, round(avg(avg_rating) OVER w, 6) AS avg_rating_7dma,
+          round(avg(pct_negative) OVER w, 6) AS pct_negative_7dma, count(*) OVER w AS days_in_window FROM daily
           WHERE day IS NOT NULL WINDOW w AS (ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW)"""),
         "zscore_flags": with_(DAILY, "SELECT * FROM flags"),
         "anomaly_flags_scope": with_(DAILY, f"SELECT * FROM flags WHERE {WEEK} ORDER BY day, metric LIMIT 10"),
