@@ -101,16 +101,24 @@ def daily_issue_counts(reviews: DataFrame) -> DataFrame:
     return issue_totals(reviews, ["day"])
 
 
-def daily_kpis(reviews: DataFrame, top: int = 5) -> DataFrame:
-    """Count, rating, sentiment shares, critical count and the top issues of each day."""
-    parts = measures_by_day(reviews)
-    top_issues = F.transform(F.slice("entries", 1, top), lambda e: F.struct(
+def day_table(reviews: DataFrame) -> DataFrame:
+    """One row per day with its counts, rates and all issues, from one pass over the reviews."""
+    folded = _kpis(measures_by_day(reviews), "day")
+    return folded.withColumns(_rate_columns())
+
+
+def top_entries(top: int) -> Column:
+    return F.transform(F.slice("entries", 1, top), lambda e: F.struct(
         e["label"].alias("label"), e["n"].alias("review_count"), F.round(e["weight"], 4).alias("weighted_severity"),
     ))
-    return _kpis(parts, "day").select(
-        "day", "total_reviews", *[c.alias(n) for n, c in _rate_columns().items()],
-        "critical_count", top_issues.alias("top_issues"),
-    )
+
+
+DAILY_COLUMNS = ("day", "total_reviews", "avg_rating", "pct_negative", "pct_positive", "critical_count")
+
+
+def daily_kpis(reviews: DataFrame, top: int = 5) -> DataFrame:
+    """Count, rating, sentiment shares, critical count and the top issues of each day."""
+    return day_table(reviews).select(*DAILY_COLUMNS, top_entries(top).alias("top_issues"))
 
 
 def weekly_kpis(reviews: DataFrame) -> DataFrame:

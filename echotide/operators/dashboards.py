@@ -4,22 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from echotide.operators.aggregates import daily_kpis, daily_series, kpi_rollup, window_top_issues
+from echotide.operators.aggregates import (
+    DAILY_COLUMNS, daily_series, day_table, kpi_rollup, top_entries, window_top_issues,
+)
 from echotide.operators.churn import daily_high_churn
 from echotide.operators.drilldown import evidence_quotes, search_reviews
 from echotide.operators.scope import Scope
-from echotide.operators.trends import FLAG_LIST, daily_flags, flags_per_day
-
-
-def daily_aggregates(reviews: DataFrame) -> DataFrame:
-    kpis = daily_kpis(reviews)
-    return (
-        kpis.join(daily_high_churn(reviews), "day", "left")
-        .join(flags_per_day(daily_flags(reviews)), "day", "left")
-        .select(
-            *kpis.columns, F.coalesce("churn_high_users", F.lit(0)).alias("churn_high_users"),
-            F.coalesce("anomaly_flags", F.array().cast(FLAG_LIST)).cast(FLAG_LIST).alias("anomaly_flags"),
-        )
+from echotide.operators.trends import with_flags
+
+
+def daily_aggregates(reviews: DataFrame, top: int = 5) -> DataFrame:
+    """KPIs and flags come from one pass over the reviews, high-churn users from another."""
+    days = with_flags(day_table(reviews)).select(*DAILY_COLUMNS, top_entries(top).alias("top_issues"), "anomaly_flags")
+    return days.join(daily_high_churn(reviews), "day", "left").select(
+        *DAILY_COLUMNS, "top_issues", F.coalesce("churn_high_users", F.lit(0)).alias("churn_high_users"), "anomaly_flags"
     )
 
 

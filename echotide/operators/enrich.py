@@ -58,8 +58,11 @@ def enrich(raw: DataFrame, taxonomy: dict[str, str] | None = None) -> DataFrame:
 
 def combine_verdicts(reviews: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Join outside sentiment verdicts (review_id, label, confidence): the verdict's label wins,
-    confidence is the larger one, lowered where the two disagree."""
-    verdicts = verdicts.select("review_id", F.col("label").alias("_label"), F.col("confidence").alias("_confidence"))
+    confidence is the larger one, lowered where the two disagree. Of several verdicts on one
+    review the most confident counts."""
+    verdicts = verdicts.groupBy("review_id").agg(
+        F.max_by("label", F.struct("confidence", "label")).alias("_label"), F.max("confidence").alias("_confidence")
+    )
     agreed = F.greatest("sentiment_confidence", "_confidence")
     known = F.col("_label").isNotNull()
     combined = F.when(F.col("_label") == F.col("sentiment_label"), agreed).otherwise(agreed * 0.85)

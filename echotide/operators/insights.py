@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from echotide.functions.issues import labels_of
 from echotide.functions.text import excerpt
-from echotide.operators.aggregates import by_weight, issue_totals, measures_by_day
+from echotide.operators.aggregates import by_weight, day_table, issue_totals, measures_by_day
 from echotide.operators.scope import Scope
-from echotide.operators.trends import SPIKE_DAYS, day_profile, spike_flags
+from echotide.operators.trends import SPIKE_DAYS, with_flags
 
 MAX_NAMES = 200
 
@@ -175,20 +175,27 @@ def spike_drivers(reviews: DataFrame, top: int = 3) -> DataFrame:
     strongest review. Days and labels are few, so their comparison is small; it is broadcast
     (at most `top` rows per metric and calendar day) to pick quotes in one more scan."""
     earlier = Window.orderBy("day").rowsBetween(-SPIKE_DAYS, -1)
-    profile = day_profile(measures_by_day(reviews)).withColumn(
-        "earlier", F.collect_list(F.struct("n", "labels")).over(earlier)
-    )
-    spikes = spike_flags(profile, ("n", "labels", "earlier"))
-    total_before = F.aggregate("earlier", F.lit(0).cast("bigint"), lambda acc, d: acc + d["n"])
-    label_before = F.aggregate(
-        "earlier", F.lit(0).cast("bigint"),
-        lambda acc, d: acc + F.coalesce(F.try_element_at(d["labels"], F.col("label")), F.lit(0)),
-    )
-    lifts = spikes.select(
-        "day", "metric", "z_score", "n", "earlier", F.explode("labels").alias("label", "label_n")
-    ).withColumns({"now": F.col("label_n") / F.col("n"), "before": label_before / total_before}).select(
-        "day", "metric", "z_score", "label", F.round("now", 4).alias("share"),
-        F.round("before", 4).alias("share_before"), F.round(F.col("now") - F.col("before"), 4).alias("lift"),
+    counts = F.transform("entries", lambda e: F.struct(e["label"].alias("label"), e["n"].alias("n")))
+    days = with_flags(day_table(reviews.filter(F.col("day").isNotNull()))).select(
+        "day", "anomaly_flags", F.struct(F.col("total_reviews").alias("total"), counts.alias("labels")).alias("now")
+    ).withColumn("earlier", F.collect_list("now").over(earlier))
+
+    def added(value) -> Column:
+        return F.aggregate("earlier", F.lit(0).cast("bigint"), lambda total, day: total + value(day))
+
+    def of_label(day: Column) -> Column:
+        own = F.filter(day["labels"], lambda x: x["label"] == F.col("label"))
+        return F.coalesce(F.get(own, F.lit(0))["n"], F.lit(0))
+
+    spikes = days.select("day", "now", "earlier", F.inline("anomaly_flags"))
+    shares = spikes.select("day", "metric", "z_score", "now", "earlier", F.inline("now.labels")).withColumns({
+        "share": F.col("n") / F.col("now.total"),
+        "share_before": F.try_divide(added(of_label), added(lambda day: day["total"])),
+    })
+    lifts = shares.select(
+        "day", "metric", "z_score", "label", F.round("share", 4).alias("share"),
+        F.round("share_before", 4).alias("share_before"),
+        F.round(F.col("share") - F.col("share_before"), 4).alias("lift"),
     )
     order = Window.partitionBy("day", "metric").orderBy(F.desc("lift"), "label")
     drivers = lifts.filter("lift > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from echotide.operators.aggregates import daily_issue_counts, measures_by_day
+from echotide.operators.aggregates import daily_issue_counts, day_table
 from echotide.operators.scope import Scope
 
 SPIKE_DAYS = 14
@@ -31,50 +31,36 @@ def moving_averages(daily: DataFrame, days: int = 7) -> DataFrame:
     )
 
 
-def day_profile(parts: DataFrame) -> DataFrame:
-    """One row per day from the day measures: watched metrics and the reviews of each label."""
+def with_flags(days: DataFrame) -> DataFrame:
+    """Add the metrics of each day that lie far above the preceding observed days.
 
-    def own(column: str) -> Column:
-        return F.max(F.when(F.col("kind") == "all", F.col(column)))
-
-    is_issue = F.col("kind") == "issue"
-    failures = is_issue & (F.col("name") == "Transaction Failure")
-    return parts.filter(F.col("day").isNotNull()).groupBy("day").agg(
-        own("n").alias("n"),
-        F.round(own("negative") / own("n"), 4).alias("pct_negative"),
-        own("critical").cast("double").alias("critical_count"),
-        F.coalesce(F.max(F.when(failures, F.col("n"))), F.lit(0)).cast("double").alias("transaction_failures"),
-        F.map_from_entries(F.collect_list(F.when(is_issue, F.struct("name", "n")))).alias("labels"),
-    )
+    Takes the day table, one row per day; the spread is that of a sample.
+    """
+    before = Window.partitionBy(F.col("day").isNull()).orderBy("day").rowsBetween(-SPIKE_DAYS, -1)
+    failures = F.filter("entries", lambda e: e["label"] == "Transaction Failure")
+    metrics = {
+        "critical_count": F.col("critical_count"),
+        "pct_negative": F.col("pct_negative"),
+        "transaction_failures": F.coalesce(F.get(failures, F.lit(0))["n"], F.lit(0)),
+    }
 
+    def flag(metric: str) -> Column:
+        value = F.col(f"_{metric}")
+        mean, spread = F.avg(value).over(before), F.stddev_samp(value).over(before)
+        z = F.round(F.try_divide(value - mean, spread), 4)
+        raised = (F.count(value).over(before) >= SPIKE_MIN_POINTS) & (F.round(spread, 12) > 0) & (z >= SPIKE_Z)
+        return F.when(raised, F.struct(
+            F.lit(metric).alias("metric"), F.round(value, 4).alias("value"), F.round(mean, 8).alias("mean"),
+            z.alias("z_score"),
+        ))
 
-def spike_flags(profile: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Days on which a metric lies far above the preceding observed days."""
-    metrics = F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
-        for m in ("pct_negative", "critical_count", "transaction_failures")
-    ])
-    before = Window.partitionBy("metric").orderBy("day").rowsBetween(-SPIKE_DAYS, -1)
-    scored = profile.select("day", *keep, F.inline(metrics)).withColumns({
-        "points": F.count("value").over(before),
-        "mean": F.avg("value").over(before),
-        "spread": F.stddev_samp("value").over(before),
-    })
-    z = (F.col("value") - F.col("mean")) / F.col("spread")
-    return (
-        scored.filter((F.col("points") >= SPIKE_MIN_POINTS) & (F.round("spread", 12) > 0))
-        .withColumn("z_score", F.round(z, 4)).filter(F.col("z_score") >= SPIKE_Z)
-        .select("day", "metric", F.round("value", 4).alias("value"), F.round("mean", 8).alias("mean"), "z_score", *keep)
-    )
+    valued = days.withColumns({f"_{m}": v.cast("double") for m, v in metrics.items()})
+    flags = F.array_compact(F.array(*[flag(m) for m in metrics])).cast(FLAG_LIST)
+    return valued.withColumn("anomaly_flags", flags).drop(*[f"_{m}" for m in metrics])
 
 
 def daily_flags(reviews: DataFrame) -> DataFrame:
-    return spike_flags(day_profile(measures_by_day(reviews)))
-
-
-def flags_per_day(flags: DataFrame) -> DataFrame:
-    entry = F.struct("metric", "value", "mean", "z_score")
-    return flags.groupBy("day").agg(F.sort_array(F.collect_list(entry)).alias("anomaly_flags"))
+    return with_flags(day_table(reviews)).select("day", F.inline("anomaly_flags"))
 
 
 def anomaly_flags(daily: DataFrame, scope: Scope, limit: int = 10) -> DataFrame:

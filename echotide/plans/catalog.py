@@ -14,7 +14,7 @@ from echotide.operators import reports, scope as scopes, trends
 from echotide.operators.merge import upsert
 from echotide.operators.scope import Scope
 from echotide.sources import review_files
-from echotide.sources.event_reviews import event_review_texts, event_reviews, events
+from echotide.sources.event_reviews import HEADER_SPELLINGS, event_review_texts, event_reviews, events
 from echotide.tables import stage, stage_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -373,7 +373,7 @@ def catalog() -> dict[str, Query]:
         "ingest_header_alias": ingest_header_alias,
         "ingest_csv_scan": ingest_csv_scan,
         "ingest_dedupe_latest": deduped,
-        "ingest_counters": _on(staged_texts, review_files.ingest_counters),
+        "ingest_counters": _on(staged_texts, lambda d: review_files.ingest_counters(d, list(HEADER_SPELLINGS))),
         "ingest_upsert": ingest_upsert,
         "normalize_content": _on(_normalized, lambda d: d.select("review_id", "content", "day", "category_taxonomy")),
         "category_taxonomy": _on(_normalized, lambda d: d.groupBy("category_raw", "category_taxonomy").count()
@@ -441,6 +441,8 @@ def catalog() -> dict[str, Query]:
         "user_churn": _on(enriched, churn.user_churn),
         "churn_distribution": _on(enriched, lambda d: churn.churn_distribution(churn.user_churn(d))),
         "daily_churn_high": _on(enriched, churn.daily_high_churn),
+        "reviews_with_churn": _on(enriched, lambda d: churn.with_churn(d, churn.user_churn(d)).select(
+            "review_id", "churn_user_score", "churn_user_tier")),
         "quality_checks": _on(enriched, quality.quality_checks),
         "golden_scores": golden_scores,
         "golden_sample": _on(enriched, quality.golden_sample),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import reduce
+from operator import add
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -50,9 +51,12 @@ def to_int(text: Column) -> Column:
 
 
 def to_timestamp(text: Column) -> Column:
-    cleaned = blank_to_null(text)
-    parsed = [F.try_to_timestamp(cleaned, F.lit(f)) for f in TIMESTAMP_FORMATS]
-    return F.coalesce(*parsed).cast("timestamp_ntz")
+    """Zone-free time from text. It is parsed as UTC and counted in seconds, so the time zone of
+    the session, with its missing and repeated hours, plays no part."""
+    stamped = F.concat(blank_to_null(text), F.lit("+0000"))
+    parsed = F.coalesce(*[F.try_to_timestamp(stamped, F.lit(f"{f}Z")) for f in TIMESTAMP_FORMATS])
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    return epoch + F.make_dt_interval(secs=F.unix_seconds(parsed))
 
 
 def typed_reviews(source: DataFrame) -> DataFrame:
@@ -90,22 +94,19 @@ def latest_per_review(staged: DataFrame) -> DataFrame:
     )
 
 
-def ingest_counters(staged: DataFrame) -> DataFrame:
-    """Rows per source, rows in all, rows removed by deduplication, rows kept."""
-    per_id = staged.groupBy("source", "review_id").agg(F.count(F.lit(1)).alias("rows"))
-    per_source = per_id.groupBy("source").agg(F.sum("rows").alias("row_count"))
-    ids = (
-        per_id.groupBy("review_id").agg(F.sum("rows").alias("rows"))
-        .agg(F.sum("rows").alias("combined"), F.count("review_id").alias("kept"))
+def ingest_counters(staged: DataFrame, sources: list[str]) -> DataFrame:
+    """Rows per source, rows in all, rows removed by deduplication, rows kept. One pass: only
+    ids and counts are shuffled."""
+    loaded = {name: f"_{i}" for i, name in enumerate(sources)}
+    per_id = staged.groupBy("review_id").agg(
+        *[F.count_if(F.col("source") == name).alias(column) for name, column in loaded.items()]
     )
-    totals = ids.select(
-        F.inline(F.array(*[
-            F.struct(F.lit(name).alias("counter"), value.alias("row_count"))
-            for name, value in (
-                ("combined", F.coalesce("combined", F.lit(0))),
-                ("deduped_out", F.coalesce(F.col("combined"), F.lit(0)) - F.col("kept")),
-                ("inserted", F.col("kept")),
-            )
-        ]))
+    totals = per_id.agg(
+        F.count("review_id").alias("kept"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in loaded.values()]
     )
-    return per_source.select(F.concat(F.lit("loaded:"), "source").alias("counter"), "row_count").unionByName(totals)
+    combined = reduce(add, [F.col(c) for c in loaded.values()])
+    counters = {f"loaded:{name}": F.col(column) for name, column in loaded.items()}
+    counters |= {"combined": combined, "deduped_out": combined - F.col("kept"), "inserted": F.col("kept")}
+    return totals.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("counter"), value.alias("row_count")) for name, value in counters.items()
+    ])))

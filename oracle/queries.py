@@ -295,6 +295,8 @@ def oracle_queries() -> dict[str, str]:
         "churn_distribution": with_(DAILY, """SELECT churn_user_tier, count(*) AS users,
           round(count(*) / (SELECT count(*) FROM tiers), 4) AS share FROM tiers GROUP BY churn_user_tier"""),
         "daily_churn_high": with_(DAILY, "SELECT day, churn_high_users FROM high_days"),
+        "reviews_with_churn": with_(DAILY, """
+          SELECT review_id, churn_user_score, churn_user_tier FROM enriched JOIN tiers USING (user_name)"""),
         "quality_checks": with_(ENRICHED + """, c AS (SELECT
             round(avg(CASE WHEN sentiment_label IN ('negative', 'neutral', 'positive')
               AND severity_band IN ('low', 'med', 'high', 'critical') THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS valid,

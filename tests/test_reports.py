@@ -87,10 +87,11 @@ def test_paging_visits_every_row_once(spark, reviews):
 
 def test_spikes_need_history_and_spread(spark):
     values = [0.1, 0.1, 0.2, 0.1, 0.2, 0.1, 0.2, 0.9, 0.1]
-    days = [(dt.date(2024, 1, 1) + dt.timedelta(i), v) for i, v in enumerate(values)]
+    days = [(dt.date(2024, 1, 1) + dt.timedelta(i), v) for i, v in enumerate(values)] + [(None, 9.0)]
     frame = spark.createDataFrame(days, "day date, pct_negative double").selectExpr(
-        "day", "pct_negative", "5D critical_count", "0D transaction_failures")
-    assert [(r["day"].day, r["metric"]) for r in trends.spike_flags(frame).collect()] == [(8, "pct_negative")]
+        "day", "pct_negative", "5L critical_count", "array(named_struct('label', 'x', 'n', 3L)) entries")
+    flagged = trends.with_flags(frame).filter(F.size("anomaly_flags") > 0).collect()
+    assert [(r["day"].day, [f["metric"] for f in r["anomaly_flags"]]) for r in flagged] == [(8, ["pct_negative"])]
 
 
 def test_moving_average_skips_missing_days(spark):

@@ -5,6 +5,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SMALL, rows
 from echotide import schemas, tables
@@ -51,10 +52,24 @@ def test_cast_and_dedupe(spark, files):
     assert kept["a"]["content"] == "newer"
     assert (kept["b"]["content"], kept["b"]["score"], kept["b"]["thumbs_up"]) == ("padded", None, 7)
     assert kept["b"]["at_ts"] == dt.datetime(2024, 1, 2, 3, 4)
-    counters = dict(rows(review_files.ingest_counters(staged)))
+    counters = dict(rows(review_files.ingest_counters(staged, list(files))))
     assert counters == {"loaded:one": 3, "loaded:two": 3, "combined": 6, "deduped_out": 3, "inserted": 3}
 
 
+def test_times_do_not_depend_on_the_session_zone(spark):
+    cases = {"2024-03-10 02:30:00": dt.datetime(2024, 3, 10, 2, 30), "2024-11-03 01:30": dt.datetime(2024, 11, 3, 1, 30),
+             "2024-1-5": dt.datetime(2024, 1, 5), "2024-01-05T01:02:03": None, "2024-02-30": None, "": None,
+             "2024-01-05 01:02:03.5": None}
+    frame = spark.createDataFrame([(c,) for c in cases], "t string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        found = {r[0]: r[1] for r in frame.select("t", review_files.to_timestamp(F.col("t"))).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert found == cases
+
+
 def test_header_errors(spark, tmp_path):
     with pytest.raises(ValueError, match="score, app_version"):
         review_files.resolve_headers(["id", "user", "text", "helpful_count", "reviewversion", "date", "topic"])
