@@ -27,30 +27,30 @@ _LEADING_WORDS = {
 }
 
 
+# No phrase or pattern of a rule can match a text that holds none of these.
+_GATES = {
+    "Transaction Failure": ("fail", "declin", "error", "going through", "chargeback", "pending", "refund"),
+    "Login/Auth Issues": ("login", "log in", "signin", "sign in", "auth", "otp", "verification", "password", "2fa",
+                          "face id", "fingerprint"),
+    "Performance Issues": ("slow", "lag", "freez", "forever", "sluggish", "unresponsive", "battery", "overheating",
+                           "stutter"),
+    "Glitches/Bugs": ("bug", "glitch", "crash", "not working", "stuck", "blank screen", "broken"),
+    "UI/UX Problems": ("bad", "poor", "confusing", "hard", "difficult", "cannot find", "steps", "issue"),
+    "Policy Complaints": ("fee", "charges", "policy", "terms", "compliance", "kyc", "suspended", "blocked"),
+    "Feature Requests": ("add", "need", "would", "wish", "request", "feature", "apple pay"),
+    "Customer Support": ("support", "customer service", "response", "help desk", "agent", "ticket", "helped"),
+}
+
 # Every phrase and pattern of a rule with the words that must occur for it to match.
-_CHECKS = {
+CHECKS = {
     label: [(p, rf"\b{p}\b", (p,)) for p in phrases] + [(f"regex:{pattern}", pattern, _LEADING_WORDS[label])]
     for label, (phrases, pattern) in ISSUE_RULES.items()
 }
-_OFFSETS = {
-    label: sum(len(c) for c in list(_CHECKS.values())[:i]) for i, label in enumerate(_CHECKS)
-}
 
 
-def match_counts(text: Column) -> Column:
-    """Matches of every phrase and pattern in the folded text, as one array.
-
-    The patterns are constants, so each is compiled once per task and runs only on texts
-    that hold one of its words.
-    """
-    return F.array(*[
-        F.when(any_present(text, needles), F.regexp_count(text, F.lit(f"(?Ud){pattern}"))).otherwise(0)
-        for checks in _CHECKS.values() for _, pattern, needles in checks
-    ])
-
-
-def _counts_of(label: str, counts: Column) -> list[Column]:
-    return [F.get(counts, F.lit(_OFFSETS[label] + i)) for i in range(len(_CHECKS[label]))]
+def _count(text: Column, pattern: str, needles: tuple[str, ...]) -> Column:
+    """Matches of a constant pattern, which is compiled once per task."""
+    return F.when(any_present(text, needles), F.regexp_count(text, F.lit(f"(?Ud){pattern}"))).otherwise(0)
 
 
 def near_failure(text: Column, pattern: str) -> Column:
@@ -65,55 +65,49 @@ def near_failure(text: Column, pattern: str) -> Column:
     return F.rlike(marked, F.lit(f"(?Ud){inside}|{CLOSE_MARK}{gap}{word}|{word}{gap}{OPEN_MARK}"))
 
 
-def has_failure_word(text: Column) -> Column:
-    return any_present(text, ("can't", "cant", "cannot", "failed", "failure", "error"))
+def _near(label: str, text: Column, found: list[Column]) -> Column:
+    """The same for a rule: only its matching patterns are searched, and only where a failure
+    word occurs at all."""
+    failing = any_present(text, ("can't", "cant", "cannot", "failed", "failure", "error"))
+    return failing & reduce(or_, [(n > 0) & near_failure(text, p) for n, (_, p, _) in zip(found, CHECKS[label])])
 
 
-def _near(label: str, text: Column, counts: Column, failing: Column) -> Column:
-    found = zip(_counts_of(label, counts), _CHECKS[label])
-    return failing & reduce(or_, [(n > 0) & near_failure(text, pattern) for n, (_, pattern, _) in found])
+def _issue(label: str, text: Column, found: list[Column]) -> Column:
+    evidence = F.array(*[F.when(n > 0, F.lit(name)) for n, (name, _, _) in zip(found, CHECKS[label])])
+    confidence = (
+        F.lit(0.60)
+        + F.when(reduce(add, found) >= 2, 0.10).otherwise(0.0)
+        + F.when(_near(label, text, found), 0.10).otherwise(0.0)
+    )
+    return F.struct(
+        F.lit(label).alias("label"),
+        F.round(F.least(F.lit(0.85), confidence), 2).alias("confidence"),
+        F.array_compact(evidence).alias("evidence"),
+    )
+
 
+def _per_match(content: Column, result: Callable[[str, Column, list[Column]], Column]) -> Column:
+    """One result for each rule that matches, in rule order, from its match counts."""
 
-def near_labels(content: Column) -> Column:
-    """Labels with a match near a failure word."""
-    return _matched(content, lambda text, counts, failing: F.array_compact(
-        F.array(*[F.when(_near(x, text, counts, failing), F.lit(x)) for x in _CHECKS])
-    ))
+    def rule(label: str, text: Column) -> Column:
+        def if_any(counts: Column) -> Column:
+            found = [F.get(counts, F.lit(i)) for i in range(len(CHECKS[label]))]
+            return F.when(F.array_max(counts) > 0, result(label, text, found))
 
+        counts = F.array(*[_count(text, pattern, needles) for _, pattern, needles in CHECKS[label]])
+        return F.when(any_present(text, _GATES[label]), bind(counts, if_any))
 
-def _matched(content: Column, body: Callable[[Column, Column, Column], Column]) -> Column:
-    """Give the folded text, its match counts and whether it has failure words to an expression."""
-    found = bind(fold_case(content), lambda text: F.struct(
-        text.alias("text"), match_counts(text).alias("counts"), has_failure_word(text).alias("failing")
-    ))
-    return bind(found, lambda f: body(f["text"], f["counts"], f["failing"]))
+    return bind(fold_case(content), lambda text: F.array_compact(F.array(*[rule(x, text) for x in CHECKS])))
 
 
 def issues_in(content: Column) -> Column:
     """Label, confidence and evidence of every rule that matches the text, in rule order."""
-    return _matched(content, issue_list)
+    return _per_match(content, _issue)
 
 
-def issue_list(text: Column, counts: Column, failing: Column) -> Column:
-    """The entries of all matched rules, from the match counts."""
-
-    def entry(label: str) -> Column:
-        found = _counts_of(label, counts)
-        matches = reduce(add, found)
-        evidence = F.array(*[F.when(n > 0, F.lit(name)) for n, (name, _, _) in zip(found, _CHECKS[label])])
-        confidence = (
-            F.lit(0.60)
-            + F.when(matches >= 2, 0.10).otherwise(0.0)
-            + F.when(_near(label, text, counts, failing), 0.10).otherwise(0.0)
-        )
-        issue = F.struct(
-            F.lit(label).alias("label"),
-            F.round(F.least(F.lit(0.85), confidence), 2).alias("confidence"),
-            F.array_compact(evidence).alias("evidence"),
-        )
-        return F.when(matches > 0, issue)
-
-    return F.array_compact(F.array(*[entry(label) for label in _CHECKS]))
+def near_labels(content: Column) -> Column:
+    """Labels with a match near a failure word."""
+    return _per_match(content, lambda label, text, found: F.when(_near(label, text, found), F.lit(label)))
 
 
 def labels_of(issues: Column) -> Column:

@@ -64,10 +64,18 @@ def fold_case(value: Column) -> Column:
     so in non-ASCII text the former become a control character and the latter a letter. The two
     marks used while matching are replaced too. Every character keeps its position.
     """
-    text = F.lower(strip_whitespace(F.coalesce(value, F.lit(""))))
-    words = F.regexp_replace(F.regexp_replace(text, r"[\p{M}\p{So}\p{Cf}\p{Pc}&&[^_]]", "\x03"), r"\p{No}", "ß")
-    plain = F.when(F.octet_length(text) == F.length(text), text).otherwise(words)
-    return F.translate(plain, f"ſı{OPEN_MARK}{CLOSE_MARK}", "si\x03\x03")
+
+    def unify(text: Column) -> Column:
+        parts = F.regexp_replace(text, r"[\p{M}\p{So}\p{Cf}\p{Pc}&&[^_]]", "\x03")
+        words = F.translate(F.regexp_replace(parts, r"\p{No}", "ß"), "ſı", "si")
+        return F.when(F.octet_length(text) == F.length(text), text).otherwise(words)
+
+    def unmark(text: Column) -> Column:
+        marks = F.lit(OPEN_MARK), F.lit(CLOSE_MARK)
+        clean = F.translate(text, OPEN_MARK + CLOSE_MARK, "\x03\x03")
+        return F.when(F.contains(text, marks[0]) | F.contains(text, marks[1]), clean).otherwise(text)
+
+    return bind(bind(F.lower(F.coalesce(value, F.lit(""))), unify), unmark)
 
 
 def excerpt(content: Column, label: str | None = None, width: int = 180) -> Column:

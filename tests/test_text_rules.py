@@ -75,6 +75,11 @@ def test_issues_match_a_direct_search(spark):
         assert [(i["label"], i["confidence"], i["evidence"]) for i in issue_list] == expected_issues(content), content
 
 
+def test_gates_cover_every_phrase():
+    for label, (phrases, _) in ISSUE_RULES.items():
+        assert all(any(g in p for g in issues._GATES[label]) for p in phrases), label
+
+
 def test_missing_text_has_no_issues(spark):
     assert column(spark, [None, " \n "], issues.issues_in(F.col("content"))) == [[], []]
 
