@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from echotide.operators.aggregates import top_issues, version_kpis
@@ -9,7 +11,7 @@ from echotide.operators.churn import user_churn
 from echotide.operators.dashboards import daily_aggregates
 from echotide.operators.enrich import enrich
 from echotide.operators.merge import upsert
-from echotide.operators.reports import only_new, report_payload, stored_reports, weekly_brief
+from echotide.operators.reports import only_new, report_key, report_payload, stored_reports, weekly_brief
 from echotide.operators.scope import Scope
 from echotide.sources.review_files import combine, latest_per_review, scan_csv
 from echotide.tables import read_table, write_table
@@ -51,25 +53,38 @@ def write_aggregates(spark: SparkSession, target: str) -> None:
     write_table(user_churn(reviews), f"{target}/user_churn")
 
 
-def scheduled_reports(reviews: DataFrame, daily: DataFrame, scope: Scope) -> DataFrame:
-    """The weekly brief and the weekly top issues of a scope, ready to store."""
+def brief_report(reviews: DataFrame, daily: DataFrame, scope: Scope) -> DataFrame:
     brief = weekly_brief(report_payload(reviews, daily, scope, "weekly_exec_brief"))
+    return brief.select("report_type", "scope", F.to_json("brief", {"ignoreNullFields": "false"}).alias("content_json"))
+
+
+def top_issues_report(reviews: DataFrame, daily: DataFrame, scope: Scope) -> DataFrame:
     scope_row = F.struct(*[F.lit(v).alias(k) for k, v in scope.as_dict().items()])
-    issues = top_issues(scope.apply(reviews), 5)
-    entry = F.struct(F.col("weighted_severity").alias("w"), "review_count", "label")
-    listed = issues.agg(F.reverse(F.sort_array(F.collect_list(entry))).alias("items")).select(
+    # Five rows at most: best first, equal ones by count and then by name.
+    entry = F.struct((-F.col("weighted_severity")).alias("w"), (-F.col("review_count")).alias("c"), "label")
+    items = F.transform(F.sort_array(F.collect_list(entry)), lambda i: F.struct(
+        i["label"].alias("label"), (-i["c"]).alias("review_count"), (-i["w"]).alias("weighted_severity"),
+    ))
+    return top_issues(scope.apply(reviews), 5).agg(items.alias("top_issues")).select(
         F.lit("weekly_top_issues").alias("report_type"), scope_row.alias("scope"),
-        F.to_json(F.struct(F.transform("items", lambda i: F.struct(
-            i["label"].alias("label"), i["review_count"].alias("review_count"), i["w"].alias("weighted_severity"),
-        )).alias("top_issues"))).alias("content_json"),
+        F.to_json(F.struct("top_issues")).alias("content_json"),
     )
-    briefs = brief.select("report_type", "scope", F.to_json("brief", {"ignoreNullFields": "false"}).alias("content_json"))
-    return stored_reports(briefs.unionByName(listed))
+
+
+SCHEDULED = {"weekly_exec_brief": brief_report, "weekly_top_issues": top_issues_report}
+
+
+def missing_reports(reviews: DataFrame, daily: DataFrame, stored: DataFrame, scope: Scope) -> DataFrame | None:
+    """The scheduled reports of a scope that are not stored yet. Stored keys are looked up first,
+    so a report that exists costs one small read."""
+    keys = {report_key(report_type, scope): report_type for report_type in SCHEDULED}
+    known = {r["hash_key"] for r in stored.filter(F.col("hash_key").isin(*keys)).select("hash_key").distinct().collect()}
+    wanted = [SCHEDULED[t](reviews, daily, scope) for key, t in keys.items() if key not in known]
+    return only_new(stored_reports(reduce(DataFrame.unionByName, wanted)), stored) if wanted else None
 
 
 def write_reports(spark: SparkSession, target: str, before: str) -> None:
-    """Reports not stored before are generated and added to the stored ones."""
     reviews, daily = read_table(spark, target, "reviews_enriched"), read_table(spark, target, "daily_aggregates")
     stored = read_table(spark, before, "insight_reports")
-    fresh = only_new(scheduled_reports(reviews, daily, Scope().within(reviews)), stored)
-    write_table(stored.unionByName(fresh), f"{target}/insight_reports")
+    fresh = missing_reports(reviews, daily, stored, Scope().within(reviews))
+    write_table(stored if fresh is None else stored.unionByName(fresh), f"{target}/insight_reports")

@@ -208,4 +208,9 @@ def test_pipeline_runs_build_on_each_other(spark, tmp_path):
     stored = read_table(spark, again, "insight_reports")
     assert stored.count() == stored.select("hash_key").distinct().count()
     assert stored.count() == read_table(spark, second, "insight_reports").count() >= 2
+    listed = json.loads(stored.filter("report_type = 'weekly_top_issues'").first()["content_json"])["top_issues"]
+    ranked = [(-i["weighted_severity"], -i["review_count"], i["label"]) for i in listed]
+    assert len(listed) == 5 and ranked == sorted(ranked)
+    scope = Scope().within(read_table(spark, again, "reviews_enriched"))
+    assert pipeline.missing_reports(reviews, daily, stored, scope) is None
     assert contracts.check_reports(stored).filter(F.size("violations") > 0).count() == 0
