@@ -44,8 +44,9 @@ def _ranked_labels(scoped: DataFrame) -> DataFrame:
 
 def pain_points(scoped: DataFrame, per_label: int = 3) -> DataFrame:
     """Labels by summed severity, each with its strongest quotes."""
+    weight = F.round("weight", 4)
     ranked = _ranked_labels(scoped).select(
-        "rank", "label", "review_count", F.round("weight", 4).alias("weighted_severity"), impact(F.round("weight", 4)).alias("impact")
+        "rank", "label", "review_count", weight.alias("weighted_severity"), impact(weight).alias("impact")
     )
     return ranked.join(label_quotes(scoped, per_label), "label")
 

@@ -43,13 +43,15 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    build = lambda: dashboards.daily_aggregates(enriched(spark, sf_dir))
-    return stage(spark, _source(sf_dir), "daily_aggregates", build)
+    return stage(
+        spark, _source(sf_dir), "daily_aggregates", lambda: dashboards.daily_aggregates(enriched(spark, sf_dir))
+    )
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    build = lambda: aggregates.version_kpis(enriched(spark, sf_dir))
-    return stage(spark, _source(sf_dir), "version_aggregates", build)
+    return stage(
+        spark, _source(sf_dir), "version_aggregates", lambda: aggregates.version_kpis(enriched(spark, sf_dir))
+    )
 
 
 def _on(table: Query, operator: Callable[[DataFrame], DataFrame]) -> Query:
@@ -362,9 +364,16 @@ def document_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The issue rules over long texts in four languages."""
-    found = enrich.add_issues(_documents(spark, sf_dir).select("doc_id", F.col("text").alias("content")))
-    return issue_rules.issue_rows(found, "doc_id").select("doc_id", "label", "confidence")
+    """The issue rules and the severity score over long texts in four languages."""
+    documents = _documents(spark, sf_dir).select(
+        "doc_id", F.col("text").alias("content"), F.lit(None).cast("int").alias("score"),
+        F.lit(None).cast("int").alias("thumbs_up"),
+    )
+    scored = enrich.add_severity(enrich.add_issues(enrich.add_sentiment(documents)))
+    return scored.select(
+        "doc_id", F.array_join(issue_rules.labels_of(F.col("issues")), ", ").alias("issues"),
+        F.round("severity_score", 6).alias("severity_score"), "severity_band",
+    )
 
 
 def catalog() -> dict[str, Query]:

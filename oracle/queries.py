@@ -85,6 +85,13 @@ def _issue_json() -> str:
           WHEN 2 THEN [lower(event_type)] WHEN 4 THEN [lower(event_type)] ELSE [] END AS labels FROM events))"""
 
 
+def _documents_enriched() -> str:
+    """The review CTEs from the lexicon on, with the documents in place of the reviews."""
+    source = """clean AS (SELECT doc_id, text AS content, CAST(NULL AS INTEGER) AS score, CAST(NULL AS INTEGER) AS thumbs_up
+      FROM documents)"""
+    return source + ENRICHED.removeprefix(CLEAN)
+
+
 def oracle_queries() -> dict[str, str]:
     texts = "documents"
     return {
@@ -383,5 +390,7 @@ def oracle_queries() -> dict[str, str]:
           SELECT doc_id, lex AS lexicon_score, CASE WHEN 0.55::DOUBLE * lex <= -0.45 THEN 'negative'
             WHEN 0.55::DOUBLE * lex >= 0.45 THEN 'positive' ELSE 'neutral' END AS sentiment_label, words
           FROM documents JOIN lexicon ON lexicon.content = documents.text"""),
+        "document_issues": with_(_documents_enriched(), """SELECT doc_id, issue_text AS issues,
+          round(severity_score, 6) AS severity_score, severity_band FROM enriched"""),
         "document_excerpts": f"SELECT doc_id, {excerpt('text', 'the tion ering')} AS quote FROM documents",
     }

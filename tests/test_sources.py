@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from conftest import SMALL, rows
 from echotide import schemas, tables
 from echotide.operators.merge import upsert
+from echotide.plans.pipeline import ingest_files
 from echotide.sources import exports, review_files, taxonomy
 from echotide.sources.event_reviews import event_reviews
 from echotide.streaming import review_stream
@@ -39,7 +40,7 @@ def files(tmp_path):
 
 
 def read(spark, files):
-    return review_files.combine({n: review_files.scan_csv(spark, p) for n, p in files.items()})
+    return ingest_files(spark, files)
 
 
 def test_cast_and_dedupe(spark, files):
