@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echotide.llm import exact_dedup, langid
+from echotide.llm import exact_dedup, langid, near_dedup
 from echotide.llm.common import documents
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), size=3, percent=85)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return langid.identify(docs, langid.train(docs.where(~langid.held_out())))
@@ -17,7 +21,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op7_language_id, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op7_language_id, op9_exact_dedup)}
 
 ORACLE = {
     "op9_exact_dedup": """
