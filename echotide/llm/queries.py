@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from echotide.llm import exact_dedup, langid, near_dedup
+from echotide.llm import exact_dedup, langid, line_dedup, near_dedup, quality_rules
 from echotide.llm.common import documents
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), size=3, percent=85)
 
@@ -17,13 +22,68 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs.where(~langid.held_out())))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = quality_rules.verdicts(quality_rules.ledger(documents(spark, sf_dir)), version=2)
+    failed = F.col("failed").bitwiseAND(F.lit(quality_rules.BASE).cast("long")) != 0
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       failed.alias("base_failed"), "kept", "failed")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op7_language_id, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_minhash_near_dedup, op7_language_id, op8_quality_rules, op9_exact_dedup)}
 
 ORACLE = {
+    "op2_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+        keyed AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+        judged AS (
+            SELECT *, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY key) AS dropped FROM keyed)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id
+    """,
+    "op8_quality_rules": r"""
+        WITH split AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+            FROM documents),
+        each AS (SELECT doc_id, generate_subscripts(w, 1) AS pos, unnest(w) AS w0 FROM split),
+        grams AS (
+            SELECT *, lead(w0, 1) OVER d AS w1, lead(w0, 2) OVER d AS w2, lead(w0, 3) OVER d AS w3, lead(w0, 4) OVER d AS w4
+            FROM each WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+        flagged AS (
+            SELECT doc_id, pos, w4 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w0, w1, w2, w3, w4) > 1 AS twice FROM grams),
+        covered AS (
+            SELECT doc_id, max(twice) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS hit
+            FROM flagged),
+        repeats AS (SELECT doc_id, count(*) FILTER (hit) AS n FROM covered GROUP BY doc_id),
+        measured AS (
+            SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+                   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines,
+                   len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+                   len(list_filter(w, lambda x: NOT regexp_matches(x, '[\p{L}\p{N}]'))) AS n_separators,
+                   length(regexp_replace(text, '\P{Lu}', '', 'g')) AS n_capitals,
+                   length(regexp_replace(text, '\P{L}', '', 'g')) AS n_letters
+            FROM split LEFT JOIN repeats USING (doc_id)),
+        judged AS (
+            SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+                   CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
+                   + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END
+                   + CASE WHEN n_lines >= 4 AND 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
+                   + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END
+                   + CASE WHEN 10 * n_separators > 3 * n_words THEN 64 ELSE 0 END
+                   + CASE WHEN n_letters >= 50 AND 10 * n_capitals > 7 * n_letters THEN 128 ELSE 0 END AS failed
+            FROM measured)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed = 0 AS kept, failed
+        FROM judged
+    """,
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
