@@ -1,9 +1,10 @@
 """Exact deduplication by content sort.
 
 Sampled splitters range-partition the texts (Spark's range exchange), each range is sorted externally, and the window over
-equal texts compares full neighbouring texts. A text held by very many documents would fill one range, so the sort key is
-(text, salt) with a salt of the identifier: its copies spread over up to SALTS neighbouring runs, and what remains of each
-run, one small row, is merged by SHA-256. Text moves once, in that exchange.
+equal texts compares full neighbouring texts. The splitters, which the driver holds, are the first PREFIX characters and a
+hash of the rest, so their size is bounded; texts that agree in both are still compared whole. A text held by very many
+documents would fill one range, so the sort key ends with a salt of the identifier: its copies spread over up to SALTS
+neighbouring runs, and what remains of each run, one small row, is merged by SHA-256. Text moves once, in that exchange.
 
 Defined cases: a null text counts as empty; empty texts are equal to each other. Of equal texts the largest doc_id stays;
 a null doc_id is below every other; of rows with the same text and doc_id, exactly one stays. An empty table gives no rows.
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from echotide.llm.common import store
 
 SALTS = 64
+PREFIX = 32
 
 
 def content_sorted(docs: DataFrame, normalise=lambda text: text) -> DataFrame:
@@ -24,9 +26,10 @@ def content_sorted(docs: DataFrame, normalise=lambda text: text) -> DataFrame:
     rows = docs.select(
         "doc_id", normalise(F.coalesce(F.col("text"), F.lit(""))).alias("text"),
         F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id())), F.lit(SALTS)).alias("salt"))
-    ordered = Window.partitionBy("text", "salt").orderBy(F.col("doc_id").desc_nulls_last())
+    rows = rows.select("*", F.substring("text", 1, PREFIX).alias("prefix"), F.xxhash64("text").alias("hash"))
+    ordered = Window.partitionBy("prefix", "hash", "salt", "text").orderBy(F.col("doc_id").desc_nulls_last())
     run = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranged = rows.repartitionByRange("text", "salt")
+    ranged = rows.repartitionByRange("prefix", "hash", "salt")
     return ranged.select(
         "doc_id", F.sha2("text", 256).alias("text_sha256"), "salt",
         F.row_number().over(ordered).alias("place"),
