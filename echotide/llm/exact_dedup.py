@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from echotide.llm.common import store
+from echotide.llm.common import spare, store
 
 SALTS = 64
 PREFIX = 32
@@ -52,3 +52,19 @@ def _stays() -> Column:
     numbered = F.col("doc_id") == F.col("keep_id")
     unnumbered = F.col("keep_id").isNull() & (F.col("salt") == F.col("null_salt"))
     return (F.col("place") == 1) & F.coalesce(numbered, unnumbered)
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows that stay, with all their columns."""
+    sha, other_id, other_sha = spare(docs, "text_sha256", "other_id", "other_sha256")
+    seen = duplicates(docs).groupBy(F.col("doc_id").alias(other_id), F.col("text_sha256").alias(other_sha)).agg(
+        F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    seen = store(seen.where("not kept or n > 1"), "exact_dropped")
+    rows = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")), 256))
+    same = F.col("doc_id").eqNullSafe(F.col(other_id)) & (F.col(sha) == F.col(other_sha))
+    repeated = seen.where("kept").select(other_id, other_sha)
+    out = rows.join(seen.where("not kept").select(other_id, other_sha), same, "left_anti")
+    if not repeated.isEmpty():  # rows that agree in both doc_id and text
+        out = out.join(repeated, same, "left_anti").union(
+            rows.join(repeated, same, "left_semi").dropDuplicates(["doc_id", sha]))
+    return out.drop(sha)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from echotide.llm import exact_dedup, langid, line_dedup, near_dedup, quality_rules
+from echotide.llm import exact_dedup, langid, line_dedup, mixing, near_dedup, packing, quality_rules
 from echotide.llm.common import documents
 
 
@@ -17,6 +17,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), size=3, percent=85)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return langid.identify(docs, langid.train(docs.where(~langid.held_out())))
@@ -33,7 +37,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_minhash_near_dedup, op7_language_id, op8_quality_rules, op9_exact_dedup)}
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_minhash_near_dedup, op5_packing, op7_language_id, op8_quality_rules, op9_exact_dedup,
+                                  op10_mix_sources)}
 
 ORACLE = {
     "op2_line_dedup": """
