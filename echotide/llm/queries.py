@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from echotide.llm import exact_dedup, langid, line_dedup, mixing, near_dedup, packing, quality_rules
+from echotide.llm import exact_dedup, langid, line_dedup, mixing, near_dedup, packing, quality_lm, quality_rules, secrets
 from echotide.llm.common import documents
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    written = lambda spans: F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", *[of(kind).alias(f"n_{kind}") for kind in secrets.KINDS],
+                        F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.dedup_lines(documents(spark, sf_dir))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -17,6 +27,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), size=3, percent=85)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -41,7 +55,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_minhash_near_dedup, op5_packing, op7_language_id, op8_quality_rules, op9_exact_dedup,
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_minhash_near_dedup, op4_quality_classifier, op5_packing, op7_language_id, op8_quality_rules, op9_exact_dedup,
                                   op10_mix_sources)}
 
 ORACLE = {
