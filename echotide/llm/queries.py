@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from echotide.llm import exact_dedup, langid, line_dedup, mixing, near_dedup, packing, quality_lm, quality_rules, secrets
+from echotide.llm import exact_dedup, langid, line_dedup, mixing, near_dedup, packing, quality_lm, quality_rules, secrets, substring_dedup
 from echotide.llm.common import documents
 
 
@@ -35,6 +35,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return langid.identify(docs, langid.train(docs.where(~langid.held_out())))
@@ -55,8 +60,9 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_minhash_near_dedup, op4_quality_classifier, op5_packing, op7_language_id, op8_quality_rules, op9_exact_dedup,
-                                  op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (
+    op1_secret_scan, op2_line_dedup, op3_minhash_near_dedup, op4_quality_classifier, op5_packing, op6_substring_dedup,
+    op7_language_id, op8_quality_rules, op9_exact_dedup, op10_mix_sources)}
 
 ORACLE = {
     "op2_line_dedup": """
