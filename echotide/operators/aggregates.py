@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from echotide.functions.issues import labels_of
-
-RANK_DIGITS = 9  # sums of doubles vary in their last bits; ranks must not
+from echotide.functions.numbers import exact_mean, exact_sum, rounded
 
 
 def _tag(kind: str, name: Column | None = None) -> Column:
@@ -41,7 +40,7 @@ def measures(reviews: DataFrame, group: list[str], tags: Column) -> DataFrame:
         F.count_if(F.col("sentiment_label") == "negative").alias("negative"),
         F.count_if(F.col("sentiment_label") == "positive").alias("positive"),
         F.count_if(F.col("severity") >= 0.80).alias("critical"),
-        F.sum("severity").alias("weight"),
+        exact_sum("severity").alias("weight"),
         F.min("day_seen").alias("first_day"),
         F.max("day_seen").alias("last_day"),
     )
@@ -61,7 +60,7 @@ def _share(part: Column, whole: Column) -> Column:
 
 
 def _issue_order(weight_first: bool) -> list[Column]:
-    weight = (-F.round("weight", RANK_DIGITS)).alias("w")
+    weight = (-F.col("weight")).alias("w")
     count = (-F.col("n")).alias("c")
     return [weight, count] if weight_first else [count, weight]
 
@@ -109,7 +108,7 @@ def day_table(reviews: DataFrame) -> DataFrame:
 
 def top_entries(top: int) -> Column:
     return F.transform(F.slice("entries", 1, top), lambda e: F.struct(
-        e["label"].alias("label"), e["n"].alias("review_count"), F.round(e["weight"], 4).alias("weighted_severity"),
+        e["label"].alias("label"), e["n"].alias("review_count"), rounded(e["weight"], 4).alias("weighted_severity"),
     ))
 
 
@@ -152,7 +151,7 @@ def version_kpis(reviews: DataFrame) -> DataFrame:
     total = F.col("total_reviews")
     issue_breakdown = F.transform("issue_entries", lambda e: F.struct(
         e["label"].alias("label"), e["n"].alias("review_count"),
-        F.round(_share(e["n"], total), 4).alias("pct_reviews"), F.round(e["weight"], 4).alias("weighted_severity"),
+        F.round(_share(e["n"], total), 4).alias("pct_reviews"), rounded(e["weight"], 4).alias("weighted_severity"),
     ))
     category_breakdown = F.transform("category_entries", lambda e: F.struct(
         e["category"].alias("category"), e["n"].alias("review_count"),
@@ -178,27 +177,27 @@ def issue_totals(reviews: DataFrame, group: list[str]) -> DataFrame:
         reviews.select(*group, F.coalesce("severity_score", F.lit(0.0)).alias("severity"),
                        F.explode(labels_of(F.col("issues"))).alias("label"))
         .groupBy(*group, "label")
-        .agg(F.count(F.lit(1)).alias("review_count"), F.sum("severity").alias("weight"))
+        .agg(F.count(F.lit(1)).alias("review_count"), exact_sum("severity").alias("weight"))
     )
 
 
 def by_weight(*before: Column) -> list[Column]:
     """The ranking of issues: weight, then count, then name."""
-    return [*before, F.desc(F.round("weight", RANK_DIGITS)), F.desc("review_count"), F.asc("label")]
+    return [*before, F.desc("weight"), F.desc("review_count"), F.asc("label")]
 
 
 def top_issues_per_day(reviews: DataFrame, top: int = 5) -> DataFrame:
     ranked = Window.partitionBy("day").orderBy(*by_weight())
     return (
         issue_totals(reviews, ["day"]).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top)
-        .select("day", "rank", "label", "review_count", F.round("weight", 4).alias("weighted_severity"))
+        .select("day", "rank", "label", "review_count", rounded("weight", 4).alias("weighted_severity"))
     )
 
 
 def top_issues(scoped: DataFrame, limit: int = 8) -> DataFrame:
     return (
         issue_totals(scoped, []).orderBy(*by_weight()).limit(max(1, int(limit)))
-        .select("label", "review_count", F.round("weight", 3).alias("weighted_severity"))
+        .select("label", "review_count", rounded("weight", 3).alias("weighted_severity"))
     )
 
 
@@ -216,7 +215,7 @@ def kpi_snapshot(scoped: DataFrame) -> DataFrame:
 
 def severity_by_rating(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("score").agg(
-        F.count(F.lit(1)).alias("review_count"), F.round(F.avg("severity_score"), 4).alias("avg_severity")
+        F.count(F.lit(1)).alias("review_count"), F.round(exact_mean("severity_score"), 4).alias("avg_severity")
     )
 
 
@@ -249,9 +248,9 @@ def window_top_issues(daily: DataFrame, top: int = 5) -> DataFrame:
     items = daily.select(F.explode("top_issues").alias("i")).select("i.*")
     return (
         items.groupBy(F.coalesce("label", F.lit("Unknown")).alias("label"))
-        .agg(F.sum("review_count").alias("review_count"), F.round(F.sum("weighted_severity"), 3).alias("weight"))
+        .agg(F.sum("review_count").alias("review_count"), F.round(exact_sum("weighted_severity"), 3).alias("weight"))
         .orderBy(*by_weight()).limit(top)
-        .select(F.col("label").alias("issue_label"), "review_count", F.col("weight").alias("weighted_severity"))
+        .select(F.col("label").alias("issue_label"), "review_count", F.col("weight").cast("double").alias("weighted_severity"))
     )
 
 

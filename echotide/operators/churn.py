@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from echotide.functions.fixed_values import CHURN_INTENT
 from echotide.functions.issues import has_label
 from echotide.functions.text import any_present
+from echotide.functions.numbers import exact_sum
 
 MEASURES = ("reviews", "negative", "severity", "txn_failures", "intent_mentions")
 
@@ -18,7 +19,7 @@ def user_days(reviews: DataFrame) -> DataFrame:
     return reviews.filter(F.col("user_name").isNotNull()).groupBy("user_name", "day").agg(
         F.count(F.lit(1)).alias("reviews"),
         F.count_if(F.col("sentiment_label") == "negative").alias("negative"),
-        F.sum(F.coalesce("severity_score", F.lit(0.0))).alias("severity"),
+        exact_sum(F.coalesce("severity_score", F.lit(0.0))).alias("severity"),
         F.count_if(has_label(F.col("issues"), "Transaction Failure")).alias("txn_failures"),
         F.count_if(intent).alias("intent_mentions"),
     )
@@ -27,7 +28,7 @@ def user_days(reviews: DataFrame) -> DataFrame:
 def _score(m: dict[str, Column]) -> Column:
     total = (
         F.lit(0.35) * (m["negative"] / m["reviews"])
-        + F.lit(0.30) * (m["severity"] / m["reviews"])
+        + F.lit(0.30) * (m["severity"].cast("double") / m["reviews"])
         + F.lit(0.15) * F.least(F.lit(1.0), m["txn_failures"] / F.lit(3.0))
         + F.lit(0.20) * F.least(F.lit(1.0), m["intent_mentions"] / F.lit(2.0))
     )
@@ -45,7 +46,7 @@ def user_churn(reviews: DataFrame) -> DataFrame:
     return scored.select(
         "user_name", "reviews",
         F.round(F.col("negative") / F.col("reviews"), 4).alias("pct_negative"),
-        F.round(F.col("severity") / F.col("reviews"), 4).alias("avg_severity"),
+        F.round(F.col("severity").cast("double") / F.col("reviews"), 4).alias("avg_severity"),
         "txn_failures", "intent_mentions", "churn_user_score",
         _tier(F.col("churn_user_score")).alias("churn_user_tier"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from echotide.functions import issues, sentiment, severity
 from echotide.functions.fixed_values import EMPTY_REVIEW
 from echotide.functions.text import tidy_content
+from echotide.functions.numbers import exact_mean
 from echotide.sources.taxonomy import category_taxonomy
 
 
@@ -104,6 +105,6 @@ def issues_summary(reviews: DataFrame) -> DataFrame:
 def severity_summary(reviews: DataFrame) -> DataFrame:
     return reviews.agg(
         F.count(F.lit(1)).alias("total"),
-        F.round(F.avg("severity_score"), 4).alias("avg_severity"),
+        F.round(exact_mean("severity_score"), 4).alias("avg_severity"),
         F.count_if(F.col("severity_band") == "critical").alias("critical_rows"),
     )

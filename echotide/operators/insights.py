@@ -7,13 +7,12 @@ import re
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from echotide.functions.issues import labels_of
+from echotide.functions.numbers import exact_sum, rounded
 from echotide.functions.text import excerpt
 from echotide.operators.aggregates import by_weight, day_table, issue_totals, measures_by_day
 from echotide.operators.scope import Scope
 from echotide.operators.trends import SPIKE_DAYS, with_flags
 
-MAX_NAMES = 200
-
 
 def impact(weight: Column) -> Column:
     return F.when(weight >= 12.0, "high").when(weight >= 5.0, "med").otherwise("low")
@@ -44,7 +43,7 @@ def _ranked_labels(scoped: DataFrame) -> DataFrame:
 
 def pain_points(scoped: DataFrame, per_label: int = 3) -> DataFrame:
     """Labels by summed severity, each with its strongest quotes."""
-    weight = F.round("weight", 4)
+    weight = rounded("weight", 4)
     ranked = _ranked_labels(scoped).select(
         "rank", "label", "review_count", weight.alias("weighted_severity"), impact(weight).alias("impact")
     )
@@ -59,24 +58,22 @@ def ticket_type(label: Column) -> Column:
     )
 
 
-def backlog_candidates(scoped: DataFrame, quotes: int = 2, versions: int = 3) -> DataFrame:
-    """One ticket per label: type, priority from critical share and weight, quotes, main versions."""
+def backlog_candidates(scoped: DataFrame, quotes: int = 2) -> DataFrame:
+    """One ticket per label: type, priority from critical share and weight, quotes, all versions, most reviews first."""
     exploded = scoped.select(
         F.explode(labels_of(F.col("issues"))).alias("label"), "app_version",
         F.coalesce("severity_score", F.lit(0.0)).alias("severity"),
     )
     per_version = exploded.groupBy("label", "app_version").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("severity").alias("weight"),
+        F.count(F.lit(1)).alias("n"), exact_sum("severity").alias("weight"),
         F.count_if(F.col("severity") >= 0.80).alias("critical"),
     )
     known = F.col("app_version").isNotNull()
-    order = Window.partitionBy("label").orderBy(F.when(known, 0).otherwise(1), F.desc("n"), F.asc("app_version"))
-    totals = per_version.withColumn("place", F.row_number().over(order)).groupBy("label").agg(
+    totals = per_version.groupBy("label").agg(
         F.sum("n").alias("review_count"), F.sum("weight").alias("weight"), F.sum("critical").alias("critical"),
-        F.sort_array(F.collect_list(F.when(known & (F.col("place") <= versions), F.struct("place", "app_version"))))
-        .alias("top_versions"),
+        F.sort_array(F.collect_list(F.when(known, F.struct((-F.col("n")).alias("n"), "app_version")))).alias("all_versions"),
     )
-    weight = F.round("weight", 4)
+    weight = rounded("weight", 4)
     critical_share = F.round(F.col("critical") / F.col("review_count"), 4)
     priority = (
         F.when(critical_share >= 0.30, "P0").when(weight >= 12.0, "P1").when(weight >= 5.0, "P2").otherwise("P3")
@@ -86,18 +83,19 @@ def backlog_candidates(scoped: DataFrame, quotes: int = 2, versions: int = 3) ->
     )
     return totals.join(picked, "label").select(
         F.concat(F.lit("Address "), "label").alias("title"), ticket_type(F.col("label")).alias("type"),
-        priority.alias("priority"), F.round(F.col("weight") / F.col("review_count"), 3).alias("severity_score"),
+        priority.alias("priority"), F.round(F.col("weight").cast("double") / F.col("review_count"), 3).alias("severity_score"),
         "label", "review_count", weight.alias("weighted_severity"), critical_share.alias("critical_share"),
         F.col("quotes").alias("evidence_quotes"),
-        F.transform("top_versions", lambda v: v["app_version"]).alias("related_versions"),
+        F.transform("all_versions", lambda v: v["app_version"]).alias("related_versions"),
     )
 
 
 def emerging_risks(reviews: DataFrame, days: int = 7, tolerance: float = 0.2) -> DataFrame:
     """Share of each label in the last days against the days before: rising, stable or falling."""
-    parts = measures_by_day(reviews).filter(F.col("day").isNotNull() & F.col("kind").isin("all", "issue"))
-    age = F.datediff(F.max("day").over(Window.partitionBy()), "day")
-    recent = parts.withColumn("period", F.floor(age / days)).filter(F.col("period") < 2)
+    newest = reviews.agg(F.max("day").alias("newest")).scalar()
+    compared = reviews.filter((F.col("day") > F.date_sub(newest, 2 * days)) & (F.col("day") <= newest))
+    parts = measures_by_day(compared).filter(F.col("kind").isin("all", "issue"))
+    recent = parts.withColumn("period", F.floor(F.datediff(newest, "day") / days))
 
     def count(period: int) -> Column:
         return F.sum(F.when(F.col("period") == period, F.col("n")).otherwise(0))
@@ -132,7 +130,7 @@ def feature_requests(scoped: DataFrame) -> DataFrame:
     """Requested features by summed severity, then by votes."""
     rows = _evidence_rows(scoped, "Feature Requests", F.array().cast("array<string>"))
     return rows.groupBy(F.col("phrase").alias("request")).agg(
-        F.count(F.lit(1)).alias("review_count"), F.round(F.sum("severity"), 4).alias("weighted_severity"),
+        F.count(F.lit(1)).alias("review_count"), rounded(exact_sum("severity"), 4).alias("weighted_severity"),
         F.sum("thumbs").alias("thumbs_up"),
     ).withColumn("priority", impact(F.col("weighted_severity"))).withColumn(
         "rank", F.row_number().over(Window.orderBy(F.desc("weighted_severity"), F.desc("thumbs_up"), "request"))
@@ -143,7 +141,7 @@ def policy_themes(scoped: DataFrame) -> DataFrame:
     """Phrases behind policy complaints, with their share of all such reviews."""
     rows = _evidence_rows(scoped, "Policy Complaints", F.array(F.lit("*")))
     counts = rows.groupBy("phrase").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("severity"), 4).alias("weighted_severity")
+        F.count(F.lit(1)).alias("n"), rounded(exact_sum("severity"), 4).alias("weighted_severity")
     )
     total = F.max(F.when(F.col("phrase") == "*", F.col("n"))).over(Window.partitionBy())
     return counts.select(
@@ -155,16 +153,13 @@ def policy_themes(scoped: DataFrame) -> DataFrame:
 def competitor_mentions(scoped: DataFrame, names: list[str]) -> DataFrame:
     """Reviews naming each competitor as a whole word, with the sentiment mix.
 
-    The short name list is matched inside the scan, so no join is needed.
+    The names are one constant list that every text is searched for; a text that holds a name is tested for word ends.
     """
-    if len(names) > MAX_NAMES:
-        raise ValueError(f"{len(names)} names given; at most {MAX_NAMES} are supported")
     text = F.lower(F.coalesce("content", F.lit("")))
-    hits = [
-        F.when(F.contains(text, F.lit(n.lower())) & F.rlike(text, F.lit(rf"(?U)(?<!\w){re.escape(n.lower())}(?!\w)")), n)
-        for n in names
-    ]
-    mentioned = scoped.select(F.explode(F.array_compact(F.array(*hits))).alias("name"), "sentiment_label")
+    listed = [(n, n.lower(), rf"(?U)(?<!\w){re.escape(n.lower())}(?!\w)") for n in dict.fromkeys(names)]
+    table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("name", "part", "word"), row)]) for row in listed])
+    found = F.filter(table, lambda n: F.contains(text, n["part"]) & F.rlike(text, n["word"]))
+    mentioned = scoped.select(F.explode(F.transform(found, lambda n: n["name"])).alias("name"), "sentiment_label")
     return mentioned.groupBy("name").agg(
         F.count(F.lit(1)).alias("mentions"),
         *[F.count_if(F.col("sentiment_label") == s).alias(s) for s in ("positive", "neutral", "negative")],
@@ -173,8 +168,7 @@ def competitor_mentions(scoped: DataFrame, names: list[str]) -> DataFrame:
 
 def spike_drivers(reviews: DataFrame, top: int = 3) -> DataFrame:
     """For each spike: labels whose share rose most over the preceding days, with the id of the
-    strongest review. Days and labels are few, so their comparison is small; it is broadcast
-    (at most `top` rows per metric and calendar day) to pick quotes in one more scan."""
+    strongest review. Drivers are at most `top` rows per metric and calendar day."""
     earlier = Window.orderBy("day").rowsBetween(-SPIKE_DAYS, -1)
     counts = F.transform("entries", lambda e: F.struct(e["label"].alias("label"), e["n"].alias("n")))
     days = with_flags(day_table(reviews.filter(F.col("day").isNotNull()))).select(
@@ -201,13 +195,12 @@ def spike_drivers(reviews: DataFrame, top: int = 3) -> DataFrame:
     order = Window.partitionBy("day", "metric").orderBy(F.desc("lift"), "label")
     drivers = lifts.filter("lift > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     mentions = reviews.select(
-        "day", F.explode(labels_of(F.col("issues"))).alias("label"), "review_id",
-        F.coalesce("severity_score", F.lit(0.0)).alias("s"), F.coalesce("thumbs_up", F.lit(0)).alias("t"), "at_ts",
-    )
-    strongest = F.max_by("review_id", F.struct("s", "t", "at_ts", "review_id"))
-    return mentions.join(F.broadcast(drivers), ["day", "label"]).groupBy(*drivers.columns).agg(
-        strongest.alias("evidence_review_id")
-    )
+        "day", F.explode(labels_of(F.col("issues"))).alias("label"), "review_id", "severity_score", "thumbs_up", "at_ts")
+    wanted = mentions.join(drivers.select("day", "label").distinct(), ["day", "label"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("day", "label").orderBy(*_strongest()))
+    strongest = wanted.withColumn("place", first).filter("place = 1").select(
+        "day", "label", F.col("review_id").alias("evidence_review_id"))
+    return drivers.join(strongest, ["day", "label"])
 
 
 def kpi_tiles(reviews: DataFrame, scope: Scope) -> DataFrame:

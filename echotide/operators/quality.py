@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from echotide.functions.fixed_values import ISSUE_RULES
 from echotide.functions.issues import has_label, labels_of
+from echotide.functions.numbers import exact_mean
 
 
 def quality_checks(reviews: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def quality_checks(reviews: DataFrame) -> DataFrame:
         return F.avg(F.when(where, F.when(of, 1.0).otherwise(0.0)))
 
     def mean_severity(score: int) -> Column:
-        return F.avg(F.when(F.col("score") == score, F.col("severity_score")))
+        return exact_mean(F.when(F.col("score") == score, F.col("severity_score")))
 
     valid = (
         F.col("sentiment_label").isin("negative", "neutral", "positive")

@@ -297,7 +297,7 @@ def report_contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _backlogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One backlog per label, with some fields left out, null or of the wrong type."""
-    candidates = insights.backlog_candidates(_in_week(enriched(spark, sf_dir)))
+    candidates = insights.backlog_candidates(enriched(spark, sf_dir))
     ticket = F.struct(
         "title", "type", "priority", "severity_score",
         F.concat(F.col("review_count").cast("string"), F.lit(" reviews")).alias("impact_notes"),
@@ -455,15 +455,15 @@ def catalog() -> dict[str, Query]:
         "quality_checks": _on(enriched, quality.quality_checks),
         "golden_scores": golden_scores,
         "golden_sample": _on(enriched, quality.golden_sample),
-        "pain_points": _on(enriched, lambda d: insights.pain_points(_in_week(d))),
-        "backlog_candidates": _on(enriched, lambda d: insights.backlog_candidates(_in_week(d)).select(
+        "pain_points": _on(enriched, insights.pain_points),
+        "backlog_candidates": _on(enriched, lambda d: insights.backlog_candidates(d).select(
             "title", "type", "priority", "severity_score", "label", "review_count", "weighted_severity",
             "critical_share", F.array_join("evidence_quotes", "|").alias("quotes"),
             F.array_join("related_versions", ",").alias("versions"))),
         "emerging_risks": _on(enriched, insights.emerging_risks),
-        "feature_requests": _on(enriched, lambda d: insights.feature_requests(_in_week(d))),
-        "policy_themes": _on(enriched, lambda d: insights.policy_themes(_in_week(d))),
-        "competitor_mentions": _on(enriched, lambda d: insights.competitor_mentions(_in_week(d), COMPETITORS)),
+        "feature_requests": _on(enriched, insights.feature_requests),
+        "policy_themes": _on(enriched, insights.policy_themes),
+        "competitor_mentions": _on(enriched, lambda d: insights.competitor_mentions(d, COMPETITORS)),
         "spike_drivers": _on(enriched, insights.spike_drivers),
         "kpi_tiles": _on(enriched, lambda d: insights.kpi_tiles(d, WEEK)),
         "document_sentiment": document_sentiment,

@@ -17,9 +17,11 @@ from echotide.sources.review_files import combine, latest_per_review, scan_csv
 from echotide.tables import read_table, write_table
 
 
-def ingest_files(spark: SparkSession, files: dict[str, str], quoted_newlines: bool = True) -> DataFrame:
-    """Typed rows of all files, labelled by source. Missing files or columns fail before any job."""
-    return combine({name: scan_csv(spark, path, quoted_newlines) for name, path in files.items()})
+def ingest_files(spark: SparkSession, files: dict[str, str], *, quoted_newlines: bool, sep: str = ",") -> DataFrame:
+    """Typed rows of all files, labelled by source. Missing files or columns fail before any job.
+
+    Files whose fields may hold newlines cannot be split: each is one task. The caller says whether that is needed."""
+    return combine({name: scan_csv(spark, path, quoted_newlines, sep) for name, path in files.items()})
 
 
 def run_pipeline(
@@ -34,25 +36,32 @@ def run_pipeline(
     Only the new rows are enriched. A run never changes the tables of another, so a failed one
     is simply repeated into a new folder.
     """
-    before = previous or f"{target}/none"
     write_table(latest_per_review(staged), f"{target}/batch")
     batch = spark.read.parquet(f"{target}/batch")
-    write_table(upsert(read_table(spark, before, "reviews_raw"), batch, "review_id"), f"{target}/reviews_raw")
+    write_table(upsert(read_table(spark, previous, "reviews_raw"), batch, "review_id"), f"{target}/reviews_raw")
 
-    stored = read_table(spark, before, "reviews_enriched")
+    stored = read_table(spark, previous, "reviews_enriched")
     write_table(upsert(stored, enrich(batch, taxonomy), "review_id"), f"{target}/reviews_enriched", "day")
     write_aggregates(spark, target)
-    write_reports(spark, target, before)
+    write_reports(spark, target, previous)
 
 
 def write_aggregates(spark: SparkSession, target: str) -> None:
-    """Daily, version and user tables. A row needs its key, so reviews without one are left out."""
+    """Daily, version and user tables. A row needs its key; how many reviews have none is written to `run_counts`."""
     reviews = read_table(spark, target, "reviews_enriched")
+    write_table(unkeyed_counts(reviews), f"{target}/run_counts")
     write_table(daily_aggregates(reviews).filter(F.col("day").isNotNull()), f"{target}/daily_aggregates")
     write_table(version_kpis(reviews).filter(F.col("app_version").isNotNull()), f"{target}/version_aggregates")
     write_table(user_churn(reviews), f"{target}/user_churn")
 
 
+def unkeyed_counts(reviews: DataFrame) -> DataFrame:
+    """Reviews that the stored tables leave out, per table."""
+    keys = {"daily_aggregates": "day", "version_aggregates": "app_version", "user_churn": "user_name"}
+    counts = reviews.agg(*[F.count_if(F.col(key).isNull()).alias(table) for table, key in keys.items()])
+    return counts.unpivot([], list(keys), "table_name", "reviews_without_key")
+
+
 def brief_report(reviews: DataFrame, daily: DataFrame, scope: Scope) -> DataFrame:
     brief = weekly_brief(report_payload(reviews, daily, scope, "weekly_exec_brief"))
     return brief.select("report_type", "scope", F.to_json("brief", {"ignoreNullFields": "false"}).alias("content_json"))
@@ -83,8 +92,8 @@ def missing_reports(reviews: DataFrame, daily: DataFrame, stored: DataFrame, sco
     return only_new(stored_reports(reduce(DataFrame.unionByName, wanted)), stored) if wanted else None
 
 
-def write_reports(spark: SparkSession, target: str, before: str) -> None:
+def write_reports(spark: SparkSession, target: str, previous: str | None) -> None:
     reviews, daily = read_table(spark, target, "reviews_enriched"), read_table(spark, target, "daily_aggregates")
-    stored = read_table(spark, before, "insight_reports")
+    stored = read_table(spark, previous, "insight_reports")
     fresh = missing_reports(reviews, daily, stored, Scope().within(reviews))
     write_table(stored if fresh is None else stored.unionByName(fresh), f"{target}/insight_reports")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from echotide.tables import csv_writer
+
 
 def export_csv(df: DataFrame, path: str) -> bool:
     """Write a report table as CSV; nothing is written when it is empty."""
     if df.isEmpty():
         return False
-    df.write.option("header", True).option("escape", '"').csv(path)
+    csv_writer(df).csv(path)
     return True
 
 

@@ -12,19 +12,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from echotide.functions.fixed_values import HEADER_ALIASES
 from echotide.functions.text import blank_to_null
 
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 TIMESTAMP_FORMATS = ("yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy-M-d")
 
 
-def scan_csv(spark: SparkSession, path: str, quoted_newlines: bool = True) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str, quoted_newlines: bool = True, sep: str = ",") -> DataFrame:
     """All columns as text. Files whose fields never hold a newline should be read with
     quoted_newlines=False: Spark then splits a big file over many tasks."""
     try:
         return (
             spark.read.option("header", True).option("inferSchema", False)
-            .option("multiLine", quoted_newlines).option("escape", '"')
+            .option("multiLine", quoted_newlines).option("escape", '"').option("sep", sep)
             .csv(path)
         )
     except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error.getCondition()):
+            raise
         raise FileNotFoundError(f"review file not found: {path}") from error
 
 
@@ -46,8 +49,9 @@ def resolve_headers(headers: Iterable[str]) -> dict[str, str]:
 
 
 def to_int(text: Column) -> Column:
-    """Whole number from text; decimals round, exponents count, anything else is null."""
-    return F.round(blank_to_null(text).try_cast("double")).try_cast("int")
+    """Whole number from text; decimals round, exponents count, anything else is null, also number suffixes and hexadecimals."""
+    bare = blank_to_null(text)
+    return F.round(F.when(F.rlike(bare, F.lit(NUMBER)), bare).try_cast("double")).try_cast("int")
 
 
 def to_timestamp(text: Column) -> Column:

@@ -9,8 +9,6 @@ from pyspark.sql import Column, functions as F
 from echotide.functions.fixed_values import TAXONOMY_MAP
 from echotide.functions.text import slug
 
-MAX_ENTRIES = 10_000
-
 
 def load_taxonomy(path: str) -> dict[str, str]:
     with open(path, encoding="utf-8") as handle:
@@ -28,16 +26,14 @@ def clean_taxonomy(raw: object) -> dict[str, str]:
         if key == "__fallback__" or not isinstance(name, str) or not key.strip():
             continue
         cleaned[key.strip().lower()] = name.strip() or fallback
-    if len(cleaned) > MAX_ENTRIES:
-        raise ValueError(f"the taxonomy has {len(cleaned)} entries; at most {MAX_ENTRIES} are allowed")
     return cleaned
 
 
 def category_taxonomy(category_raw: Column, taxonomy: dict[str, str] | None = None) -> Column:
-    """The lookup join as a constant map: the map is small by contract, so no row moves."""
+    """The lookup join as one constant map, given as JSON so that the plan does not grow with it; no row moves."""
     names = dict(taxonomy or TAXONOMY_MAP)
     fallback = F.lit(names.pop("__fallback__", "Other"))
     if not names:
         return fallback
-    pairs = [F.lit(text) for pair in names.items() for text in pair]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), slug(category_raw)), fallback)
+    lookup = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    return F.coalesce(F.try_element_at(lookup, slug(category_raw)), fallback)

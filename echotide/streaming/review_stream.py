@@ -14,11 +14,12 @@ from echotide.schemas import REVIEWS_RAW
 from echotide.sources.review_files import latest_per_review, typed_reviews
 
 
-def follow_review_files(spark: SparkSession, folder: str, headers: list[str], log: str, checkpoint: str) -> StreamingQuery:
+def follow_review_files(spark: SparkSession, folder: str, headers: list[str], log: str, checkpoint: str,
+                        quoted_newlines: bool = False) -> StreamingQuery:
     """Read all files now in the folder and stop; the checkpoint remembers which were read."""
     schema = ", ".join(f"`{h}` string" for h in headers)
     source = (
-        spark.readStream.schema(schema).option("header", True).option("multiLine", True)
+        spark.readStream.schema(schema).option("header", True).option("multiLine", quoted_newlines)
         .option("escape", '"').csv(folder)
     )
 

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql.types import StructType
 
 from echotide.schemas import TABLES, empty_table
@@ -16,14 +16,19 @@ from echotide.schemas import TABLES, empty_table
 _staged: dict[tuple[str, ...], tuple[str, StructType]] = {}
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A stored table, or an empty one with the right schema where none was written yet."""
+def read_table(spark: SparkSession, root: str | None, name: str) -> DataFrame:
+    """A stored table. It must exist and have the columns of its schema; only without a root, before the first run, it is empty."""
+    if root is None:
+        return empty_table(spark, name)
     try:
-        return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
+        stored = spark.read.parquet(f"{root}/{name}")
     except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error.getCondition()):
-            raise
-        return empty_table(spark, name)
+        raise FileNotFoundError(f"no stored table {name} in {root}") from error
+    schema = empty_table(spark, name).schema
+    absent = sorted(set(schema.fieldNames()) - set(stored.columns))
+    if absent:
+        raise ValueError(f"table {name} in {root} lacks columns: {', '.join(absent)}")
+    return spark.read.schema(schema).parquet(f"{root}/{name}")
 
 
 def write_table(df: DataFrame, path: str, partition_by: str | None = None, mode: str = "errorifexists") -> None:
@@ -35,6 +40,12 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None, mode:
         df.hint("rebalance", partition_by).write.mode(mode).partitionBy(partition_by).parquet(path)
 
 
+def csv_writer(df: DataFrame) -> DataFrameWriter:
+    """Values as they are: quotes doubled, blanks at their ends kept."""
+    return (df.write.option("header", True).option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+
+
 def staging_root(spark: SparkSession) -> str | None:
     """The shared folder of the cluster, or a temporary one in local mode, or none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -97,7 +108,7 @@ def stage_csv(spark: SparkSession, source: str, name: str, df: DataFrame) -> str
     """Write a frame as CSV files once and return their folder."""
 
     def write(path: str) -> StructType:
-        df.write.option("header", True).option("escape", '"').csv(path)
+        csv_writer(df).csv(path)
         return df.schema
 
     stored = _write_once(spark, source, name, write)

@@ -176,11 +176,11 @@ day_base AS (SELECT day, count(*) AS n, avg(CAST(score AS DOUBLE)) AS avg_rating
     avg(CASE WHEN sentiment_label = 'negative' THEN 1.0 ELSE 0.0 END) AS pct_negative,
     avg(CASE WHEN sentiment_label = 'positive' THEN 1.0 ELSE 0.0 END) AS pct_positive,
     count(*) FILTER (WHERE severity_score >= 0.80) AS critical_count FROM enriched GROUP BY day),
-day_issue AS (SELECT day, label, count(*) AS review_count, sum(severity_score) AS weight FROM issue_rows GROUP BY ALL),
-day_top AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY round(weight, 9) DESC, review_count DESC, label) AS rank
+day_issue AS (SELECT day, label, count(*) AS review_count, sum(CAST(severity_score AS DECIMAL(18,12))) AS weight FROM issue_rows GROUP BY ALL),
+day_top AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY weight DESC, review_count DESC, label) AS rank
   FROM day_issue QUALIFY rank <= 5),
 user_features AS (SELECT user_name, count(*) AS reviews, count(*) FILTER (WHERE sentiment_label = 'negative') AS neg,
-    sum(severity_score) AS sev, count(*) FILTER (WHERE contains(issue_text, 'Transaction Failure')) AS txn,
+    sum(CAST(severity_score AS DECIMAL(18,12)))::DOUBLE AS sev, count(*) FILTER (WHERE contains(issue_text, 'Transaction Failure')) AS txn,
     count(*) FILTER (WHERE """ + _any("lower(content)", fv.CHURN_INTENT) + """) AS intent FROM enriched GROUP BY user_name),
 users AS (SELECT *, round(greatest(0.0, least(1.0, 0.35::DOUBLE * (neg / reviews) + 0.30::DOUBLE * (sev / reviews)
     + 0.15::DOUBLE * least(1.0::DOUBLE, txn / 3.0::DOUBLE) + 0.20::DOUBLE * least(1.0::DOUBLE, intent / 2.0::DOUBLE))), 6)::DOUBLE
@@ -208,7 +208,7 @@ version_base AS (SELECT app_version, min(day) AS first_seen_day, max(day) AS las
     round(avg(CASE WHEN sentiment_label = 'negative' THEN 1.0 ELSE 0.0 END), 4) AS pct_negative,
     count(*) FILTER (WHERE severity_score >= 0.80) AS critical_count FROM enriched GROUP BY app_version),
 version_issue AS (SELECT i.app_version, label, count(*) AS review_count,
-    round(count(*) / any_value(b.total_reviews)::DOUBLE, 4) AS pct_reviews, round(sum(severity_score), 4) AS weighted_severity
+    round(count(*) / any_value(b.total_reviews)::DOUBLE, 4) AS pct_reviews, CAST(round(sum(CAST(severity_score AS DECIMAL(18,12))), 4) AS DOUBLE) AS weighted_severity
   FROM issue_rows i JOIN version_base b ON b.app_version = i.app_version GROUP BY ALL),
 version_category AS (SELECT e.app_version, category_taxonomy AS category, count(*) AS review_count,
     round(count(*) / any_value(b.total_reviews)::DOUBLE, 4) AS pct_reviews

@@ -23,8 +23,8 @@ _row = """review_id, day, app_version, category_taxonomy, sentiment_label, sever
 
 _week_kpi = f"kpi AS (SELECT {_snapshot} FROM enriched WHERE {WEEK})"
 _week_top = f"""top AS (SELECT *, row_number() OVER (ORDER BY weighted_severity DESC, review_count DESC, label) AS position
-  FROM (SELECT label, count(*) AS review_count, round(sum(severity_score), 3) AS weighted_severity
-    FROM issue_rows WHERE {WEEK} GROUP BY label ORDER BY round(sum(severity_score), 9) DESC, count(*) DESC, label LIMIT 5))"""
+  FROM (SELECT label, count(*) AS review_count, CAST(round(sum(CAST(severity_score AS DECIMAL(18,12))), 3) AS DOUBLE) AS weighted_severity
+    FROM issue_rows WHERE {WEEK} GROUP BY label ORDER BY sum(CAST(severity_score AS DECIMAL(18,12))) DESC, count(*) DESC, label LIMIT 5))"""
 _week_quotes = f"""quotes AS (SELECT row_number() OVER (ORDER BY {_strong}) AS position, review_id, severity_score,
     {excerpt('content', '', 120)} AS quote FROM enriched WHERE {WEEK} ORDER BY {_strong} LIMIT 10)"""
 _week_flags = f"""week_flags AS (SELECT row_number() OVER (ORDER BY day, metric) AS position, metric, z_score
@@ -48,8 +48,8 @@ _day_json_scope = """'{"category":"\\u00dcn\\u00efcode \\"q\\" \\ud83d\\ude00/",
 _MENTION = "regexp_matches(lower(content), '(^|[^\\w])' || {0} || '($|[^\\w])')"
 
 CANDIDATES = ENRICHED + f""",
-week_issue AS (SELECT * FROM issue_rows WHERE {WEEK}),
-totals AS (SELECT label, count(*) AS review_count, sum(severity_score) AS weight,
+week_issue AS (SELECT * FROM issue_rows),
+totals AS (SELECT label, count(*) AS review_count, sum(CAST(severity_score AS DECIMAL(18,12))) AS weight,
     round(count(*) FILTER (WHERE severity_score >= 0.80) / count(*)::DOUBLE, 4) AS critical_share FROM week_issue GROUP BY label),
 label_quotes AS (SELECT label, review_id, {excerpt('content')} AS quote,
     row_number() OVER (PARTITION BY label ORDER BY {_strong}) AS quote_rank FROM week_issue),
@@ -60,17 +60,17 @@ candidates AS (SELECT 'Address ' || label AS title,
       WHEN label IN ('UI/UX Problems', 'Policy Complaints', 'Customer Support') THEN 'improvement' ELSE 'bug' END AS type,
     CASE WHEN critical_share >= 0.30 THEN 'P0' WHEN round(weight, 4) >= 12 THEN 'P1' WHEN round(weight, 4) >= 5 THEN 'P2'
       ELSE 'P3' END AS priority,
-    round(weight / review_count, 3) AS severity_score, label, review_count, round(weight, 4) AS weighted_severity, critical_share,
+    round(weight::DOUBLE / review_count, 3) AS severity_score, label, review_count, CAST(round(weight, 4) AS DOUBLE) AS weighted_severity, critical_share,
     (SELECT string_agg(quote, '|' ORDER BY quote_rank) FROM label_quotes q WHERE q.label = t.label AND quote_rank <= 2) AS quotes,
-    (SELECT string_agg(app_version, ',' ORDER BY place) FROM label_versions v WHERE v.label = t.label AND place <= 3) AS versions
+    (SELECT string_agg(app_version, ',' ORDER BY place) FROM label_versions v WHERE v.label = t.label) AS versions
   FROM totals t)"""
 
 
 def _phrase_rows(label: str) -> str:
-    """Reviews of the week with one label, per matching phrase."""
+    """Reviews with one label, per matching phrase."""
     return ENRICHED + f""",
 phrases AS (SELECT DISTINCT content, evidence FROM hits WHERE label = {lit(label)}),
-phrase_rows AS (SELECT e.*, p.evidence FROM enriched e JOIN phrases p USING (content) WHERE {WEEK})"""
+phrase_rows AS (SELECT e.*, p.evidence FROM enriched e JOIN phrases p USING (content))"""
 
 
 def _distinct_events(columns: str, where: str) -> str:
@@ -147,16 +147,16 @@ def oracle_queries() -> dict[str, str]:
         "issue_labels_json": _issue_json(),
         "severity_score": with_(ENRICHED, """
           SELECT review_id, round(severity_score, 6) AS severity_score, severity_band FROM enriched"""),
-        "severity_summary": with_(ENRICHED, """SELECT count(*) AS total, round(avg(severity_score), 4) AS avg_severity,
+        "severity_summary": with_(ENRICHED, """SELECT count(*) AS total, round(sum(CAST(severity_score AS DECIMAL(18,12)))::DOUBLE / count(severity_score), 4) AS avg_severity,
           count(*) FILTER (WHERE severity_band = 'critical') AS critical_rows FROM enriched"""),
         "severity_by_rating": with_(ENRICHED, """SELECT score, count(*) AS review_count,
-          round(avg(severity_score), 4) AS avg_severity FROM enriched GROUP BY score"""),
+          round(sum(CAST(severity_score AS DECIMAL(18,12)))::DOUBLE / count(severity_score), 4) AS avg_severity FROM enriched GROUP BY score"""),
         "low_rating_negative_rate": with_(ENRICHED, """SELECT
           round(avg(CASE WHEN sentiment_label = 'negative' THEN 1.0 ELSE 0.0 END), 4) AS pct_negative
           FROM enriched WHERE score IN (1, 2)"""),
         "daily_kpis": with_(DAILY, """SELECT day, total_reviews, avg_rating, pct_negative, pct_positive, critical_count FROM daily"""),
         "daily_top_issues": with_(DAILY, """SELECT day, CAST(rank AS INTEGER) AS rank, label, review_count,
-          round(weight, 4) AS weighted_severity FROM day_top"""),
+          CAST(round(weight, 4) AS DOUBLE) AS weighted_severity FROM day_top"""),
         "daily_aggregates": with_(DAILY, """SELECT day, total_reviews, avg_rating, pct_negative, pct_positive, critical_count,
           churn_high_users, CAST((SELECT count(*) FROM day_top t WHERE t.day = d.day) AS INTEGER) AS issues_listed,
           CAST((SELECT count(*) FROM flags f WHERE f.day = d.day) AS INTEGER) AS flags FROM daily d"""),
@@ -167,7 +167,7 @@ def oracle_queries() -> dict[str, str]:
           CAST(sum(critical_count) AS BIGINT) AS critical_count, CAST(sum(churn_high_users) AS BIGINT) AS churn_high_users
           FROM daily WHERE {WEEK}"""),
         "window_top_issues": with_(DAILY, f"""SELECT label AS issue_label, CAST(sum(review_count) AS BIGINT) AS review_count,
-          round(sum(round(weight, 4)), 3) AS weighted_severity FROM day_top WHERE {WEEK} GROUP BY label
+          CAST(round(sum(round(weight, 4)), 3) AS DOUBLE) AS weighted_severity FROM day_top WHERE {WEEK} GROUP BY label
           ORDER BY weighted_severity DESC, review_count DESC, issue_label LIMIT 5"""),
         "series_peak": with_(DAILY + """, series AS (
             SELECT day, 'avg_rating' AS metric, avg_rating::DOUBLE AS value FROM daily
@@ -177,7 +177,7 @@ def oracle_queries() -> dict[str, str]:
           QUALIFY row_number() OVER (PARTITION BY metric ORDER BY value DESC, day) = 1"""),
         "newest_day": with_(CLEAN, "SELECT max(day) AS newest_day FROM clean"),
         "latest_issue_days": with_(DAILY, """SELECT day, CAST(rank - 1 AS INTEGER) AS position, label, review_count,
-          round(weight, 4) AS weighted_severity FROM day_top
+          CAST(round(weight, 4) AS DOUBLE) AS weighted_severity FROM day_top
           WHERE day IN (SELECT DISTINCT day FROM day_top ORDER BY day DESC LIMIT 3)"""),
         "weekly_rollup": with_(ENRICHED, """SELECT CAST(date_trunc('week', day) AS DATE) AS week_start,
           CAST(any_value(week(day)) AS INTEGER) AS iso_week, count(*) AS total_reviews,
@@ -201,8 +201,8 @@ def oracle_queries() -> dict[str, str]:
           FROM metrics a JOIN metrics b USING (metric) WHERE a.app_version = '5.1.0' AND b.app_version = '5.4.0'"""),
         "kpi_snapshot": with_(ENRICHED, f"SELECT {_snapshot} FROM enriched WHERE {WEEK} AND {_has_failure}"),
         "top_issues_scope": with_(ENRICHED, f"""SELECT label, count(*) AS review_count,
-          round(sum(severity_score), 3) AS weighted_severity FROM issue_rows WHERE {WEEK} GROUP BY label
-          ORDER BY round(sum(severity_score), 9) DESC, review_count DESC, label LIMIT 8"""),
+          CAST(round(sum(CAST(severity_score AS DECIMAL(18,12))), 3) AS DOUBLE) AS weighted_severity FROM issue_rows WHERE {WEEK} GROUP BY label
+          ORDER BY sum(CAST(severity_score AS DECIMAL(18,12))) DESC, review_count DESC, label LIMIT 8"""),
         "scope_default_window": with_(CLEAN, """SELECT greatest(min(day), CAST(max(day) - INTERVAL 6 DAY AS DATE)) AS start_day,
           max(day) AS end_day FROM clean"""),
         "scope_default_kpis": with_(ENRICHED, f"""SELECT {_snapshot} FROM enriched
@@ -334,8 +334,8 @@ def oracle_queries() -> dict[str, str]:
           FROM golden g JOIN enriched e USING (review_id) LEFT JOIN judged USING (review_id)"""),
         "golden_sample": with_(CLEAN, """SELECT review_id, score, category_taxonomy, content FROM clean
           QUALIFY row_number() OVER (PARTITION BY score, category_taxonomy ORDER BY md5(review_id), review_id) <= 4"""),
-        "pain_points": with_(CANDIDATES, f"""SELECT t.label, CAST(dense_rank() OVER (ORDER BY round(weight, 9) DESC, review_count DESC, t.label)
-          AS INTEGER) AS rank, review_count, round(weight, 4) AS weighted_severity,
+        "pain_points": with_(CANDIDATES, f"""SELECT t.label, CAST(dense_rank() OVER (ORDER BY weight DESC, review_count DESC, t.label)
+          AS INTEGER) AS rank, review_count, CAST(round(weight, 4) AS DOUBLE) AS weighted_severity,
           {_impact.format('round(weight, 4)')} AS impact, CAST(quote_rank AS INTEGER) AS quote_rank, review_id, quote
           FROM totals t JOIN label_quotes q ON q.label = t.label WHERE quote_rank <= 3"""),
         "backlog_candidates": with_(CANDIDATES, "SELECT * FROM candidates"),
@@ -349,20 +349,20 @@ def oracle_queries() -> dict[str, str]:
           SELECT label, share_now, share_before, CASE WHEN share_now > round(share_before * 1.2::DOUBLE, 6) THEN 'rising'
             WHEN share_now < round(share_before * 0.8::DOUBLE, 6) THEN 'falling' ELSE 'stable' END AS trend FROM shares"""),
         "feature_requests": with_(_phrase_rows("Feature Requests") + """,
-          f AS (SELECT evidence AS request, count(*) AS review_count, round(sum(severity_score), 4) AS weighted_severity,
+          f AS (SELECT evidence AS request, count(*) AS review_count, CAST(round(sum(CAST(severity_score AS DECIMAL(18,12))), 4) AS DOUBLE) AS weighted_severity,
             CAST(sum(greatest(0, coalesce(thumbs_up, 0))) AS BIGINT) AS thumbs_up FROM phrase_rows GROUP BY evidence)""", f"""
           SELECT *, {_impact.format('weighted_severity')} AS priority,
             CAST(row_number() OVER (ORDER BY weighted_severity DESC, thumbs_up DESC, request) AS INTEGER) AS rank FROM f"""),
         "policy_themes": with_(_phrase_rows("Policy Complaints"), """
           SELECT evidence AS theme, count(*) AS review_count,
             round(count(*) / (SELECT count(DISTINCT review_id) FROM phrase_rows), 4) AS share,
-            round(sum(severity_score), 4) AS weighted_severity FROM phrase_rows GROUP BY evidence"""),
+            CAST(round(sum(CAST(severity_score AS DECIMAL(18,12))), 4) AS DOUBLE) AS weighted_severity FROM phrase_rows GROUP BY evidence"""),
         "competitor_mentions": with_(SENTIMENT, f"""SELECT name, count(*) AS mentions,
           count(*) FILTER (WHERE sentiment_label = 'positive') AS positive,
           count(*) FILTER (WHERE sentiment_label = 'neutral') AS neutral,
           count(*) FILTER (WHERE sentiment_label = 'negative') AS negative
           FROM sentiment, (SELECT unnest([{items(COMPETITORS)}]) AS name)
-          WHERE {WEEK} AND {_MENTION.format('name')} GROUP BY name"""),
+          WHERE {_MENTION.format('name')} GROUP BY name"""),
         "spike_drivers": with_(DAILY + """,
           numbered AS (SELECT day, n, row_number() OVER (ORDER BY day) AS place FROM day_base WHERE day IS NOT NULL),
           lifts AS (SELECT f.day, f.metric, f.z_score, i.label, i.review_count / d.n AS share,
@@ -375,7 +375,7 @@ def oracle_queries() -> dict[str, str]:
           SELECT d.day, d.metric, d.z_score, d.label, share, share_before, lift,
             CAST(row_number() OVER (PARTITION BY d.day, d.metric ORDER BY lift DESC, d.label) AS INTEGER) AS rank,
             (SELECT review_id FROM issue_rows r WHERE r.day = d.day AND r.label = d.label
-              ORDER BY severity_score DESC, coalesce(thumbs_up, 0) DESC, at_ts DESC, review_id DESC LIMIT 1) AS evidence_review_id
+              ORDER BY severity_score DESC, coalesce(thumbs_up, 0) DESC, at_ts DESC NULLS LAST, review_id LIMIT 1) AS evidence_review_id
           FROM drivers d WHERE lift > 0 QUALIFY rank <= 3"""),
         "kpi_tiles": with_(ENRICHED + """, p AS (SELECT *, day >= DATE '2024-01-10' AS cur FROM enriched
             WHERE day BETWEEN DATE '2023-12-30' AND DATE '2024-01-20'),

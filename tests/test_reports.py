@@ -19,6 +19,9 @@ from echotide.tables import read_table
 def test_scope_rules():
     assert iso_day("2024-01-02T10:00") == iso_day(" 2024-01-02 10:00 ") == iso_day(dt.datetime(2024, 1, 2, 5)) == "2024-01-02"
     assert iso_day(dt.date(2024, 1, 2)) == "2024-01-02" and iso_day("  ") is None
+    for wrong in ("garbage", 20240102):
+        with pytest.raises((ValueError, TypeError)):
+            iso_day(wrong)
     swapped = Scope.of("2024-02-01", "2024-01-01", " A ", None, "")
     assert (swapped.start_date, swapped.end_date, swapped.category) == ("2024-01-01", "2024-02-01", "A")
     before = Scope.of("2024-03-01", "2024-03-07").previous_period()
@@ -194,6 +197,8 @@ def test_pipeline_runs_build_on_each_other(spark, tmp_path):
     pipeline.run_pipeline(spark, combine({n: sources[n] for n in ("average", "bad")}), first)
     pipeline.run_pipeline(spark, combine({"good": sources["good"]}), second, previous=first)
     pipeline.run_pipeline(spark, combine({"good": sources["good"]}), again, previous=second)
+    with pytest.raises(FileNotFoundError):
+        pipeline.run_pipeline(spark, combine({"good": sources["good"]}), str(tmp_path / "run4"), previous=f"{second}-typo")
 
     def ids(target, table):
         return read_table(spark, target, table).select("review_id").distinct().count()
@@ -205,6 +210,8 @@ def test_pipeline_runs_build_on_each_other(spark, tmp_path):
     daily = read_table(spark, second, "daily_aggregates")
     assert daily.agg(F.sum("total_reviews")).first()[0] == reviews.filter("day is not null").count()
     assert daily.filter("day is null").count() == 0
+    left_out = {r[0]: r[1] for r in spark.read.parquet(f"{second}/run_counts").collect()}
+    assert left_out["version_aggregates"] == reviews.filter("app_version is null").count() > 0
     stored = read_table(spark, again, "insight_reports")
     assert stored.count() == stored.select("hash_key").distinct().count()
     assert stored.count() == read_table(spark, second, "insight_reports").count() >= 2

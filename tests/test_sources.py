@@ -40,7 +40,7 @@ def files(tmp_path):
 
 
 def read(spark, files):
-    return ingest_files(spark, files)
+    return ingest_files(spark, files, quoted_newlines=True)
 
 
 def test_cast_and_dedupe(spark, files):
@@ -108,16 +108,32 @@ def test_taxonomy_rules(tmp_path):
         taxonomy.clean_taxonomy(["login"])
 
 
-def test_missing_table_is_empty(spark, tmp_path):
+def test_tables_are_empty_only_before_the_first_run(spark, tmp_path):
     for name in schemas.TABLES:
-        assert tables.read_table(spark, str(tmp_path), name).count() == 0
+        assert tables.read_table(spark, None, name).count() == 0
+        with pytest.raises(FileNotFoundError):
+            tables.read_table(spark, str(tmp_path / "typo"), name)
+    spark.range(1).write.parquet(str(tmp_path / "reviews_raw"))
+    with pytest.raises(ValueError, match="lacks columns"):
+        tables.read_table(spark, str(tmp_path), "reviews_raw")
+
+
+def test_numbers_with_suffixes_or_hexadecimals_are_null(spark):
+    frame = spark.createDataFrame([(v,) for v in ("5d", "5f", "4.5D", "0x1p3", "NaN", "Infinity", " 4.5 ", "1e1", ".5", "-3")], "t string")
+    found = [r[0] for r in frame.select(review_files.to_int(F.col("t"))).collect()]
+    assert found == [None] * 6 + [5, 10, 1, -3]
+
+
+def test_other_separators(spark, tmp_path):
+    path = write(tmp_path, "semi.csv", HEADER.replace(",", ";"), "a;u;one, two;1;0;1;2024-01-05;1;x")
+    assert ingest_files(spark, {"s": path}, quoted_newlines=False, sep=";").first()["content"] == "one, two"
 
 
 def test_exports(spark, tmp_path):
-    frame = spark.createDataFrame([(1, 'a "b"\nc', None)], "id int, t string, n string")
+    frame = spark.createDataFrame([(1, '  a "b"\nc  ', None)], "id int, t string, n string")
     assert exports.export_csv(frame, str(tmp_path / "csv"))
     back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "csv"))
-    assert back.first()["t"] == 'a "b"\nc'
+    assert back.first()["t"] == '  a "b"\nc  '
     assert not exports.export_csv(frame.limit(0), str(tmp_path / "none"))
     assert not os.path.exists(tmp_path / "none")
     exports.export_json(frame, str(tmp_path / "json"))

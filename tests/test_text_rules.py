@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import texts
@@ -115,26 +117,26 @@ def test_tidy_and_slug(spark):
         "money_transfers", "login", "a_b", "", ""]
 
 
-def expected_excerpt(content, label, width=180):
-    body = content.strip().replace("\n", " ")
-    if len(body) <= width:
-        return body
-    for word in (w.lower() for w in label.split() if len(w) >= 4):
-        at = body.lower().find(word)
-        if at >= 0:
-            first = max(0, at - width // 2)
-            last = min(len(body), first + width)
-            return ("..." if first else "") + body[first:last].strip() + ("..." if last < len(body) else "")
-    return body[:width].rstrip() + "..."
-
-
-def test_excerpts_and_compact_quotes(spark):
-    rng = random.Random(3)
-    alphabet = ["login ", "é", " ", "\n", "word", "issues", "x", "UI/UX", "\t"]
-    cases = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 200))) for _ in range(200)] + ["a" * 180, "a" * 181]
-    for label in ("", "Login/Auth Issues", "UI/UX Problems"):
-        assert column(spark, cases, text.excerpt(F.col("content"), label)) == [expected_excerpt(c, label) for c in cases]
-    assert column(spark, cases, text.compact_quote(F.col("content"))) == [expected_excerpt(c, "", 120) for c in cases]
+LONG_TEXT = "x" * 100 + " the login page " + "y" * 100
+
+
+@pytest.mark.parametrize("content, label, expected", [
+    ("  short\ntext ", "", "short text"),
+    ("a" * 180, "", "a" * 180),
+    ("a" * 181, "", "a" * 180 + "..."),
+    ("a" * 178 + "   " + "b" * 9, "", "a" * 178 + "..."),
+    (LONG_TEXT, "", "x" * 100 + " the login page " + "y" * 64 + "..."),
+    (LONG_TEXT, "Login/Auth Issues", "x" * 100 + " the login page " + "y" * 64 + "..."),
+    (LONG_TEXT, "login", "..." + "x" * 85 + " the login page " + "y" * 79 + "..."),
+    (LONG_TEXT, "UI to the page", "..." + "x" * 79 + " the login page " + "y" * 85 + "..."),
+    ("login " + "z" * 200, "LOGIN", "login " + "z" * 174 + "..."),
+])
+def test_excerpts(spark, content, label, expected):
+    assert column(spark, [content], text.excerpt(F.col("content"), label)) == [expected]
+
+
+def test_compact_quotes(spark):
+    assert column(spark, ["q" * 120, "q" * 121, " q\nr "], text.compact_quote(F.col("content"))) == ["q" * 120, "q" * 120 + "...", "q r"]
 
 
 def test_fixed_text_rounds_like_printing_the_binary_value(spark):
