@@ -143,22 +143,34 @@ def parse_json(text: Column) -> Column:
     return bind(wrapped, lambda items: F.when(F.size(items) == 1, F.get(items, F.lit(0))))
 
 
+def _code_units(code: Column) -> Column:
+    """A code point as one or two JSON escapes."""
+
+    def unit(value: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(value)), 4, "0"))
+
+    above = code - 0x10000
+    pair = F.concat(unit(F.shiftright(above, 10) + 0xD800), unit(above % 1024 + 0xDC00))
+    return F.when(code < 0x10000, unit(code)).otherwise(pair)
+
+
+def ascii_json(text: Column) -> Column:
+    """JSON text with everything beyond ASCII, which only its strings can hold, as escapes."""
+    escaped = F.transform(F.split(text, ""), lambda c: F.when(F.ascii(c) <= 126, c).otherwise(_code_units(F.ascii(c))))
+    return F.when(F.rlike(text, F.lit(r"[^\x00-\x7E]")), F.array_join(escaped, "")).otherwise(text)
+
+
 def json_string(value: Column) -> Column:
     """A JSON string literal in pure ASCII, for keys that are hashed."""
 
-    def code_unit(code: Column) -> Column:
-        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
-
     def escape(char: Column) -> Column:
         code = F.ascii(char)
-        above = code - 0x10000
         return (
             F.when(char == '"', '\\"').when(char == "\\", "\\\\")
             .when(char == "\n", "\\n").when(char == "\r", "\\r").when(char == "\t", "\\t")
             .when(char == "\f", "\\f").when(char == "\b", "\\b")
             .when((code >= 32) & (code <= 126), char)
-            .when(code < 0x10000, code_unit(code))
-            .otherwise(F.concat(code_unit(F.shiftright(above, 10) + 0xD800), code_unit(above % 1024 + 0xDC00)))
+            .otherwise(_code_units(code))
         )
 
     chars = F.filter(F.split(value, ""), lambda c: c != "")

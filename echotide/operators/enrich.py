@@ -11,6 +11,10 @@ from echotide.functions.numbers import exact_mean
 from echotide.sources.taxonomy import category_taxonomy
 
 
+RAW_COLUMNS = ("review_id", "user_name", "content", "score", "thumbs_up", "review_created_version", "at_ts", "app_version",
+               "category_raw")
+
+
 def normalize(raw: DataFrame, taxonomy: dict[str, str] | None = None) -> DataFrame:
     """Tidy text, category name and calendar day."""
     return raw.withColumns({
@@ -102,6 +106,11 @@ def issues_summary(reviews: DataFrame) -> DataFrame:
     )
 
 
+def raw_daily(raw: DataFrame) -> DataFrame:
+    """The raw reviews with their calendar day."""
+    return raw.select(*RAW_COLUMNS[:7], F.to_date("at_ts").alias("day"), *RAW_COLUMNS[7:])
+
+
 def severity_summary(reviews: DataFrame) -> DataFrame:
     return reviews.agg(
         F.count(F.lit(1)).alias("total"),

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from echotide.functions.fixed_values import BRIEF_FILLER_SIGNAL, BRIEF_RECOMMENDATIONS, BRIEF_RISKS
-from echotide.functions.text import compact_quote, fixed_text, json_string, percent_text
+from echotide.functions.text import ascii_json, compact_quote, fixed_text, json_string, percent_text
 from echotide.operators.aggregates import kpi_snapshot, top_issues
 from echotide.operators.drilldown import evidence_quotes
 from echotide.operators.insights import impact
@@ -112,13 +112,19 @@ def stored_reports(reports: DataFrame) -> DataFrame:
     """(report_type, scope, content_json) rows as they are stored, with key, id and time."""
     text = scope_json(F.col("scope"))
     return reports.select(
-        F.uuid().alias("report_id"), "report_type", text.alias("scope_json"), "content_json",
+        F.uuid().alias("report_id"), "report_type", text.alias("scope_json"),
+        ascii_json(F.col("content_json")).alias("content_json"),
         F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz").alias("created_at"),
         F.lit(MODEL).alias("model"),
         F.sha2(F.concat("report_type", text), 256).alias("hash_key"),
     )
 
 
+def stored_report(stored: DataFrame, report_type: str, scope: Scope) -> DataFrame:
+    """The stored report of a type and scope, if there is one: a filter on its key, pushed down to the scan."""
+    return stored.filter(F.col("hash_key") == report_key(report_type, scope))
+
+
 def exec_kpi_table(brief: DataFrame) -> DataFrame:
     """The KPI summary of a brief as metric and display value."""
     kpi = F.col("brief.kpi_summary")

@@ -113,6 +113,22 @@ def version_issue_deltas(versions: DataFrame) -> DataFrame:
     )
 
 
+def release_issue_delta(versions: DataFrame, version_a: str, version_b: str) -> DataFrame:
+    """Change of every issue's share from one release to any other; an absent issue counts as zero. No rows where either
+    release is unknown."""
+    both = versions.filter(F.col("app_version").isin(version_a, version_b))
+    known = both.select("app_version").distinct().agg(F.count(F.lit(1)).alias("found"))
+    shares = issue_shares(both)
+
+    def share(version: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("app_version") == version, F.col("pct_reviews"))), F.lit(0.0))
+
+    deltas = shares.groupBy("label").agg(share(version_a).alias("pct_issue_a"), share(version_b).alias("pct_issue_b"))
+    needed = known.filter(F.col("found") == len({version_a, version_b})).select("found").scalar()
+    return deltas.filter(needed.isNotNull()).select(
+        "label", "pct_issue_a", "pct_issue_b", F.round(F.col("pct_issue_b") - F.col("pct_issue_a"), 4).alias("delta_b_minus_a"))
+
+
 def release_movers(versions: DataFrame, top: int = 5) -> DataFrame:
     """The largest worsenings and improvements between adjacent releases."""
     deltas = version_issue_deltas(versions).select("app_version", "previous_version", "label", "delta_pct_issue")

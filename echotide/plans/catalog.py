@@ -14,7 +14,9 @@ from echotide.operators import reports, scope as scopes, trends
 from echotide.operators.merge import upsert
 from echotide.operators.scope import Scope
 from echotide.sources import review_files
-from echotide.sources.event_reviews import HEADER_SPELLINGS, event_review_texts, event_reviews, events
+from echotide.sources.event_reviews import (
+    HEADER_SPELLINGS, complaint_documents, event_review_texts, event_reviews, events,
+)
 from echotide.tables import stage, stage_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,7 +189,7 @@ def search_reviews_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scope_default_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KPIs of the default window, whose bounds are found in the same plan."""
     reviews = enriched(spark, sf_dir)
-    window = scopes.default_window(reviews)
+    window = scopes.default_window(daily(spark, sf_dir))
     start, end = window.select("start_day").scalar(), window.select("end_day").scalar()
     return aggregates.kpi_snapshot(reviews.filter((F.col("day") >= start) & (F.col("day") <= end)))
 
@@ -364,10 +366,9 @@ def document_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The issue rules and the severity score over long texts in four languages."""
-    documents = _documents(spark, sf_dir).select(
-        "doc_id", F.col("text").alias("content"), F.lit(None).cast("int").alias("score"),
-        F.lit(None).cast("int").alias("thumbs_up"),
+    """The issue rules and the severity score over long texts in four languages, review sentences around them."""
+    documents = complaint_documents(_documents(spark, sf_dir)).select(
+        "doc_id", "content", F.lit(None).cast("int").alias("score"), F.lit(None).cast("int").alias("thumbs_up"),
     )
     scored = enrich.add_severity(enrich.add_issues(enrich.add_sentiment(documents)))
     return scored.select(
@@ -422,11 +423,13 @@ def catalog() -> dict[str, Query]:
             versions, lambda d: d.select("app_version", F.inline("category_breakdown"))),
         "version_list": _on(versions, aggregates.version_list),
         "release_delta": _on(versions, lambda d: aggregates.release_delta(d, "5.1.0", "5.4.0")),
+        "release_issue_delta": _on(versions, lambda d: trends.release_issue_delta(d, "5.1.0", "5.4.0")),
+        "reviews_raw_daily": _on(deduped, enrich.raw_daily),
         "kpi_snapshot": _on(enriched, lambda d: aggregates.kpi_snapshot(FAILURES.apply(d))),
         "top_issues_scope": _on(enriched, lambda d: aggregates.top_issues(_in_week(d))),
-        "scope_default_window": _on(enriched, scopes.default_window),
+        "scope_default_window": _on(daily, scopes.default_window),
         "scope_default_kpis": scope_default_kpis,
-        "preset_windows": _on(enriched, scopes.preset_windows),
+        "preset_windows": _on(daily, scopes.preset_windows),
         "filter_options": _on(enriched, drilldown.filter_options),
         "search_reviews_page": _on(enriched, lambda d: drilldown.search_reviews(d, NARROW, page=2, page_size=5)),
         "search_reviews_after": search_reviews_after,

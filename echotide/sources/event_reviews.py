@@ -52,6 +52,15 @@ def _derived(e: F.Column, u: F.Column) -> dict[str, F.Column]:
     }
 
 
+def complaint_documents(documents: DataFrame) -> DataFrame:
+    """doc_id and content: each whole document with review sentences around it, some of them far apart (see FIXTURES.md)."""
+    i = F.col("doc_id")
+    head = F.when(i % 5 == 0, F.concat(_pick(OPENINGS, F.floor(i / 7) % 12), F.lit(". "))).otherwise("")
+    gap = F.repeat(F.lit(" indeed"), (i % 10).cast("int"))
+    text = F.concat(head, "text", F.lit(" "), _pick(OPENINGS, i % 12), gap, F.lit(" "), _pick(CLOSINGS, i % 7))
+    return documents.select("doc_id", text.alias("content"))
+
+
 def event_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews with nulls, blank texts, and two percent repeated ids."""
     columns = _derived(F.col("event_id"), F.col("user_id"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from echotide.functions import fixed_values as fv
 from echotide.plans.catalog import COMPETITORS
+from echotide.sources.event_reviews import CLOSINGS, OPENINGS
 from oracle.base import (
     CLEAN, COLUMNS, DAILY, ENRICHED, ISSUES, REVIEWS, SENTIMENT, STAGED, VERSIONS, WEEK, excerpt, items, latest,
     lexicon, lit, with_,
@@ -87,8 +88,10 @@ def _issue_json() -> str:
 
 def _documents_enriched() -> str:
     """The review CTEs from the lexicon on, with the documents in place of the reviews."""
-    source = """clean AS (SELECT doc_id, text AS content, CAST(NULL AS INTEGER) AS score, CAST(NULL AS INTEGER) AS thumbs_up
-      FROM documents)"""
+    source = f"""clean AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ([{items(OPENINGS)}])[1 + (doc_id // 7) % 12] || '. ' ELSE '' END
+        || text || ' ' || ([{items(OPENINGS)}])[1 + doc_id % 12] || repeat(' indeed', doc_id % 10) || ' '
+        || ([{items(CLOSINGS)}])[1 + doc_id % 7] AS content,
+      CAST(NULL AS INTEGER) AS score, CAST(NULL AS INTEGER) AS thumbs_up FROM documents)"""
     return source + ENRICHED.removeprefix(CLEAN)
 
 
@@ -199,6 +202,12 @@ def oracle_queries() -> dict[str, str]:
             UNION ALL SELECT app_version, 'critical_count', critical_count, 0 FROM version_base)""", """
           SELECT a.metric, round(a.v, a.d) AS version_a, round(b.v, a.d) AS version_b, round(b.v - a.v, a.d) AS delta_b_minus_a
           FROM metrics a JOIN metrics b USING (metric) WHERE a.app_version = '5.1.0' AND b.app_version = '5.4.0'"""),
+        "release_issue_delta": with_(VERSIONS, """
+          SELECT label, coalesce(max(pct_reviews) FILTER (WHERE app_version = '5.1.0'), 0.0::DOUBLE) AS pct_issue_a,
+            coalesce(max(pct_reviews) FILTER (WHERE app_version = '5.4.0'), 0.0::DOUBLE) AS pct_issue_b,
+            round(pct_issue_b - pct_issue_a, 4) AS delta_b_minus_a
+          FROM version_issue WHERE app_version IN ('5.1.0', '5.4.0') GROUP BY label"""),
+        "reviews_raw_daily": with_(REVIEWS, "SELECT *, CAST(at_ts AS DATE) AS day FROM (" + latest("reviews") + ")"),
         "kpi_snapshot": with_(ENRICHED, f"SELECT {_snapshot} FROM enriched WHERE {WEEK} AND {_has_failure}"),
         "top_issues_scope": with_(ENRICHED, f"""SELECT label, count(*) AS review_count,
           CAST(round(sum(CAST(severity_score AS DECIMAL(18,12))), 3) AS DOUBLE) AS weighted_severity FROM issue_rows WHERE {WEEK} GROUP BY label

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL, rows
+from echotide.functions import text
 from echotide.operators import aggregates, churn, contracts, dashboards, drilldown, insights, quality, reports, trends
 from echotide.operators.scope import Scope, default_window, iso_day, preset_window
 from echotide.plans import catalog, pipeline
@@ -220,4 +221,13 @@ def test_pipeline_runs_build_on_each_other(spark, tmp_path):
     assert len(listed) == 5 and ranked == sorted(ranked)
     scope = Scope().within(read_table(spark, again, "reviews_enriched"))
     assert pipeline.missing_reports(reviews, daily, stored, scope) is None
+    assert reports.stored_report(stored, "weekly_top_issues", scope).first()["report_type"] == "weekly_top_issues"
+    assert reports.stored_report(stored, "weekly_top_issues", Scope.of("2020-01-01", "2020-01-02")).isEmpty()
     assert contracts.check_reports(stored).filter(F.size("violations") > 0).count() == 0
+
+
+def test_stored_content_is_ascii(spark):
+    content = json.dumps({"title": "\u00dcber \U0001f600 \"x\"", "n": 1}, ensure_ascii=False, separators=(",", ":"))
+    frame = spark.createDataFrame([(content,), ("{}",), (None,)], "content_json string")
+    found = [r[0] for r in frame.select(text.ascii_json(F.col("content_json"))).collect()]
+    assert found == [json.dumps(json.loads(content), separators=(",", ":")), "{}", None]
