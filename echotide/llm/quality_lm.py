@@ -94,15 +94,19 @@ def numbered(text: bytes | None, numbers: dict[bytes, int]) -> np.ndarray:
 
 
 def count_words(texts: DataFrame) -> DataFrame:
+    def rows(counts):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+
     def run(batches):
         counts: Counter[bytes] = Counter()
         for batch in batches:
             for text in batch.column(0):
                 counts.update((text.as_py() or b"").split())
             if len(counts) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+                yield rows(counts)
                 counts.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+        yield rows(counts)
 
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -183,11 +187,13 @@ def unigrams(model: DataFrame, numbers: dict[bytes, int], unknown_types: int) ->
     left = cut.sum() / types if before.any() else 1.0
     p = (before - cut) / types + left / (VOCABULARY + 1)
     total = at["total"]
-    weight = np.where(total > 0, (d[0] * at["once"] + d[1] * at["twice"] + d[2] * at["more"]) / np.maximum(total, 1), 1.0)
+    given = d[0] * at["once"] + d[1] * at["twice"] + d[2] * at["more"]
+    weight = np.where(total > 0, given / np.maximum(total, 1), 1.0)
     log_p, back = np.log(p), np.log(np.maximum(weight, 1e-12))
 
     def above(counts, context_total, context_back, word):
-        probability = (counts - d[np.clip(counts.astype(int), 1, 3) - 1]) / np.maximum(context_total, 1) + np.exp(context_back + word)
+        seen = (counts - d[np.clip(counts.astype(int), 1, 3) - 1]) / np.maximum(context_total, 1)
+        probability = seen + np.exp(context_back + word)
         return np.where(counts > 0, np.log(np.maximum(probability, 1e-300)) - context_back - word, 0.0)
 
     to_unknown = above(at["to_unknown"], total, back, log_p[UNKNOWN])
@@ -225,7 +231,8 @@ def chunks(docs: DataFrame, shared, shards: int) -> DataFrame:
             both = (v != UNKNOWN) & (w != UNKNOWN)
             keys.append(v[both] * RADIX + w[both])
             members.append(np.full(len(keys[-1]), i, dtype=np.uint16))
-        out = [{"chunk": chunk, "shard": -1, "doc_ids": ids, "langs": langs, "words": [len(w) for w in numbers], "logs": logs.tolist()}]
+        words = [len(w) for w in numbers]
+        out = [{"chunk": chunk, "shard": -1, "doc_ids": ids, "langs": langs, "words": words, "logs": logs.tolist()}]
         key, member = np.concatenate(keys), np.concatenate(members)
         order = np.argsort(key, kind="stable")
         key, member = key[order], member[order]
@@ -286,7 +293,8 @@ def score(docs: DataFrame, model: DataFrame, learned: Unigrams, shards: int) ->
             out.append((chunk, _pack(sums.astype("<f4"))))
         return pd.DataFrame(out, columns=["chunk", "sums"])
 
-    answers = sent.groupBy("shard", "salt").cogroup(counted.groupBy("shard", "salt")).applyInPandas(answer, "chunk long, sums binary")
+    answers = sent.groupBy("shard", "salt").cogroup(counted.groupBy("shard", "salt")).applyInPandas(
+        answer, "chunk long, sums binary")
 
     def total_of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         head = left.iloc[0]

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from echotide.llm.common import SPACE, words
 
 GRAM = 5
+#: Words without a letter or digit.
+BARE_SIGNS = r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])"
 #: Rules in the order of their bits: name, SQL condition of failure on the measurements.
 RULES = [
     ("few_words", "n_words < 10"),
@@ -70,7 +72,7 @@ def measure(docs: DataFrame) -> DataFrame:
         F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))[0]
     found = docs.select(
         "doc_id", counted.alias("w"), line_counts.alias("l"), (F.length(text) - count(SPACE)).cast("long").alias("word_chars"),
-        count("[#*$%&|<>]").alias("n_symbols"), count(r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])").alias("n_separators"),
+        count("[#*$%&|<>]").alias("n_symbols"), count(BARE_SIGNS).alias("n_separators"),
         count(r"\p{Lu}").alias("n_capitals"), count(r"\p{L}").alias("n_letters"))
     return found.select("doc_id", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words",
                         "l.n_lines", "n_separators", "n_capitals", "n_letters")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from echotide.llm import exact_dedup, langid, line_dedup, mixing, near_dedup, packing, quality_lm, quality_rules, secrets, substring_dedup
+from echotide.llm import (
+    exact_dedup, langid, line_dedup, mixing, near_dedup, packing, quality_lm, quality_rules, secrets, substring_dedup,
+)
 from echotide.llm.common import documents
 
 

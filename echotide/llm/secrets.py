@@ -35,7 +35,8 @@ SENSITIVE = {
     "connectionstring": 0.7, "dsn": 0.6,
 }
 #: Values that stand for no secret.
-PLACEHOLDER = re.compile(r"example|changeme|change_me|placeholder|dummy|redacted|your[-_]?|xxxx|\*\*\*|^<.*>$|^\$\{.*\}$|^%.*%$", re.I)
+PLACEHOLDER = re.compile(
+    r"example|changeme|change_me|placeholder|dummy|redacted|your[-_]?|xxxx|\*\*\*|^<.*>$|^\$\{.*\}$|^%.*%$", re.I)
 THRESHOLD = 0.6
 
 SIGN = re.compile(r":=|=>|[=:]")

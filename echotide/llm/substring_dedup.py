@@ -74,8 +74,8 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
     """id, version, positions (of anchors that repeat, packed), hot (which of them are hot, packed), n."""
     text_bytes = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = max(5, int(text_bytes // ANCHOR_SHARD_BYTES).bit_length())
-    schema = "chunk long, shard long, keys binary, counts binary, ids binary, versions binary, sizes binary, positions binary, places binary"
-    names = [x.split()[0] for x in schema.split(", ")]
+    names = ["chunk", "shard", "keys", "counts", "ids", "versions", "sizes", "positions", "places"]
+    schema = "chunk long, shard long, " + ", ".join(f"{name} binary" for name in names[2:])
 
     def batch_of(chunk, ids, versions, found):
         sizes = np.array([len(p) for p, _ in found])
@@ -311,7 +311,8 @@ def find_repeats(sent: DataFrame) -> DataFrame:
         for k, at in zip(chosen, repeated_windows([texts[k].split(b" ") for k in chosen], WordHashes())):
             if len(at):
                 out.setdefault(places[k][:2], []).append(places[k][2] + at)
-        return pd.DataFrame([(*key, _pack(np.concatenate(x), "<u4")) for key, x in out.items()], columns=["id", "version", "starts"])
+        return pd.DataFrame([(*key, _pack(np.concatenate(x), "<u4")) for key, x in out.items()],
+                            columns=["id", "version", "starts"])
 
     def sure(batches):
         for batch in batches:
