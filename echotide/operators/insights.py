@@ -90,6 +90,20 @@ def backlog_candidates(scoped: DataFrame, quotes: int = 2) -> DataFrame:
     )
 
 
+def backlog_tickets(scoped: DataFrame) -> DataFrame:
+    """The candidates as tickets of the backlog contract, most urgent first. One row; its list has one ticket per label."""
+    ticket = F.struct(
+        "title", "type", "priority", "severity_score",
+        F.concat(F.col("review_count").cast("string"), F.lit(" reviews")).alias("impact_notes"),
+        F.array(F.lit("No new reports for a week")).alias("acceptance_criteria"), "evidence_quotes",
+        F.array("label").alias("related_labels"), "related_versions",
+    )
+    order = F.struct(F.col("priority").alias("p"), (-F.col("weighted_severity")).alias("w"), F.col("label").alias("l"),
+                     ticket.alias("ticket"))
+    return backlog_candidates(scoped).agg(F.sort_array(F.collect_list(order)).alias("ordered")).select(
+        F.transform("ordered", lambda x: x["ticket"]).alias("tickets"))
+
+
 def emerging_risks(reviews: DataFrame, days: int = 7, tolerance: float = 0.2) -> DataFrame:
     """Share of each label in the last days against the days before: rising, stable or falling."""
     newest = reviews.agg(F.max("day").alias("newest")).scalar()

@@ -13,6 +13,7 @@ from echotide.operators import aggregates, churn, contracts, dashboards, drilldo
 from echotide.operators import reports, scope as scopes, trends
 from echotide.operators.merge import upsert
 from echotide.operators.scope import Scope
+from echotide.plans import pipeline
 from echotide.sources import review_files
 from echotide.sources.event_reviews import (
     HEADER_SPELLINGS, complaint_documents, event_review_texts, event_reviews, events,
@@ -70,9 +71,7 @@ def ingest_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text sources written as CSV files, read back, cast and deduplicated."""
     sources = event_review_texts(spark, sf_dir)
     folders = {n: stage_csv(spark, _source(sf_dir), f"csv_{n}", df) for n, df in sources.items()}
-    read = {
-        n: review_files.scan_csv(spark, folder) if folder else sources[n] for n, folder in folders.items()
-    }
+    read = {n: review_files.scan_csv(spark, folder) for n, folder in folders.items()}
     return review_files.latest_per_review(review_files.combine(read))
 
 
@@ -316,6 +315,16 @@ def _backlogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def report_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored backlog report of all reviews, read back from its JSON."""
+    report = pipeline.backlog_report(enriched(spark, sf_dir), daily(spark, sf_dir), Scope())
+    texts, lists = ("title", "type", "priority", "impact_notes"), ("evidence_quotes", "related_labels", "related_versions")
+    fields = [f"{c}: string" for c in texts] + [f"{c}: array<string>" for c in lists] + ["severity_score: double"]
+    schema = f"tickets array<struct<{', '.join(fields)}>>"
+    read = report.select(F.inline(F.from_json("content_json", schema)["tickets"]))
+    return read.select(*texts, "severity_score", *[F.array_join(c, "|").alias(c) for c in lists])
+
+
 def _ticket_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.ticket_rows(_backlogs(spark, sf_dir), "label")
 
@@ -441,6 +450,7 @@ def catalog() -> dict[str, Query]:
         "report_cache_keys": report_cache_keys,
         "report_cache_new": report_cache_new,
         "report_contract_check": report_contract_check,
+        "report_backlog": report_backlog,
         "ticket_rows": _ticket_rows,
         "ticket_board_totals": _ticket_totals,
         "moving_avg_7d": _on(daily, trends.moving_averages),

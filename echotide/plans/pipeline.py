@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from echotide.operators.aggregates import top_issues, version_kpis
 from echotide.operators.churn import user_churn
 from echotide.operators.dashboards import daily_aggregates
 from echotide.operators.enrich import enrich
+from echotide.operators.insights import backlog_tickets
 from echotide.operators.merge import upsert
 from echotide.operators.reports import only_new, report_key, report_payload, stored_reports, weekly_brief
 from echotide.operators.scope import Scope
@@ -62,25 +63,34 @@ def unkeyed_counts(reviews: DataFrame) -> DataFrame:
     return counts.unpivot([], list(keys), "table_name", "reviews_without_key")
 
 
+def _scope_row(scope: Scope) -> Column:
+    return F.struct(*[F.lit(v).alias(k) for k, v in scope.as_dict().items()])
+
+
 def brief_report(reviews: DataFrame, daily: DataFrame, scope: Scope) -> DataFrame:
     brief = weekly_brief(report_payload(reviews, daily, scope, "weekly_exec_brief"))
     return brief.select("report_type", "scope", F.to_json("brief", {"ignoreNullFields": "false"}).alias("content_json"))
 
 
 def top_issues_report(reviews: DataFrame, daily: DataFrame, scope: Scope) -> DataFrame:
-    scope_row = F.struct(*[F.lit(v).alias(k) for k, v in scope.as_dict().items()])
     # Five rows at most: best first, equal ones by count and then by name.
     entry = F.struct((-F.col("weighted_severity")).alias("w"), (-F.col("review_count")).alias("c"), "label")
     items = F.transform(F.sort_array(F.collect_list(entry)), lambda i: F.struct(
         i["label"].alias("label"), (-i["c"]).alias("review_count"), (-i["w"]).alias("weighted_severity"),
     ))
     return top_issues(scope.apply(reviews), 5).agg(items.alias("top_issues")).select(
-        F.lit("weekly_top_issues").alias("report_type"), scope_row.alias("scope"),
+        F.lit("weekly_top_issues").alias("report_type"), _scope_row(scope).alias("scope"),
         F.to_json(F.struct("top_issues")).alias("content_json"),
     )
 
 
-SCHEDULED = {"weekly_exec_brief": brief_report, "weekly_top_issues": top_issues_report}
+def backlog_report(reviews: DataFrame, daily: DataFrame, scope: Scope) -> DataFrame:
+    return backlog_tickets(scope.apply(reviews)).select(
+        F.lit("sprint_backlog").alias("report_type"), _scope_row(scope).alias("scope"),
+        F.to_json(F.struct("tickets")).alias("content_json"))
+
+
+SCHEDULED = {"weekly_exec_brief": brief_report, "weekly_top_issues": top_issues_report, "sprint_backlog": backlog_report}
 
 
 def missing_reports(reviews: DataFrame, daily: DataFrame, stored: DataFrame, scope: Scope) -> DataFrame | None:

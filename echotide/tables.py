@@ -46,8 +46,8 @@ def csv_writer(df: DataFrame) -> DataFrameWriter:
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
 
 
-def staging_root(spark: SparkSession) -> str | None:
-    """The shared folder of the cluster, or a temporary one in local mode, or none."""
+def staging_root(spark: SparkSession) -> str:
+    """The shared folder of the cluster; only a local session may go without and gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
@@ -55,7 +55,7 @@ def staging_root(spark: SparkSession) -> str | None:
         root = tempfile.mkdtemp(prefix="echotide-")
         spark.conf.set("spark.checkpoint.dir", root)
         return root
-    return None
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def _fingerprint(spark: SparkSession, path: str) -> str:
@@ -69,10 +69,8 @@ def _fingerprint(spark: SparkSession, path: str) -> str:
 
 def _write_once(
     spark: SparkSession, source: str, name: str, write: Callable[[str], StructType]
-) -> tuple[str, StructType] | None:
+) -> tuple[str, StructType]:
     root = staging_root(spark)
-    if root is None:
-        return None
     key = (spark.sparkContext.applicationId, root, source, _fingerprint(spark, source), name)
     if key not in _staged:
         folder = hashlib.sha256("|".join(key).encode()).hexdigest()[:16]
@@ -91,25 +89,22 @@ def stage(
     """Write a derived table once per application and input, then read it back.
 
     Several reports read the enriched reviews; writing them once replaces repeated
-    deduplication and text work, and a written table survives the loss of executors.
-    Without a shared folder the plan is returned as it is.
-    """
+    deduplication and text work, and a written table survives the loss of executors.    """
 
     def write(path: str) -> StructType:
         df = build()
         write_table(df, path, partition_by)
         return df.schema
 
-    stored = _write_once(spark, source, name, write)
-    return build() if stored is None else spark.read.schema(stored[1]).parquet(stored[0])
+    path, schema = _write_once(spark, source, name, write)
+    return spark.read.schema(schema).parquet(path)
 
 
-def stage_csv(spark: SparkSession, source: str, name: str, df: DataFrame) -> str | None:
+def stage_csv(spark: SparkSession, source: str, name: str, df: DataFrame) -> str:
     """Write a frame as CSV files once and return their folder."""
 
     def write(path: str) -> StructType:
         csv_writer(df).csv(path)
         return df.schema
 
-    stored = _write_once(spark, source, name, write)
-    return stored and stored[0]
+    return _write_once(spark, source, name, write)[0]

@@ -273,6 +273,9 @@ def oracle_queries() -> dict[str, str]:
             CASE WHEN n % 5 = 1 THEN 'week_range' END, CASE WHEN n % 5 = 2 THEN 'headline' END,
             CASE WHEN n % 7 = 3 THEN 'kpi_summary' END, CASE WHEN n % 5 = 4 THEN 'drivers' END,
             CASE WHEN n % 11 = 5 THEN 'unknown field' END], lambda x: x IS NOT NULL), ',') END AS violations FROM d"""),
+        "report_backlog": with_(CANDIDATES, """
+          SELECT title, type, priority, severity_score, CAST(review_count AS VARCHAR) || ' reviews' AS impact_notes,
+            quotes AS evidence_quotes, label AS related_labels, replace(versions, ',', '|') AS related_versions FROM candidates"""),
         "ticket_rows": with_(CANDIDATES, """
           SELECT label, CAST(i AS INTEGER) AS ticket_id, CASE i WHEN 2 THEN 'P3' ELSE priority END AS priority,
             CASE i WHEN 2 THEN 'Untitled' ELSE title END AS title, CASE i WHEN 2 THEN '' ELSE type END AS type,
