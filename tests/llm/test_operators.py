@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from compare import connect, difference
 from conftest import SMALL
-from echotide.llm import (exact_dedup, langid, line_dedup, mixing, near_dedup, packing, quality_lm, quality_rules, queries,
+from echotide.llm import (components, exact_dedup, langid, line_dedup, mixing, near_dedup, packing, quality_lm, quality_rules, queries,
                           secrets, substring_dedup)
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, Text_SHA256 string, kept string, id string, place string"
@@ -191,6 +191,20 @@ def test_near_estimate_is_close():
         assert (union == np.maximum(one, two)[0]).all()
 
 
+@pytest.mark.parametrize("chunk", [500_000, 40])
+def test_components(spark, monkeypatch, chunk):
+    monkeypatch.setattr(components, "CHUNK", chunk)
+    make = random.Random(8)
+    edges = [(make.randint(0, 150), make.randint(0, 150)) for _ in range(60)] + [(200 + i, 201 + i) for i in range(30)]
+    up = {x: x for e in edges for x in e}
+    for _ in up:
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    found = components.components(spark.createDataFrame(edges, "a long, b long"))
+    alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
+    assert collected(found) == sorted(((x, c) for x, c in up.items() if x not in alone), key=repr)
+
+
 def test_near_empty(empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
