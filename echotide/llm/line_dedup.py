@@ -56,7 +56,7 @@ def first_holders(lines: DataFrame) -> DataFrame:
 
 def drop_bitmaps(docs: DataFrame, shortest: int = 10) -> DataFrame:
     """id, version, dropped (count), bitmap: an array of (group, bits), bit b of group g set for a dropped line 32 * g + b."""
-    lines = hashed_lines(docs, shortest)
+    lines = store(hashed_lines(docs, shortest), "line_hashes")
     firsts = store(first_holders(lines).select("h1", "h2", "first"), "line_first")
     dropped = lines.join(firsts, ["h1", "h2"]).where("id > first")
     groups = dropped.repartition("id", "version").groupBy(
