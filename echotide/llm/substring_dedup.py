@@ -316,10 +316,13 @@ def find_repeats(sent: DataFrame) -> DataFrame:
 
     def sure(batches):
         for batch in batches:
-            out = [(i, v, _pack(np.array([s]), "<u4")) for k in range(batch.num_rows) for i, v, s in zip(
-                _unpack(batch.column(0)[k].as_py(), "<i8").tolist(), _unpack(batch.column(1)[k].as_py(), "<i8").tolist(),
-                _unpack(batch.column(2)[k].as_py(), "<u4").tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(
+            out: dict[tuple[int, int], list[int]] = {}
+            for k in range(batch.num_rows):
+                ids, versions, starts = (_unpack(batch.column(c)[k].as_py(), t).tolist() for c, t in enumerate(("<i8", "<i8", "<u4")))
+                for i, v, start in zip(ids, versions, starts):
+                    out.setdefault((i, v), []).append(start)
+            rows = [(*key, _pack(np.array(starts), "<u4")) for key, starts in out.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(
                 (pa.int64(), pa.int64(), pa.binary()))], ["id", "version", "starts"])
 
     schema = "id long, version long, starts binary"
