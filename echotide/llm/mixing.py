@@ -74,7 +74,8 @@ def targets(rows: DataFrame, weight: Column | None = None) -> DataFrame:
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     after = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(everything) - LIMIT * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("weight").over(after)
+    left = F.sum("source_size").over(everything) - LIMIT * F.coalesce(F.sum("source_size").over(before), F.lit(0))
+    level = left / F.sum("weight").over(after)
     filled = placed.select("source", "source_size", "place", "weight", level.alias("level"))
     capped = F.col("level") * F.col("weight") >= LIMIT * F.col("source_size")
     common = F.max(F.when(~capped, F.col("level"))).over(everything)  # the level of the first source that is not capped
@@ -137,7 +138,7 @@ def mix(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     rows = store(sized(docs), "mix_sizes")
     shares = store(targets(rows), "mix_targets")
     counted = store(quotas(shares, block), "mix_quotas")
-    drawn = slots(counted).join(spans(placed_documents(rows), counted, block), ["place", "block_id"])
+    drawn = store(slots(counted), "mix_slots").join(spans(placed_documents(rows), counted, block), ["place", "block_id"])
     shares = shares.withColumnRenamed("source", "s")
     return rows.join(shares, rows.source.eqNullSafe(shares.s)), drawn
 
