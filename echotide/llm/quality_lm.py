@@ -1,14 +1,14 @@
 """Quality classifier: an interpolated modified Kneser-Ney bigram model of trusted text, and perplexity per document.
 
-Trusted text is every document labelled good and not toxic. Its VOCABULARY commonest words (a parameter of the model, as is
-usual) get numbers; all others are one unknown word, whose probability is shared among the unknown words seen. Every word and
-every bigram of the trusted text is counted; the counts grow with it and stay sharded by bigram.
+Trusted text is every document labelled good and not toxic. Every word and every bigram of it is counted, without a cap: words
+are 64-bit hashes, and a shard holds all bigrams whose first word hashes to it. A word that trusted text lacks has the share of
+the lower order that is spread evenly over the known words and one unknown word, over VOCABULARY words at least.
 
-The log probability of a text is a sum: for each word a unigram and a back-off part, from two arrays as long as the vocabulary
-(bounded, so broadcast), and for each bigram of known words that the trusted text holds, what it is above that. That second
-sum is a join with the sharded counts. Tasks group the bigrams of a chunk of documents by shard and send sorted keys and
-document numbers, delta-coded and compressed; a shard answers one partial sum per document. Groups of the join are bounded:
-a shard by SHARD_WORDS, the chunks it meets by SALT_BYTES.
+The log probability of a text is a sum over keys: one per word (lower order, and its weight as the context of the next word),
+one per bigram (what it is above that), one each for the first and last place. The model is a sharded table of keys and values
+and the sum is a join with it; only totals, such as how many n-grams occur once, are broadcast. Tasks group the keys of a chunk
+of documents by shard and send sorted keys and document numbers, delta-coded and compressed; a shard answers one partial sum
+per document. Groups of the join are bounded: a shard by SHARD_WORDS, the chunks it meets by SALT_BYTES.
 
 A document is rejected when its log perplexity, drawn towards the median of its language by PRIOR words, exceeds the third
 quartile of its language by more than FENCE interquartile ranges. Quantiles are over all documents of the language.
@@ -20,7 +20,7 @@ unknown and no document stands out.
 
 from __future__ import annotations
 
-from collections import Counter
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -32,122 +32,175 @@ from pyspark.sql import DataFrame, functions as F
 
 from echotide.llm.common import store
 
-VOCABULARY = 16_384
+VOCABULARY = 16_384  # words that the lowest order is spread over, at least; as many as trusted text has when it has more
 SHARDS = 32  # at least; more when trusted text is long
-SHARD_WORDS = 8_000_000
+SHARD_WORDS = 4_000_000
 SALT_BYTES = 256 << 20
 CHUNK_WORDS, CHUNK_DOCS = 2_000_000, 8192
+CACHE_WORDS = 500_000  # hashes that a task remembers
 BROADCAST_IDS = 4_000_000  # up to so many trusted ids go to every task, beyond they are joined by a shuffle
+FOLDS = 4
 PRIOR = 20.0
 FENCE = 2.0
-UNKNOWN, BEGIN = 0, VOCABULARY + 1  # numbers of words: 1 .. VOCABULARY
-RADIX = VOCABULARY + 2
+BEGIN, END = 0x5BE6_1CE5_7A97_0F31, 0x2E4D_D0C5_A1B7_93E9  # stand for the place before the first word and after the last
+PACKED = pa.schema([("shard", pa.int32()), ("firsts", pa.binary()), ("seconds", pa.binary()), ("counts", pa.binary())])
 
 
-class Unigrams(NamedTuple):
-    numbers: dict[bytes, int]
-    known: np.ndarray  # log of the lower-order probability of each number
-    back_off: np.ndarray  # log of the weight that each context leaves to the lower order
-    to_unknown: np.ndarray  # per context: what "unknown" after it is above that
-    from_unknown: np.ndarray  # per word: what it is above that after an unknown one
-    discounts: np.ndarray  # by count 1, 2, 3 and more
-    totals: np.ndarray  # occurrences of each context
+class Totals(NamedTuple):
+    """What the model shares. Column f of FOLDS leaves the trusted texts of fold f out, the last one has them all."""
+
+    discounts: np.ndarray  # columns x 3, by count 1, 2, 3 and more
+    low: np.ndarray  # the same of the lower order
+    types: np.ndarray  # bigrams, per column
+    unknown: np.ndarray  # lower-order probability of an unknown word
+
+    def lower(self, before: np.ndarray) -> np.ndarray:
+        """Lower-order probabilities of words that come second in so many bigrams (columns x words)."""
+        cut = np.take_along_axis(self.low, np.clip(before, 1, 3) - 1, axis=1)
+        return np.where(before > 0, before - cut, 0.0) / self.types[:, None] + self.unknown[:, None]
 
 
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that every label calls good and none toxic."""
+    return docs.join(*_trusted_ids(docs, labels), "left_semi")
+
+
+def _trusted_ids(docs: DataFrame, labels: DataFrame):
     ids = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     ids = store(ids.where("q = 1 and coalesce(t, 0) = 0").select(F.col("doc_id").alias("trusted_id")), "lm_trusted")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, docs["doc_id"] == F.col("trusted_id"), "left_semi")
-
-
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("text").cast("binary").alias("text"))
+    return ids, docs["doc_id"] == F.col("trusted_id")
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(values.tobytes())
+    """Compressed byte by byte of the values, so that the bytes that are alike lie together."""
+    flat = np.ascontiguousarray(values).reshape(-1)
+    return zstandard.ZstdCompressor(level=1).compress(flat.view(np.uint8).reshape(len(flat), flat.itemsize).T.tobytes())
 
 
 def _unpack(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
-def _pack_sorted(values: np.ndarray) -> bytes:
-    return _pack(np.diff(values, prepend=0).astype("<u4"))
+def _pack_steps(values: np.ndarray) -> bytes:
+    """Of unsigned values; steps down wrap around."""
+    return _pack(np.diff(values, prepend=values.dtype.type(0)))
 
 
-def _unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(data, "<u4").astype(np.int64))
+def _unpack_steps(data: bytes, kind: str = "<u8") -> np.ndarray:
+    return np.cumsum(_unpack(data, kind), dtype=kind)
 
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % shards
+def mixed(keys: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    keys = (keys ^ (keys >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    keys = (keys ^ (keys >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return keys ^ (keys >> np.uint64(31))
 
 
-def numbered(text: bytes | None, numbers: dict[bytes, int]) -> np.ndarray:
-    words = (text or b"").split()
-    get = numbers.get
-    return np.fromiter((get(w, UNKNOWN) for w in words), dtype=np.int64, count=len(words))
+def pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The key of a bigram."""
+    return mixed(first * np.uint64(0x9E3779B97F4A7C15) + mixed(second))
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    def rows(counts):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+def shard_of(words: np.ndarray, shards: int) -> np.ndarray:
+    return (mixed(words) >> np.uint64(33)).astype(np.int64) % shards
 
-    def run(batches):
-        counts: Counter[bytes] = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update((text.as_py() or b"").split())
-            if len(counts) > 500_000:
-                yield rows(counts)
-                counts.clear()
-        yield rows(counts)
 
-    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+class Hashes(dict):
+    """word -> 64-bit hash, of the words seen lately."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = value = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return value
+
+    def of(self, text: bytes | None) -> np.ndarray:
+        words = (text or b"").split()
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def _before(words: np.ndarray) -> np.ndarray:
+    return np.concatenate((np.array([BEGIN], dtype=np.uint64), words[:-1]))
+
 
+def _slices(place: np.ndarray):
+    """(value, rows that have it, in order) of each value."""
+    by = np.argsort(place, kind="stable")
+    values, starts = np.unique(place[by], return_index=True)
+    return zip(values.tolist(), np.split(by, starts[1:]))
 
-def count_bigrams(texts: DataFrame, numbers: dict[bytes, int], shards: int) -> DataFrame:
-    """shard, keys, counts: one row per shard, the keys sorted."""
-    shared = texts.sparkSession.sparkContext.broadcast(numbers)
 
-    def rows(parts: list[np.ndarray]) -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.int64),) * 2
-        place = shard_of(keys, shards)
-        out = [(s, _pack_sorted(keys[at]), _pack(counts[at].astype("<i8")))
-               for s in range(shards) if (at := place == s).any()]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(
-            (pa.int32(), pa.binary(), pa.binary()))], ["shard", "keys", "counts"])
+def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where a new key starts in rows sorted by the keys."""
+    new = np.zeros(len(sorted_keys[0]), dtype=bool)
+    new[:1] = True
+    for k in sorted_keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _columns(counts: np.ndarray) -> np.ndarray:
+    """FOLDS x n counts -> columns of Totals x n."""
+    total = counts.sum(axis=0)
+    return np.concatenate((total - counts, total[None]))
+
+
+def _summed(first: np.ndarray, second: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((second, first))
+    first, second = first[order], second[order]
+    at = _starts(first, second)
+    return first[at], second[at], np.add.reduceat(counts[:, order], at, axis=1) if len(at) else counts
+
+
+def count_bigrams(docs: DataFrame, shards: int) -> DataFrame:
+    """shard, firsts, seconds, counts by fold: one row per shard, sorted by first and second word."""
+
+    def rows(parts) -> pa.RecordBatch:
+        first, second, fold = (np.concatenate(p) for p in zip(*parts))
+        counts = np.zeros((FOLDS, len(first)), dtype=np.int64)
+        counts[fold, np.arange(len(first))] = 1
+        first, second, counts = _summed(first, second, counts)
+        return pa.RecordBatch.from_pylist(
+            [{"shard": s, "firsts": _pack_steps(first[at]), "seconds": _pack(second[at]), "counts": _pack(counts[:, at])}
+             for s, at in _slices(shard_of(first, shards))], PACKED)
 
     def run(batches):
-        parts, held = [], 0
+        hashes, parts, held = Hashes(), [], 0
         for batch in batches:
-            for text in batch.column(0):
-                ids = numbered(text.as_py(), shared.value)
-                if len(ids):
-                    parts.append(np.concatenate(([BEGIN], ids[:-1])) * RADIX + ids)
-                    held += len(ids)
+            for text, fold in zip(batch.column(0), batch.column(1).to_pylist()):
+                words = hashes.of(text.as_py())
+                if len(words):
+                    parts.append((_before(words), words, np.full(len(words), fold, dtype=np.int8)))
+                    held += len(words)
                 if held > CHUNK_WORDS:
                     yield rows(parts)
                     parts, held = [], 0
-        yield rows(parts)
+        if parts:
+            yield rows(parts)
 
     def merge(table):
-        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist()):
-            keys, at = np.unique(np.concatenate((keys, _unpack_sorted(k))), return_inverse=True)
-            counts = np.bincount(at, weights=np.concatenate((counts, _unpack(c, "<i8")))).astype(np.int64)
-        return pa.table({"shard": table.column("shard").slice(0, 1), "keys": pa.array([_pack_sorted(keys)], pa.binary()),
-                         "counts": pa.array([_pack(counts.astype("<i8"))], pa.binary())})
-
-    schema = "shard int, keys binary, counts binary"
+        columns = [[], [], []]
+        for f, s, c in zip(*(table.column(k).to_pylist() for k in ("firsts", "seconds", "counts"))):
+            for column, value in zip(columns, (_unpack_steps(f), _unpack(s, "<u8"), _unpack(c, "<i8").reshape(FOLDS, -1))):
+                column.append(value)
+        first, second, counts = _summed(*(np.concatenate(c, axis=-1) for c in columns))
+        return pa.Table.from_pylist([{"shard": table.column("shard")[0].as_py(), "firsts": _pack_steps(first),
+                                      "seconds": _pack(second), "counts": _pack(counts)}], PACKED)
+
+    schema = "shard int, firsts binary, seconds binary, counts binary"
+    texts = docs.select(F.col("text").cast("binary").alias("text"), fold_of(docs).alias("fold"))
     return texts.mapInArrow(run, schema).groupBy("shard").applyInArrow(merge, schema)
 
 
+def fold_of(docs: DataFrame):
+    """The fold of a text: copies of it are in the same one."""
+    return F.pmod(F.xxhash64(docs["text"].cast("binary")), F.lit(FOLDS)).cast("int")
+
+
 def discounts(occurring: np.ndarray) -> np.ndarray:
     """The three discounts of modified Kneser-Ney from how many n-grams occur 1, 2, 3 and 4 times."""
     n1, n2, n3, n4 = (max(float(x), 1.0) for x in occurring)
@@ -155,159 +208,223 @@ def discounts(occurring: np.ndarray) -> np.ndarray:
     return np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.05, [1.0, 2.0, 3.0])
 
 
-def unigrams(model: DataFrame, numbers: dict[bytes, int], unknown_types: int) -> Unigrams:
-    """What is as long as the vocabulary; every shard sends at most one row per number, Spark adds them up."""
-    columns = ["once", "twice", "more", "total", "before", "to_unknown", "from_unknown", "n1", "n2", "n3", "n4"]
+def _occurring(counts: np.ndarray) -> list[list[int]]:
+    """Per column: how many counts are 1, 2, 3, 4, are any, and their sum."""
+    return [[int((c == k).sum()) for k in (1, 2, 3, 4)] + [int((c > 0).sum()), int(c.sum())] for c in counts]
 
-    def run(batches):
+
+def second_words(counted: DataFrame, shards: int) -> DataFrame:
+    """In how many bigrams each word comes second, by column: for the shard of the word (source -1), and for every shard that has
+    a bigram with it. `occurring` describes the bigrams (source -2) or the words (source -1) of a shard."""
+    schema = pa.schema([("shard", pa.int32()), ("source", pa.int32()), ("words", pa.binary()), ("before", pa.binary()),
+                        ("occurring", pa.list_(pa.list_(pa.int64())))])
+    written = "shard int, source int, words binary, before binary, occurring array<array<bigint>>"
+
+    def ask(batches):
         for batch in batches:
-            for k, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                keys, counts = _unpack_sorted(k), _unpack(c, "<i8")
-                v, w = keys // RADIX, keys % RADIX
-                sums = np.zeros((len(columns), RADIX), dtype=np.int64)
-                for row, (at, weight) in enumerate((
-                        (v, counts == 1), (v, counts == 2), (v, counts > 2), (v, counts), (w, np.ones(len(w))),
-                        (v, counts * (w == UNKNOWN)), (w, counts * (v == UNKNOWN)))):
-                    sums[row] = np.bincount(at, weights=weight, minlength=RADIX)
-                sums[7:, 0] = [(counts == n).sum() for n in (1, 2, 3, 4)]
-                used = np.flatnonzero(sums.any(axis=0))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(used, pa.int64()), *(pa.array(s[used], pa.int64()) for s in sums)], ["number", *columns])
-
-    sums = model.mapInArrow(run, "number long, " + ", ".join(f"{c} long" for c in columns))
-    found = sums.groupBy("number").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
-    at = {c: np.zeros(RADIX) for c in columns}
-    for c in columns:
-        at[c][found["number"]] = found[c]
-    d = discounts(np.array([at[f"n{k}"][0] for k in (1, 2, 3, 4)]))
-    before = at["before"]  # in how many bigrams each word comes second
-    low = discounts(np.array([(before == k).sum() for k in (1, 2, 3, 4)]))
-    types = max(before.sum(), 1.0)
-    cut = low[np.clip(before.astype(int), 1, 3) - 1] * (before > 0)
-    left = cut.sum() / types if before.any() else 1.0
-    p = (before - cut) / types + left / (VOCABULARY + 1)
-    total = at["total"]
-    given = d[0] * at["once"] + d[1] * at["twice"] + d[2] * at["more"]
-    weight = np.where(total > 0, given / np.maximum(total, 1), 1.0)
-    log_p, back = np.log(p), np.log(np.maximum(weight, 1e-12))
-
-    def above(counts, context_total, context_back, word):
-        seen = (counts - d[np.clip(counts.astype(int), 1, 3) - 1]) / np.maximum(context_total, 1)
-        probability = seen + np.exp(context_back + word)
-        return np.where(counts > 0, np.log(np.maximum(probability, 1e-300)) - context_back - word, 0.0)
-
-    to_unknown = above(at["to_unknown"], total, back, log_p[UNKNOWN])
-    from_unknown = above(at["from_unknown"], total[UNKNOWN], back[UNKNOWN], log_p)
-    log_p[UNKNOWN] -= np.log(max(unknown_types, 1))
-    return Unigrams(numbers, log_p, back, to_unknown, from_unknown, d, total)
-
-
-def train(docs: DataFrame) -> tuple[DataFrame, Unigrams, int]:
-    """(bigram counts by shard, what is broadcast, number of shards), from trusted documents."""
-    texts = _texts(docs)
-    words = store(count_words(texts), "lm_words")
-    size, total = words.agg(F.count(F.lit(1)), F.sum("n")).first()
-    common = words.orderBy(F.col("n").desc(), "word").limit(VOCABULARY).toPandas()
-    numbers = {bytes(w): i + 1 for i, w in enumerate(common["word"])}
-    shards = max(SHARDS, -(-(total or 0) // SHARD_WORDS))
-    model = store(count_bigrams(texts, numbers, shards), "lm_bigrams")
-    return model, unigrams(model, numbers, size - len(numbers)), shards
-
-
-def chunks(docs: DataFrame, shared, shards: int) -> DataFrame:
-    """Per chunk a header (shard -1: ids, languages, words, sums so far) and the bigrams of known words, by shard."""
+            for shard, s, c in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
+                second, counts = _unpack(s, "<u8"), _columns(_unpack(c, "<i8").reshape(FOLDS, -1))
+                order = np.argsort(second, kind="stable")
+                at = _starts(second[order])
+                word, before = second[order][at], np.add.reduceat((counts[:, order] > 0).astype(np.int64), at, axis=1)
+                out = [{"shard": to, "source": shard, "words": _pack_steps(word[a]), "before": _pack(before[:, a])}
+                       for to, a in _slices(shard_of(word, shards))]
+                out.append({"shard": shard, "source": -2, "occurring": _occurring(counts)})
+                yield pa.RecordBatch.from_pylist(out, schema)
+
+    def answer(table):
+        rows = table.to_pylist()
+        asked = [(r["source"], _unpack_steps(r["words"]), _unpack(r["before"], "<i8").reshape(FOLDS + 1, -1))
+                 for r in rows if r["source"] >= 0]
+        out = [r for r in rows if r["source"] == -2]
+        if asked:
+            word, before = (np.concatenate([a[k] for a in asked], axis=-1) for k in (1, 2))
+            order = np.argsort(word, kind="stable")
+            at = _starts(word[order])
+            word, before = word[order][at], np.add.reduceat(before[:, order], at, axis=1)
+            out.append({"shard": rows[0]["shard"], "source": -1, "words": _pack_steps(word), "before": _pack(before),
+                        "occurring": _occurring(before)})
+            out += [{"shard": source, "source": rows[0]["shard"], "words": _pack_steps(w),
+                     "before": _pack(before[:, np.searchsorted(word, w)])} for source, w, _ in asked]
+        return pa.Table.from_pylist(out, schema)
+
+    return counted.mapInArrow(ask, written).groupBy("shard").applyInArrow(answer, written)
+
+
+def totals(seconds: DataFrame) -> Totals:
+    one = F.posexplode("occurring").alias("fold", "n")
+    found = seconds.where("source < 0").select("source", one).groupBy("source", "fold").agg(
+        *[F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(6)]).collect()
+    n = np.zeros((2, FOLDS + 1, 6))
+    for row in found:
+        n[row["source"] + 2, row["fold"]] = row[2:]
+    high, low = (np.array([discounts(c[:4]) for c in part]) for part in n)
+    words = n[1]
+    cut = (low * np.stack((words[:, 0], words[:, 1], words[:, 4] - words[:, 0] - words[:, 1]), axis=1)).sum(axis=1)
+    types = np.maximum(words[:, 5], 1)
+    left = np.where(words[:, 5] > 0, cut / types, 1.0)
+    return Totals(high, low, types, left / (np.maximum(words[:, 4], VOCABULARY) + 1))
+
+
+def values(counted: DataFrame, seconds: DataFrame, learned: Totals) -> DataFrame:
+    """shard, keys, gains: the sorted keys of a shard and, per column, what each adds to a log probability."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        keys, gains = [], []
+        first = np.empty(0, np.uint64)
+        log_weight = np.empty((FOLDS + 1, 0))
+        if len(left):
+            row = left.iloc[0]
+            first, second = _unpack_steps(row["firsts"]), _unpack(row["seconds"], "<u8")
+            asked = right[right["source"] >= 0]
+            word = np.concatenate([_unpack_steps(w) for w in asked["words"]])
+            before = np.concatenate([_unpack(b, "<i8").reshape(FOLDS + 1, -1) for b in asked["before"]], axis=1)
+            order = np.argsort(word)
+            where = order[np.searchsorted(word, second, sorter=order)]
+            counts = _columns(_unpack(row["counts"], "<i8").reshape(FOLDS, -1))
+            at = _starts(first)
+            of = np.repeat(np.arange(len(at)), np.diff(at, append=len(first)))
+            log_weight = np.zeros((FOLDS + 1, len(at)))
+            gain = np.zeros(counts.shape, dtype="<f4")
+            for k, c in enumerate(counts):
+                cut = np.where(c > 0, learned.discounts[k][np.clip(c, 1, 3) - 1], 0.0)
+                total = np.add.reduceat(c, at)
+                weight = np.where(total > 0, np.add.reduceat(cut, at) / np.maximum(total, 1), 1.0)
+                log_weight[k] = np.log(weight)
+                back = weight[of] * learned._replace(low=learned.low[k : k + 1], types=learned.types[k : k + 1],
+                                                     unknown=learned.unknown[k : k + 1]).lower(before[k : k + 1])[0][where]
+                gain[k] = np.where(c > 0, np.log(((c - cut) / np.maximum(total[of], 1) + back) / back), 0.0)
+            keys.append(pair(first, second))
+            gains.append(gain)
+            first = first[at]
+            begin = np.flatnonzero(first == np.uint64(BEGIN))
+            keys.append(first[begin])
+            gains.append(log_weight[:, begin])
+        own = right[right["source"] == -1]
+        if len(own):
+            word = _unpack_steps(own["words"].iloc[0])
+            before = _unpack(own["before"].iloc[0], "<i8").reshape(FOLDS + 1, -1)
+            weight = np.zeros(before.shape)
+            shared, at, of = np.intersect1d(word, first, assume_unique=True, return_indices=True)
+            weight[:, at] = log_weight[:, of]
+            keys += [word, pair(shared, np.array([END], dtype=np.uint64))]
+            gains += [np.log(learned.lower(before) / learned.unknown[:, None]) + weight, -weight[:, at]]
+        if not keys:
+            return pd.DataFrame({"shard": [], "keys": [], "gains": []})
+        key = np.concatenate(keys)
+        order = np.argsort(key)
+        shard = (left if len(left) else right)["shard"].iloc[0]
+        return pd.DataFrame({"shard": [shard], "keys": [_pack_steps(key[order])],
+                             "gains": [_pack(np.concatenate(gains, axis=1)[:, order].astype("<f4"))]})
+
+    asked = seconds.where("source >= -1").select("shard", "source", "words", "before")
+    return counted.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(run, "shard int, keys binary, gains binary")
+
+
+def train(docs: DataFrame) -> tuple[DataFrame, Totals, int]:
+    """(keys and gains by shard, what is broadcast, number of shards), from trusted documents."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(SHARDS, -(-size // (4 * SHARD_WORDS)))
+    counted = store(count_bigrams(docs, shards), "lm_bigrams")
+    seconds = store(second_words(counted, shards), "lm_words")
+    learned = totals(seconds)
+    return store(values(counted, seconds, learned), "lm_values"), learned, shards
+
+
+def chunks(docs: DataFrame, shards: int) -> DataFrame:
+    """Per chunk a header (ids, languages, folds, words) and the keys of its documents, by shard."""
     schema = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()),
-                        ("members", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())),
-                        ("words", pa.list_(pa.int64())), ("logs", pa.list_(pa.float64()))])
-
-    def rows(chunk, ids, langs, numbers):
-        model = shared.value
-        logs = np.zeros(len(ids))
-        keys, members = [], []
-        for i, w in enumerate(numbers):
-            v = np.concatenate(([BEGIN], w[:-1])) if len(w) else w
-            logs[i] = model.known[w].sum() + model.back_off[v].sum() + model.to_unknown[v[w == UNKNOWN]].sum() + \
-                model.from_unknown[w[(v == UNKNOWN) & (w != UNKNOWN)]].sum()
-            both = (v != UNKNOWN) & (w != UNKNOWN)
-            keys.append(v[both] * RADIX + w[both])
-            members.append(np.full(len(keys[-1]), i, dtype=np.uint16))
-        words = [len(w) for w in numbers]
-        out = [{"chunk": chunk, "shard": -1, "doc_ids": ids, "langs": langs, "words": words, "logs": logs.tolist()}]
-        key, member = np.concatenate(keys), np.concatenate(members)
-        order = np.argsort(key, kind="stable")
-        key, member = key[order], member[order]
-        place = shard_of(key, shards)
-        by = np.argsort(place, kind="stable")
-        for s, at in zip(*(lambda u, i: (u, np.split(by, i[1:])))(*np.unique(place[by], return_index=True))):
-            unique, sizes = np.unique(key[at], return_counts=True)
-            out.append({"chunk": chunk, "shard": int(s), "keys": _pack_sorted(unique), "sizes": _pack(sizes.astype("<u4")),
-                        "members": _pack(member[at].astype("<u2"))})
+                        ("members", pa.binary()), ("columns", pa.binary()), ("doc_ids", pa.list_(pa.int64())),
+                        ("langs", pa.list_(pa.string())), ("folds", pa.list_(pa.int32())), ("words", pa.list_(pa.int64()))])
+
+    def rows(chunk, ids, langs, folds, hashed):
+        columns = np.array([FOLDS if f is None else f for f in folds], dtype=np.uint8)
+        out = [{"chunk": chunk, "shard": chunk % shards, "doc_ids": ids, "langs": langs, "folds": folds,
+                "words": [len(w) for w in hashed]}]
+        texts = [(i, w) for i, w in enumerate(hashed) if len(w)]
+        if texts:
+            word, first = np.concatenate([w for _, w in texts]), np.concatenate([_before(w) for _, w in texts])
+            last = np.array([w[-1] for _, w in texts], dtype=np.uint64)
+            begin = np.full(len(last), BEGIN, dtype=np.uint64)
+            number = np.array([i for i, _ in texts], dtype=np.uint16)
+            member = np.repeat(number, [len(w) for _, w in texts])
+            key = np.concatenate((word, pair(first, word), pair(last, np.array([END], dtype=np.uint64)), begin))
+            place = shard_of(np.concatenate((word, first, last, begin)), shards).astype(np.int16 if shards < 32768 else np.int64)
+            member = np.concatenate((member, member, number, number))
+            del word, first
+            for s, at in _slices(place):
+                at = at[np.argsort(key[at], kind="stable")]
+                unique, sizes = np.unique(key[at], return_counts=True)
+                out.append({"chunk": chunk, "shard": s, "keys": _pack_steps(unique), "sizes": _pack(sizes.astype("<u4")),
+                            "members": _pack_steps(member[at].astype("<u2")), "columns": _pack(columns)})
         return pa.RecordBatch.from_pylist(out, schema)
 
     def run(batches):
         part, made = TaskContext.get().partitionId(), 0
-        ids, langs, numbers, held = [], [], [], 0
+        hashes = Hashes()
+        ids, langs, folds, hashed, held = [], [], [], [], 0
         for batch in batches:
-            for doc_id, lang, text in zip(*(batch.column(k) for k in range(3))):
+            for doc_id, lang, text, fold in zip(*(batch.column(k) for k in range(4))):
                 ids.append(doc_id.as_py())
                 langs.append(lang.as_py())
-                numbers.append(numbered(text.as_py(), shared.value.numbers))
-                held += len(numbers[-1])
+                folds.append(fold.as_py())
+                hashed.append(hashes.of(text.as_py()))
+                held += len(hashed[-1])
                 if held >= CHUNK_WORDS or len(ids) >= CHUNK_DOCS:
-                    yield rows((part << 32) + made, ids, langs, numbers)
-                    ids, langs, numbers, held, made = [], [], [], 0, made + 1
+                    yield rows((part << 32) + made, ids, langs, folds, hashed)
+                    ids, langs, folds, hashed, held, made = [], [], [], [], 0, made + 1
         if ids:
-            yield rows((part << 32) + made, ids, langs, numbers)
+            yield rows((part << 32) + made, ids, langs, folds, hashed)
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("binary"))
-    return texts.mapInArrow(run, "chunk long, shard int, keys binary, sizes binary, members binary, doc_ids array<long>, "
-                                 "langs array<string>, words array<long>, logs array<double>")
+    fold = F.col("fold") if "fold" in docs.columns else F.lit(None).cast("int")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("binary"), fold)
+    return texts.mapInArrow(run, "chunk long, shard int, keys binary, sizes binary, members binary, columns binary, "
+                                 "doc_ids array<long>, langs array<string>, folds array<int>, words array<long>")
 
 
-def score(docs: DataFrame, model: DataFrame, learned: Unigrams, shards: int) -> DataFrame:
-    """doc_id, lang, n_words, log_probability of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(learned)
-    cut = store(chunks(docs, shared, shards), "lm_chunks")
-    sent = cut.where("shard >= 0").select("chunk", "shard", "keys", "sizes", "members")
-    total = sent.agg(F.sum(F.length("keys") + F.length("sizes") + F.length("members"))).first()[0] or 0
-    salts = max(1, -(-total // (SALT_BYTES * shards)))
-    sent = sent.withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)))
-    counted = model.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+def score(docs: DataFrame, model: DataFrame, learned: Totals, shards: int) -> DataFrame:
+    """doc_id, lang, fold, n_words, log_probability of every row. A row with a `fold` is scored without the texts of that fold."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    salts = max(1, -(-2 * size // (SALT_BYTES * shards)))
+    sent = chunks(docs, shards).withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)))
+    held = model.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    heads = ["doc_ids", "langs", "folds", "words"]
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        of = shared.value
+        keys = np.empty(0, np.uint64)
         if len(right):
-            keys, counts = _unpack_sorted(right["keys"].iloc[0]), _unpack(right["counts"].iloc[0], "<i8")
-            v, w = keys // RADIX, keys % RADIX
-            lower = of.back_off[v] + of.known[w]
-            p = (counts - of.discounts[np.clip(counts, 1, 3) - 1]) / of.totals[v] + np.exp(lower)
-            extra = np.log(p) - lower
+            keys = _unpack_steps(right["keys"].iloc[0])
+            gains = _unpack(right["gains"].iloc[0], "<f4").reshape(FOLDS + 1, -1)
         out = []
-        for chunk, k, sizes, members in zip(left["chunk"], left["keys"], left["sizes"], left["members"]):
-            sums = np.zeros(0)
-            if len(right) and len(keys):
-                asked = _unpack_sorted(k)
+        for row in left.itertuples(index=False):
+            if row.keys is None:
+                out.append((row.chunk, None, row.doc_ids, row.langs, row.folds, row.words))
+            elif len(keys):
+                asked = _unpack_steps(row.keys)
                 at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-                gain = np.where(keys[at] == asked, extra[at], 0.0)
-                sums = np.bincount(_unpack(members, "<u2"), weights=np.repeat(gain, _unpack(sizes, "<u4")))
-            out.append((chunk, _pack(sums.astype("<f4"))))
-        return pd.DataFrame(out, columns=["chunk", "sums"])
-
-    answers = sent.groupBy("shard", "salt").cogroup(counted.groupBy("shard", "salt")).applyInPandas(
-        answer, "chunk long, sums binary")
-
-    def total_of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        head = left.iloc[0]
-        logs = np.array(head["logs"], dtype=np.float64)
-        for data in right["sums"]:
+                at = np.repeat(np.where(keys[at] == asked, at, -1), _unpack(row.sizes, "<u4"))
+                members, columns = _unpack_steps(row.members, "<u2"), _unpack(row.columns, "u1")
+                gain = np.where(at >= 0, gains[columns[members], at], 0.0)
+                out.append((row.chunk, _pack(np.bincount(members, weights=gain).astype("<f4")), None, None, None, None))
+        return pd.DataFrame(out, columns=["chunk", "sums", *heads])
+
+    answers = sent.groupBy("shard", "salt").cogroup(held.groupBy("shard", "salt")).applyInPandas(
+        answer, "chunk long, sums binary, doc_ids array<long>, langs array<string>, folds array<int>, words array<long>")
+    unknown = np.log(learned.unknown)
+
+    def total_of(rows: pd.DataFrame) -> pd.DataFrame:
+        head = rows[rows["sums"].isna()].iloc[0]
+        folds = pd.array(head["folds"], dtype="Int32")
+        words = np.asarray(head["words"], dtype=np.int64)
+        logs = words * unknown[folds.fillna(FOLDS).to_numpy(dtype=np.int64)]
+        for data in rows["sums"].dropna():
             sums = _unpack(data, "<f4")
             logs[: len(sums)] += sums
-        return pd.DataFrame({"doc_id": pd.array(head["doc_ids"], dtype="Int64"), "lang": head["langs"],
-                             "n_words": head["words"], "log_probability": logs})
+        return pd.DataFrame({"doc_id": pd.array(head["doc_ids"], dtype="Int64"), "lang": head["langs"], "fold": folds,
+                             "n_words": words, "log_probability": logs})
 
-    heads = cut.where("shard = -1").select("chunk", "doc_ids", "langs", "words", "logs")
-    return heads.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
-        total_of, "doc_id long, lang string, n_words long, log_probability double")
+    return answers.groupBy("chunk").applyInPandas(
+        total_of, "doc_id long, lang string, fold int, n_words long, log_probability double")
 
 
 def judge(scored: DataFrame) -> DataFrame:

@@ -264,6 +264,21 @@ def test_quality_model_matches_the_formulas(spark, small, monkeypatch):
         assert row.log_probability == pytest.approx(log(text), rel=1e-4, abs=1e-3)
 
 
+def test_quality_model_has_every_trusted_word(spark, monkeypatch):
+    make = random.Random(8)
+    rows = [(k, " ".join(f"w{i}" for i in make.choices(range(k * 2000, k * 2000 + 2000), k=6000)), "a") for k in range(12)]
+    rows.append((12, " ".join(f"rare{i} w{i}" for i in range(3000)), "a"))
+    docs = spark.createDataFrame([*rows, (13, "rare7 w7 rare9 unseen w9 rare2", "b")], "doc_id long, text string, lang string")
+    found = quality_lm.score(docs, *quality_lm.train(docs.where("doc_id < 13"))).collect()
+    words = sorted({w for _, t, _ in rows for w in t.encode().split()})
+    assert len(words) > quality_lm.VOCABULARY
+    monkeypatch.setattr(quality_lm, "VOCABULARY", len(words))
+    log = kneser_ney([t.encode() for _, t, _ in rows], words)
+    text_of = {r.doc_id: r.text.encode() for r in docs.collect()}
+    for row in found:
+        assert row.log_probability == pytest.approx(log(text_of[row.doc_id]), rel=1e-4, abs=1e-3)
+
+
 def test_quality_verdicts(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (2, 0, 0), (3, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     found = quality_lm.classify(odd, labels).collect()
