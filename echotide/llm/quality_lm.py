@@ -5,13 +5,16 @@ are 64-bit hashes, and a shard holds all bigrams whose first word hashes to it.
 the lower order that is spread evenly over the known words and one unknown word, over VOCABULARY words at least.
 
 The log probability of a text is a sum over keys: one per word (lower order, and its weight as the context of the next word),
-one per bigram (what it is above that), one each for the first and last place. The model is a sharded table of keys and values
-and the sum is a join with it; only totals, such as how many n-grams occur once, are broadcast. Tasks group the keys of a chunk
-of documents by shard and send sorted keys and document numbers, delta-coded and compressed; a shard answers one partial sum
-per document. Groups of the join are bounded: a shard by SHARD_WORDS, the chunks it meets by SALT_BYTES.
+one per bigram (what it is above that), one each for the first and last place. The model is a sharded table of counts, of which
+a shard makes the values of its keys, and the sum is a join with it; only totals, such as how many n-grams occur once, are
+broadcast. Tasks group the keys of a chunk of documents by shard and send sorted keys and document numbers, delta-coded and
+compressed; a shard answers one partial sum per document. Groups of the join are bounded: a shard by SHARD_WORDS, the chunks it
+meets by SALT_BYTES.
 
-A document is rejected when its log perplexity, drawn towards the median of its language by PRIOR words, exceeds the third
-quartile of its language by more than FENCE interquartile ranges. Quantiles are over all documents of the language.
+A document is rejected when its log perplexity, drawn towards the median of its language by PRIOR words, exceeds the quantile
+LEVEL of its language. Median and quantile are those of trusted documents, each scored by a model without the trusted texts of
+its own fold (FOLDS folds by a hash of the text, so copies share one), that is, as a document the model has not seen. A language
+without trusted documents takes the median and quantile of all trusted documents.
 
 Defined cases: a null or empty text, or one without words, has no perplexity and is rejected. A null language is a language
 of its own. Every row is scored by itself, whatever its doc_id. Other columns take no part. Without trusted text every word is
@@ -41,7 +44,7 @@ CACHE_WORDS = 500_000  # hashes that a task remembers
 BROADCAST_IDS = 4_000_000  # up to so many trusted ids go to every task, beyond they are joined by a shuffle
 FOLDS = 4
 PRIOR = 20.0
-FENCE = 2.0
+LEVEL = 0.98
 BEGIN, END = 0x5BE6_1CE5_7A97_0F31, 0x2E4D_D0C5_A1B7_93E9  # stand for the place before the first word and after the last
 PACKED = pa.schema([("shard", pa.int32()), ("firsts", pa.binary()), ("seconds", pa.binary()), ("counts", pa.binary())])
 
@@ -266,69 +269,55 @@ def totals(seconds: DataFrame) -> Totals:
     return Totals(high, low, types, left / (np.maximum(words[:, 4], VOCABULARY) + 1))
 
 
-def values(counted: DataFrame, seconds: DataFrame, learned: Totals) -> DataFrame:
-    """shard, keys, gains: the sorted keys of a shard and, per column, what each adds to a log probability."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        keys, gains = [], []
-        first = np.empty(0, np.uint64)
-        log_weight = np.empty((FOLDS + 1, 0))
-        if len(left):
-            row = left.iloc[0]
-            first, second = _unpack_steps(row["firsts"]), _unpack(row["seconds"], "<u8")
-            asked = right[right["source"] >= 0]
-            word = np.concatenate([_unpack_steps(w) for w in asked["words"]])
-            before = np.concatenate([_unpack(b, "<i8").reshape(FOLDS + 1, -1) for b in asked["before"]], axis=1)
-            order = np.argsort(word)
-            where = order[np.searchsorted(word, second, sorter=order)]
-            counts = _columns(_unpack(row["counts"], "<i8").reshape(FOLDS, -1))
-            at = _starts(first)
-            of = np.repeat(np.arange(len(at)), np.diff(at, append=len(first)))
-            log_weight = np.zeros((FOLDS + 1, len(at)))
-            gain = np.zeros(counts.shape, dtype="<f4")
-            for k, c in enumerate(counts):
-                cut = np.where(c > 0, learned.discounts[k][np.clip(c, 1, 3) - 1], 0.0)
-                total = np.add.reduceat(c, at)
-                weight = np.where(total > 0, np.add.reduceat(cut, at) / np.maximum(total, 1), 1.0)
-                log_weight[k] = np.log(weight)
-                back = weight[of] * learned._replace(low=learned.low[k : k + 1], types=learned.types[k : k + 1],
-                                                     unknown=learned.unknown[k : k + 1]).lower(before[k : k + 1])[0][where]
-                gain[k] = np.where(c > 0, np.log(((c - cut) / np.maximum(total[of], 1) + back) / back), 0.0)
-            keys.append(pair(first, second))
-            gains.append(gain)
-            first = first[at]
-            begin = np.flatnonzero(first == np.uint64(BEGIN))
-            keys.append(first[begin])
-            gains.append(log_weight[:, begin])
-        own = right[right["source"] == -1]
-        if len(own):
-            word = _unpack_steps(own["words"].iloc[0])
-            before = _unpack(own["before"].iloc[0], "<i8").reshape(FOLDS + 1, -1)
-            weight = np.zeros(before.shape)
-            shared, at, of = np.intersect1d(word, first, assume_unique=True, return_indices=True)
-            weight[:, at] = log_weight[:, of]
-            keys += [word, pair(shared, np.array([END], dtype=np.uint64))]
-            gains += [np.log(learned.lower(before) / learned.unknown[:, None]) + weight, -weight[:, at]]
-        if not keys:
-            return pd.DataFrame({"shard": [], "keys": [], "gains": []})
-        key = np.concatenate(keys)
-        order = np.argsort(key)
-        shard = (left if len(left) else right)["shard"].iloc[0]
-        return pd.DataFrame({"shard": [shard], "keys": [_pack_steps(key[order])],
-                             "gains": [_pack(np.concatenate(gains, axis=1)[:, order].astype("<f4"))]})
-
-    asked = seconds.where("source >= -1").select("shard", "source", "words", "before")
-    return counted.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(run, "shard int, keys binary, gains binary")
+def gains(rows: pd.DataFrame, learned: Totals) -> tuple[np.ndarray, np.ndarray]:
+    """Of a shard of the model: its sorted keys and, per column, what each adds to a log probability."""
+    keys, out = [np.empty(0, np.uint64)], [np.empty((FOLDS + 1, 0), dtype="<f4")]
+    first, log_weight = np.empty(0, np.uint64), np.empty((FOLDS + 1, 0))
+    for row in rows[rows["firsts"].notna()].itertuples():
+        first, second = _unpack_steps(row.firsts), _unpack(row.seconds, "<u8")
+        asked = rows[rows["source"] >= 0]
+        word = np.concatenate([_unpack_steps(w) for w in asked["words"]])
+        before = np.concatenate([_unpack(b, "<i8").reshape(FOLDS + 1, -1) for b in asked["before"]], axis=1)
+        order = np.argsort(word)
+        where = order[np.searchsorted(word, second, sorter=order)]
+        lower = learned.lower(before)
+        at = _starts(first)
+        of = np.repeat(np.arange(len(at)), np.diff(at, append=len(first)))
+        counts = _columns(_unpack(row.counts, "<i8").reshape(FOLDS, -1))
+        log_weight, gain = np.zeros((FOLDS + 1, len(at))), np.zeros(counts.shape, dtype="<f4")
+        for k, c in enumerate(counts):
+            cut = np.where(c > 0, learned.discounts[k][np.clip(c, 1, 3) - 1], 0.0)
+            total = np.add.reduceat(c, at)
+            weight = np.where(total > 0, np.add.reduceat(cut, at) / np.maximum(total, 1), 1.0)
+            log_weight[k] = np.log(weight)
+            back = weight[of] * lower[k][where]
+            gain[k] = np.where(c > 0, np.log(((c - cut) / np.maximum(total[of], 1) + back) / back), 0.0)
+        keys.append(pair(first, second))
+        out.append(gain)
+        first = first[at]
+        begin = np.flatnonzero(first == np.uint64(BEGIN))
+        keys.append(first[begin])
+        out.append(log_weight[:, begin])
+    for row in rows[rows["source"] == -1].itertuples():
+        word, before = _unpack_steps(row.words), _unpack(row.before, "<i8").reshape(FOLDS + 1, -1)
+        weight = np.zeros(before.shape)
+        shared, at, of = np.intersect1d(word, first, assume_unique=True, return_indices=True)
+        weight[:, at] = log_weight[:, of]
+        keys += [word, pair(shared, np.array([END], dtype=np.uint64))]
+        out += [np.log(learned.lower(before) / learned.unknown[:, None]) + weight, -weight[:, at]]
+    key = np.concatenate(keys)
+    order = np.argsort(key)
+    return key[order], np.concatenate([g.astype("<f4") for g in out], axis=1)[:, order]
 
 
 def train(docs: DataFrame) -> tuple[DataFrame, Totals, int]:
-    """(keys and gains by shard, what is broadcast, number of shards), from trusted documents."""
+    """(counts by shard, what is broadcast, number of shards), from trusted documents."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(SHARDS, -(-size // (4 * SHARD_WORDS)))
     counted = store(count_bigrams(docs, shards), "lm_bigrams")
     seconds = store(second_words(counted, shards), "lm_words")
-    learned = totals(seconds)
-    return store(values(counted, seconds, learned), "lm_values"), learned, shards
+    asked = seconds.where("source >= -1").select("shard", "source", "words", "before")
+    return counted.unionByName(asked, allowMissingColumns=True), totals(seconds), shards
 
 
 def chunks(docs: DataFrame, shards: int) -> DataFrame:
@@ -391,10 +380,7 @@ def score(docs: DataFrame, model: DataFrame, learned: Totals, shards: int) -> Da
     heads = ["doc_ids", "langs", "folds", "words"]
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        keys = np.empty(0, np.uint64)
-        if len(right):
-            keys = _unpack_steps(right["keys"].iloc[0])
-            gains = _unpack(right["gains"].iloc[0], "<f4").reshape(FOLDS + 1, -1)
+        keys, values = gains(right, learned)
         out = []
         for row in left.itertuples(index=False):
             if row.keys is None:
@@ -404,7 +390,7 @@ def score(docs: DataFrame, model: DataFrame, learned: Totals, shards: int) -> Da
                 at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
                 at = np.repeat(np.where(keys[at] == asked, at, -1), _unpack(row.sizes, "<u4"))
                 members, columns = _unpack_steps(row.members, "<u2"), _unpack(row.columns, "u1")
-                gain = np.where(at >= 0, gains[columns[members], at], 0.0)
+                gain = np.where(at >= 0, values[columns[members], at], 0.0)
                 out.append((row.chunk, _pack(np.bincount(members, weights=gain).astype("<f4")), None, None, None, None))
         return pd.DataFrame(out, columns=["chunk", "sums", *heads])
 
@@ -428,20 +414,29 @@ def score(docs: DataFrame, model: DataFrame, learned: Totals, shards: int) -> Da
 
 
 def judge(scored: DataFrame) -> DataFrame:
-    """Adds log_perplexity, threshold (of the language) and kept."""
-    language = F.coalesce("lang", F.lit(""))
-    rows = store(scored.withColumn("language", language).withColumn(
+    """Adds log_perplexity, threshold (of the language) and kept. Rows with a fold are trusted."""
+    rows = store(scored.withColumn("language", F.coalesce("lang", F.lit(""))).withColumn(
         "own", F.when(F.col("n_words") > 0, -F.col("log_probability") / F.col("n_words"))), "lm_scored")
-    middle = rows.groupBy("language").agg(F.percentile_approx("own", 0.5, 10_000).alias("middle"))
-    drawn = rows.join(middle, "language").withColumn("log_perplexity", F.when(F.col("n_words") > 0, (
-        F.col("own") * F.col("n_words") + F.col("middle") * PRIOR) / (F.col("n_words") + PRIOR)))
-    quarters = drawn.groupBy("language").agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000).alias("q"))
-    fences = quarters.select("language", (F.col("q")[1] + FENCE * (F.col("q")[1] - F.col("q")[0])).alias("threshold"))
-    judged = drawn.join(fences, "language")
-    return judged.select("doc_id", "lang", "n_words", "log_perplexity", "threshold",
-                         F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
+    drawn = _of_language(rows, "own", 0.5, "middle").withColumn("log_perplexity", (
+        F.col("own") * F.col("n_words") + F.coalesce("middle", "own") * PRIOR) / (F.col("n_words") + PRIOR))
+    judged = _of_language(drawn, "log_perplexity", LEVEL, "threshold")
+    within = (F.col("log_perplexity") <= F.col("threshold")) | (F.col("threshold").isNull() & (F.col("n_words") > 0))
+    return judged.select("doc_id", "lang", "n_words", "log_perplexity", "threshold", F.coalesce(within, F.lit(False)).alias("kept"))
+
+
+def _of_language(rows: DataFrame, measure: str, level: float, name: str) -> DataFrame:
+    """Adds the quantile of the trusted rows of a row's language, of all trusted rows if the language has none."""
+    held = rows.where(F.col("fold").isNotNull() & F.col(measure).isNotNull())
+    quantile = F.percentile_approx(measure, level, 10_000)
+    per_language = held.groupBy("language").agg(quantile.alias("of_language"))
+    whole = held.agg(quantile.alias("of_all"))
+    joined = rows.join(F.broadcast(per_language), "language", "left").crossJoin(F.broadcast(whole))
+    return joined.withColumn(name, F.coalesce("of_language", "of_all")).drop("of_language", "of_all")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, n_words, log_perplexity, threshold, kept of every row."""
-    return judge(score(docs, *train(trusted(docs, labels))))
+    ids, same = _trusted_ids(docs, labels)
+    marked = docs.select("doc_id", "lang", "text").join(ids, same, "left")
+    marked = marked.withColumn("fold", F.when(F.col("trusted_id").isNotNull(), fold_of(marked))).drop("trusted_id")
+    return judge(score(marked, *train(marked.where("fold is not null"))))

@@ -287,6 +287,33 @@ def test_quality_verdicts(spark, odd, empty):
     assert quality_lm.classify(empty, labels).count() == 0
 
 
+def test_quality_folds_leave_their_own_texts_out(spark, small, monkeypatch):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    good = quality_lm.trusted(small, labels)
+    good = good.withColumn("fold", quality_lm.fold_of(good)).cache()
+    found = quality_lm.score(good, *quality_lm.train(good)).collect()
+    rows = {r.doc_id: (r.fold, r.text.encode()) for r in good.collect()}
+    logs = []
+    for fold in range(quality_lm.FOLDS):
+        others = [t for f, t in rows.values() if f != fold]
+        logs.append(kneser_ney(others, sorted({w for t in others for w in t.split()})))
+    assert len(found) == len(rows) and {r.fold for r in found} == set(range(quality_lm.FOLDS))
+    for row in found:
+        fold, text = rows[row.doc_id]
+        assert row.fold == fold
+        assert row.log_probability == pytest.approx(logs[fold](text), rel=1e-4, abs=1e-3)
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_quality_rejects_bad_labels_at_every_size(spark, size):
+    folder = f"/root/testdata/{size}"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    found = quality_lm.classify(spark.read.parquet(f"{folder}/documents.parquet"), labels).where("n_words > 0")
+    rejected = {r.quality: r.share for r in found.join(labels, "doc_id").groupBy("quality").agg(
+        F.avg((~F.col("kept")).cast("double")).alias("share")).collect()}
+    assert rejected[0] > 0.8 and rejected[1] < 0.06
+
+
 # -- 5 packing ----------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("which", ["small", "odd"])
