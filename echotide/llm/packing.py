@@ -43,28 +43,28 @@ def _byte_alphabet() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """text -> ids. The ids are those of the `tokenizers` file; its merges are in the order of their ids, so `tiktoken`
-    finds the same ones several times faster, and `tokenizers` steps in where it gives up."""
+    """text -> ids, those of the `tokenizers` file. Its merges are in the order of their ids, so `tiktoken` finds the same ones
+    several times faster; texts that hold an added token, and texts where `tiktoken` gives up, go through `tokenizers`."""
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        file = json.load(f)
+    vocab, added = file["model"]["vocab"], [token["content"] for token in file["added_tokens"]]
     letters = _byte_alphabet()
     ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if all(c in letters for c in token)
-             and not token.startswith("<|")}
+             and token not in added}
     fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    whole: list[Tokenizer] = []
+    whole = Tokenizer.from_file(path)
 
     def encode(text: str) -> np.ndarray:
-        try:
-            return fast.encode_to_numpy(text, disallowed_special=())
-        except ValueError:
-            if not whole:
-                whole.append(Tokenizer.from_file(path))
-                whole[0].encode_special_tokens = True
-            return np.array(whole[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        if not any(token in text for token in added):
+            try:
+                return fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:
+                pass
+        return np.array(whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     return encode
 

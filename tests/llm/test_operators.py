@@ -341,6 +341,20 @@ def test_packing_round_trip(request, which):
     assert len(places) <= sum(n for _, n in sum(places.values(), [])) / 1024 * 1.02 + 1
 
 
+def test_packing_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.vocabulary())
+    values = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext", "word " * 2000 + "<|endoftext|>" + " word" * 50]
+    want = set()
+    for i, text in enumerate(values):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [0]
+        want |= {(i, at, zlib.crc32(np.array(ids[at:at + 1024], dtype="<u4").tobytes()), len(ids)) for at in range(0, len(ids), 1024)}
+    docs = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    assert {(r.doc_id, r.start, r.ids_crc32, r.doc_tokens) for r in packing.pack(docs).collect()} == want
+    assert list(packing.encoder(packing.vocabulary())(values[0])) == [64, 220, 50256, 275]
+
+
 def test_packing_finds_the_closest_fill():
     make = random.Random(2)
     for _ in range(200):
