@@ -4,7 +4,8 @@ A document's ids, and id 0 at its end, are cut into pieces of CAPACITY tokens, f
 dealt to shards of about SHARD tails by a hash, and packed per shard: the longest tail opens a window, and a subset-sum
 dynamic program over the multiset of remaining lengths, one bitset per step, finds the lengths that fill the rest of the
 window closest to capacity. It works on counts per length, so one backtracked solution is used as often as the counts allow.
-Only the last window or two of a shard are left with padding. A shard is bounded, whatever documents it holds.
+Only the last window or two of a shard are left with padding. Full sequences are numbered in shards of their own, of about SHARD
+too, and rows that repeat are dealt round the shards, so no shard grows with the length of documents or with repeats.
 
 Defined cases: a null or empty text is the single id 0. Every row is packed, also rows that repeat or have no doc_id. Texts
 of any length are tokenised whole. An empty table gives no pieces. Other columns take no part.
@@ -25,6 +26,7 @@ from echotide.llm.common import store
 
 CAPACITY = 1024
 SHARD = 4096
+REMEMBERED = 200_000
 END = 0
 
 
@@ -70,23 +72,31 @@ def encoder(path: str):
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens: each document cut every `capacity` ids."""
+    """doc_id, start, length, ids_crc32, doc_tokens, repeat: each document cut every `capacity` ids. `repeat` counts the equal
+    rows that a task has met before (it forgets them all after REMEMBERED different ones)."""
 
     def cut(batches):
         encode = encoder(path)
+        met: dict[tuple, int] = {}
         for batch in batches:
-            columns = ([], [], [], [], [])
+            columns = ([], [], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = np.append(encode(text.as_py() or ""), END).astype("<u4")
                 for start in range(0, len(ids), capacity):
                     part = ids[start : start + capacity]
-                    for column, value in zip(columns, (doc_id, start, len(part), zlib.crc32(part.tobytes()), len(ids))):
+                    crc = zlib.crc32(part.tobytes())
+                    key = (doc_id, start, crc)
+                    repeat = met.get(key, -1) + 1
+                    if len(met) >= REMEMBERED and not repeat:
+                        met.clear()
+                    met[key] = repeat
+                    for column, value in zip(columns, (doc_id, start, len(part), crc, len(ids), repeat)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                [pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "repeat"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, repeat long")
 
 
 def closest_fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -141,7 +151,8 @@ def windows(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
     cut = store(pieces(docs, path or vocabulary(), capacity), "pack_pieces")
-    shards = max(1, round(cut.where(F.col("length") < capacity).count() / SHARD))
+    is_tail = F.col("length") < capacity
+    tails, full = (max(1, round((n or 0) / SHARD)) for n in cut.agg(F.count_if(is_tail), F.count_if(~is_tail)).first())
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
@@ -150,8 +161,12 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
         sequence[tail], offset[tail] = windows(group["length"].to_numpy()[tail], capacity)
         first = sequence.max() + 1 if tail.any() else 0
         sequence[~tail] = first + np.arange((~tail).sum())
-        return group.assign(sequence_id=group["shard"] * (1 << 32) + sequence, offset=offset).drop(columns="shard")
+        return group.assign(sequence_id=group["shard"] * (1 << 32) + sequence, offset=offset).drop(columns=["shard", "repeat"])
 
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards).cast("long")))
+    def dealt_to(shards: int):
+        hashed = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards).cast("long"))
+        return F.pmod(hashed + F.col("repeat"), F.lit(shards).cast("long"))
+
+    dealt = cut.withColumn("shard", F.when(is_tail, dealt_to(tails)).otherwise(dealt_to(full) + F.lit(tails)))
     return dealt.groupBy("shard").applyInPandas(
         place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -368,6 +368,19 @@ def test_packing_finds_the_closest_fill():
         assert not Counter(fill) - Counter(lengths)
 
 
+@pytest.mark.parametrize("rows", [[(1, "word " * 40_000), (2, " other" * 40_000)], [(None, "a b c d e f")] * 5000])
+def test_packing_shards_are_bounded(spark, monkeypatch, rows):
+    monkeypatch.setattr(packing, "SHARD", 250)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = packing.pack(docs, capacity=16).collect()
+    shards = Counter(r.sequence_id >> 32 for r in found)
+    assert len(found) >= 5000 and max(shards.values()) < 500
+    used = Counter()
+    for r in found:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 16
+
+
 def test_packing_empty(empty):
     assert packing.pack(empty).count() == 0
 
