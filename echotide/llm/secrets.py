@@ -40,10 +40,10 @@ PLACEHOLDER = re.compile(
 THRESHOLD = 0.6
 
 SIGN = re.compile(r":=|=>|[=:]")
-NAME_BEFORE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)["']?\s*(?:\])?\s*$""", re.A)
+BLANKS = " \t\n\r\f\v"
+NAME_SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-"
 PART = re.compile(r"""[ \t]*(?:"([^"\n]*)"|'([^'\n]*)'|([A-Za-z0-9+/_.=\-]+))""", re.A)
 JOIN = re.compile(r"[ \t]*\+[ \t]*\n?")
-REACH = 96  # code points before a sign in which its name is looked for
 
 
 class Span(NamedTuple):
@@ -80,12 +80,20 @@ def value_score(value: str) -> float:
     return min(1.0, 0.4 + 0.05 * (len(value) - 8) + 0.1 * classes + 0.1 * (entropy - 2.5))
 
 
+def name_before(gap: str) -> str:
+    """The name at the end of what lies between two signs, maybe quoted, then maybe a bracket; empty if there is none."""
+    gap = gap.rstrip(BLANKS).removesuffix("]").rstrip(BLANKS)
+    if gap.endswith(('"', "'")):
+        gap = gap[:-1]
+    return gap[len(gap.rstrip(NAME_SIGNS)):].lstrip("0123456789.-")
+
+
 def named_spans(text: str) -> list[Span]:
     """Literals that reach a sensitive name."""
     known: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}  # name: its value and the places of its literals
-    spans = []
+    spans, last = [], 0
     for sign in SIGN.finditer(text):
-        name = NAME_BEFORE.search(text[max(0, sign.start() - REACH) : sign.start()])
+        name, last = name_before(text[last : sign.start()]), sign.end()  # no part of a name is a sign
         at, value, places = sign.end(), "", ()
         while part := PART.match(text, at):
             group = part.lastindex
@@ -101,8 +109,8 @@ def named_spans(text: str) -> list[Span]:
             at = joined.end()
         if not name or not value:
             continue
-        known[name[1]] = (value, places)
-        score = name_score(name[1]) * value_score(value)
+        known[name] = (value, places)
+        score = name_score(name) * value_score(value)
         if score >= THRESHOLD:
             spans += [Span(start, 3, end, score) for start, end in places if end > start]
     return spans

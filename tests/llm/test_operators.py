@@ -96,6 +96,23 @@ def test_secrets_named_literals(text, literals):
     assert [text[s.start:s.end] for s in secrets.scan_text(text) if s.kind == 3] == literals
 
 
+@pytest.mark.parametrize("text", [
+    "password_" + "x" * 200 + ' = "Zx9Qw8Er7Ty6"', "db_pwd" + " " * 200 + '= "Zx9Qw8Er7Ty6"',
+    "k" * 200 + ' = "Zx9Qw8Er7Ty6"\ndb_pwd = ' + "k" * 200,
+])
+def test_secrets_long_names(text):
+    assert [text[s.start:s.end] for s in secrets.scan_text(text) if s.kind == 3] == ["Zx9Qw8Er7Ty6"]
+
+
+def test_secrets_names_between_signs():
+    make = random.Random(3)
+    pattern = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)["']?\s*(?:\])?\s*$""", re.A)
+    for _ in range(5000):
+        gap = "".join(make.choices("aZ_9.-\"'] \n[é\x1c", k=make.randint(0, 8)))
+        found = pattern.search(gap)
+        assert secrets.name_before(gap) == (found[1] if found else ""), gap
+
+
 def test_secrets_odd_rows(odd, empty):
     assert secrets.scan(odd).count() == odd.count()
     assert secrets.scan(odd).where("doc_id in (400, 401) and size(spans) > 0").count() == 0
