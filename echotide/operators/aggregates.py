@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from echotide.functions.issues import labels_of
-from echotide.functions.numbers import exact_mean, exact_sum, rounded
+from echotide.functions.numbers import EXACT, exact_mean, exact_sum, rounded
 
 
 def _tag(kind: str, name: Column | None = None) -> Column:
@@ -46,6 +46,42 @@ def measures(reviews: DataFrame, group: list[str], tags: Column) -> DataFrame:
     )
 
 
+STATE_SUMS = ("n", "score_sum", "score_n", "negative", "positive", "critical", "weight")
+
+
+def signed_measures(changes: DataFrame) -> DataFrame:
+    """What a batch adds to the measures of each version, day, kind and name: rows that left count negative.
+
+    Every measure is a sum, so the differences of all batches add up to the state of the whole table."""
+    sign = F.col("sign")
+    severity = F.coalesce("severity_score", F.lit(0.0))
+    needed = changes.select("app_version", "day", "sign", F.col("score").cast("bigint").alias("score"), "sentiment_label",
+                            severity.alias("severity"), F.explode(_tags(category=True)).alias("tag"))
+
+    def counted(where: Column) -> Column:
+        return F.sum(F.when(where, sign).otherwise(0))
+
+    weight = F.col("severity").cast(EXACT)
+    grouped = needed.groupBy("app_version", "day", F.col("tag.kind").alias("kind"), F.col("tag.name").alias("name"))
+    return grouped.agg(
+        F.sum(sign).alias("n"), F.coalesce(F.sum(sign * F.col("score")), F.lit(0)).alias("score_sum"),
+        counted(F.col("score").isNotNull()).alias("score_n"), counted(F.col("sentiment_label") == "negative").alias("negative"),
+        counted(F.col("sentiment_label") == "positive").alias("positive"), counted(F.col("severity") >= 0.80).alias("critical"),
+        F.sum(F.when(sign < 0, -weight).otherwise(weight)).alias("weight"),
+    )
+
+
+def folded_state(state: DataFrame) -> DataFrame:
+    """The measures of each version, day, kind and name from all stored differences. What is left of nothing is gone."""
+    return state.groupBy("app_version", "day", "kind", "name").agg(*[F.sum(m).alias(m) for m in STATE_SUMS]).filter("n > 0")
+
+
+def state_by(group: str, folded: DataFrame) -> DataFrame:
+    """Measures per group, kind and name. First and last day are those that still hold a review, as no minimum can be subtracted."""
+    return folded.groupBy(group, "kind", "name").agg(
+        *[F.sum(m).alias(m) for m in STATE_SUMS], F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+
+
 def _of_kind(kind: str, value: Column) -> Column:
     return F.when(F.col("kind") == kind, value)
 
@@ -102,8 +138,12 @@ def daily_issue_counts(reviews: DataFrame) -> DataFrame:
 
 def day_table(reviews: DataFrame) -> DataFrame:
     """One row per day with its counts, rates and all issues, from one pass over the reviews."""
-    folded = _kpis(measures_by_day(reviews), "day")
-    return folded.withColumns(_rate_columns())
+    return day_rows(measures_by_day(reviews))
+
+
+def day_rows(parts: DataFrame) -> DataFrame:
+    """The same from measures per day, kind and name."""
+    return _kpis(parts, "day").withColumns(_rate_columns())
 
 
 def top_entries(top: int) -> Column:
@@ -138,7 +178,11 @@ def version_kpis(reviews: DataFrame) -> DataFrame:
 
     Reviews without a version form one row, whose breakdowns are empty.
     """
-    parts = measures(reviews.withColumn("day_seen", F.col("day")), ["app_version"], _tags(category=True))
+    return version_rows(measures(reviews.withColumn("day_seen", F.col("day")), ["app_version"], _tags(category=True)))
+
+
+def version_rows(parts: DataFrame) -> DataFrame:
+    """The same from measures per version, kind and name."""
     category = F.struct((-F.col("n")).alias("c"), F.col("name").alias("category"), F.col("n").alias("n"))
     folded = parts.groupBy("app_version").agg(
         _base("first_day").alias("first_seen_day"), _base("last_day").alias("last_seen_day"),

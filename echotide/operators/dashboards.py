@@ -15,8 +15,13 @@ from echotide.operators.trends import with_flags
 
 def daily_aggregates(reviews: DataFrame, top: int = 5) -> DataFrame:
     """KPIs and flags come from one pass over the reviews, high-churn users from another."""
-    days = with_flags(day_table(reviews)).select(*DAILY_COLUMNS, top_entries(top).alias("top_issues"), "anomaly_flags")
-    return days.join(daily_high_churn(reviews), "day", "left").select(
+    return daily_rows(day_table(reviews), daily_high_churn(reviews), top)
+
+
+def daily_rows(days: DataFrame, high: DataFrame, top: int = 5) -> DataFrame:
+    """The same from the day table and the high-churn users of each day."""
+    flagged = with_flags(days).select(*DAILY_COLUMNS, top_entries(top).alias("top_issues"), "anomaly_flags")
+    return flagged.join(high, "day", "left").select(
         *DAILY_COLUMNS, "top_issues", F.coalesce("churn_high_users", F.lit(0)).alias("churn_high_users"), "anomaly_flags"
     )
 

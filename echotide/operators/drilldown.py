@@ -102,6 +102,11 @@ def filter_options(reviews: DataFrame) -> DataFrame:
         .groupBy("o.kind", "o.value").agg(F.count(F.lit(1)).alias("n"), F.max("day").alias("last_day"))
         .filter(F.col("value").isNotNull())
     )
+    return listed_options(distinct)
+
+
+def listed_options(distinct: DataFrame) -> DataFrame:
+    """The choices of every filter in order, from (kind, value, n, last_day)."""
     bounds = distinct.filter("kind = 'day'").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).select(
         F.inline(F.array(
             F.struct(F.lit("min_day").alias("kind"), F.col("lo").alias("value"), F.lit(1).alias("position")),

@@ -13,12 +13,12 @@ from echotide.operators import aggregates, churn, contracts, dashboards, drilldo
 from echotide.operators import reports, scope as scopes, trends
 from echotide.operators.merge import upsert
 from echotide.operators.scope import Scope
-from echotide.plans import pipeline
+from echotide.plans import incremental, pipeline
 from echotide.sources import review_files
 from echotide.sources.event_reviews import (
-    HEADER_SPELLINGS, complaint_documents, event_review_texts, event_reviews, events,
+    HEADER_SPELLINGS, complaint_documents, edited_reviews, event_review_texts, event_reviews, events,
 )
-from echotide.tables import stage, stage_csv
+from echotide.tables import read_table, stage, stage_csv, stage_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,6 +83,28 @@ def ingest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert(stored, latest(review_files.combine({"good": sources["good"]})), "review_id")
 
 
+def batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Two sources; then the third one with edits of the first two: other days and versions, replaced rows, rows without an id."""
+    sources = event_review_texts(spark, sf_dir)
+    first = review_files.combine({n: sources[n] for n in ("average", "bad")})
+    second = review_files.combine({"good": sources["good"]})
+    return [first, second.unionByName(edited_reviews(spark, sf_dir).withColumn("source", F.lit("edits")))]
+
+
+def applied(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of tables that both batches were applied to, one after the other."""
+
+    def fill(root: str) -> None:
+        for number, batch in enumerate(batches(spark, sf_dir)):
+            incremental.apply_batch(spark, root, number, batch, buckets=2)
+
+    return stage_folder(spark, _source(sf_dir), "incremental", fill)
+
+
+def _applied(read: Callable[[SparkSession, str], DataFrame], shape: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: shape(read(spark, applied(spark, sf_dir)))
+
+
 def ingest_header_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filled cells per source and target column, whatever the headers were called."""
     staged = staged_texts(spark, sf_dir)
@@ -394,6 +416,17 @@ def catalog() -> dict[str, Query]:
         "ingest_dedupe_latest": deduped,
         "ingest_counters": _on(staged_texts, lambda d: review_files.ingest_counters(d, list(HEADER_SPELLINGS))),
         "ingest_upsert": ingest_upsert,
+        "upsert_incremental": _applied(lambda s, root: incremental.read_reviews(s, root, "reviews_raw"), lambda d: d),
+        "enriched_churn": _applied(incremental.read_reviews, lambda d: d.select(
+            "review_id", "day", "content", F.round("severity_score", 6).alias("severity_score"), "churn_user_score", "churn_user_tier")),
+        "daily_incremental": _applied(lambda s, root: read_table(s, root, "daily_aggregates"), _daily_full),
+        "daily_incremental_issues": _applied(lambda s, root: read_table(s, root, "daily_aggregates"), lambda d: d.select(
+            "day", F.posexplode("top_issues").alias("position", "i")).select("day", "position", "i.*")),
+        "version_incremental": _applied(lambda s, root: read_table(s, root, "version_aggregates"), _version_scalars),
+        "version_incremental_issues": _applied(lambda s, root: read_table(s, root, "version_aggregates"), trends.issue_shares),
+        "churn_incremental": _applied(incremental.churn_table, lambda d: d),
+        "run_counts": _applied(lambda s, root: read_table(s, root, "run_counts"), lambda d: d),
+        "filter_options_facets": _applied(incremental.facets, drilldown.listed_options),
         "normalize_content": _on(_normalized, lambda d: d.select("review_id", "content", "day", "category_taxonomy")),
         "category_taxonomy": _on(_normalized, lambda d: d.groupBy("category_raw", "category_taxonomy").count()
                                  .withColumnRenamed("count", "review_count")),

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from echotide.operators.aggregates import top_issues, version_kpis
-from echotide.operators.churn import user_churn
+from echotide.operators.churn import user_churn, with_churn
 from echotide.operators.dashboards import daily_aggregates
 from echotide.operators.enrich import enrich
 from echotide.operators.insights import backlog_tickets
@@ -15,6 +15,7 @@ from echotide.operators.merge import upsert
 from echotide.operators.reports import only_new, report_key, report_payload, stored_reports, weekly_brief
 from echotide.operators.scope import Scope
 from echotide.sources.review_files import combine, latest_per_review, scan_csv
+from echotide.schemas import empty_table
 from echotide.tables import read_table, write_table
 
 
@@ -32,7 +33,8 @@ def run_pipeline(
     previous: str | None = None,
     taxonomy: dict[str, str] | None = None,
 ) -> None:
-    """Write all tables of one run to `target`, starting from the tables of the run before.
+    """Write all tables of one run to `target` anew, starting from the tables of the run before: for a first load or a rebuild.
+    `incremental.apply_batch` changes stored tables at the cost of the batch.
 
     Only the new rows are enriched. A run never changes the tables of another, so a failed one
     is simply repeated into a new folder.
@@ -41,19 +43,22 @@ def run_pipeline(
     batch = spark.read.parquet(f"{target}/batch")
     write_table(upsert(read_table(spark, previous, "reviews_raw"), batch, "review_id"), f"{target}/reviews_raw")
 
-    stored = read_table(spark, previous, "reviews_enriched")
-    write_table(upsert(stored, enrich(batch, taxonomy), "review_id"), f"{target}/reviews_enriched", "day")
+    stored = read_table(spark, previous, "reviews_enriched").drop("churn_user_score", "churn_user_tier")
+    write_table(enrich(batch, taxonomy), f"{target}/batch_enriched")
+    reviews = upsert(stored, spark.read.parquet(f"{target}/batch_enriched"), "review_id")
+    write_table(user_churn(reviews), f"{target}/user_churn")
+    scored = with_churn(reviews, read_table(spark, target, "user_churn"))
+    write_table(scored.select(*empty_table(spark, "reviews_enriched").columns), f"{target}/reviews_enriched", "day")
     write_aggregates(spark, target)
     write_reports(spark, target, previous)
 
 
 def write_aggregates(spark: SparkSession, target: str) -> None:
-    """Daily, version and user tables. A row needs its key; how many reviews have none is written to `run_counts`."""
+    """Daily and version tables. A row needs its key; how many reviews have none is written to `run_counts`."""
     reviews = read_table(spark, target, "reviews_enriched")
     write_table(unkeyed_counts(reviews), f"{target}/run_counts")
     write_table(daily_aggregates(reviews).filter(F.col("day").isNotNull()), f"{target}/daily_aggregates")
     write_table(version_kpis(reviews).filter(F.col("app_version").isNotNull()), f"{target}/version_aggregates")
-    write_table(user_churn(reviews), f"{target}/user_churn")
 
 
 def unkeyed_counts(reviews: DataFrame) -> DataFrame:
@@ -105,5 +110,5 @@ def missing_reports(reviews: DataFrame, daily: DataFrame, stored: DataFrame, sco
 def write_reports(spark: SparkSession, target: str, previous: str | None) -> None:
     reviews, daily = read_table(spark, target, "reviews_enriched"), read_table(spark, target, "daily_aggregates")
     stored = read_table(spark, previous, "insight_reports")
-    fresh = missing_reports(reviews, daily, stored, Scope().within(reviews))
+    fresh = missing_reports(reviews, daily, stored, Scope().within(daily))
     write_table(stored if fresh is None else stored.unionByName(fresh), f"{target}/insight_reports")

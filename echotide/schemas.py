@@ -13,7 +13,8 @@ REVIEWS_ENRICHED = REVIEWS_RAW.rstrip() + """,
     day date, category_taxonomy string,
     sentiment_label string, sentiment_confidence double, sentiment_method string,
     issues array<struct<label:string,confidence:double,evidence:array<string>>>, issues_method string,
-    severity_score double, severity_band string, processed_at timestamp
+    severity_score double, severity_band string, processed_at timestamp,
+    churn_user_score double, churn_user_tier string
 """
 
 DAILY_AGGREGATES = """
@@ -41,11 +42,15 @@ INSIGHT_REPORTS = """
     created_at timestamp_ntz, model string, hash_key string
 """
 
+RUN_COUNTS = "table_name string, reviews_without_key bigint"
+
 TABLES = {
     "reviews_raw": REVIEWS_RAW,
     "reviews_enriched": REVIEWS_ENRICHED,
     "daily_aggregates": DAILY_AGGREGATES,
     "version_aggregates": VERSION_AGGREGATES,
+    "user_churn": USER_CHURN,
+    "run_counts": RUN_COUNTS,
     "insight_reports": INSIGHT_REPORTS,
 }
 

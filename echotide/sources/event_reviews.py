@@ -67,6 +67,19 @@ def event_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(*[c.alias(name) for name, c in columns.items()])
 
 
+def edited_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews of the first two sources sent again: three days later, with the opposite rating, one version renamed, and some
+    without an id."""
+    e = F.col("event_id")
+    columns = _derived(e, F.col("user_id"))
+    edited = columns | {
+        "review_id": F.when(e % 11 != 0, columns["review_id"]), "score": 6 - columns["score"],
+        "at_ts": F.col("ts") + F.make_dt_interval(F.lit(3)),
+        "app_version": F.when(columns["app_version"] == "5.6.0", "5.5.0").otherwise(columns["app_version"]),
+    }
+    return events(spark, sf_dir).filter((e % 7 == 3) & (e % 3 != 2)).select(*[c.alias(name) for name, c in edited.items()])
+
+
 def event_review_texts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The same reviews as three text-only sources with different headers and untidy fields."""
     e = F.col("event_id")

@@ -100,6 +100,16 @@ def stage(
     return spark.read.schema(schema).parquet(path)
 
 
+def stage_folder(spark: SparkSession, source: str, name: str, fill: Callable[[str], None]) -> str:
+    """A folder of tables, filled once per application and input."""
+
+    def write(path: str) -> StructType:
+        fill(path)
+        return StructType()
+
+    return _write_once(spark, source, name, write)[0]
+
+
 def stage_csv(spark: SparkSession, source: str, name: str, df: DataFrame) -> str:
     """Write a frame as CSV files once and return their folder."""
 

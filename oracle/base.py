@@ -82,8 +82,10 @@ _taxonomy = "CASE " + _slug + " " + " ".join(
     f"WHEN {lit(k)} THEN {lit(v)}" for k, v in fv.TAXONOMY_MAP.items() if k != "__fallback__"
 ) + f" ELSE {lit(fv.TAXONOMY_MAP['__fallback__'])} END"
 
-CLEAN = REVIEWS + f""",
-deduped AS ({latest('reviews')}),
+DEDUPED = REVIEWS + f""",
+deduped AS ({latest('reviews')})"""
+
+CLEAN = DEDUPED + f""",
 clean AS (
   SELECT * REPLACE (CASE WHEN content IS NULL OR length(trim(content)) = 0 THEN {lit(fv.EMPTY_REVIEW)}
       ELSE regexp_replace(trim(content), '\\s+', ' ', 'g') END AS content),
@@ -91,6 +93,21 @@ clean AS (
   FROM deduped
 )"""
 
+MERGED = STAGED + f""",
+edits AS (SELECT * REPLACE (CASE WHEN event_id % 11 <> 0 THEN review_id END AS review_id, 6 - score AS score,
+    at_ts + INTERVAL 3 DAY AS at_ts, CASE app_version WHEN '5.6.0' THEN '5.5.0' ELSE app_version END AS app_version)
+  FROM reviews WHERE event_id % 7 = 3 AND event_id % 3 <> 2),
+second_batch AS (SELECT {COLUMNS} FROM staged WHERE source = 'good' UNION ALL SELECT {COLUMNS} FROM edits),
+fresh AS ({latest('second_batch')}),
+stored AS ({latest('staged', "source <> 'good'")}),
+deduped AS (SELECT * FROM fresh UNION ALL SELECT * FROM stored WHERE review_id NOT IN (SELECT review_id FROM fresh))"""
+
+
+def merged(ctes: str) -> str:
+    """The same expressions over the reviews that are left when the second batch has replaced rows of the first."""
+    return MERGED + ctes.removeprefix(DEDUPED)
+
+
 _single_pos = [w for w in fv.POSITIVE_WORDS if " " not in w]
 _single_neg = [w for w in fv.NEGATIVE_WORDS if " " not in w]
 

@@ -6,8 +6,8 @@ from echotide.functions import fixed_values as fv
 from echotide.plans.catalog import COMPETITORS
 from echotide.sources.event_reviews import CLOSINGS, OPENINGS
 from oracle.base import (
-    CLEAN, COLUMNS, DAILY, ENRICHED, ISSUES, REVIEWS, SENTIMENT, STAGED, VERSIONS, WEEK, excerpt, items, latest,
-    lexicon, lit, with_,
+    CLEAN, COLUMNS, DAILY, DEDUPED, ENRICHED, ISSUES, REVIEWS, SENTIMENT, STAGED, VERSIONS, WEEK, excerpt, items, latest,
+    lexicon, lit, merged, with_,
 )
 
 _snapshot = """count(*) AS total_reviews, round(coalesce(avg(coalesce(score, 0)::DOUBLE), 0), 4)::DOUBLE AS avg_rating,
@@ -95,6 +95,31 @@ def _documents_enriched() -> str:
     return source + ENRICHED.removeprefix(CLEAN)
 
 
+_daily_full = """SELECT day, total_reviews, avg_rating, pct_negative, pct_positive, critical_count,
+  churn_high_users, CAST((SELECT count(*) FROM day_top t WHERE t.day = d.day) AS INTEGER) AS issues_listed,
+  CAST((SELECT count(*) FROM flags f WHERE f.day = d.day) AS INTEGER) AS flags FROM daily d"""
+
+_version_scalars = """SELECT *,
+  CAST((SELECT count(*) FROM version_issue i WHERE i.app_version = b.app_version) AS INTEGER) AS issues_listed,
+  CAST((SELECT count(*) FROM version_category c WHERE c.app_version = b.app_version) AS INTEGER) AS categories_listed
+  FROM version_base b"""
+
+_user_churn = """SELECT user_name, reviews, round(neg / reviews, 4) AS pct_negative,
+  round(sev / reviews, 4) AS avg_severity, txn AS txn_failures, intent AS intent_mentions, churn_user_score,
+  churn_user_tier FROM tiers"""
+
+_filter_options = """
+  SELECT 'category' AS kind, category_taxonomy AS value, CAST(row_number() OVER (ORDER BY category_taxonomy) AS INTEGER) AS position
+    FROM (SELECT DISTINCT category_taxonomy FROM enriched)
+  UNION ALL SELECT 'issue_label', label, CAST(row_number() OVER (ORDER BY label) AS INTEGER)
+    FROM (SELECT DISTINCT label FROM issue_rows)
+  UNION ALL SELECT 'version', app_version,
+    CAST(row_number() OVER (ORDER BY last_seen_day DESC, total_reviews DESC, app_version) AS INTEGER)
+    FROM version_base WHERE app_version IS NOT NULL
+  UNION ALL SELECT 'min_day', CAST(min(day) AS VARCHAR), 1 FROM enriched
+  UNION ALL SELECT 'max_day', CAST(max(day) AS VARCHAR), 1 FROM enriched"""
+
+
 def oracle_queries() -> dict[str, str]:
     texts = "documents"
     return {
@@ -112,6 +137,20 @@ def oracle_queries() -> dict[str, str]:
         "ingest_upsert": with_(STAGED + f""",
           fresh AS ({latest('staged', "source = 'good'")}), stored AS ({latest('staged', "source <> 'good'")})""", """
           SELECT * FROM fresh UNION ALL SELECT * FROM stored WHERE review_id NOT IN (SELECT review_id FROM fresh)"""),
+        "upsert_incremental": with_(merged(DEDUPED), "SELECT * FROM deduped"),
+        "enriched_churn": with_(merged(DAILY), """SELECT review_id, day, content, round(severity_score, 6) AS severity_score,
+          churn_user_score, churn_user_tier FROM enriched JOIN tiers USING (user_name)"""),
+        "daily_incremental": with_(merged(DAILY), f"{_daily_full} WHERE day IS NOT NULL"),
+        "daily_incremental_issues": with_(merged(DAILY), """SELECT day, CAST(rank - 1 AS INTEGER) AS position, label, review_count,
+          CAST(round(weight, 4) AS DOUBLE) AS weighted_severity FROM day_top WHERE day IS NOT NULL"""),
+        "version_incremental": with_(merged(VERSIONS), f"{_version_scalars} WHERE app_version IS NOT NULL"),
+        "version_incremental_issues": with_(merged(VERSIONS), "SELECT * FROM version_issue"),
+        "churn_incremental": with_(merged(DAILY), _user_churn),
+        "run_counts": with_(merged(CLEAN), """
+          SELECT 'daily_aggregates' AS table_name, count(*) FILTER (day IS NULL) AS reviews_without_key FROM clean
+          UNION ALL SELECT 'version_aggregates', count(*) FILTER (app_version IS NULL) FROM clean
+          UNION ALL SELECT 'user_churn', count(*) FILTER (user_name IS NULL) FROM clean"""),
+        "filter_options_facets": with_(merged(VERSIONS), _filter_options),
         "normalize_content": with_(CLEAN, "SELECT review_id, content, day, category_taxonomy FROM clean"),
         "category_taxonomy": with_(CLEAN, """
           SELECT category_raw, category_taxonomy, count(*) AS review_count FROM clean GROUP BY ALL"""),
@@ -160,9 +199,7 @@ def oracle_queries() -> dict[str, str]:
         "daily_kpis": with_(DAILY, """SELECT day, total_reviews, avg_rating, pct_negative, pct_positive, critical_count FROM daily"""),
         "daily_top_issues": with_(DAILY, """SELECT day, CAST(rank AS INTEGER) AS rank, label, review_count,
           CAST(round(weight, 4) AS DOUBLE) AS weighted_severity FROM day_top"""),
-        "daily_aggregates": with_(DAILY, """SELECT day, total_reviews, avg_rating, pct_negative, pct_positive, critical_count,
-          churn_high_users, CAST((SELECT count(*) FROM day_top t WHERE t.day = d.day) AS INTEGER) AS issues_listed,
-          CAST((SELECT count(*) FROM flags f WHERE f.day = d.day) AS INTEGER) AS flags FROM daily d"""),
+        "daily_aggregates": with_(DAILY, _daily_full),
         "daily_trend_range": with_(DAILY, f"SELECT day, avg_rating, pct_negative, critical_count FROM daily WHERE {WEEK}"),
         "kpi_rollup": with_(DAILY, f"""SELECT CAST(sum(total_reviews) AS BIGINT) AS total_reviews,
           round(sum(avg_rating * total_reviews) / sum(total_reviews), 6) AS avg_rating,
@@ -188,10 +225,7 @@ def oracle_queries() -> dict[str, str]:
           round(avg(CASE WHEN sentiment_label = 'negative' THEN 1.0 ELSE 0.0 END), 4) AS pct_negative,
           round(avg(CASE WHEN sentiment_label = 'positive' THEN 1.0 ELSE 0.0 END), 4) AS pct_positive,
           count(*) FILTER (WHERE severity_score >= 0.80) AS critical_count FROM enriched GROUP BY 1"""),
-        "version_kpis": with_(VERSIONS, """SELECT *,
-          CAST((SELECT count(*) FROM version_issue i WHERE i.app_version = b.app_version) AS INTEGER) AS issues_listed,
-          CAST((SELECT count(*) FROM version_category c WHERE c.app_version = b.app_version) AS INTEGER) AS categories_listed
-          FROM version_base b"""),
+        "version_kpis": with_(VERSIONS, _version_scalars),
         "version_issue_breakdown": with_(VERSIONS, "SELECT * FROM version_issue"),
         "version_category_breakdown": with_(VERSIONS, "SELECT * FROM version_category"),
         "version_list": with_(VERSIONS, """SELECT app_version, last_seen_day, total_reviews FROM version_base
@@ -220,16 +254,7 @@ def oracle_queries() -> dict[str, str]:
           SELECT preset, greatest(lo, CASE preset WHEN 'YTD' THEN CAST(date_trunc('year', hi) AS DATE)
             ELSE CAST(hi - to_days(CAST(days AS INTEGER)) AS DATE) END) AS start_day, hi AS end_day
           FROM b, (VALUES ('7D', 6), ('30D', 29), ('90D', 89), ('YTD', 0)) p(preset, days)"""),
-        "filter_options": with_(VERSIONS, """
-          SELECT 'category' AS kind, category_taxonomy AS value, CAST(row_number() OVER (ORDER BY category_taxonomy) AS INTEGER) AS position
-            FROM (SELECT DISTINCT category_taxonomy FROM enriched)
-          UNION ALL SELECT 'issue_label', label, CAST(row_number() OVER (ORDER BY label) AS INTEGER)
-            FROM (SELECT DISTINCT label FROM issue_rows)
-          UNION ALL SELECT 'version', app_version,
-            CAST(row_number() OVER (ORDER BY last_seen_day DESC, total_reviews DESC, app_version) AS INTEGER)
-            FROM version_base WHERE app_version IS NOT NULL
-          UNION ALL SELECT 'min_day', CAST(min(day) AS VARCHAR), 1 FROM enriched
-          UNION ALL SELECT 'max_day', CAST(max(day) AS VARCHAR), 1 FROM enriched"""),
+        "filter_options": with_(VERSIONS, _filter_options),
         "search_reviews_page": with_(ENRICHED, f"""SELECT {_row} FROM enriched e WHERE {_narrow}
           ORDER BY e.day DESC, e.severity_score DESC, e.review_id LIMIT 5 OFFSET 5"""),
         "search_reviews_after": with_(ENRICHED, f"""SELECT {_row}, round(e.severity_score, 6) AS sort_severity FROM enriched e
@@ -308,9 +333,7 @@ def oracle_queries() -> dict[str, str]:
         "resolution_lag": with_(CLEAN + "," + ISSUES, """SELECT label, min(day) AS first_seen_day, max(day) AS last_seen_day,
           CAST(date_diff('day', min(day), max(day)) AS INTEGER) AS resolution_lag_days
           FROM clean JOIN issues USING (content) WHERE day IS NOT NULL GROUP BY label"""),
-        "user_churn": with_(DAILY, """SELECT user_name, reviews, round(neg / reviews, 4) AS pct_negative,
-          round(sev / reviews, 4) AS avg_severity, txn AS txn_failures, intent AS intent_mentions, churn_user_score,
-          churn_user_tier FROM tiers"""),
+        "user_churn": with_(DAILY, _user_churn),
         "churn_distribution": with_(DAILY, """SELECT churn_user_tier, count(*) AS users,
           round(count(*) / (SELECT count(*) FROM tiers), 4) AS share FROM tiers GROUP BY churn_user_tier"""),
         "daily_churn_high": with_(DAILY, "SELECT day, churn_high_users FROM high_days"),
