@@ -2,112 +2,145 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Callable
-from functools import reduce
-from operator import add, or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from echotide.functions.fixed_values import ISSUE_RULES, NEAR_FAILURE_GAP, NEAR_FAILURE_PATTERN
-from echotide.functions.text import CLOSE_MARK, OPEN_MARK, any_present, bind, fold_case, parse_json, strip_whitespace
+from echotide.functions.text import bind, parse_json, strip_whitespace
 
 ISSUE_LIST = "array<struct<label:string,confidence:double,evidence:array<string>>>"
+SPAN_LIST = "array<struct<start:int,end:int,rule:int,phrase:int,near:boolean>>"
 
-# A pattern can only match where one of its leading words occurs; testing that first is far
-# cheaper than running the pattern over every text.
-_LEADING_WORDS = {
-    "Transaction Failure": ("payment", "transfer", "transaction", "withdrawal", "deposit"),
-    "Login/Auth Issues": ("login", "log in", "signin", "sign in", "auth", "otp", "verification", "password"),
-    "Performance Issues": ("slow", "lag", "sluggish", "freeze", "stutter", "unresponsive"),
-    "Glitches/Bugs": ("crash", "bug", "glitch", "broken", "stuck"),
-    "UI/UX Problems": ("ui", "ux", "layout", "design", "navigation"),
-    "Policy Complaints": ("fee", "charges", "policy", "terms", "compliance", "kyc"),
-    "Feature Requests": ("add", "need", "wish", "request", "feature"),
-    "Customer Support": ("support", "customer service", "agent", "ticket", "help desk"),
+# Evidence name and pattern of every phrase of a rule, then of its own pattern.
+CHECKS = {
+    label: [(p, rf"\b{re.escape(p)}\b") for p in phrases] + [(f"regex:{pattern}", pattern)]
+    for label, (phrases, pattern) in ISSUE_RULES.items()
 }
 
 
-# No phrase or pattern of a rule can match a text that holds none of these.
-_GATES = {
-    "Transaction Failure": ("fail", "declin", "error", "going through", "chargeback", "pending", "refund"),
-    "Login/Auth Issues": ("login", "log in", "signin", "sign in", "auth", "otp", "verification", "password", "2fa",
-                          "face id", "fingerprint"),
-    "Performance Issues": ("slow", "lag", "freez", "forever", "sluggish", "unresponsive", "battery", "overheating",
-                           "stutter"),
-    "Glitches/Bugs": ("bug", "glitch", "crash", "not working", "stuck", "blank screen", "broken"),
-    "UI/UX Problems": ("bad", "poor", "confusing", "hard", "difficult", "cannot find", "steps", "issue"),
-    "Policy Complaints": ("fee", "charges", "policy", "terms", "compliance", "kyc", "suspended", "blocked"),
-    "Feature Requests": ("add", "need", "would", "wish", "request", "feature", "apple pay"),
-    "Customer Support": ("support", "customer service", "response", "help desk", "agent", "ticket", "helped"),
-}
+def leading_words(pattern: str) -> list[str]:
+    """The words of which one must stand where a pattern matches; a pattern of another shape has none listed."""
+    if not pattern.startswith(r"\b"):
+        return []
+    body = re.sub(r"\(\?:[^()]*\)\?", "", pattern.removeprefix(r"\b")).replace(r"\ ", " ")  # without optional endings
+    words = re.match(r"\(((?:[\w ]+\|?)+)\)\\b|[\w ]+", body)
+    return (words[1] or words[0]).split("|") if words else []
 
-# Every phrase and pattern of a rule with the words that must occur for it to match.
-CHECKS = {
-    label: [(p, rf"\b{p}\b", (p,)) for p in phrases] + [(f"regex:{pattern}", pattern, _LEADING_WORDS[label])]
-    for label, (phrases, pattern) in ISSUE_RULES.items()
-}
 
+def _by_first_letter() -> tuple[dict[str, list[tuple[int, int, re.Pattern]]], re.Pattern]:
+    """Rule, place and pattern of everything that can match at a letter, and one pattern for all letters that can begin a match.
 
-def _count(text: Column, pattern: str, needles: tuple[str, ...]) -> Column:
-    """Matches of a constant pattern, which is compiled once per task."""
-    return F.when(any_present(text, needles), F.regexp_count(text, F.lit(f"(?Ud){pattern}"))).otherwise(0)
+    It tests the rest of a leading word after its letter, and takes the letter alone, so that matches may begin inside others."""
+    found, rests = defaultdict(list), defaultdict(set)
+    for rule, checks in enumerate(CHECKS.values()):
+        for place, (_, pattern) in enumerate(checks):
+            words = leading_words(pattern)
+            if not words:
+                raise ValueError(f"an issue pattern must begin with a word boundary and words: {pattern}")
+            for word in words:
+                rests[word[0]].add(re.escape(word[1:]))
+            for letter in {w[0] for w in words}:
+                found[letter].append((rule, place, re.compile(pattern)))
+    return dict(found), re.compile("|".join(f"{re.escape(c)}(?={'|'.join(sorted(rest))})" for c, rest in sorted(rests.items())))
 
 
-def near_failure(text: Column, pattern: str) -> Column:
-    """Does any match of the pattern lie within the allowed gap of a failure word, or hold one?
+STARTS, ANY_RULE = _by_first_letter()
+FAILURE = re.compile(NEAR_FAILURE_PATTERN)
 
-    Every match is put between two marks that folded text never contains; one search then
-    looks for a failure word inside the marks or close to the nearest one.
-    """
-    marked = F.regexp_replace(text, f"(?Ud){pattern}", f"{OPEN_MARK}$0{CLOSE_MARK}")
-    word, gap = NEAR_FAILURE_PATTERN, f"[^{OPEN_MARK}{CLOSE_MARK}]{{0,{NEAR_FAILURE_GAP}}}"
-    inside = f"{OPEN_MARK}[^{CLOSE_MARK}]*{word}"
-    return F.rlike(marked, F.lit(f"(?Ud){inside}|{CLOSE_MARK}{gap}{word}|{word}{gap}{OPEN_MARK}"))
+
+def fold(text: str | None) -> str:
+    """Lower case, and the two letters that matching without regard to case also equates with ASCII."""
+    return (text or "").lower().replace("\u017f", "s").replace("\u0131", "i")
+
+
+def spans_in(text: str | None) -> list[tuple[int, int, int, int, bool]]:
+    """(start, end, rule, place of the pattern, near a failure word) of every match, by start; each pattern's own matches do
+    not overlap. Near means that no more than the allowed gap lies between the two, or that they touch or overlap."""
+    text = fold(text)
+    done: dict[tuple[int, int], int] = {}
+    found = []
+    for anchor in ANY_RULE.finditer(text):
+        start = anchor.start()
+        for rule, place, pattern in STARTS.get(text[start], ()):
+            if start >= done.get((rule, place), 0) and (match := pattern.match(text, start)):
+                done[rule, place] = match.end()
+                found.append((start, match.end(), rule, place))
+    if not found:
+        return []
+    failures = [m.span() for m in FAILURE.finditer(text)]
+    ends = [end for _, end in failures]
+
+    def near(start: int, end: int) -> bool:
+        first = bisect_left(ends, start - NEAR_FAILURE_GAP)  # failure words do not overlap, so they are in order by both ends
+        return first < len(ends) and failures[first][0] <= end + NEAR_FAILURE_GAP
+
+    return [(*span, near(*span[:2])) for span in found]
 
 
-def _near(label: str, text: Column, found: list[Column]) -> Column:
-    """The same for a rule: only its matching patterns are searched, and only where a failure
-    word occurs at all."""
-    failing = any_present(text, ("can't", "cant", "cannot", "failed", "failure", "error"))
-    return failing & reduce(or_, [(n > 0) & near_failure(text, p) for n, (_, p, _) in zip(found, CHECKS[label])])
+def _span_lists(texts: pa.Array) -> pa.Array:
+    offsets, rows = [0], []
+    for text in texts.to_pylist():
+        rows += spans_in(text)
+        offsets.append(len(rows))
+    columns = list(zip(*rows)) or [()] * 5
+    types = {"start": pa.int32(), "end": pa.int32(), "rule": pa.int32(), "phrase": pa.int32(), "near": pa.bool_()}
+    spans = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], list(types))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)
 
 
-def _issue(label: str, text: Column, found: list[Column]) -> Column:
-    evidence = F.array(*[F.when(n > 0, F.lit(name)) for n, (name, _, _) in zip(found, CHECKS[label])])
+def issue_spans(content: Column) -> Column:
+    """All matches of all rules in one pass over the lower-case text, as a sorted list; code points, end exclusive. Arrow batches
+    go to Python once per text; whatever is made of the list stays with Spark."""
+    return F.arrow_udf(_span_lists, SPAN_LIST)(content)
+
+
+def _per_rule(spans: Column, result: Callable[[Column, Column], Column]) -> Column:
+    """One result for each rule that has a match, in rule order, from the rule (label, names) and its matches."""
+    rules = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*[F.lit(name) for name, _ in checks]).alias("names"))
+                      for label, checks in CHECKS.items()])
+
+    def of_rule(rule: Column, number: Column) -> Column:
+        own = F.filter(spans, lambda s: s["rule"] == number)
+        return bind(own, lambda matches: F.when(F.size(matches) > 0, result(rule, matches)))
+
+    return F.array_compact(F.transform(rules, of_rule))
+
+
+def _issue(rule: Column, matches: Column) -> Column:
+    places = F.array_sort(F.array_distinct(F.transform(matches, lambda s: s["phrase"])))
     confidence = (
         F.lit(0.60)
-        + F.when(reduce(add, found) >= 2, 0.10).otherwise(0.0)
-        + F.when(_near(label, text, found), 0.10).otherwise(0.0)
+        + F.when(F.size(matches) >= 2, 0.10).otherwise(0.0)
+        + F.when(F.exists(matches, lambda s: s["near"]), 0.10).otherwise(0.0)
     )
     return F.struct(
-        F.lit(label).alias("label"),
+        rule["label"].alias("label"),
         F.round(F.least(F.lit(0.85), confidence), 2).alias("confidence"),
-        F.array_compact(evidence).alias("evidence"),
+        F.transform(places, lambda p: F.get(rule["names"], p)).alias("evidence"),
     )
 
 
-def _per_match(content: Column, result: Callable[[str, Column, list[Column]], Column]) -> Column:
-    """One result for each rule that matches, in rule order, from its match counts."""
-
-    def rule(label: str, text: Column) -> Column:
-        def if_any(counts: Column) -> Column:
-            found = [F.get(counts, F.lit(i)) for i in range(len(CHECKS[label]))]
-            return F.when(F.array_max(counts) > 0, result(label, text, found))
-
-        counts = F.array(*[_count(text, pattern, needles) for _, pattern, needles in CHECKS[label]])
-        return F.when(any_present(text, _GATES[label]), bind(counts, if_any))
-
-    return bind(fold_case(content), lambda text: F.array_compact(F.array(*[rule(x, text) for x in CHECKS])))
+def issues_from(spans: Column) -> Column:
+    """Label, confidence and evidence of every rule that matches, in rule order."""
+    return bind(spans, lambda found: _per_rule(found, _issue))
 
 
 def issues_in(content: Column) -> Column:
-    """Label, confidence and evidence of every rule that matches the text, in rule order."""
-    return _per_match(content, _issue)
+    return issues_from(issue_spans(content))
 
 
 def near_labels(content: Column) -> Column:
     """Labels with a match near a failure word."""
-    return _per_match(content, lambda label, text, found: F.when(_near(label, text, found), F.lit(label)))
+
+    def label_if_near(rule: Column, matches: Column) -> Column:
+        return F.when(F.exists(matches, lambda s: s["near"]), rule["label"])
+
+    return bind(issue_spans(content), lambda found: _per_rule(found, label_if_near))
 
 
 def labels_of(issues: Column) -> Column:

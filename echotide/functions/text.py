@@ -8,8 +8,6 @@ from operator import add, or_
 
 from pyspark.sql import Column, functions as F
 
-OPEN_MARK, CLOSE_MARK = "\x01", "\x02"
-
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Use one computed value several times in an expression without computing it again.
@@ -56,28 +54,6 @@ def any_present(text: Column, phrases: tuple[str, ...]) -> Column:
     return reduce(or_, [F.contains(text, F.lit(p)) for p in phrases])
 
 
-def fold_case(value: Column) -> Column:
-    """Lower case, plus the two letters that case-insensitive matching also equates with ASCII.
-
-    Only letters, numbers and the underscore count as parts of words. Java also counts marks,
-    circled letters, joiners and other connectors, and leaves out numbers such as a raised two,
-    so in non-ASCII text the former become a control character and the latter a letter. The two
-    marks used while matching are replaced too. Every character keeps its position.
-    """
-
-    def unify(text: Column) -> Column:
-        parts = F.regexp_replace(text, r"[\p{M}\p{So}\p{Cf}\p{Pc}&&[^_]]", "\x03")
-        words = F.translate(F.regexp_replace(parts, r"\p{No}", "ß"), "ſı", "si")
-        return F.when(F.octet_length(text) == F.length(text), text).otherwise(words)
-
-    def unmark(text: Column) -> Column:
-        marks = F.lit(OPEN_MARK), F.lit(CLOSE_MARK)
-        clean = F.translate(text, OPEN_MARK + CLOSE_MARK, "\x03\x03")
-        return F.when(F.contains(text, marks[0]) | F.contains(text, marks[1]), clean).otherwise(text)
-
-    return bind(bind(F.lower(F.coalesce(value, F.lit(""))), unify), unmark)
-
-
 def excerpt(content: Column, label: str | None = None, width: int = 180) -> Column:
     """Up to `width` characters, centred on the first word of the label found in the text."""
     text = F.replace(strip_whitespace(F.coalesce(content, F.lit(""))), F.lit("\n"), F.lit(" "))

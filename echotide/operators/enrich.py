@@ -41,6 +41,13 @@ def add_issues(df: DataFrame) -> DataFrame:
     return df.withColumns({"issues": issues.issues_in(F.col("content")), "issues_method": F.lit("rule")})
 
 
+def span_rows(df: DataFrame, key: str) -> DataFrame:
+    """Every match of every issue rule: key, label, place of the phrase in its rule, start and end, near a failure word or not."""
+    labels = F.array(*[F.lit(label) for label in issues.CHECKS])
+    found = df.select(key, F.inline(issues.issue_spans(F.col("content"))))
+    return found.select(key, F.get(labels, F.col("rule")).alias("label"), "phrase", "start", "end", F.col("near").cast("int").alias("near"))
+
+
 def near_failures(df: DataFrame) -> DataFrame:
     """(review_id, label) where a match lies near a failure word."""
     return df.select("review_id", F.explode(issues.near_labels(F.col("content"))).alias("label"))

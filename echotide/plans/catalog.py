@@ -439,6 +439,8 @@ def catalog() -> dict[str, Query]:
         "issues_rule": _on(_with_issues, lambda d: _issue_rows(d, "label", "confidence")),
         "issues_evidence": _on(_with_issues, lambda d: _issue_rows(d, "label", "evidence").select(
             "review_id", "label", F.posexplode("evidence").alias("position", "evidence"))),
+        "issue_spans": _on(_normalized, lambda d: enrich.span_rows(d, "review_id")),
+        "document_issue_spans": lambda s, d: enrich.span_rows(complaint_documents(_documents(s, d)), "doc_id"),
         "issues_near_failure": _on(_normalized, enrich.near_failures),
         "issues_summary": _on(_with_issues, enrich.issues_summary),
         "issue_triggers": _on(_with_issues, lambda d: d.select("review_id", issue_rules.needs_review(

@@ -95,6 +95,11 @@ def _documents_enriched() -> str:
     return source + ENRICHED.removeprefix(CLEAN)
 
 
+_span_rows = """SELECT {key}, label, CAST(pos AS INTEGER) AS phrase, CAST(st AS INTEGER) AS start, CAST(en AS INTEGER) AS "end",
+  CAST(EXISTS (SELECT 1 FROM failures f WHERE f.content = s.content
+    AND CASE WHEN f.en < s.st THEN s.st - f.en WHEN s.en < f.st THEN f.st - s.en ELSE 0 END <= 40) AS INTEGER) AS near
+  FROM clean JOIN spans s USING (content)"""
+
 _daily_full = """SELECT day, total_reviews, avg_rating, pct_negative, pct_positive, critical_count,
   churn_high_users, CAST((SELECT count(*) FROM day_top t WHERE t.day = d.day) AS INTEGER) AS issues_listed,
   CAST((SELECT count(*) FROM flags f WHERE f.day = d.day) AS INTEGER) AS flags FROM daily d"""
@@ -177,6 +182,8 @@ def oracle_queries() -> dict[str, str]:
         "issues_evidence": with_(CLEAN + "," + ISSUES, """
           SELECT review_id, label, CAST(row_number() OVER (PARTITION BY review_id, label ORDER BY pos) - 1 AS INTEGER) AS position,
             evidence FROM clean JOIN hits USING (content)"""),
+        "issue_spans": with_(CLEAN + "," + ISSUES, _span_rows.format(key="review_id")),
+        "document_issue_spans": with_(_documents_enriched(), _span_rows.format(key="doc_id")),
         "issues_near_failure": with_(CLEAN + "," + ISSUES, """
           SELECT review_id, label FROM clean JOIN near USING (content)"""),
         "issues_summary": with_(CLEAN + "," + ISSUES, """SELECT count(*) AS total, count(*) AS rule_rows,

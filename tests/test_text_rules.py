@@ -77,9 +77,28 @@ def test_issues_match_a_direct_search(spark):
         assert [(i["label"], i["confidence"], i["evidence"]) for i in issue_list] == expected_issues(content), content
 
 
-def test_gates_cover_every_phrase():
-    for label, (phrases, _) in ISSUE_RULES.items():
-        assert all(any(g in p for g in issues._GATES[label]) for p in phrases), label
+def test_spans_match_a_direct_search(spark):
+    cases = random_texts(400) + ["slow " * 3000 + "error", "payment payment failed payment failed", "2fa", "crash crashes crashing"]
+    found = column(spark, cases, issues.issue_spans(F.col("content")))
+    for content, spans in zip(cases, found):
+        body = content.lower().replace("\u017f", "s")
+        wanted = sorted((m.start(), m.end(), rule, place) for rule, checks in enumerate(issues.CHECKS.values())
+                        for place, (_, pattern) in enumerate(checks) for m in re.finditer(pattern, body, re.I))
+        assert sorted((s["start"], s["end"], s["rule"], s["phrase"]) for s in spans) == wanted
+        assert [s["start"] for s in spans] == sorted(s["start"] for s in spans)
+
+
+def test_spans_by_hand():
+    assert issues.spans_in("The payment failed!") == [(4, 18, 0, 0, True), (4, 18, 0, 8, True)]
+    assert issues.spans_in("very sluggish app") == [(0, 13, 2, 5, False), (5, 13, 2, 9, False)]
+    assert issues.spans_in(None) == issues.spans_in("all is well") == []
+
+
+def test_leading_words_come_from_the_patterns():
+    assert issues.leading_words(r"\b(a|log in)\b.{0,24}\b(x)\b") == ["a", "log in"]
+    assert issues.leading_words(r"\bcan't login\b") == ["can"]
+    assert issues.leading_words(r".*x") == []
+    assert set(issues.STARTS) == {w[0] for checks in issues.CHECKS.values() for _, p in checks for w in issues.leading_words(p)}
 
 
 def test_missing_text_has_no_issues(spark):
