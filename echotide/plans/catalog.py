@@ -75,6 +75,13 @@ def ingest_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review_files.latest_per_review(review_files.combine(read))
 
 
+def ingest_repeated_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file with two rating columns, of which the later one counts."""
+    source = event_review_texts(spark, sf_dir)["average"].select(F.lit("1").alias("Score!"), "*")
+    folder = stage_csv(spark, _source(sf_dir), "csv_repeated", source)
+    return review_files.combine({"average": review_files.scan_csv(spark, folder)})
+
+
 def ingest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sources stored first, the third one merged into them."""
     sources = event_review_texts(spark, sf_dir)
@@ -413,6 +420,7 @@ def catalog() -> dict[str, Query]:
         "ingest_stage_cast": staged_texts,
         "ingest_header_alias": ingest_header_alias,
         "ingest_csv_scan": ingest_csv_scan,
+        "ingest_repeated_header": ingest_repeated_header,
         "ingest_dedupe_latest": deduped,
         "ingest_counters": _on(staged_texts, lambda d: review_files.ingest_counters(d, list(HEADER_SPELLINGS))),
         "ingest_upsert": ingest_upsert,

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 from operator import add
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from echotide.functions.fixed_values import HEADER_ALIASES
 from echotide.functions.text import blank_to_null
@@ -17,35 +19,46 @@ TIMESTAMP_FORMATS = ("yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy-M-d")
 
 
 def scan_csv(spark: SparkSession, path: str, quoted_newlines: bool = True, sep: str = ",") -> DataFrame:
-    """All columns as text. Files whose fields never hold a newline should be read with
-    quoted_newlines=False: Spark then splits a big file over many tasks."""
+    """All columns as text, read by position under the names of the header line, which is skipped in every file. Files whose
+    fields never hold a newline should be read with quoted_newlines=False: Spark then splits a big file over many tasks."""
+    reader = spark.read.option("inferSchema", False).option("multiLine", quoted_newlines).option("escape", '"').option("sep", sep)
     try:
-        return (
-            spark.read.option("header", True).option("inferSchema", False)
-            .option("multiLine", quoted_newlines).option("escape", '"').option("sep", sep)
-            .csv(path)
-        )
+        header = reader.option("header", False).csv(path).first()
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error.getCondition()):
             raise
         raise FileNotFoundError(f"review file not found: {path}") from error
+    schema = StructType([StructField(name, StringType()) for name in column_names(header or ())])
+    return reader.schema(schema).option("header", True).csv(path)
 
 
-def resolve_headers(headers: Iterable[str]) -> dict[str, str]:
-    """Target column -> header in the file. Case and punctuation are ignored."""
+def bare(header: str | None) -> str:
+    """A header without case, blanks and punctuation."""
+    return re.sub(r"[\W_]+", "", header or "").casefold()
+
+
+def column_names(header: Iterable[str | None]) -> list[str]:
+    """A name for every place of a header line: of headers that are the same but for case and punctuation the last one keeps
+    the name, the others and blank ones are named by their place."""
+    header = list(header)
+    last = {bare(name): place for place, name in enumerate(header)}
+    return [name if bare(name) and last[bare(name)] == place else f"_c{place}" for place, name in enumerate(header)]
 
-    def plain(name: str) -> str:
-        return "".join(c.lower() for c in name if c.isalnum())
 
-    by_name = {plain(h): h for h in headers}
-    found = {
-        target: next((by_name[plain(a)] for a in aliases if plain(a) in by_name), None)
-        for target, aliases in HEADER_ALIASES.items()
-    }
-    missing = [target for target, header in found.items() if header is None]
+_TARGETS = {bare(alias): (rank, target) for target, aliases in HEADER_ALIASES.items() for rank, alias in reversed([*enumerate(aliases)])}
+
+
+def resolve_headers(headers: Iterable[str]) -> dict[str, str]:
+    """Target column -> header in the file. The first alias of a target counts before the others, the later of equal headers."""
+    offers: dict[str, list[tuple[int, str]]] = {target: [] for target in HEADER_ALIASES}
+    for header in headers:
+        if known := _TARGETS.get(bare(header)):
+            rank, target = known
+            offers[target].append((rank, header))
+    missing = [target for target, found in offers.items() if not found]
     if missing:
         raise ValueError(f"required columns missing: {', '.join(missing)}")
-    return found
+    return {target: min(reversed(found), key=lambda offer: offer[0])[1] for target, found in offers.items()}
 
 
 def to_int(text: Column) -> Column:

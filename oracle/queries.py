@@ -133,6 +133,7 @@ def oracle_queries() -> dict[str, str]:
             f"SELECT source, {lit(c)} AS target_column, count({c}) AS filled FROM staged GROUP BY source"
             for c in COLUMNS.split(", "))),
         "ingest_csv_scan": with_(STAGED, latest("staged")),
+        "ingest_repeated_header": with_(STAGED, f"SELECT {COLUMNS}, source FROM staged WHERE source = 'average'"),
         "ingest_dedupe_latest": with_(REVIEWS, latest("reviews")),
         "ingest_counters": with_(STAGED, """
           SELECT 'loaded:' || source AS counter, count(*) AS row_count FROM staged GROUP BY source

@@ -81,6 +81,18 @@ def test_header_errors(spark, tmp_path):
     assert (found["review_id"], found["at_ts"]) == ("review_id", "at")
 
 
+def test_repeated_headers(spark, tmp_path):
+    header = "reviewId,score,userName,content,SCORE,thumbsUpCount,reviewCreatedVersion,at,appVersion,category,,score"
+    for name, lines in (("1.csv", ["a,1,u,one,2,0,1,2024-01-05,1,x,?,3"]), ("2.csv", ['b,1,u,"two, too",2,0,1,2024-01-05,1,x,?,4'])):
+        write(tmp_path, name, header, *lines)
+    for quoted in (True, False):
+        found = review_files.typed_reviews(review_files.scan_csv(spark, str(tmp_path), quoted)).collect()
+        assert sorted((r["review_id"], r["content"], r["score"]) for r in found) == [("a", "one", 3), ("b", "two, too", 4)]
+    assert review_files.column_names(["A b", None, "a_B", "", "c"]) == ["_c0", "_c1", "a_B", "_c3", "c"]
+    wide = [*HEADER.split(","), "Rating", "id"]
+    assert review_files.resolve_headers(wide)["score"] == "score" and review_files.resolve_headers(wide)["review_id"] == "reviewId"
+
+
 def test_equal_times_and_hot_key_are_settled_before_the_shuffle(spark):
     hot = event_reviews(spark, SMALL)
     plan = review_files.latest_per_review(hot)._jdf.queryExecution().toString()
