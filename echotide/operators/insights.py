@@ -23,17 +23,23 @@ def _strongest() -> list[Column]:
             F.desc_nulls_last("at_ts"), F.asc("review_id")]
 
 
+def _with_quotes(winners: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Excerpts of the reviews that a ranking has chosen: only the identifiers were ranked, texts are fetched for the few winners."""
+    return winners.join(reviews.select("review_id", excerpt(F.col("content")).alias("quote")), "review_id")
+
+
+def _strongest_of(mentions: DataFrame, group: list[str], number: int) -> DataFrame:
+    """The strongest reviews of every group, as (group, quote_rank, review_id). Each task keeps only its best before the shuffle."""
+    order = F.row_number().over(Window.partitionBy(*group).orderBy(*_strongest()))
+    return mentions.withColumn("quote_rank", order).filter(F.col("quote_rank") <= number).select(*group, "quote_rank", "review_id")
+
+
 def label_quotes(scoped: DataFrame, per_label: int = 3) -> DataFrame:
-    """The strongest reviews of every label. Each task keeps only its best before the shuffle."""
-    rows = scoped.select(
-        F.explode(labels_of(F.col("issues"))).alias("label"),
-        "review_id", "content", "severity_score", "thumbs_up", "at_ts",
-    )
-    order = Window.partitionBy("label").orderBy(*_strongest())
-    return (
-        rows.withColumn("quote_rank", F.row_number().over(order)).filter(F.col("quote_rank") <= per_label)
-        .select("label", "quote_rank", "review_id", excerpt(F.col("content")).alias("quote"))
-    )
+    """The strongest reviews of every label."""
+    mentions = scoped.select(
+        F.explode(labels_of(F.col("issues"))).alias("label"), "review_id", "severity_score", "thumbs_up", "at_ts")
+    found = _with_quotes(_strongest_of(mentions, ["label"], per_label), scoped)
+    return found.select("label", "quote_rank", "review_id", "quote")
 
 
 def _ranked_labels(scoped: DataFrame) -> DataFrame:
@@ -135,7 +141,8 @@ def _evidence_rows(reviews: DataFrame, label: str, before: Column) -> DataFrame:
     own = F.filter("issues", lambda i: i["label"] == label)
     phrases = F.concat(before, F.array_distinct(F.flatten(F.transform(own, lambda i: i["evidence"]))))
     return reviews.filter(F.exists("issues", lambda i: i["label"] == label)).select(
-        F.explode(phrases).alias("phrase"), F.coalesce("severity_score", F.lit(0.0)).alias("severity"),
+        F.explode(phrases).alias("phrase"), "review_id", "severity_score", "thumbs_up", "at_ts",
+        F.coalesce("severity_score", F.lit(0.0)).alias("severity"),
         F.greatest(F.lit(0), F.coalesce("thumbs_up", F.lit(0))).cast("bigint").alias("thumbs"),
     )
 
@@ -151,17 +158,21 @@ def feature_requests(scoped: DataFrame) -> DataFrame:
     )
 
 
-def policy_themes(scoped: DataFrame) -> DataFrame:
-    """Phrases behind policy complaints, with their share of all such reviews."""
+def policy_themes(scoped: DataFrame, quotes: int = 2) -> DataFrame:
+    """Phrases behind policy complaints, with their share of all such reviews and the strongest of them in words."""
     rows = _evidence_rows(scoped, "Policy Complaints", F.array(F.lit("*")))
     counts = rows.groupBy("phrase").agg(
         F.count(F.lit(1)).alias("n"), rounded(exact_sum("severity"), 4).alias("weighted_severity")
     )
     total = F.max(F.when(F.col("phrase") == "*", F.col("n"))).over(Window.partitionBy())
-    return counts.select(
+    themes = counts.select(
         F.col("phrase").alias("theme"), F.col("n").alias("review_count"),
         F.round(F.col("n") / total, 4).alias("share"), "weighted_severity",
     ).filter(F.col("theme") != "*")
+    chosen = _strongest_of(rows.filter("phrase <> '*'"), ["phrase"], quotes)
+    said = _with_quotes(chosen, scoped).groupBy(F.col("phrase").alias("theme")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("quote_rank", "quote"))), lambda q: q["quote"]).alias("evidence_quotes"))
+    return themes.join(said, "theme")
 
 
 def competitor_mentions(scoped: DataFrame, names: list[str]) -> DataFrame:
@@ -181,40 +192,29 @@ def competitor_mentions(scoped: DataFrame, names: list[str]) -> DataFrame:
 
 
 def spike_drivers(reviews: DataFrame, top: int = 3) -> DataFrame:
-    """For each spike: labels whose share rose most over the preceding days, with the id of the
-    strongest review. Drivers are at most `top` rows per metric and calendar day."""
-    earlier = Window.orderBy("day").rowsBetween(-SPIKE_DAYS, -1)
+    """For each spike: labels whose share rose most over the preceding days, with the strongest review and its words. Drivers are
+    at most `top` rows per metric and calendar day. The base is a running sum over the numbered days, so no history is carried."""
+    by_day = Window.orderBy("day")
     counts = F.transform("entries", lambda e: F.struct(e["label"].alias("label"), e["n"].alias("n")))
     days = with_flags(day_table(reviews.filter(F.col("day").isNotNull()))).select(
-        "day", "anomaly_flags", F.struct(F.col("total_reviews").alias("total"), counts.alias("labels")).alias("now")
-    ).withColumn("earlier", F.collect_list("now").over(earlier))
-
-    def added(value) -> Column:
-        return F.aggregate("earlier", F.lit(0).cast("bigint"), lambda total, day: total + value(day))
-
-    def of_label(day: Column) -> Column:
-        own = F.filter(day["labels"], lambda x: x["label"] == F.col("label"))
-        return F.coalesce(F.get(own, F.lit(0))["n"], F.lit(0))
-
-    spikes = days.select("day", "now", "earlier", F.inline("anomaly_flags"))
-    shares = spikes.select("day", "metric", "z_score", "now", "earlier", F.inline("now.labels")).withColumns({
-        "share": F.col("n") / F.col("now.total"),
-        "share_before": F.try_divide(added(of_label), added(lambda day: day["total"])),
-    })
-    lifts = shares.select(
-        "day", "metric", "z_score", "label", F.round("share", 4).alias("share"),
-        F.round("share_before", 4).alias("share_before"),
-        F.round(F.col("share") - F.col("share_before"), 4).alias("lift"),
-    )
+        "day", F.row_number().over(by_day).alias("place"), F.col("total_reviews").alias("total"),
+        F.sum("total_reviews").over(by_day.rowsBetween(-SPIKE_DAYS, -1)).alias("total_before"), counts.alias("labels"), "anomaly_flags")
+    earlier = Window.partitionBy("label").orderBy("place").rangeBetween(-SPIKE_DAYS, -1)
+    labelled = days.select("day", "place", "total", "total_before", "anomaly_flags", F.inline("labels")).withColumn(
+        "n_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    spikes = labelled.select("*", F.inline("anomaly_flags"))
+    share, share_before = F.col("n") / F.col("total"), F.try_divide("n_before", "total_before")
+    lifts = spikes.select(
+        "day", "metric", "z_score", "label", F.round(share, 4).alias("share"), F.round(share_before, 4).alias("share_before"),
+        F.round(share - share_before, 4).alias("lift"))
     order = Window.partitionBy("day", "metric").orderBy(F.desc("lift"), "label")
     drivers = lifts.filter("lift > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     mentions = reviews.select(
         "day", F.explode(labels_of(F.col("issues"))).alias("label"), "review_id", "severity_score", "thumbs_up", "at_ts")
     wanted = mentions.join(drivers.select("day", "label").distinct(), ["day", "label"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("day", "label").orderBy(*_strongest()))
-    strongest = wanted.withColumn("place", first).filter("place = 1").select(
-        "day", "label", F.col("review_id").alias("evidence_review_id"))
-    return drivers.join(strongest, ["day", "label"])
+    found = _with_quotes(_strongest_of(wanted, ["day", "label"], 1), reviews).select(
+        "day", "label", F.col("review_id").alias("evidence_review_id"), F.col("quote").alias("evidence_quote"))
+    return drivers.join(found, ["day", "label"])
 
 
 def kpi_tiles(reviews: DataFrame, scope: Scope) -> DataFrame:

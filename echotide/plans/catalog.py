@@ -518,7 +518,8 @@ def catalog() -> dict[str, Query]:
             F.array_join("related_versions", ",").alias("versions"))),
         "emerging_risks": _on(enriched, insights.emerging_risks),
         "feature_requests": _on(enriched, insights.feature_requests),
-        "policy_themes": _on(enriched, insights.policy_themes),
+        "policy_themes": _on(enriched, lambda d: insights.policy_themes(d).withColumn(
+            "evidence_quotes", F.array_join("evidence_quotes", "|"))),
         "competitor_mentions": _on(enriched, lambda d: insights.competitor_mentions(d, COMPETITORS)),
         "spike_drivers": _on(enriched, insights.spike_drivers),
         "kpi_tiles": _on(enriched, lambda d: insights.kpi_tiles(d, WEEK)),

@@ -396,10 +396,14 @@ def oracle_queries() -> dict[str, str]:
             CAST(sum(greatest(0, coalesce(thumbs_up, 0))) AS BIGINT) AS thumbs_up FROM phrase_rows GROUP BY evidence)""", f"""
           SELECT *, {_impact.format('weighted_severity')} AS priority,
             CAST(row_number() OVER (ORDER BY weighted_severity DESC, thumbs_up DESC, request) AS INTEGER) AS rank FROM f"""),
-        "policy_themes": with_(_phrase_rows("Policy Complaints"), """
+        "policy_themes": with_(_phrase_rows("Policy Complaints") + f""",
+          said AS (SELECT evidence, {excerpt('content')} AS quote,
+            row_number() OVER (PARTITION BY evidence ORDER BY {_strong}) AS place FROM phrase_rows)""", """
           SELECT evidence AS theme, count(*) AS review_count,
             round(count(*) / (SELECT count(DISTINCT review_id) FROM phrase_rows), 4) AS share,
-            CAST(round(sum(CAST(severity_score AS DECIMAL(18,12))), 4) AS DOUBLE) AS weighted_severity FROM phrase_rows GROUP BY evidence"""),
+            CAST(round(sum(CAST(severity_score AS DECIMAL(18,12))), 4) AS DOUBLE) AS weighted_severity,
+            (SELECT string_agg(quote, '|' ORDER BY place) FROM said s WHERE s.evidence = p.evidence AND place <= 2) AS evidence_quotes
+          FROM phrase_rows p GROUP BY evidence"""),
         "competitor_mentions": with_(SENTIMENT, f"""SELECT name, count(*) AS mentions,
           count(*) FILTER (WHERE sentiment_label = 'positive') AS positive,
           count(*) FILTER (WHERE sentiment_label = 'neutral') AS neutral,
@@ -414,11 +418,13 @@ def oracle_queries() -> dict[str, str]:
               / (SELECT sum(x.n) FROM numbered x WHERE x.place BETWEEN d.place - 14 AND d.place - 1) AS before
             FROM flags f JOIN numbered d ON d.day = f.day JOIN day_issue i ON i.day = f.day),
           drivers AS (SELECT day, metric, z_score, label, round(share, 4)::DOUBLE AS share, round(before, 4)::DOUBLE AS share_before,
-              round(share - before, 4)::DOUBLE AS lift FROM lifts)""", """
+              round(share - before, 4)::DOUBLE AS lift FROM lifts)""", f"""
           SELECT d.day, d.metric, d.z_score, d.label, share, share_before, lift,
             CAST(row_number() OVER (PARTITION BY d.day, d.metric ORDER BY lift DESC, d.label) AS INTEGER) AS rank,
             (SELECT review_id FROM issue_rows r WHERE r.day = d.day AND r.label = d.label
-              ORDER BY severity_score DESC, coalesce(thumbs_up, 0) DESC, at_ts DESC NULLS LAST, review_id LIMIT 1) AS evidence_review_id
+              ORDER BY {_strong} LIMIT 1) AS evidence_review_id,
+            (SELECT {excerpt('content')} FROM issue_rows r WHERE r.day = d.day AND r.label = d.label
+              ORDER BY {_strong} LIMIT 1) AS evidence_quote
           FROM drivers d WHERE lift > 0 QUALIFY rank <= 3"""),
         "kpi_tiles": with_(ENRICHED + """, p AS (SELECT *, day >= DATE '2024-01-10' AS cur FROM enriched
             WHERE day BETWEEN DATE '2023-12-30' AND DATE '2024-01-20'),
