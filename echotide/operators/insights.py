@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from echotide.functions.issues import labels_of
@@ -175,16 +173,29 @@ def policy_themes(scoped: DataFrame, quotes: int = 2) -> DataFrame:
     return themes.join(said, "theme")
 
 
-def competitor_mentions(scoped: DataFrame, names: list[str]) -> DataFrame:
+def _first_word(text: Column) -> Column:
+    return F.regexp_extract(text, r"(?Us)^(?:\w+|\W)", 0)
+
+
+def competitor_mentions(scoped: DataFrame, names: list[str] | DataFrame) -> DataFrame:
     """Reviews naming each competitor as a whole word, with the sentiment mix.
 
-    The names are one constant list that every text is searched for; a text that holds a name is tested for word ends.
+    The names are a table (column `name`), of any size. Every place of a text where a name could begin yields a window as long
+    as the longest name, and windows are joined to the names by their first word, so the work grows with the text and the hits,
+    not with the number of names. A review counts once per name; an empty name is never mentioned.
     """
-    text = F.lower(F.coalesce("content", F.lit("")))
-    listed = [(n, n.lower(), rf"(?U)(?<!\w){re.escape(n.lower())}(?!\w)") for n in dict.fromkeys(names)]
-    table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("name", "part", "word"), row)]) for row in listed])
-    found = F.filter(table, lambda n: F.contains(text, n["part"]) & F.rlike(text, n["word"]))
-    mentioned = scoped.select(F.explode(F.transform(found, lambda n: n["name"])).alias("name"), "sentiment_label")
+    if "review_id" not in scoped.columns:
+        scoped = scoped.withColumn("review_id", F.monotonically_increasing_id())
+    if isinstance(names, list):
+        names = scoped.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    listed = names.select("name", F.lower("name").alias("low")).filter("low <> ''").distinct()
+    longest = listed.agg(F.coalesce(F.max(F.length("low")), F.lit(1))).first()[0]
+    keyed = listed.withColumn("key", _first_word(F.col("low")))
+    windows = F.regexp_extract_all(F.lower(F.coalesce("content", F.lit(""))), F.lit(rf"(?Us)(?<!\w)(?=(.{{1,{longest + 1}}}))"), F.lit(1))
+    places = scoped.select("review_id", "sentiment_label", F.explode(F.array_distinct(windows)).alias("window")).withColumn(
+        "key", _first_word(F.col("window")))
+    ends = ~F.rlike(F.substr("window", F.length("low") + 1, F.lit(1)), F.lit(r"(?U)^\w"))
+    mentioned = places.join(keyed, "key").filter(F.startswith("window", "low") & ends).dropDuplicates(["review_id", "name"])
     return mentioned.groupBy("name").agg(
         F.count(F.lit(1)).alias("mentions"),
         *[F.count_if(F.col("sentiment_label") == s).alias(s) for s in ("positive", "neutral", "negative")],

@@ -3,6 +3,8 @@
 import datetime as dt
 import hashlib
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -180,6 +182,25 @@ def test_competitors_are_whole_words(spark):
     assert found == {"Acme": 1, "C++": 1}
 
 
+def test_competitors_from_a_large_table(spark):
+    rng = random.Random(3)
+    parts = ["Bank", "bank", "slow", " ", " ", "-", ".net", "C++", "at&t", "é", "_", "\n", "ab", "x1"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(14))) for _ in range(500)] + [None, "", "bank", "bank.", "my bank"]
+    names = ["bank", "Slow Bank", ".NET", "c++", "AT&T", "é", "x1", "bank.", ""]
+    reviews = spark.createDataFrame([(str(i), t, "neutral") for i, t in enumerate(texts)], "review_id string, content string, sentiment_label string")
+    found = {r["name"]: r["mentions"] for r in insights.competitor_mentions(reviews, names).collect()}
+    wanted = {n: sum(bool(re.search(rf"(?<!\w){re.escape(n.lower())}(?!\w)", (t or "").lower())) for t in texts) for n in names if n}
+    assert found == {n: k for n, k in wanted.items() if k}
+
+    def plan(number):
+        table = spark.range(number).select(F.concat(F.lit("name "), F.col("id").cast("string")).alias("name"))
+        df = insights.competitor_mentions(reviews, table.unionByName(spark.createDataFrame([("bank",)], "name string")))
+        assert [(r["name"], r["mentions"]) for r in df.collect()] == [("bank", wanted["bank"])]
+        return df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+
+    assert plan(100_000) == plan(4)
+
+
 def test_golden_sample_is_balanced(spark, reviews):
     counts = quality.golden_sample(reviews, 2).groupBy("score", "category_taxonomy").count().collect()
     assert max(r["count"] for r in counts) <= 2
