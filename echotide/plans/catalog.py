@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from echotide.functions import issues as issue_rules, sentiment
 from echotide.functions.text import excerpt
 from echotide.operators import aggregates, churn, contracts, dashboards, drilldown, enrich, insights, quality
-from echotide.operators import reports, scope as scopes, trends
+from echotide.operators import report_store, reports, scope as scopes, trends
 from echotide.operators.merge import upsert
 from echotide.operators.scope import Scope
 from echotide.plans import incremental, pipeline
@@ -316,6 +316,22 @@ def report_cache_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh.select(start.alias("start_date"), "hash_key")
 
 
+def report_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The brief of a week, asked for twice: stored by the first request, returned by the second, whose own text is not used."""
+
+    def build(note: str) -> DataFrame:
+        brief = pipeline.brief_report(enriched(spark, sf_dir), daily(spark, sf_dir), WEEK)
+        return brief.withColumn("content_json", F.concat("content_json", F.lit(note)))
+
+    def fill(root: str) -> None:
+        for note in ("", "again"):
+            report_store.report_for(spark, root, "weekly_exec_brief", WEEK, lambda: build(note))
+
+    root = stage_folder(spark, _source(sf_dir), "reports", fill)
+    found = report_store.report_for(spark, root, "weekly_exec_brief", WEEK, lambda: build("third"))
+    return found.select("report_type", "scope_json", "hash_key", F.get_json_object("content_json", "$.headline").alias("headline"))
+
+
 def report_contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = contracts.check_reports(_day_reports(spark, sf_dir))
     # The text of a broken document cannot be searched as JSON, so the day comes from the scope.
@@ -492,6 +508,7 @@ def catalog() -> dict[str, Query]:
         "exec_kpi_table": _exec_kpis,
         "report_cache_keys": report_cache_keys,
         "report_cache_new": report_cache_new,
+        "report_lookup": report_lookup,
         "report_contract_check": report_contract_check,
         "report_backlog": report_backlog,
         "ticket_rows": _ticket_rows,

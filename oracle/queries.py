@@ -46,6 +46,8 @@ raised AS (
 _day_json_scope = """'{"category":"\\u00dcn\\u00efcode \\"q\\" \\ud83d\\ude00/","end_date":"' || CAST(day AS VARCHAR)
   || '","issue_label":"","start_date":"' || CAST(day AS VARCHAR) || '","version":""}'"""
 
+_week_json_scope = """'{"category":"","end_date":"2024-01-20","issue_label":"","start_date":"2024-01-10","version":""}'"""
+
 _MENTION = "regexp_matches(lower(content), '(^|[^\\w])' || {0} || '($|[^\\w])')"
 
 CANDIDATES = ENRICHED + f""",
@@ -297,6 +299,11 @@ def oracle_queries() -> dict[str, str]:
           SELECT 'avg_rating' AS metric, CAST(round(avg_rating, 3) AS VARCHAR) AS value FROM kpi
           UNION ALL SELECT 'pct_negative', printf('%.1f%%', pct_negative * 100) FROM kpi
           UNION ALL SELECT 'critical_count', CAST(critical_count AS VARCHAR) FROM kpi"""),
+        "report_lookup": with_(ENRICHED + "," + _week_kpi, f"""
+          SELECT 'weekly_exec_brief' AS report_type, {_week_json_scope} AS scope_json,
+            sha256('weekly_exec_brief' || {_week_json_scope}) AS hash_key,
+            'Weekly health: rating ' || printf('%.2f', avg_rating) || ', negative '
+            || printf('%.1f%%', pct_negative * 100) || ', critical ' || CAST(critical_count AS VARCHAR) || '.' AS headline FROM kpi"""),
         "report_cache_keys": with_(CLEAN, f"""SELECT DISTINCT 'weekly_exec_brief' AS report_type, {_day_json_scope} AS scope_json,
           sha256('weekly_exec_brief' || {_day_json_scope}) AS hash_key FROM clean WHERE day IS NOT NULL"""),
         "report_cache_new": with_(CLEAN, f"""SELECT DISTINCT CAST(day AS VARCHAR) AS start_date,

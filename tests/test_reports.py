@@ -5,13 +5,17 @@ import hashlib
 import json
 import random
 import re
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL, rows
 from echotide.functions import text
-from echotide.operators import aggregates, churn, contracts, dashboards, drilldown, insights, quality, reports, trends
+from echotide.operators import (
+    aggregates, churn, contracts, dashboards, drilldown, insights, quality, report_store, reports, trends,
+)
 from echotide.operators.scope import Scope, default_window, iso_day, preset_window
 from echotide.plans import catalog, pipeline
 from echotide.sources.event_reviews import event_review_texts
@@ -247,6 +251,31 @@ def test_pipeline_runs_build_on_each_other(spark, tmp_path):
     assert contracts.check_reports(stored).filter(F.size("violations") > 0).count() == 0
 
 
+def test_reports_are_stored_once(spark, tmp_path):
+    """Two requests miss at the same time: both generate, one stores, both return what is stored."""
+    root, scope = str(tmp_path), Scope.of("2024-01-01", "2024-01-07")
+    both = threading.Barrier(2, timeout=60)
+
+    def request(name):
+        def build():
+            both.wait()
+            return spark.range(1).select(
+                F.lit("weekly_exec_brief").alias("report_type"),
+                F.struct(*[F.lit(v).alias(k) for k, v in scope.as_dict().items()]).alias("scope"),
+                F.lit(f'{{"by":"{name}"}}').alias("content_json"))
+
+        return report_store.report_for(spark, root, "weekly_exec_brief", scope, build).first()
+
+    with ThreadPoolExecutor(2) as pool:
+        found = list(pool.map(request, "ab"))
+    assert found[0]["report_id"] == found[1]["report_id"] and found[0]["content_json"] == found[1]["content_json"]
+    assert report_store.all_reports(spark, root).count() == 1
+    never = lambda: pytest.fail("a stored report is not made again")
+    again = report_store.report_for(spark, root, "weekly_exec_brief", scope, never).first()
+    assert again["report_id"] == found[0]["report_id"] and again["created_at"] is not None
+    assert report_store.find_report(spark, root, "sprint_backlog", scope) is None
+
+
 def test_stored_content_is_ascii(spark):
     content = json.dumps({"title": "\u00dcber \U0001f600 \"x\"", "n": 1}, ensure_ascii=False, separators=(",", ":"))
     frame = spark.createDataFrame([(content,), ("{}",), (None,)], "content_json string")
