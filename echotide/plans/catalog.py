@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from echotide.functions import issues as issue_rules, sentiment
 from echotide.functions.text import excerpt
@@ -214,6 +215,39 @@ def search_reviews_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def overview_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything the overview shows of a week, as (section, position, item, value) rows."""
+    parts = dashboards.overview(daily(spark, sf_dir), WEEK)
+    kpis = parts["kpis"]
+    metrics = F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).cast("double").alias("value")) for c in kpis.columns])
+    trend = F.array(*[F.struct(F.concat(F.col("day").cast("string"), F.lit(f":{m}")).alias("item"), F.col(m).cast("double").alias("value"))
+                      for m in ("avg_rating", "pct_negative", "critical_count")])
+    sections = [
+        kpis.select(F.lit("kpi").alias("section"), F.inline(metrics)), parts["trend"].select(F.lit("trend").alias("section"), F.inline(trend)),
+        parts["top_issues"].select(F.lit("issue").alias("section"), F.col("issue_label").alias("item"),
+                                   F.col("weighted_severity").alias("value")),
+    ]
+    return reduce(DataFrame.unionByName, sections).withColumn("value", F.round("value", 4))
+
+
+def drilldown_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of a scope and its quotes, as (section, place, review_id, text) rows."""
+    parts = dashboards.drilldown(enriched(spark, sf_dir), NARROW, page_size=10)
+    order = Window.orderBy(F.desc_nulls_last("day"), F.desc("severity_score"), "review_id")
+    listed = parts["rows"].select(F.lit("row").alias("section"), F.row_number().over(order).alias("place"), "review_id",
+                                  F.col("content").alias("text"))
+    return listed.unionByName(parts["quotes"].select(F.lit("quote").alias("section"), F.col("rank").alias("place"), "review_id",
+                                                     F.col("quote").alias("text")))
+
+
+def scheduled_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports that a run stores for a scope, when the brief already is stored."""
+    reviews, days = enriched(spark, sf_dir), daily(spark, sf_dir)
+    stored = reports.stored_reports(pipeline.brief_report(reviews, days, WEEK))
+    fresh = pipeline.missing_reports(reviews, days, stored, WEEK)
+    return fresh.select("report_type", "scope_json", "hash_key", "model")
+
+
 def scope_default_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KPIs of the default window, whose bounds are found in the same plan."""
     reviews = enriched(spark, sf_dir)
@@ -499,6 +533,9 @@ def catalog() -> dict[str, Query]:
         "scope_default_kpis": scope_default_kpis,
         "preset_windows": _on(daily, scopes.preset_windows),
         "filter_options": _on(enriched, drilldown.filter_options),
+        "overview_page": overview_page,
+        "drilldown_page": drilldown_page,
+        "scheduled_reports": scheduled_reports,
         "search_reviews_page": _on(enriched, lambda d: drilldown.search_reviews(d, NARROW, page=2, page_size=5)),
         "search_reviews_after": search_reviews_after,
         "search_reviews_count": _on(enriched, lambda d: drilldown.count_reviews(d, NARROW)),

@@ -265,6 +265,31 @@ def oracle_queries() -> dict[str, str]:
             ELSE CAST(hi - to_days(CAST(days AS INTEGER)) AS DATE) END) AS start_day, hi AS end_day
           FROM b, (VALUES ('7D', 6), ('30D', 29), ('90D', 89), ('YTD', 0)) p(preset, days)"""),
         "filter_options": with_(VERSIONS, _filter_options),
+        "overview_page": with_(DAILY + f""",
+          week AS (SELECT * FROM daily WHERE {WEEK}),
+          kpi AS (SELECT sum(total_reviews)::DOUBLE AS n, round(sum(avg_rating * total_reviews) / sum(total_reviews), 6) AS avg_rating,
+            round(sum(pct_negative * total_reviews) / sum(total_reviews), 6) AS pct_negative,
+            sum(critical_count)::DOUBLE AS critical_count, sum(churn_high_users)::DOUBLE AS high FROM week),
+          top AS (SELECT label, sum(review_count) AS n, CAST(round(sum(round(weight, 4)), 3) AS DOUBLE) AS value FROM day_top
+            WHERE {WEEK} GROUP BY label ORDER BY value DESC, n DESC, label LIMIT 5)""", """
+          SELECT 'kpi' AS section, 'total_reviews' AS item, n AS value FROM kpi
+          UNION ALL SELECT 'kpi', 'avg_rating', round(avg_rating, 4) FROM kpi
+          UNION ALL SELECT 'kpi', 'pct_negative', round(pct_negative, 4) FROM kpi
+          UNION ALL SELECT 'kpi', 'critical_count', critical_count FROM kpi UNION ALL SELECT 'kpi', 'churn_high_users', high FROM kpi
+          UNION ALL SELECT 'trend', CAST(day AS VARCHAR) || ':avg_rating', avg_rating FROM week
+          UNION ALL SELECT 'trend', CAST(day AS VARCHAR) || ':pct_negative', pct_negative FROM week
+          UNION ALL SELECT 'trend', CAST(day AS VARCHAR) || ':critical_count', critical_count::DOUBLE FROM week
+          UNION ALL SELECT 'issue', label, round(value, 4) FROM top"""),
+        "drilldown_page": with_(ENRICHED + f""",
+          page AS (SELECT * FROM enriched e WHERE {_narrow} ORDER BY e.day DESC, e.severity_score DESC, e.review_id LIMIT 10),
+          quotes AS (SELECT * FROM enriched e WHERE {_narrow} ORDER BY {_strong.replace('severity_score', 'e.severity_score')} LIMIT 8)""", f"""
+          SELECT 'row' AS section, CAST(row_number() OVER (ORDER BY day DESC, round(severity_score, 3) DESC, review_id) AS INTEGER) AS place,
+            review_id, content AS text FROM page
+          UNION ALL SELECT 'quote', CAST(row_number() OVER (ORDER BY {_strong}) AS INTEGER), review_id,
+            {excerpt('content', 'Login/Auth Issues')} FROM quotes"""),
+        "scheduled_reports": with_(REVIEWS, f"""SELECT kind AS report_type, {_week_json_scope} AS scope_json,
+          sha256(kind || {_week_json_scope}) AS hash_key, 'rules' AS model
+          FROM (VALUES ('weekly_top_issues'), ('sprint_backlog')) k(kind)"""),
         "search_reviews_page": with_(ENRICHED, f"""SELECT {_row} FROM enriched e WHERE {_narrow}
           ORDER BY e.day DESC, e.severity_score DESC, e.review_id LIMIT 5 OFFSET 5"""),
         "search_reviews_after": with_(ENRICHED, f"""SELECT {_row}, round(e.severity_score, 6) AS sort_severity FROM enriched e
