@@ -1,10 +1,11 @@
 """Secret scans by assignment-aware lexing.
 
 Plain patterns (assign, access, hex) find the well-known shapes. Beyond them a small lexer reads source and configuration
-syntax around each assignment sign: the name before it and the literals after it, quoted or bare, also joined with `+`. A name
-on the right-hand side stands for the literals it was given earlier in the text (constants are propagated). What a sensitive
-name receives is scored by the name, and by length, mixture and entropy of the value; from THRESHOLD on, its literals are
-reported as `named`, unless a plain span covers them.
+syntax around each assignment sign: the name before it (also where a type stands between) and the literals after it, quoted
+(with escapes, prefixes, or three quotes) or bare, also joined with `+`; comparisons and calls assign nothing. A name on the
+right-hand side stands for the literals it was given earlier in the text: constants are propagated by reference, so that a
+name doubled again and again stays small. What a sensitive name receives is scored by the words of the name, and by length,
+mixture and entropy of the value; from THRESHOLD on, its literals are reported as `named`, unless a plain span covers them.
 
 Defined cases: a null or empty text has no spans. Every row is scanned by itself, over its whole text. Other columns take no
 part. Positions are code points, ends exclusive.
@@ -34,15 +35,25 @@ SENSITIVE = {
     "privatekey": 1.0, "secretkey": 1.0, "signingkey": 0.9, "encryptionkey": 0.9, "credential": 0.8, "bearer": 0.8, "authkey": 0.9,
     "connectionstring": 0.7, "dsn": 0.6,
 }
+#: Those that are as sensitive in the plural; `tokens` are mostly counted.
+PLURAL = ("password", "passwd", "secret", "credential", "apikey", "accesskey")
 #: Values that stand for no secret.
 PLACEHOLDER = re.compile(
     r"example|changeme|change_me|placeholder|dummy|redacted|your[-_]?|xxxx|\*\*\*|^<.*>$|^\$\{.*\}$|^%.*%$", re.I)
 THRESHOLD = 0.6
 
-SIGN = re.compile(r":=|=>|[=:]")
+SIGN = re.compile(r"[=!<>]=+|:=|=>|[=:]")
+ASSIGNS = (":=", "=>", "=", ":")  # every other sign compares
 BLANKS = " \t\n\r\f\v"
 NAME_SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-"
-PART = re.compile(r"""[ \t]*(?:"([^"\n]*)"|'([^'\n]*)'|([A-Za-z0-9+/_.=\-]+))""", re.A)
+#: The words of a name: parts between other characters, and humps of camel case.
+WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+#: Between a colon and the sign of the value: a type. Before the sign in Go: `var name type`.
+TYPE = re.compile(r"[ \t]*[A-Za-z_][\w.\[\]<>,|? \t*]*")
+DECLARED = re.compile(r"\b(?:var|const)[ \t]+(\w+)[ \t]+[\w.\[\]*]+[ \t]*\Z")
+PART = re.compile(
+    r'''[ \t]*(?:[A-Za-z]{0,2}(?:"""(?P<long>(?:[^"\\]|\\.|"(?!""))*)"""|"(?P<double>(?:[^"\\\n]|\\.)*)"|'(?P<single>(?:[^'\\\n]|\\.)*)')'''
+    r"|(?P<bare>[A-Za-z0-9+/_.=\-]+))", re.A | re.S)
 JOIN = re.compile(r"[ \t]*\+[ \t]*\n?")
 
 
@@ -65,19 +76,26 @@ def base_spans(text: str) -> list[Span]:
 
 
 def name_score(name: str) -> float:
-    plain = re.sub(r"[^a-z0-9]", "", name.lower())
-    return max((s for part, s in SENSITIVE.items() if part in plain), default=0.0)
-
-
-def value_score(value: str) -> float:
-    """0 for what is no secret; otherwise more with length, entropy and mixture of letters, digits and signs."""
-    if len(value) < 8 or PLACEHOLDER.search(value) or any(c.isspace() for c in value):
+    """How sensitive a name is: a part of the table is the end of one of its words, or of two neighbouring words together."""
+    words = [w.lower() for w in WORDS.findall(name)]
+    ends = words + [a + b for a, b in zip(words, words[1:])]
+    return max((score for part, score in SENSITIVE.items() for w in ends if w.removesuffix("s" if part in PLURAL else " ").endswith(part)),
+               default=0.0)
+
+
+def value_score(signs: Counter) -> float:
+    """0 for what is no secret; otherwise more with length, entropy and mixture of letters, digits and signs. A value is judged
+    by how often each character occurs in it; one with blanks must mix three kinds of others."""
+    size = sum(signs.values())
+    blanks = sum(n for c, n in signs.items() if c.isspace())
+    if size < 8:
         return 0.0
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    classes = sum(any(map(test, value)) for test in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    if classes < 2 or entropy < 2.5:
+    entropy = -sum(n / size * math.log2(n / size) for n in signs.values())
+    solid = [c for c in signs if not c.isspace()]
+    classes = sum(any(map(test, solid)) for test in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    if classes < (3 if blanks else 2) or entropy < 2.5:
         return 0.0
-    return min(1.0, 0.4 + 0.05 * (len(value) - 8) + 0.1 * classes + 0.1 * (entropy - 2.5))
+    return min(1.0, 0.4 + 0.05 * (min(size, 1000) - 8) + 0.1 * classes + 0.1 * (entropy - 2.5))
 
 
 def name_before(gap: str) -> str:
@@ -88,31 +106,85 @@ def name_before(gap: str) -> str:
     return gap[len(gap.rstrip(NAME_SIGNS)):].lstrip("0123456789.-")
 
 
+#: Where the count of a character stops growing: beyond that a value only repeats itself.
+MOST = 1 << 40
+
+
+class Value:
+    """What a name was given: literals by place, and values of other names by reference, so that its size is that of its text
+    however often it repeats. Characters are counted over all of it."""
+
+    def __init__(self):
+        self.places: list[tuple[int, int]] = []
+        self.parts: list[Value] = []
+        self.signs: Counter = Counter()
+        self.placeholder = False
+
+    def add_literal(self, text: str, place: tuple[int, int]) -> None:
+        self.places.append(place)
+        self.signs.update(text)
+        self.placeholder = self.placeholder or bool(PLACEHOLDER.search(text))
+
+    def add_value(self, other: Value) -> None:
+        self.parts.append(other)
+        for sign, n in other.signs.items():
+            self.signs[sign] = min(MOST, self.signs[sign] + n)
+        self.placeholder = self.placeholder or other.placeholder
+
+
+def assigned_value(text: str, at: int, known: dict[str, Value]) -> Value | None:
+    """The literals and known names after a sign, joined with `+`; None where there are none. A call is no literal."""
+    value = Value()
+    while part := PART.match(text, at):
+        kind, at = part.lastgroup, part.end()
+        literal = part.group(kind)
+        if kind == "bare" and literal in known:
+            value.add_value(known[literal])
+        elif kind == "bare" and text.startswith("(", at):
+            break
+        elif literal:
+            value.add_literal(literal, part.span(kind))
+        joined = JOIN.match(text, at)
+        if not joined:
+            break
+        at = joined.end()
+    return value if value.places or value.parts else None
+
+
 def named_spans(text: str) -> list[Span]:
-    """Literals that reach a sensitive name."""
-    known: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}  # name: its value and the places of its literals
-    spans, last = [], 0
+    """Literals that reach a sensitive name. Each value is looked through once, by its best score."""
+    known: dict[str, Value] = {}
+    reported: list[tuple[float, int, Value]] = []
+    before, last, colon = "", 0, False  # the name at the sign before, where that sign ended, and whether it was a colon
     for sign in SIGN.finditer(text):
-        name, last = name_before(text[last : sign.start()]), sign.end()  # no part of a name is a sign
-        at, value, places = sign.end(), "", ()
-        while part := PART.match(text, at):
-            group = part.lastindex
-            literal = part.group(group)
-            if group == 3 and literal in known:
-                literal, more = known[literal]
-            else:
-                more = (part.span(group),)
-            value, places, at = value + literal, places + more, part.end()
-            joined = JOIN.match(text, at)
-            if not joined:
-                break
-            at = joined.end()
-        if not name or not value:
+        gap, last = text[last : sign.start()], sign.end()  # no part of a name is a sign
+        if sign[0] not in ASSIGNS:
+            before, colon = "", False
+            continue
+        name = name_before(gap)
+        if sign[0] == "=":
+            declared = DECLARED.search(gap)
+            if colon and before and TYPE.fullmatch(gap):
+                name = before
+            elif declared:
+                name = declared[1]
+        before, colon = name, sign[0] == ":"
+        value = assigned_value(text, sign.end(), known) if name else None
+        if value is None:
             continue
-        known[name] = (value, places)
-        score = name_score(name) * value_score(value)
-        if score >= THRESHOLD:
-            spans += [Span(start, 3, end, score) for start, end in places if end > start]
+        known[name] = value
+        score = 0.0 if value.placeholder else name_score(name)
+        if score and (score := score * value_score(value.signs)) >= THRESHOLD:
+            reported.append((score, len(reported), value))
+    spans, seen = [], set()
+    for score, _, value in sorted(reported, key=lambda r: (-r[0], r[1])):
+        waiting = [value]
+        while waiting:
+            value = waiting.pop()
+            if id(value) not in seen:
+                seen.add(id(value))
+                spans += [Span(start, 3, end, score) for start, end in value.places]
+                waiting += value.parts
     return spans
 
 

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -90,6 +91,14 @@ def test_secrets_base_spans(small):
     ('key = "aB3dE5fG7hI9"\ndb_pwd = key', ["aB3dE5fG7hI9"]),
     ('{"client_credential": "Zx9Qw8Er7Ty6"}', ["Zx9Qw8Er7Ty6"]),
     ("auth-key => 'Zx9Q' + 'w8Er7Ty6'", ["Zx9Q", "w8Er7Ty6"]),
+    ('password: str = "Zx9!kQ2#mLp8"', ["Zx9!kQ2#mLp8"]), ('const dbPassword: string = "Zx9!kQ2#mLp8"', ["Zx9!kQ2#mLp8"]),
+    ('var apiSecret string = "Zx9!kQ2#mLp8"', ["Zx9!kQ2#mLp8"]), (r'db_pwd = "Zx9!k\"Q2#mLp8"', [r'Zx9!k\"Q2#mLp8']),
+    ('db_pwd = """Zx9!k\nQ2"mLp8"""', ['Zx9!k\nQ2"mLp8']), ("db_pwd = rb'Zx9!kQ2#mLp8'", ["Zx9!kQ2#mLp8"]),
+    ('db_pwd = "Zx9 kQ2 mLp8"', ["Zx9 kQ2 mLp8"]), ("db_pwd = 'Enter your password please'", []),
+    ("db_pwd = os.getenv('DB_PWD9')", []), ('tokenizer_name = "Bert-base-uncased9"', []), ("max_tokens: 4096AbcDef", []),
+    ('my_pwd = "Zx9kQ2mLp8"\nif my_pwd == y:\n  z = my_pwd\nother_pwd = z', ["Zx9kQ2mLp8"]), ('if db_pwd == "Zx9kQ2mLp8":', []),
+    ('a = "Zx9k"\nb = a + "Q2mLp8"\na = "other one"\ndb_pwd = b', ["Zx9k", "Q2mLp8"]),
+    ('k = "Zx9kQ2mLp8"\n' + "k = k + k\n" * 1000 + "db_pwd = k", ["Zx9kQ2mLp8"]),
     ("db_pwd = changeme", []), ("db_pwd = aaaaaaaaaaaa", []), ("the note: something long and clean", []), ("colour = Zx9Qw8Er7Ty6", []),
 ])
 def test_secrets_named_literals(text, literals):
@@ -113,6 +122,16 @@ def test_secrets_names_between_signs():
         assert secrets.name_before(gap) == (found[1] if found else ""), gap
 
 
+@pytest.mark.parametrize("text", [
+    'k = "Zx9kQ2mLp8"\n' + "k = k + k\n" * 20_000 + "db_pwd = k\n", 'pwd = "Zx9kQ2mLp8"\n' + 'pwd = pwd + "Ab1"\n' * 20_000,
+    'pwd = "' + "\\" * 200_000, 'pwd = """' + '"a\\"' * 100_000, "a: b " * 50_000, 'pwd = "' * 20_000, 'pwd = """' * 20_000,
+], ids=range(7))
+def test_secrets_take_time_in_proportion(text):
+    start = time.process_time()
+    secrets.scan_text(text)
+    assert time.process_time() - start < 20
+
+
 def test_secrets_odd_rows(odd, empty):
     assert secrets.scan(odd).count() == odd.count()
     assert secrets.scan(odd).where("doc_id in (400, 401) and size(spans) > 0").count() == 0
