@@ -545,6 +545,23 @@ def test_exact_odd_rows(odd, empty):
     assert exact_dedup.duplicates(empty).count() == 0 and exact_dedup.one_of_each(empty).count() == 0
 
 
+def test_exact_frequent_texts(spark):
+    """A text with a third of all rows is spread over runs, and one of its rows stays; so does one of rows without doc_id."""
+    rows = [(i if i % 5 else None, "hot" if i % 3 == 0 else ("" if i % 3 == 1 else f"t{i // 9}"), str(i)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, exact_key string").repartition(7)
+    best = {}
+    for doc_id, text, _ in rows:
+        best[text] = max(best.get(text, -1), -1 if doc_id is None else doc_id)
+    found = exact_dedup.one_of_each(docs)
+    assert found.columns == docs.columns
+    assert sorted((r.text, -1 if r.doc_id is None else r.doc_id) for r in found.collect()) == sorted(best.items())
+    groups = {r.text_sha256: r for r in exact_dedup.duplicates(docs).where("kept").collect()}
+    assert {t: groups[hashlib.sha256(t.encode()).hexdigest()].keep_id or -1 for t in best} == best
+    assert len(exact_dedup.frequent_hashes(docs)) == 2
+    nameless = spark.createDataFrame([(None, "x", str(i)) for i in range(100)], docs.schema)
+    assert exact_dedup.one_of_each(nameless).count() == 1
+
+
 # -- 10 mixing ----------------------------------------------------------------------------------------------------------
 
 def wanted_targets(sizes):
