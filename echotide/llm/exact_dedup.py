@@ -67,19 +67,20 @@ def _stays() -> Column:
     return (F.col("place") == 1) & F.coalesce(numbered, unnumbered)
 
 
-def frequent_hashes(docs: DataFrame) -> list[int]:
-    """Hashes of texts that occur FREQUENT times or more in a sample of about SAMPLE rows: at most SAMPLE / FREQUENT of them."""
+def frequent_hashes(docs: DataFrame) -> DataFrame:
+    """Hashes of texts that occur FREQUENT times or more in a sample of about SAMPLE rows: at most SAMPLE / FREQUENT of them.
+    Stored, so that all that salts by them reads the same ones."""
     hashes = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
     share = min(1.0, SAMPLE / max(1, docs.count()))
     seen = hashes.sample(share, seed=7).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
-    return [r["hash"] for r in seen.select("hash").limit(2 * SAMPLE // FREQUENT).collect()]
+    return store(seen.select("hash"), "exact_frequent")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns."""
     key = spare(docs, "exact_key")[0]
     text = F.coalesce(F.col("text"), F.lit(""))
-    frequent = docs.sparkSession.createDataFrame([(h,) for h in frequent_hashes(docs)], "h long")
+    frequent = frequent_hashes(docs).select(F.col("hash").alias("h"))
     plain = [f.name for f in docs.schema if not isinstance(f.dataType, MapType) and f.name != "text"]
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(SALTS))
     keyed = docs.withColumn(key, F.struct(*_keys(text)))

@@ -557,7 +557,7 @@ def test_exact_frequent_texts(spark):
     assert sorted((r.text, -1 if r.doc_id is None else r.doc_id) for r in found.collect()) == sorted(best.items())
     groups = {r.text_sha256: r for r in exact_dedup.duplicates(docs).where("kept").collect()}
     assert {t: groups[hashlib.sha256(t.encode()).hexdigest()].keep_id or -1 for t in best} == best
-    assert len(exact_dedup.frequent_hashes(docs)) == 2
+    assert exact_dedup.frequent_hashes(docs).count() == 2
     nameless = spark.createDataFrame([(None, "x", str(i)) for i in range(100)], docs.schema)
     assert exact_dedup.one_of_each(nameless).count() == 1
 
