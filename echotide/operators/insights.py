@@ -189,9 +189,11 @@ def competitor_mentions(scoped: DataFrame, names: list[str] | DataFrame) -> Data
     if isinstance(names, list):
         names = scoped.sparkSession.createDataFrame([(n,) for n in names], "name string")
     listed = names.select("name", F.lower("name").alias("low")).filter("low <> ''").distinct()
-    longest = listed.agg(F.coalesce(F.max(F.length("low")), F.lit(1))).first()[0]
+    # Two facts about the names, of bounded size: their greatest length and the characters they begin with.
+    longest, letters = listed.agg(F.coalesce(F.max(F.length("low")), F.lit(1)), F.collect_set(F.substring("low", 1, 1))).first()
+    begins = "".join(rf"\x{{{ord(c):x}}}" for c in sorted(letters)) or r"\x{0}"
     keyed = listed.withColumn("key", _first_word(F.col("low")))
-    windows = F.regexp_extract_all(F.lower(F.coalesce("content", F.lit(""))), F.lit(rf"(?Us)(?<!\w)(?=(.{{1,{longest + 1}}}))"), F.lit(1))
+    windows = F.regexp_extract_all(F.lower(F.coalesce("content", F.lit(""))), F.lit(rf"(?Us)(?<!\w)(?=([{begins}].{{0,{longest}}}))"), F.lit(1))
     places = scoped.select("review_id", "sentiment_label", F.explode(F.array_distinct(windows)).alias("window")).withColumn(
         "key", _first_word(F.col("window")))
     ends = ~F.rlike(F.substr("window", F.length("low") + 1, F.lit(1)), F.lit(r"(?U)^\w"))
