@@ -3,13 +3,17 @@
 1. Targets. Sources weigh as asked and share the size of the whole corpus; none gets more than LIMIT times its own size, the
    excess goes to the others by weight. That fixed point is found in closed form: sources sorted by size over weight, running
    sums, one comparison each.
-2. Blocks. The words of a source, its documents laid end to end, are cut every `block` words; a block covers parts of
-   documents. Places come from sums per bucket and then per source, so no source is summed in one task.
-3. Draws. A source's target is a whole number of slots. All slots together are shuffled by a pseudorandom permutation of
-   their numbers and dealt to output shards in order: the source counts of a shard are a multinomial draw without
-   replacement. (Independent draws per shard would miss the targets by chance and could exceed LIMIT times a source's size.)
-4. Join. Slot t of a source maps to block p(t mod blocks), p a pseudorandom permutation per source; slots join blocks by index.
-   So a source asked for less than it has gives distinct blocks, one asked for more repeats all of them equally often.
+2. Blocks. The words of a source, its documents laid end to end in the order of a hash, are cut every `block` words; a block
+   covers parts of documents, the last one may be short. Places come from sums per bucket and then per source, so no source
+   is summed in one task.
+3. Draws. A source's target, rounded to whole words, is filled by slots of one block each; the last slot takes only the words
+   that are missing, so every source, however small, gets its target to within half a word. All slots together are shuffled
+   by a pseudorandom permutation of their numbers and dealt to output shards in order: the source counts of a shard are a
+   multinomial draw without replacement. (Independent draws per shard would miss the targets by chance and could exceed
+   LIMIT times a source's size.)
+4. Join. The slots of a source come in rounds over its blocks: slot k of a round maps to block p(k), p a pseudorandom
+   permutation per source of the whole blocks, with the short one last; slots join blocks by index. So a source asked for less
+   than it has gives distinct blocks, one asked for more repeats all of them equally often.
 
 Everything is integer arithmetic on column expressions: reruns agree, whatever the partitions.
 
@@ -97,48 +101,62 @@ def placed_documents(rows: DataFrame) -> DataFrame:
 
 
 def quotas(shares: DataFrame, block: int) -> DataFrame:
-    """Adds blocks (of the source), slots (to take), the number of its first slot among all slots, and both permutations."""
+    """Adds wanted (words to take), blocks (of the source), slots (to take), the number of its first slot among all slots, and
+    both permutations; `of_blocks` is that of the whole blocks."""
     blocks = F.ceil(F.col("source_size") / block)
-    slots = F.least(LIMIT * blocks, F.round(F.col("target") * blocks / F.col("source_size")).cast("long"))
-    counted = shares.where("source_size > 0").withColumn("blocks", blocks).withColumn("slots", slots)
+    counted = shares.where("source_size > 0").withColumn("blocks", blocks).withColumn(
+        "wanted", F.least(LIMIT * F.col("source_size"), F.round("target").cast("long")))
+    rounds = F.floor(F.col("wanted") / F.col("source_size"))
+    counted = counted.withColumn("slots", rounds * F.col("blocks") + F.ceil(F.col("wanted") % F.col("source_size") / block))
     before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     counted = counted.withColumn("first_slot", F.coalesce(F.sum("slots").over(before), F.lit(0)))
     counted = counted.withColumn("all_slots", F.sum("slots").over(everything))
     return counted.withColumn("of_slots", permutation(F.greatest("all_slots", F.lit(1)), F.lit(7))).withColumn(
-        "of_blocks", permutation(F.col("blocks"), F.col("place")))
+        "of_blocks", permutation(F.greatest(F.floor(F.col("source_size") / block), F.lit(1)), F.col("place")))
 
 
-def slots(counted: DataFrame) -> DataFrame:
-    """shard, slot, place (of the source), block_id: what the mix takes, in output order within a shard."""
-    constants = ("place", "first_slot", "of_slots", "of_blocks")
+def slots(counted: DataFrame, block: int) -> DataFrame:
+    """shard, slot, place (of the source), block_id, round (from 1), length (words from the front of the block): what the mix
+    takes, in output order within a shard."""
+    constants = ("place", "first_slot", "of_slots", "of_blocks", "blocks", "source_size", "wanted")
     chunks = counted.where("slots > 0").select(*constants, "slots", F.explode(
         F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK))).alias("chunk"))
     each = chunks.repartition("place", "chunk").select(*constants, F.explode(F.sequence(
         F.col("chunk") * CHUNK, F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK) - 1)).alias("t"))
+    each = each.withColumn("k", F.col("t") % F.col("blocks")).withColumn("round", F.floor(F.col("t") / F.col("blocks")))
+    before = F.col("k") * block  # words that the round has taken before this slot
+    whole = before + block <= F.col("source_size")
+    length = F.least(F.lit(block), F.col("source_size") - before, F.col("wanted") - F.col("round") * F.col("source_size") - before)
     each = each.select("place", permuted(F.col("first_slot") + F.col("t"), F.col("of_slots")).alias("at"),
-                       permuted(F.col("t") % F.col("of_blocks.length"), F.col("of_blocks")).alias("block_id"))
-    return each.select(F.floor(F.col("at") / SHARD).alias("shard"), (F.col("at") % SHARD).alias("slot"), "place", "block_id")
+                       F.when(whole, permuted(F.col("k"), F.col("of_blocks"))).otherwise(F.col("k")).alias("block_id"),
+                       (F.col("round") + 1).alias("round"), length.alias("length"))
+    return each.select(F.floor(F.col("at") / SHARD).alias("shard"), (F.col("at") % SHARD).alias("slot"), "place", "block_id",
+                       "round", "length")
 
 
 def spans(placed: DataFrame, counted: DataFrame, block: int) -> DataFrame:
-    """doc_id, version, place, block_id, from_word, to_word: the parts of documents that blocks cover."""
+    """doc_id, version, place, block_id, from_word, to_word, at (words of the block before it): the parts of documents that
+    blocks cover."""
     sources = counted.select(F.col("source").alias("s"), "place")
     rows = placed.join(sources, placed.source.eqNullSafe(sources.s))
     rows = rows.withColumn("block_id", F.explode(F.sequence(
         F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     begin = F.greatest(F.col("block_id") * block - F.col("start"), F.lit(0))
     end = F.least((F.col("block_id") + 1) * block - F.col("start"), F.col("size"))
-    return rows.select("doc_id", "version", "place", "block_id", begin.alias("from_word"), end.alias("to_word"))
+    return rows.select("doc_id", "version", "place", "block_id", begin.alias("from_word"), end.alias("to_word"),
+                       F.greatest(F.col("start") - F.col("block_id") * block, F.lit(0)).alias("at"))
 
 
 def mix(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(rows, draws). Rows: doc_id, version, size, place, source_size, target of every row. A draw is (shard, slot, place,
-    block_id, doc_id, version, from_word, to_word): the output, slot by slot, as word ranges of documents."""
+    block_id, round, doc_id, version, from_word, to_word): the output, slot by slot, as word ranges of documents."""
     rows = store(sized(docs), "mix_sizes")
     shares = store(targets(rows), "mix_targets")
     counted = store(quotas(shares, block), "mix_quotas")
-    drawn = store(slots(counted), "mix_slots").join(spans(placed_documents(rows), counted, block), ["place", "block_id"])
+    drawn = store(slots(counted, block), "mix_slots").join(spans(placed_documents(rows), counted, block), ["place", "block_id"])
+    end = F.least(F.col("to_word"), F.col("from_word") + F.col("length") - F.col("at"))
+    drawn = drawn.where("length > at").withColumn("to_word", end).drop("length", "at")
     shares = shares.withColumnRenamed("source", "s")
     return rows.join(shares, rows.source.eqNullSafe(shares.s)), drawn
 
@@ -160,9 +178,7 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     space before each: first the parts drawn at least once in document order, then those drawn again, each round on a new
     line. A document taken once and whole is as it was but for white space at its end."""
     rows, drawn = mix(docs, block)
-    times = drawn.groupBy("place", "doc_id", "version", "from_word", "to_word").agg(F.count(F.lit(1)).alias("times"))
-    rounds = times.withColumn("round", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    plan = rounds.groupBy("place", "doc_id", "version").agg(
+    plan = drawn.groupBy("place", "doc_id", "version").agg(
         F.sort_array(F.collect_list(F.struct("round", "from_word", "to_word"))).alias("parts"))
     joined = rows.select("place", "version", "doc_id", "source").distinct()
     plan = joined.join(plan, _same_document(plan, joined)).select(

@@ -598,18 +598,36 @@ def check_mix(docs):
 
 def test_mixing_small(small):
     rows, taken, targets = check_mix(small)
-    assert all(abs(taken[s] - t) <= 1.5 * mixing.BLOCK for s, t in targets.items())
+    assert all(abs(taken[s] - t) <= 0.5 + 1e-6 for s, t in targets.items())
+
+
+def test_mixing_small_sources_meet_their_targets(spark):
+    make = random.Random(11)
+    docs = spark.createDataFrame([(i, " ".join(make.choices(WORDS, k=make.randint(30, 119))), f"source {i % 1000:04}")
+                                  for i in range(1500)], "doc_id long, text string, source string").repartition(7)
+    rows, taken, targets = check_mix(docs)
+    assert len(targets) == 1000 and all(abs(taken[s] - t) <= 0.5 + 1e-6 for s, t in targets.items())
+    whole = {i: t.split() for i, t in texts(docs)}
+    counts = {r.doc_id: r.taken for r in rows}
+    for r in mixing.mixed(docs).collect():
+        w = r.text.split()
+        assert len(w) == counts.pop(r.doc_id) and not Counter(w) - Counter(whole[r.doc_id] * 3)
+    assert not any(counts.values())
 
 
 def test_mixing_odd_rows(odd, empty):
     check_mix(odd)
     assert mixing.taken_words(empty).count() == 0
+    assert mixing.mixed(empty).count() == 0
+    kept = mixing.mixed(odd)
+    assert kept.columns == odd.columns and {i for i, _ in texts(kept)} <= {i for i, t in texts(odd) if t and t.split()}
 
 
 def test_mixing_skewed_targets(spark):
     docs = spark.createDataFrame([(i, " ".join(WORDS[:50]), s) for i, s in enumerate("a" + "b" * 2 + "c" * 60)], "doc_id long, text string, source string")
-    _, _, targets = check_mix(docs)
+    _, taken, targets = check_mix(docs)
     assert targets["a"] == 150 and targets["b"] == 300
+    assert all(abs(taken[s] - t) <= 0.5 + 1e-6 for s, t in targets.items())
 
 
 def test_mixed_texts(small):
