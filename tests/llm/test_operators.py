@@ -2,6 +2,7 @@
 empty and very long texts, and clashing extra columns."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -489,10 +490,58 @@ def test_language_odd_rows(odd, empty):
     assert all(found[i].lang_pred == "und" and found[i].score == 0 for i in (400, 401, 402, 408))
     assert langid.identify(odd, model).count() == odd.count()
     assert {r.lang_pred for r in langid.identify(odd, langid.train(empty)).collect()} == {"und"}
+    assert langid.train(empty).languages == []
     kept = langid.known_language(odd, model)
     assert kept.columns == odd.columns and kept.where("text is null").count() == 0
 
 
+def bayes(trained, texts, size):
+    """Dense naive Bayes, gram by gram: language and log scores of each text."""
+    counts, seen = {}, Counter(lang for _, lang in trained)
+    for text, lang in trained:
+        counts.setdefault(lang, Counter()).update(b for part in langid.buckets(text, size) for b in part.tolist())
+    names = sorted(counts)
+    for text in texts:
+        grams = [b for part in langid.buckets(text, size) for b in part.tolist()]
+        yield {x: math.log(seen[x] / len(trained)) + sum(
+            math.log((counts[x][b] + langid.ALPHA) / (counts[x].total() + langid.ALPHA * size)) for b in grams) for x in names}
+
+
+@pytest.mark.parametrize("piece, batch, languages", [(1 << 18, 64, 64), (50, 3, 1)])
+def test_language_matches_the_formula(spark, small, monkeypatch, piece, batch, languages):
+    rows = [r for r in small.select("text", "lang").where("text is not null and lang is not null").collect()][:40]
+    trained = [(r.text[:300], r.lang if i % 3 else f"dirty {i}") for i, r in enumerate(rows)]
+    monkeypatch.setattr(langid, "LANGUAGES", languages)
+    model = langid.train(spark.createDataFrame(trained, "text string, lang string"), size=4096)
+    asked = [r.text[:200] for r in rows if langid.has_letter(r.text[:200])]
+    whole = langid.predictions(model, asked)
+    monkeypatch.setattr(langid, "PIECE", piece)
+    monkeypatch.setattr(langid, "TEXTS", batch)
+    assert langid.predictions(model, asked) == whole
+    for (name, score, ratio), want in zip(whole, bayes(trained, asked, 4096)):
+        best = max(want.values())
+        assert want[name] == pytest.approx(best, abs=1e-2)
+        assert score == pytest.approx(1 / sum(math.exp(v - want[name]) for v in want.values()), abs=1e-2)
+
+
+def test_language_bound_is_checked(spark, small, monkeypatch):
+    monkeypatch.setattr(langid, "MATRIX_CELLS", 100)
+    with pytest.raises(ValueError, match="size"):
+        langid.train(small)
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_language_rejects_what_is_like_none(spark, size):
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    make, letters = random.Random(3), "abcdefghijklmnopqrstuvwxyz"
+    junk = ["".join(make.choices(letters, k=2000)), " ".join("".join(make.choices(letters, k=6)) for _ in range(500)),
+            "今日は天気がいいですね。" * 200, "это русский текст о погоде " * 100]
+    extra = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(junk)], "doc_id long, text string")
+    model = langid.train(docs.where(~langid.held_out()))
+    kept = langid.known_language(docs.select("doc_id", "text").unionByName(extra), model)
+    assert {i for i, _ in texts(kept)} == {i for i, t in texts(docs) if langid.has_letter(t)}
+
+
 def test_language_pieces_hold_each_gram_once(monkeypatch):
     text = "abcdefghij" * 30
     whole = Counter(np.concatenate(list(langid.buckets(text))).tolist())
