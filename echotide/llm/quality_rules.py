@@ -2,7 +2,7 @@
 
 Every rule is evaluated once per document; the ledger stores the measurements and one bit per failed rule. A policy is a
 version and a mask of the rules it enforces: verdicts of any policy and ablations (what one rule alone removes) are bitwise
-operations on the ledger, without another pass over the text. All measurements are column expressions over the whole text.
+operations on the stored ledger (`stored_ledger`), without another pass over the text. All measurements are column expressions over the whole text.
 
 Defined cases: a null or empty text has no words and fails `few_words`; ratios of a text without words are 0. Every row is
 judged by itself, whatever its doc_id. Other columns take no part. An empty table has an empty ledger.
@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from echotide.llm.common import SPACE, words
+from echotide.llm.common import SPACE, store, words
 
 GRAM = 5
 #: Words without a letter or digit.
@@ -84,6 +84,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measure(docs).withColumn("failed", bits.cast("long"))
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger as a table in the shared folder: policies and ablations read it and leave the text alone."""
+    return store(ledger(docs), "quality_ledger")
+
+
 def verdicts(book: DataFrame, version: int) -> DataFrame:
     """Adds `kept`: no rule that this version enforces has failed."""
     return book.withColumn("kept", F.col("failed").bitwiseAND(F.lit(POLICIES[version]).cast("long")) == 0)

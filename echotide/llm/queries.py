@@ -49,12 +49,17 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality_rules.verdicts(quality_rules.ledger(documents(spark, sf_dir)), version=2)
+    book = quality_rules.verdicts(quality_rules.stored_ledger(documents(spark, sf_dir)), version=2)
     failed = F.col("failed").bitwiseAND(F.lit(quality_rules.BASE).cast("long")) != 0
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        failed.alias("base_failed"), "kept", "failed")
 
 
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per rule of policy 2: documents that fail it, and those that only it removes."""
+    return quality_rules.ablations(quality_rules.stored_ledger(documents(spark, sf_dir)), version=2)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(documents(spark, sf_dir))
 
@@ -86,7 +91,7 @@ def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_line_dedup, op3_minhash_near_dedup, op4_quality_classifier, op5_packing, op6_substring_dedup,
     op7_language_id, op8_quality_rules, op9_exact_dedup, op10_mix_sources, op11_chat_format, op12_fill_in_middle,
-    op13_target_resampling)}
+    op13_target_resampling, quality_rule_ablations)}
 
 ORACLE = {
     "op2_line_dedup": """
@@ -227,3 +232,11 @@ ORACLE = {
         SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND place <= 10 * n // 100 THEN place END AS rank FROM placed
     """,
 }
+
+ORACLE["quality_rule_ablations"] = f"""
+    WITH book AS ({ORACLE["op8_quality_rules"]}),
+    rules(rule, bit) AS (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('repeated_lines', 8),
+                                ('short_words', 16), ('long_words', 32), ('separators', 64), ('shouting', 128))
+    SELECT rule, count(*) FILTER ((failed & bit) <> 0) AS failing, count(*) FILTER (failed = bit) AS only_this
+    FROM book, rules GROUP BY rule
+"""
