@@ -32,7 +32,9 @@ LIMIT = 3
 BLOCK = 128
 SHARD = 4096  # slots of an output shard
 BUCKETS = 1024
-CHUNK = 1 << 14  # slots that one task makes at a time
+CHUNK = 1 << 14  # slots that one row of a task makes
+CHUNKS = 8  # such rows of a task
+MOST_TASKS = 20_000
 #: Multipliers of the permutation: a prime that does not divide the length is used, and no length below 2^43 has all three.
 PRIMES = (786433, 611953, 999983)
 TURNS = 2
@@ -122,7 +124,10 @@ def slots(counted: DataFrame, block: int) -> DataFrame:
     constants = ("place", "first_slot", "of_slots", "of_blocks", "blocks", "source_size", "wanted")
     chunks = counted.where("slots > 0").select(*constants, "slots", F.explode(
         F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK))).alias("chunk"))
-    each = chunks.repartition("place", "chunk").select(*constants, F.explode(F.sequence(
+    # The chunks are few and short but what they make is not: a given number of tasks is not merged by adaptive execution.
+    rows = counted.agg(F.coalesce(F.sum(F.ceil(F.col("slots") / CHUNK)), F.lit(0))).first()[0]
+    tasks = min(MOST_TASKS, max(1, -(-rows // CHUNKS)))
+    each = chunks.repartition(tasks, "place", "chunk").select(*constants, F.explode(F.sequence(
         F.col("chunk") * CHUNK, F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK) - 1)).alias("t"))
     each = each.withColumn("k", F.col("t") % F.col("blocks")).withColumn("round", F.floor(F.col("t") / F.col("blocks")))
     before = F.col("k") * block  # words that the round has taken before this slot
