@@ -1,20 +1,23 @@
 """Quality classifier: an interpolated modified Kneser-Ney bigram model of trusted text, and perplexity per document.
 
 Trusted text is every document labelled good and not toxic. Every word and every bigram of it is counted, without a cap: words
-are 64-bit hashes, and a shard holds all bigrams whose first word hashes to it. A word that trusted text lacks has the share of
-the lower order that is spread evenly over the known words and one unknown word, over VOCABULARY words at least.
+are 48-bit hashes (of 10^9 unknown words some 4 in a million are taken for one of 10^9 known ones), and a shard holds all
+bigrams whose first word lies in its range of hashes. A word that trusted text lacks has the share of the lower order that is
+spread evenly over the known words and one unknown word, over VOCABULARY words at least.
 
 The log probability of a text is a sum over keys: one per word (lower order, and its weight as the context of the next word),
 one per bigram (what it is above that), one each for the first and last place. The model is a sharded table of counts, of which
 a shard makes the values of its keys, and the sum is a join with it; only totals, such as how many n-grams occur once, are
-broadcast. Tasks group the keys of a chunk of documents by shard and send sorted keys and document numbers, delta-coded and
-compressed; a shard answers one partial sum per document. Groups of the join are bounded: a shard by SHARD_WORDS, the chunks it
-meets by SALT_BYTES.
+broadcast. Every word is the first of one pair (the last word pairs with END), so its own key needs no place of its own: tasks
+send, by shard, the pairs of a chunk of documents. First words are sorted and delta-coded, second words are ranks in the list of
+those that the slice has, document numbers rise within a first word; all is compressed. A shard answers one partial sum per
+document. Groups of the join are bounded: a shard by SHARD_WORDS, the chunks it meets by SALT_BYTES.
 
 A document is rejected when its log perplexity, drawn towards the median of its language by PRIOR words, exceeds the quantile
 LEVEL of its language. Median and quantile are those of trusted documents, each scored by a model without the trusted texts of
-its own fold (FOLDS folds by a hash of the text, so copies share one), that is, as a document the model has not seen. A language
-without trusted documents takes the median and quantile of all trusted documents.
+its own fold (FOLDS folds by a hash of the text, so copies share one), that is, as a document the model has not seen. Both are exact
+over values rounded to thousandths, so they depend on no order of rows. A language without trusted documents takes the median
+and quantile of all trusted documents.
 
 Defined cases: a null or empty text, or one without words, has no perplexity and is rejected. A null language is a language
 of its own. Every row is scored by itself, whatever its doc_id. Other columns take no part. Without trusted text every word is
@@ -39,14 +42,16 @@ VOCABULARY = 16_384  # words that the lowest order is spread over, at least; as
 SHARDS = 32  # at least; more when trusted text is long
 SHARD_WORDS = 4_000_000
 SALT_BYTES = 256 << 20
-CHUNK_WORDS, CHUNK_DOCS = 2_000_000, 8192
+CHUNK_WORDS, CHUNK_DOCS = 4_000_000, 16_384
 CACHE_WORDS = 500_000  # hashes that a task remembers
 BROADCAST_IDS = 4_000_000  # up to so many trusted ids go to every task, beyond they are joined by a shuffle
 FOLDS = 4
 PRIOR = 20.0
 LEVEL = 0.98
-BEGIN, END = 0x5BE6_1CE5_7A97_0F31, 0x2E4D_D0C5_A1B7_93E9  # stand for the place before the first word and after the last
-PACKED = pa.schema([("shard", pa.int32()), ("firsts", pa.binary()), ("seconds", pa.binary()), ("counts", pa.binary())])
+BEGIN, END = 0x1CE5_7A97_0F31, 0xD0C5_A1B7_93E9  # stand for the place before the first word and after the last
+WORD_BYTES = 6  # of a word's hash
+PAIRS = [(name, pa.binary()) for name in ("firsts", "runs", "list", "uses", "seconds")]
+PACKED = pa.schema([("shard", pa.int32()), *PAIRS, ("counts", pa.binary())])
 
 
 class Totals(NamedTuple):
@@ -65,15 +70,15 @@ class Totals(NamedTuple):
 
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that every label calls good and none toxic."""
-    return docs.join(*_trusted_ids(docs, labels), "left_semi")
+    return docs.join(_trusted_ids(labels)[0], F.col("doc_id") == F.col("trusted_id"), "left_semi")
 
 
-def _trusted_ids(docs: DataFrame, labels: DataFrame):
+def _trusted_ids(labels: DataFrame) -> tuple[DataFrame, bool]:
+    """The identifiers as trusted_id, and whether they are few enough for a broadcast."""
     ids = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     ids = store(ids.where("q = 1 and coalesce(t, 0) = 0").select(F.col("doc_id").alias("trusted_id")), "lm_trusted")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return ids, docs["doc_id"] == F.col("trusted_id")
+    few = ids.count() <= BROADCAST_IDS
+    return F.broadcast(ids) if few else ids, few
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -96,6 +101,23 @@ def _unpack_steps(data: bytes, kind: str = "<u8") -> np.ndarray:
     return np.cumsum(_unpack(data, kind), dtype=kind)
 
 
+def _pack_pairs(first: np.ndarray, second: np.ndarray) -> dict[str, bytes]:
+    """Pairs in their order, which the first words rise in. Second words are ranks by use in a list of their own."""
+    at = _starts(first)
+    words, place, uses = np.unique(second, return_inverse=True, return_counts=True)
+    rank = np.empty(len(words), dtype="<u4")
+    rank[np.argsort(-uses, kind="stable")] = np.arange(len(words), dtype="<u4")
+    return {"firsts": _pack_steps(first[at]), "runs": _pack(np.diff(at, append=len(first)).astype("<u4")),
+            "list": _pack_steps(words), "uses": _pack(uses.astype("<u4")), "seconds": _pack(rank[place])}
+
+
+def _unpack_pairs(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first words, how many pairs each has, second word of every pair) of a row that has the columns of _pack_pairs."""
+    uses = _unpack(row.uses, "<u4").astype(np.int64)
+    ranked = _unpack_steps(row.list)[np.argsort(-uses, kind="stable")]
+    return _unpack_steps(row.firsts), _unpack(row.runs, "<u4").astype(np.int64), ranked[_unpack(row.seconds, "<u4")]
+
+
 def mixed(keys: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     keys = (keys ^ (keys >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -109,16 +131,17 @@ def pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def shard_of(words: np.ndarray, shards: int) -> np.ndarray:
-    return (mixed(words) >> np.uint64(33)).astype(np.int64) % shards
+    """Shards are ranges of the hash, so that the words of one lie close together."""
+    return ((words >> np.uint64(8 * WORD_BYTES - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 class Hashes(dict):
-    """word -> 64-bit hash, of the words seen lately."""
+    """word -> hash, of the words seen lately."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        self[word] = value = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        self[word] = value = int.from_bytes(blake2b(word, digest_size=WORD_BYTES).digest(), "little")
         return value
 
     def of(self, text: bytes | None) -> np.ndarray:
@@ -160,7 +183,7 @@ def _summed(first: np.ndarray, second: np.ndarray, counts: np.ndarray) -> tuple[
 
 
 def count_bigrams(docs: DataFrame, shards: int) -> DataFrame:
-    """shard, firsts, seconds, counts by fold: one row per shard, sorted by first and second word."""
+    """One row per shard: its pairs, sorted by first and second word, and their counts by fold."""
 
     def rows(parts) -> pa.RecordBatch:
         first, second, fold = (np.concatenate(p) for p in zip(*parts))
@@ -168,7 +191,7 @@ def count_bigrams(docs: DataFrame, shards: int) -> DataFrame:
         counts[fold, np.arange(len(first))] = 1
         first, second, counts = _summed(first, second, counts)
         return pa.RecordBatch.from_pylist(
-            [{"shard": s, "firsts": _pack_steps(first[at]), "seconds": _pack(second[at]), "counts": _pack(counts[:, at])}
+            [{"shard": s, **_pack_pairs(first[at], second[at]), "counts": _pack(counts[:, at])}
              for s, at in _slices(shard_of(first, shards))], PACKED)
 
     def run(batches):
@@ -187,14 +210,15 @@ def count_bigrams(docs: DataFrame, shards: int) -> DataFrame:
 
     def merge(table):
         columns = [[], [], []]
-        for f, s, c in zip(*(table.column(k).to_pylist() for k in ("firsts", "seconds", "counts"))):
-            for column, value in zip(columns, (_unpack_steps(f), _unpack(s, "<u8"), _unpack(c, "<i8").reshape(FOLDS, -1))):
+        for row in table.to_pandas().itertuples():
+            first, runs, second = _unpack_pairs(row)
+            for column, value in zip(columns, (np.repeat(first, runs), second, _unpack(row.counts, "<i8").reshape(FOLDS, -1))):
                 column.append(value)
         first, second, counts = _summed(*(np.concatenate(c, axis=-1) for c in columns))
-        return pa.Table.from_pylist([{"shard": table.column("shard")[0].as_py(), "firsts": _pack_steps(first),
-                                      "seconds": _pack(second), "counts": _pack(counts)}], PACKED)
+        return pa.Table.from_pylist([{"shard": table.column("shard")[0].as_py(), **_pack_pairs(first, second),
+                                      "counts": _pack(counts)}], PACKED)
 
-    schema = "shard int, firsts binary, seconds binary, counts binary"
+    schema = "shard int, firsts binary, runs binary, list binary, uses binary, seconds binary, counts binary"
     texts = docs.select(F.col("text").cast("binary").alias("text"), fold_of(docs).alias("fold"))
     return texts.mapInArrow(run, schema).groupBy("shard").applyInArrow(merge, schema)
 
@@ -218,15 +242,16 @@ def _occurring(counts: np.ndarray) -> list[list[int]]:
 
 def second_words(counted: DataFrame, shards: int) -> DataFrame:
     """In how many bigrams each word comes second, by column: for the shard of the word (source -1), and for every shard that has
-    a bigram with it. `occurring` describes the bigrams (source -2) or the words (source -1) of a shard."""
+    a bigram with it. Those know the words: they are their second words in the range of the source. `occurring` describes the bigrams (source -2) or the words (source -1) of a shard."""
     schema = pa.schema([("shard", pa.int32()), ("source", pa.int32()), ("words", pa.binary()), ("before", pa.binary()),
                         ("occurring", pa.list_(pa.list_(pa.int64())))])
     written = "shard int, source int, words binary, before binary, occurring array<array<bigint>>"
 
     def ask(batches):
         for batch in batches:
-            for shard, s, c in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
-                second, counts = _unpack(s, "<u8"), _columns(_unpack(c, "<i8").reshape(FOLDS, -1))
+            for row in batch.to_pandas().itertuples():
+                shard, (_, _, second) = row.shard, _unpack_pairs(row)
+                counts = _columns(_unpack(row.counts, "<i8").reshape(FOLDS, -1))
                 order = np.argsort(second, kind="stable")
                 at = _starts(second[order])
                 word, before = second[order][at], np.add.reduceat((counts[:, order] > 0).astype(np.int64), at, axis=1)
@@ -247,7 +272,7 @@ def second_words(counted: DataFrame, shards: int) -> DataFrame:
             word, before = word[order][at], np.add.reduceat(before[:, order], at, axis=1)
             out.append({"shard": rows[0]["shard"], "source": -1, "words": _pack_steps(word), "before": _pack(before),
                         "occurring": _occurring(before)})
-            out += [{"shard": source, "source": rows[0]["shard"], "words": _pack_steps(w),
+            out += [{"shard": source, "source": rows[0]["shard"],
                      "before": _pack(before[:, np.searchsorted(word, w)])} for source, w, _ in asked]
         return pa.Table.from_pylist(out, schema)
 
@@ -274,15 +299,13 @@ def gains(rows: pd.DataFrame, learned: Totals) -> tuple[np.ndarray, np.ndarray]:
     keys, out = [np.empty(0, np.uint64)], [np.empty((FOLDS + 1, 0), dtype="<f4")]
     first, log_weight = np.empty(0, np.uint64), np.empty((FOLDS + 1, 0))
     for row in rows[rows["firsts"].notna()].itertuples():
-        first, second = _unpack_steps(row.firsts), _unpack(row.seconds, "<u8")
-        asked = rows[rows["source"] >= 0]
-        word = np.concatenate([_unpack_steps(w) for w in asked["words"]])
+        first, runs, second = _unpack_pairs(row)
+        asked = rows[rows["source"] >= 0].sort_values("source")
         before = np.concatenate([_unpack(b, "<i8").reshape(FOLDS + 1, -1) for b in asked["before"]], axis=1)
-        order = np.argsort(word)
-        where = order[np.searchsorted(word, second, sorter=order)]
+        where = np.searchsorted(np.unique(second), second)
         lower = learned.lower(before)
-        at = _starts(first)
-        of = np.repeat(np.arange(len(at)), np.diff(at, append=len(first)))
+        at = np.cumsum(runs) - runs
+        of = np.repeat(np.arange(len(at)), runs)
         counts = _columns(_unpack(row.counts, "<i8").reshape(FOLDS, -1))
         log_weight, gain = np.zeros((FOLDS + 1, len(at))), np.zeros(counts.shape, dtype="<f4")
         for k, c in enumerate(counts):
@@ -292,9 +315,8 @@ def gains(rows: pd.DataFrame, learned: Totals) -> tuple[np.ndarray, np.ndarray]:
             log_weight[k] = np.log(weight)
             back = weight[of] * lower[k][where]
             gain[k] = np.where(c > 0, np.log(((c - cut) / np.maximum(total[of], 1) + back) / back), 0.0)
-        keys.append(pair(first, second))
+        keys.append(pair(first[of], second))
         out.append(gain)
-        first = first[at]
         begin = np.flatnonzero(first == np.uint64(BEGIN))
         keys.append(first[begin])
         out.append(log_weight[:, begin])
@@ -321,9 +343,8 @@ def train(docs: DataFrame) -> tuple[DataFrame, Totals, int]:
 
 
 def chunks(docs: DataFrame, shards: int) -> DataFrame:
-    """Per chunk a header (ids, languages, folds, words) and the keys of its documents, by shard."""
-    schema = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()),
-                        ("members", pa.binary()), ("columns", pa.binary()), ("doc_ids", pa.list_(pa.int64())),
+    """Per chunk a header (ids, languages, folds, words) and the pairs of its documents, by shard."""
+    schema = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), *PAIRS, ("members", pa.binary()), ("columns", pa.binary()), ("doc_ids", pa.list_(pa.int64())),
                         ("langs", pa.list_(pa.string())), ("folds", pa.list_(pa.int32())), ("words", pa.list_(pa.int64()))])
 
     def rows(chunk, ids, langs, folds, hashed):
@@ -332,20 +353,14 @@ def chunks(docs: DataFrame, shards: int) -> DataFrame:
                 "words": [len(w) for w in hashed]}]
         texts = [(i, w) for i, w in enumerate(hashed) if len(w)]
         if texts:
-            word, first = np.concatenate([w for _, w in texts]), np.concatenate([_before(w) for _, w in texts])
-            last = np.array([w[-1] for _, w in texts], dtype=np.uint64)
-            begin = np.full(len(last), BEGIN, dtype=np.uint64)
-            number = np.array([i for i, _ in texts], dtype=np.uint16)
-            member = np.repeat(number, [len(w) for _, w in texts])
-            key = np.concatenate((word, pair(first, word), pair(last, np.array([END], dtype=np.uint64)), begin))
-            place = shard_of(np.concatenate((word, first, last, begin)), shards).astype(np.int16 if shards < 32768 else np.int64)
-            member = np.concatenate((member, member, number, number))
-            del word, first
-            for s, at in _slices(place):
-                at = at[np.argsort(key[at], kind="stable")]
-                unique, sizes = np.unique(key[at], return_counts=True)
-                out.append({"chunk": chunk, "shard": s, "keys": _pack_steps(unique), "sizes": _pack(sizes.astype("<u4")),
-                            "members": _pack_steps(member[at].astype("<u2")), "columns": _pack(columns)})
+            begin, end = (np.array([x], dtype=np.uint64) for x in (BEGIN, END))
+            first = np.concatenate([w for _, text in texts for w in (begin, text)])
+            second = np.concatenate([w for _, text in texts for w in (text, end)])
+            member = np.repeat(np.array([i for i, _ in texts], dtype="<u2"), [len(w) + 1 for _, w in texts])
+            for s, at in _slices(shard_of(first, shards).astype(np.int16 if shards < 32768 else np.int64)):
+                at = at[np.argsort(first[at], kind="stable")]
+                out.append({"chunk": chunk, "shard": s, **_pack_pairs(first[at], second[at]),
+                            "members": _pack_steps(member[at]), "columns": _pack(columns)})
         return pa.RecordBatch.from_pylist(out, schema)
 
     def run(batches):
@@ -367,8 +382,16 @@ def chunks(docs: DataFrame, shards: int) -> DataFrame:
 
     fold = F.col("fold") if "fold" in docs.columns else F.lit(None).cast("int")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("binary"), fold)
-    return texts.mapInArrow(run, "chunk long, shard int, keys binary, sizes binary, members binary, columns binary, "
-                                 "doc_ids array<long>, langs array<string>, folds array<int>, words array<long>")
+    return texts.mapInArrow(run, "chunk long, shard int, firsts binary, runs binary, list binary, uses binary, seconds binary, "
+                                 "members binary, columns binary, doc_ids array<long>, langs array<string>, folds array<int>, words array<long>")
+
+
+def find(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Places in sorted keys, -1 where one is missing."""
+    order = np.argsort(asked)
+    at = np.empty(len(asked), dtype=np.int64)
+    at[order] = np.minimum(np.searchsorted(keys, asked[order]), len(keys) - 1)
+    return np.where(keys[at] == asked, at, -1)
 
 
 def score(docs: DataFrame, model: DataFrame, learned: Totals, shards: int) -> DataFrame:
@@ -383,14 +406,14 @@ def score(docs: DataFrame, model: DataFrame, learned: Totals, shards: int) -> Da
         keys, values = gains(right, learned)
         out = []
         for row in left.itertuples(index=False):
-            if row.keys is None:
+            if row.firsts is None:
                 out.append((row.chunk, None, row.doc_ids, row.langs, row.folds, row.words))
             elif len(keys):
-                asked = _unpack_steps(row.keys)
-                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-                at = np.repeat(np.where(keys[at] == asked, at, -1), _unpack(row.sizes, "<u4"))
-                members, columns = _unpack_steps(row.members, "<u2"), _unpack(row.columns, "u1")
-                gain = np.where(at >= 0, values[columns[members], at], 0.0)
+                first, runs, second = _unpack_pairs(row)
+                members = _unpack_steps(row.members, "<u2")
+                column = _unpack(row.columns, "u1")[members]
+                gain = np.repeat(find(keys, first), runs), find(keys, pair(np.repeat(first, runs), second))
+                gain = sum(np.where(at >= 0, values[column, at], 0.0) for at in gain)
                 out.append((row.chunk, _pack(np.bincount(members, weights=gain).astype("<f4")), None, None, None, None))
         return pd.DataFrame(out, columns=["chunk", "sums", *heads])
 
@@ -427,16 +450,16 @@ def judge(scored: DataFrame) -> DataFrame:
 def _of_language(rows: DataFrame, measure: str, level: float, name: str) -> DataFrame:
     """Adds the quantile of the trusted rows of a row's language, of all trusted rows if the language has none."""
     held = rows.where(F.col("fold").isNotNull() & F.col(measure).isNotNull())
-    quantile = F.percentile_approx(measure, level, 10_000)
-    per_language = held.groupBy("language").agg(quantile.alias("of_language"))
-    whole = held.agg(quantile.alias("of_all"))
-    joined = rows.join(F.broadcast(per_language), "language", "left").crossJoin(F.broadcast(whole))
-    return joined.withColumn(name, F.coalesce("of_language", "of_all")).drop("of_language", "of_all")
+    quantile = F.percentile(F.round(measure, 3), F.lit(level))
+    joined = rows.join(held.groupBy("language").agg(quantile.alias("of_language")), "language", "left")
+    return joined.withColumn(name, F.coalesce("of_language", F.lit(held.agg(quantile).first()[0]).cast("double"))).drop("of_language")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, n_words, log_perplexity, threshold, kept of every row."""
-    ids, same = _trusted_ids(docs, labels)
-    marked = docs.select("doc_id", "lang", "text").join(ids, same, "left")
+    ids, few = _trusted_ids(labels)
+    marked = docs.select("doc_id", "lang", "text").join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
     marked = marked.withColumn("fold", F.when(F.col("trusted_id").isNotNull(), fold_of(marked))).drop("trusted_id")
+    if not few:  # chunks go by the order of rows, which a task that is run again must find unchanged
+        marked = store(marked, "lm_marked")
     return judge(score(marked, *train(marked.where("fold is not null"))))
