@@ -9,7 +9,9 @@ The log probability of a text is a sum over keys: one per word (lower order, and
 one per bigram (what it is above that), one each for the first and last place. The model is a sharded table of counts, of which
 a shard makes the values of its keys, and the sum is a join with it; only totals, such as how many n-grams occur once, are
 broadcast. Every word is the first of one pair (the last word pairs with END), so its own key needs no place of its own: tasks
-send, by shard, the pairs of a chunk of documents. First words are sorted and delta-coded, second words are ranks in the list of
+send, by shard, the pairs of a chunk of documents that can add something. Words that trusted text lacks (for a trusted document:
+that other folds lack) add nothing; a bitmap of FILTER_BITS places, which each shard fills its range of, finds most of them. It
+has the same size whatever trusted text holds, and a word that shares its place with a known one is sent in vain. First words are sorted and delta-coded, second words are ranks in the list of
 those that the slice has, document numbers rise within a first word; all is compressed. A shard answers one partial sum per
 document. Groups of the join are bounded: a shard by SHARD_WORDS, the chunks it meets by SALT_BYTES.
 
@@ -42,13 +44,16 @@ VOCABULARY = 16_384  # words that the lowest order is spread over, at least; as
 SHARDS = 32  # at least; more when trusted text is long
 SHARD_WORDS = 4_000_000
 SALT_BYTES = 256 << 20
-CHUNK_WORDS, CHUNK_DOCS = 4_000_000, 16_384
+CHUNK_WORDS, CHUNK_DOCS = 3_000_000, 16_384
 CACHE_WORDS = 500_000  # hashes that a task remembers
 BROADCAST_IDS = 4_000_000  # up to so many trusted ids go to every task, beyond they are joined by a shuffle
 FOLDS = 4
 PRIOR = 20.0
 LEVEL = 0.98
 BEGIN, END = 0x1CE5_7A97_0F31, 0xD0C5_A1B7_93E9  # stand for the place before the first word and after the last
+FILTER_BITS = 1 << 27  # a power of two
+UNKNOWN = 0  # stands for a second word that adds nothing
+MANY_LANGUAGES = 100_000  # beyond, thresholds are not broadcast
 WORD_BYTES = 6  # of a word's hash
 PAIRS = [(name, pa.binary()) for name in ("firsts", "runs", "list", "uses", "seconds")]
 PACKED = pa.schema([("shard", pa.int32()), *PAIRS, ("counts", pa.binary())])
@@ -294,6 +299,40 @@ def totals(seconds: DataFrame) -> Totals:
     return Totals(high, low, types, left / (np.maximum(words[:, 4], VOCABULARY) + 1))
 
 
+def _places(words: np.ndarray) -> np.ndarray:
+    return words >> np.uint64(8 * WORD_BYTES - FILTER_BITS.bit_length() + 1)
+
+
+def known_words(seconds: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the words of trusted text, and of those in two folds at least. Each shard sends its range of them."""
+    schema = pa.schema([("start", pa.int64()), ("any", pa.binary()), ("several", pa.binary())])
+
+    def ranges(batches):
+        for batch in batches:
+            for word, before in zip(*(batch.column(k).to_pylist() for k in range(2))):
+                place = _places(_unpack_steps(word)).astype(np.int64)
+                several = (_unpack(before, "<i8").reshape(FOLDS + 1, -1) > 0).all(axis=0)
+                start = int(place[0]) & ~7
+                bits = np.zeros((2, int(place[-1]) - start + 1), dtype=bool)
+                bits[0, place - start] = True
+                bits[1, place[several] - start] = True
+                packed = [_pack(np.packbits(b, bitorder="little")) for b in bits]
+                yield pa.RecordBatch.from_pylist([{"start": start, "any": packed[0], "several": packed[1]}], schema)
+
+    found = np.zeros((2, FILTER_BITS // 8), dtype=np.uint8)
+    sent = seconds.where("source = -1").select("words", "before").mapInArrow(ranges, "start long, any binary, several binary")
+    for row in sent.toLocalIterator():
+        for bitmap, data in zip(found, row[1:]):
+            part = _unpack(data, "u1")
+            bitmap[row["start"] // 8: row["start"] // 8 + len(part)] |= part
+    return found[0], found[1]
+
+
+def _known(bitmap: np.ndarray, words: np.ndarray) -> np.ndarray:
+    place = _places(words).astype(np.int64)
+    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+
+
 def gains(rows: pd.DataFrame, learned: Totals) -> tuple[np.ndarray, np.ndarray]:
     """Of a shard of the model: its sorted keys and, per column, what each adds to a log probability."""
     keys, out = [np.empty(0, np.uint64)], [np.empty((FOLDS + 1, 0), dtype="<f4")]
@@ -332,18 +371,19 @@ def gains(rows: pd.DataFrame, learned: Totals) -> tuple[np.ndarray, np.ndarray]:
     return key[order], np.concatenate([g.astype("<f4") for g in out], axis=1)[:, order]
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, Totals, int]:
-    """(counts by shard, what is broadcast, number of shards), from trusted documents."""
+def train(docs: DataFrame) -> tuple[DataFrame, Totals, int, tuple[np.ndarray, np.ndarray]]:
+    """(counts by shard, totals, number of shards, bitmaps of known words), from trusted documents."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(SHARDS, -(-size // (4 * SHARD_WORDS)))
     counted = store(count_bigrams(docs, shards), "lm_bigrams")
     seconds = store(second_words(counted, shards), "lm_words")
     asked = seconds.where("source >= -1").select("shard", "source", "words", "before")
-    return counted.unionByName(asked, allowMissingColumns=True), totals(seconds), shards
+    return counted.unionByName(asked, allowMissingColumns=True), totals(seconds), shards, known_words(seconds)
 
 
-def chunks(docs: DataFrame, shards: int) -> DataFrame:
-    """Per chunk a header (ids, languages, folds, words) and the pairs of its documents, by shard."""
+def chunks(docs: DataFrame, shards: int, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Per chunk a header (ids, languages, folds, words) and the pairs of its documents that can add something, by shard."""
+    bitmaps = docs.sparkSession.sparkContext.broadcast(known)
     schema = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), *PAIRS, ("members", pa.binary()), ("columns", pa.binary()), ("doc_ids", pa.list_(pa.int64())),
                         ("langs", pa.list_(pa.string())), ("folds", pa.list_(pa.int32())), ("words", pa.list_(pa.int64()))])
 
@@ -357,6 +397,11 @@ def chunks(docs: DataFrame, shards: int) -> DataFrame:
             first = np.concatenate([w for _, text in texts for w in (begin, text)])
             second = np.concatenate([w for _, text in texts for w in (text, end)])
             member = np.repeat(np.array([i for i, _ in texts], dtype="<u2"), [len(w) + 1 for _, w in texts])
+            own = columns[member] < FOLDS
+            adds = [np.where(own, _known(bitmaps.value[1], w), _known(bitmaps.value[0], w)) for w in (first, second)]
+            second[~adds[1] & (second != end)] = UNKNOWN
+            kept = adds[0] | (first == begin)
+            first, second, member = first[kept], second[kept], member[kept]
             for s, at in _slices(shard_of(first, shards).astype(np.int16 if shards < 32768 else np.int64)):
                 at = at[np.argsort(first[at], kind="stable")]
                 out.append({"chunk": chunk, "shard": s, **_pack_pairs(first[at], second[at]),
@@ -394,11 +439,11 @@ def find(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == asked, at, -1)
 
 
-def score(docs: DataFrame, model: DataFrame, learned: Totals, shards: int) -> DataFrame:
+def score(docs: DataFrame, model: DataFrame, learned: Totals, shards: int, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, lang, fold, n_words, log_probability of every row. A row with a `fold` is scored without the texts of that fold."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     salts = max(1, -(-2 * size // (SALT_BYTES * shards)))
-    sent = chunks(docs, shards).withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)))
+    sent = chunks(docs, shards, known).withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)))
     held = model.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     heads = ["doc_ids", "langs", "folds", "words"]
 
@@ -451,7 +496,9 @@ def _of_language(rows: DataFrame, measure: str, level: float, name: str) -> Data
     """Adds the quantile of the trusted rows of a row's language, of all trusted rows if the language has none."""
     held = rows.where(F.col("fold").isNotNull() & F.col(measure).isNotNull())
     quantile = F.percentile(F.round(measure, 3), F.lit(level))
-    joined = rows.join(held.groupBy("language").agg(quantile.alias("of_language")), "language", "left")
+    of_language = store(held.groupBy("language").agg(quantile.alias("of_language")), "lm_languages")
+    few = of_language.count() <= MANY_LANGUAGES
+    joined = rows.join(F.broadcast(of_language) if few else of_language, "language", "left")
     return joined.withColumn(name, F.coalesce("of_language", F.lit(held.agg(quantile).first()[0]).cast("double"))).drop("of_language")
 
 
