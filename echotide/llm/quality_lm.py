@@ -303,8 +303,8 @@ def _places(words: np.ndarray) -> np.ndarray:
     return words >> np.uint64(8 * WORD_BYTES - FILTER_BITS.bit_length() + 1)
 
 
-def known_words(seconds: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps of the words of trusted text, and of those in two folds at least. Each shard sends its range of them."""
+def known_words(seconds: DataFrame) -> tuple[bytes, bytes]:
+    """Compressed bitmaps of the words of trusted text, and of those in two folds at least. Each shard sends its range of them."""
     schema = pa.schema([("start", pa.int64()), ("any", pa.binary()), ("several", pa.binary())])
 
     def ranges(batches):
@@ -325,7 +325,7 @@ def known_words(seconds: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for bitmap, data in zip(found, row[1:]):
             part = _unpack(data, "u1")
             bitmap[row["start"] // 8: row["start"] // 8 + len(part)] |= part
-    return found[0], found[1]
+    return _pack(found[0]), _pack(found[1])
 
 
 def _known(bitmap: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -371,7 +371,7 @@ def gains(rows: pd.DataFrame, learned: Totals) -> tuple[np.ndarray, np.ndarray]:
     return key[order], np.concatenate([g.astype("<f4") for g in out], axis=1)[:, order]
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, Totals, int, tuple[np.ndarray, np.ndarray]]:
+def train(docs: DataFrame) -> tuple[DataFrame, Totals, int, tuple[bytes, bytes]]:
     """(counts by shard, totals, number of shards, bitmaps of known words), from trusted documents."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(SHARDS, -(-size // (4 * SHARD_WORDS)))
@@ -381,13 +381,13 @@ def train(docs: DataFrame) -> tuple[DataFrame, Totals, int, tuple[np.ndarray, np
     return counted.unionByName(asked, allowMissingColumns=True), totals(seconds), shards, known_words(seconds)
 
 
-def chunks(docs: DataFrame, shards: int, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def chunks(docs: DataFrame, shards: int, known: tuple[bytes, bytes]) -> DataFrame:
     """Per chunk a header (ids, languages, folds, words) and the pairs of its documents that can add something, by shard."""
-    bitmaps = docs.sparkSession.sparkContext.broadcast(known)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
     schema = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), *PAIRS, ("members", pa.binary()), ("columns", pa.binary()), ("doc_ids", pa.list_(pa.int64())),
                         ("langs", pa.list_(pa.string())), ("folds", pa.list_(pa.int32())), ("words", pa.list_(pa.int64()))])
 
-    def rows(chunk, ids, langs, folds, hashed):
+    def rows(bitmaps, chunk, ids, langs, folds, hashed):
         columns = np.array([FOLDS if f is None else f for f in folds], dtype=np.uint8)
         out = [{"chunk": chunk, "shard": chunk % shards, "doc_ids": ids, "langs": langs, "folds": folds,
                 "words": [len(w) for w in hashed]}]
@@ -398,7 +398,7 @@ def chunks(docs: DataFrame, shards: int, known: tuple[np.ndarray, np.ndarray]) -
             second = np.concatenate([w for _, text in texts for w in (text, end)])
             member = np.repeat(np.array([i for i, _ in texts], dtype="<u2"), [len(w) + 1 for _, w in texts])
             own = columns[member] < FOLDS
-            adds = [np.where(own, _known(bitmaps.value[1], w), _known(bitmaps.value[0], w)) for w in (first, second)]
+            adds = [np.where(own, _known(bitmaps[1], w), _known(bitmaps[0], w)) for w in (first, second)]
             second[~adds[1] & (second != end)] = UNKNOWN
             kept = adds[0] | (first == begin)
             first, second, member = first[kept], second[kept], member[kept]
@@ -410,6 +410,7 @@ def chunks(docs: DataFrame, shards: int, known: tuple[np.ndarray, np.ndarray]) -
 
     def run(batches):
         part, made = TaskContext.get().partitionId(), 0
+        bitmaps = [_unpack(data, "u1") for data in shared.value]
         hashes = Hashes()
         ids, langs, folds, hashed, held = [], [], [], [], 0
         for batch in batches:
@@ -420,10 +421,10 @@ def chunks(docs: DataFrame, shards: int, known: tuple[np.ndarray, np.ndarray]) -
                 hashed.append(hashes.of(text.as_py()))
                 held += len(hashed[-1])
                 if held >= CHUNK_WORDS or len(ids) >= CHUNK_DOCS:
-                    yield rows((part << 32) + made, ids, langs, folds, hashed)
+                    yield rows(bitmaps, (part << 32) + made, ids, langs, folds, hashed)
                     ids, langs, folds, hashed, held, made = [], [], [], [], 0, made + 1
         if ids:
-            yield rows((part << 32) + made, ids, langs, folds, hashed)
+            yield rows(bitmaps, (part << 32) + made, ids, langs, folds, hashed)
 
     fold = F.col("fold") if "fold" in docs.columns else F.lit(None).cast("int")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("binary"), fold)
@@ -439,7 +440,7 @@ def find(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == asked, at, -1)
 
 
-def score(docs: DataFrame, model: DataFrame, learned: Totals, shards: int, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def score(docs: DataFrame, model: DataFrame, learned: Totals, shards: int, known: tuple[bytes, bytes]) -> DataFrame:
     """doc_id, lang, fold, n_words, log_probability of every row. A row with a `fold` is scored without the texts of that fold."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     salts = max(1, -(-2 * size // (SALT_BYTES * shards)))
