@@ -83,14 +83,16 @@ def spans_in(text: str | None) -> list[tuple[int, int, int, int, bool]]:
 
 
 def _span_lists(texts: pa.Array) -> pa.Array:
+    """Equal texts of a batch are searched once."""
+    encoded = texts.dictionary_encode(null_encoding="encode")
     offsets, rows = [0], []
-    for text in texts.to_pylist():
+    for text in encoded.dictionary.to_pylist():
         rows += spans_in(text)
         offsets.append(len(rows))
     columns = list(zip(*rows)) or [()] * 5
     types = {"start": pa.int32(), "end": pa.int32(), "rule": pa.int32(), "phrase": pa.int32(), "near": pa.bool_()}
     spans = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], list(types))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans).take(encoded.indices)
 
 
 def issue_spans(content: Column) -> Column:

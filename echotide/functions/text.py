@@ -18,9 +18,14 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+# All characters of the Unicode category Zs, and those of Java's \s.
+SPACES = "".join(chr(c) for c in (0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000))
+WHITESPACE = "\t\n\x0b\f\r"
+
+
 def trim_spaces(value: Column) -> Column:
     """Strip Unicode space characters (not tabs or newlines) from both ends."""
-    return F.regexp_replace(value, r"^\p{Zs}+|\p{Zs}+$", "")
+    return F.btrim(value, F.lit(SPACES))
 
 
 def strip_whitespace(value: Column) -> Column:
@@ -33,16 +38,18 @@ def blank_to_null(value: Column) -> Column:
 
 
 def tidy_content(value: Column, empty_marker: str) -> Column:
-    """Trim, collapse whitespace runs, and mark missing text."""
+    """Trim, collapse whitespace runs, and mark missing text. Most texts hold no run, which a plain search tells."""
     trimmed = trim_spaces(value)
-    return F.when(F.coalesce(F.length(trimmed), F.lit(0)) == 0, F.lit(empty_marker)).otherwise(
-        F.regexp_replace(trimmed, r"\s+", " ")
+    runs = any_present(trimmed, ("  ", *WHITESPACE))
+    return (
+        F.when(F.coalesce(F.length(trimmed), F.lit(0)) == 0, F.lit(empty_marker))
+        .when(runs, F.regexp_replace(trimmed, r"\s+", " ")).otherwise(trimmed)
     )
 
 
 def slug(value: Column) -> Column:
     lowered = F.lower(trim_spaces(F.coalesce(value, F.lit(""))))
-    return F.regexp_replace(F.regexp_replace(lowered, "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.btrim(F.regexp_replace(lowered, "[^a-z0-9]+", "_"), F.lit("_"))
 
 
 def count_present(text: Column, phrases: tuple[str, ...]) -> Column:

@@ -163,3 +163,25 @@ def test_fixed_text_rounds_like_printing_the_binary_value(spark):
     frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v double").orderBy("id")
     found = frame.select(text.percent_text(F.col("v")), text.fixed_text(F.col("v") * 5, 2)).collect()
     assert [tuple(r) for r in found] == [(f"{v:.1%}", f"{v * 5:.2f}") for v in values]
+
+
+def test_equal_texts_of_a_batch_are_searched_once(monkeypatch):
+    import pyarrow as pa
+
+    values = ["payment failed again", None, "ok.", "payment failed again", "", None] * 50
+    wanted = [issues.spans_in(v) for v in values]
+    searched, real = [], issues.spans_in
+    monkeypatch.setattr(issues, "spans_in", lambda value: searched.append(value) or real(value))
+    found = issues._span_lists(pa.chunked_array([values]).combine_chunks())
+    assert [[tuple(s.values()) for s in spans] for spans in found.to_pylist()] == wanted
+    assert sorted(searched, key=repr) == sorted(set(values), key=repr)
+
+
+def test_trimming_and_runs_as_by_patterns(spark):
+    rng = random.Random(3)
+    marks = [*text.SPACES, *text.WHITESPACE, "\x1c", "​", " ", "a", "b", "_", "é"]
+    values = ["".join(rng.choices(marks, k=rng.randint(0, 7))) for _ in range(3000)] + [None, "", "a  b", " a\tb\x0b c "]
+    trimmed = F.regexp_replace("content", r"^\p{Zs}+|\p{Zs}+\z", "")  # \z: a space before a last newline stays, as in SQL
+    assert column(spark, values, text.trim_spaces(F.col("content"))) == column(spark, values, trimmed)
+    tidy = F.when(F.coalesce(F.length(trimmed), F.lit(0)) == 0, F.lit("none")).otherwise(F.regexp_replace(trimmed, r"\s+", " "))
+    assert column(spark, values, text.tidy_content(F.col("content"), "none")) == column(spark, values, tidy)
