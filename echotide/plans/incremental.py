@@ -22,10 +22,13 @@ empty batch changes nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 from functools import reduce
 from operator import or_
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -92,12 +95,17 @@ def _stored(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def in_parts(parts: list[Part]) -> Column:
-    """Rows of the given partitions: a test of partition columns alone, so no other file is opened."""
-    by_day: dict[date | None, list[int]] = {}
+    """Rows of the given partitions: a test of partition columns alone, so no other file is opened. One list of days for each
+    bucket, so that the plan stays flat however many days there are."""
+    by_bucket: dict[int, set[date | None]] = {}
     for day, bucket in parts:
-        by_day.setdefault(day, []).append(bucket)
-    tests = [F.col("day").eqNullSafe(F.lit(day).cast("date")) & F.col("bucket").isin(*buckets) for day, buckets in by_day.items()]
-    return reduce(or_, tests, F.lit(False))
+        by_bucket.setdefault(bucket, set()).add(day)
+
+    def among(days: set[date | None]) -> Column:
+        known = F.coalesce(F.col("day").isin(sorted(days - {None})), F.lit(False)) if days - {None} else F.lit(False)
+        return known | F.col("day").isNull() if None in days else known
+
+    return reduce(or_, [(F.col("bucket") == bucket) & among(days) for bucket, days in sorted(by_bucket.items())], F.lit(False))
 
 
 def _parts(df: DataFrame) -> list[Part]:
@@ -121,16 +129,30 @@ def apply_batch(spark: SparkSession, root: str, batch: int, staged: DataFrame, t
         _mark(spark, root, batch, "changes")
     rows = spark.read.parquet(incoming)
     changes = spark.read.schema(CHANGES).parquet(f"{root}/changes/batch={batch}")
-    _write_log(signed_measures(changes), root, "review_state", batch)
-    _write_log(signed_user_days(changes), root, "user_state", batch)
-    _write_log(_user_scores(spark, root, batch), root, "user_churn_log", batch)
-    _write_log(_high_days(spark, root, batch), root, "high_days", batch)
-    _write_log(rows.select("review_id", "day", "bucket"), root, "review_places", batch)
-    _rewrite_reviews(spark, root, batch, rows, changes)
-    write_totals(spark, root)
+
+    def users() -> None:
+        _write_log(signed_user_days(changes), root, "user_state", batch)
+        _write_log(_user_scores(spark, root, batch), root, "user_churn_log", batch)
+
+    def totals() -> None:
+        _write_log(_high_days(spark, root, batch), root, "high_days", batch)
+        write_totals(spark, root)
+
+    _together(spark, users, lambda: _write_log(signed_measures(changes), root, "review_state", batch),
+              lambda: _write_log(rows.select("review_id", "day", "bucket"), root, "review_places", batch))
+    _together(spark, totals, lambda: _rewrite_reviews(spark, root, batch, rows, changes))
     _mark(spark, root, batch, "done")
 
 
+def _together(spark: SparkSession, *steps: Callable[[], None]) -> None:
+    """Steps that write tables of their own from finished ones, as Spark jobs at the same time: one alone leaves cores idle. All
+    have ended when this returns or raises."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]
+    for step in running:
+        step.result()
+
+
 def _mark(spark: SparkSession, root: str, batch: int, step: str) -> None:
     spark.range(1).select("id", F.lit(step).alias("step")).write.mode("append").parquet(f"{root}/steps/batch={batch}")
 
@@ -192,7 +214,6 @@ def _rewrite_reviews(spark: SparkSession, root: str, batch: int, rows: DataFrame
 
     raw = rows.select("review_id", "user_name", F.col("raw_content").alias("content"), "score", "thumbs_up", "review_created_version",
                       "at_ts", "app_version", "category_raw", "day", "bucket")
-    _overwrite(spark, root, "reviews_raw", held, rows, raw, emptied)
 
     def with_scores(df: DataFrame) -> DataFrame:
         """Scores of the users that the batch touched are new, all others stay. Reviews without a user match none, and are
@@ -206,7 +227,8 @@ def _rewrite_reviews(spark: SparkSession, root: str, batch: int, rows: DataFrame
         }).select(*df.columns)
 
     fresh = rows.withColumns({"churn_user_score": F.lit(None).cast("double"), "churn_user_tier": F.lit(None).cast("string")})
-    _overwrite(spark, root, "reviews_enriched", touched, rows, fresh, emptied, with_scores)
+    _together(spark, lambda: _overwrite(spark, root, "reviews_raw", held, rows, raw, emptied),
+              lambda: _overwrite(spark, root, "reviews_enriched", touched, rows, fresh, emptied, with_scores))
 
 
 def _overwrite(spark: SparkSession, root: str, name: str, parts: list[Part], keys: DataFrame, fresh: DataFrame, emptied: list[Part],

@@ -171,3 +171,15 @@ def test_stream_keeps_tables(spark, tmp_path):
     assert {(r.review_id, r.content, str(r.day)) for r in incremental.read_reviews(spark, root).collect()} == {
         ("a", "replaced", "2024-01-02"), ("b", "two", "2024-01-01")}
     assert sorted(str(r.day) for r in read_table(spark, root, "daily_aggregates").collect()) == ["2024-01-01", "2024-01-02"]
+
+
+def test_the_plan_of_a_partition_test_does_not_grow_with_days(spark):
+    days = [datetime.date(2000, 1, 1) + datetime.timedelta(i) for i in range(3000)]
+    parts = [(d, i % 2) for i, d in enumerate(days)] + [(days[1], 0), (None, 1)]
+    every = [(d, b) for d in [*days[:6], days[-1], datetime.date(1999, 1, 1), None] for b in (0, 1, 2)]
+    kept = spark.createDataFrame(every, "day date, bucket int").where(incremental.in_parts(parts))
+    assert {tuple(r) for r in kept.collect()} == set(every) & set(parts)
+    assert kept.where(~incremental.in_parts(parts)).count() == 0
+    tree = kept._jdf.queryExecution().optimizedPlan().treeString()
+    assert tree.count(" OR ") <= 4
+    assert spark.createDataFrame(every, "day date, bucket int").where(incremental.in_parts([])).count() == 0
