@@ -11,9 +11,11 @@ a shard makes the values of its keys, and the sum is a join with it; only totals
 broadcast. Every word is the first of one pair (the last word pairs with END), so its own key needs no place of its own: tasks
 send, by shard, the pairs of a chunk of documents that can add something. Words that trusted text lacks (for a trusted document:
 that other folds lack) add nothing; a bitmap of FILTER_BITS places, which each shard fills its range of, finds most of them. It
-has the same size whatever trusted text holds, and a word that shares its place with a known one is sent in vain. First words are sorted and delta-coded, second words are ranks in the list of
-those that the slice has, document numbers rise within a first word; all is compressed. A shard answers one partial sum per
-document. Groups of the join are bounded: a shard by SHARD_WORDS, the chunks it meets by SALT_BYTES.
+has the same size whatever trusted text holds, and a word that shares its place with a known one is sent in vain. First words
+are sorted and delta-coded, second words are ranks in the list of those that the slice has, document numbers rise within a first
+word; all is compressed. Of the words themselves, those of a book go as their places in it, the others as hashes: the book has the
+BOOK commonest words of trusted text, every task has it, and it only says how a word is written, so no result depends on it. A
+shard answers one partial sum per document. Groups of the join are bounded: a shard by SHARD_WORDS, the chunks it meets by SALT_BYTES.
 
 A document is rejected when its log perplexity, drawn towards the median of its language by PRIOR words, exceeds the quantile
 LEVEL of its language. Median and quantile are those of trusted documents, each scored by a model without the trusted texts of
@@ -35,7 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from echotide.llm.common import store
@@ -53,7 +55,9 @@ LEVEL = 0.98
 BEGIN, END = 0x1CE5_7A97_0F31, 0xD0C5_A1B7_93E9  # stand for the place before the first word and after the last
 FILTER_BITS = 1 << 27  # a power of two
 UNKNOWN = 0  # stands for a second word that adds nothing
+BOOK = 1 << 20  # words that are sent by their place in a list that every task has
 MANY_LANGUAGES = 100_000  # beyond, thresholds are not broadcast
+NO_BOOK = np.array([UNKNOWN], dtype=np.uint64)
 WORD_BYTES = 6  # of a word's hash
 PAIRS = [(name, pa.binary()) for name in ("firsts", "runs", "list", "uses", "seconds")]
 PACKED = pa.schema([("shard", pa.int32()), *PAIRS, ("counts", pa.binary())])
@@ -73,6 +77,14 @@ class Totals(NamedTuple):
         return np.where(before > 0, before - cut, 0.0) / self.types[:, None] + self.unknown[:, None]
 
 
+class Known(NamedTuple):
+    """What tasks that send pairs know of the words of trusted text; all compressed."""
+
+    any: bytes  # bitmap of the words
+    several: bytes  # bitmap of those in two folds at least
+    book: bytes  # UNKNOWN and the commonest words, sorted
+
+
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that every label calls good and none toxic."""
     return docs.join(_trusted_ids(labels)[0], F.col("doc_id") == F.col("trusted_id"), "left_semi")
@@ -106,21 +118,34 @@ def _unpack_steps(data: bytes, kind: str = "<u8") -> np.ndarray:
     return np.cumsum(_unpack(data, kind), dtype=kind)
 
 
-def _pack_pairs(first: np.ndarray, second: np.ndarray) -> dict[str, bytes]:
+def _pack_words(words: np.ndarray, book: np.ndarray) -> bytes:
+    """Words that rise: those of the book by their places there, then the others."""
+    at = np.searchsorted(book, words).astype("<u4")
+    inside = book.take(at, mode="clip") == words
+    places = _pack_steps(at[inside])
+    return len(places).to_bytes(4, "little") + places + _pack_steps(words[~inside])
+
+
+def _unpack_words(data: bytes, book: np.ndarray) -> np.ndarray:
+    others = 4 + int.from_bytes(data[:4], "little")
+    return np.sort(np.concatenate((book[_unpack_steps(data[4:others], "<u4")], _unpack_steps(data[others:]))))
+
+
+def _pack_pairs(first: np.ndarray, second: np.ndarray, book: np.ndarray = NO_BOOK) -> dict[str, bytes]:
     """Pairs in their order, which the first words rise in. Second words are ranks by use in a list of their own."""
     at = _starts(first)
     words, place, uses = np.unique(second, return_inverse=True, return_counts=True)
     rank = np.empty(len(words), dtype="<u4")
     rank[np.argsort(-uses, kind="stable")] = np.arange(len(words), dtype="<u4")
-    return {"firsts": _pack_steps(first[at]), "runs": _pack(np.diff(at, append=len(first)).astype("<u4")),
-            "list": _pack_steps(words), "uses": _pack(uses.astype("<u4")), "seconds": _pack(rank[place])}
+    return {"firsts": _pack_words(first[at], book), "runs": _pack(np.diff(at, append=len(first)).astype("<u4")),
+            "list": _pack_words(words, book), "uses": _pack(uses.astype("<u4")), "seconds": _pack(rank[place])}
 
 
-def _unpack_pairs(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack_pairs(row, book: np.ndarray = NO_BOOK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first words, how many pairs each has, second word of every pair) of a row that has the columns of _pack_pairs."""
     uses = _unpack(row.uses, "<u4").astype(np.int64)
-    ranked = _unpack_steps(row.list)[np.argsort(-uses, kind="stable")]
-    return _unpack_steps(row.firsts), _unpack(row.runs, "<u4").astype(np.int64), ranked[_unpack(row.seconds, "<u4")]
+    ranked = _unpack_words(row.list, book)[np.argsort(-uses, kind="stable")]
+    return _unpack_words(row.firsts, book), _unpack(row.runs, "<u4").astype(np.int64), ranked[_unpack(row.seconds, "<u4")]
 
 
 def mixed(keys: np.ndarray) -> np.ndarray:
@@ -303,29 +328,34 @@ def _places(words: np.ndarray) -> np.ndarray:
     return words >> np.uint64(8 * WORD_BYTES - FILTER_BITS.bit_length() + 1)
 
 
-def known_words(seconds: DataFrame) -> tuple[bytes, bytes]:
-    """Compressed bitmaps of the words of trusted text, and of those in two folds at least. Each shard sends its range of them."""
-    schema = pa.schema([("start", pa.int64()), ("any", pa.binary()), ("several", pa.binary())])
+def known_words(seconds: DataFrame, shards: int) -> Known:
+    """Each shard sends its range of the bitmaps, and its share of the book: words that come second in most bigrams."""
+    schema = pa.schema([("start", pa.int64()), ("any", pa.binary()), ("several", pa.binary()), ("book", pa.binary())])
 
     def ranges(batches):
         for batch in batches:
             for word, before in zip(*(batch.column(k).to_pylist() for k in range(2))):
-                place = _places(_unpack_steps(word)).astype(np.int64)
-                several = (_unpack(before, "<i8").reshape(FOLDS + 1, -1) > 0).all(axis=0)
+                word, before = _unpack_steps(word), _unpack(before, "<i8").reshape(FOLDS + 1, -1)
+                place = _places(word).astype(np.int64)
+                several = (before > 0).all(axis=0)
                 start = int(place[0]) & ~7
                 bits = np.zeros((2, int(place[-1]) - start + 1), dtype=bool)
                 bits[0, place - start] = True
                 bits[1, place[several] - start] = True
                 packed = [_pack(np.packbits(b, bitorder="little")) for b in bits]
-                yield pa.RecordBatch.from_pylist([{"start": start, "any": packed[0], "several": packed[1]}], schema)
+                common = np.sort(word[np.argsort(-before[FOLDS], kind="stable")[:BOOK // shards]])
+                yield pa.RecordBatch.from_pylist([{"start": start, "any": packed[0], "several": packed[1],
+                                                   "book": _pack_steps(common)}], schema)
 
-    found = np.zeros((2, FILTER_BITS // 8), dtype=np.uint8)
-    sent = seconds.where("source = -1").select("words", "before").mapInArrow(ranges, "start long, any binary, several binary")
+    found, book = np.zeros((2, FILTER_BITS // 8), dtype=np.uint8), [NO_BOOK]
+    sent = seconds.where("source = -1").select("words", "before").mapInArrow(
+        ranges, "start long, any binary, several binary, book binary")
     for row in sent.toLocalIterator():
-        for bitmap, data in zip(found, row[1:]):
+        for bitmap, data in zip(found, row[1:3]):
             part = _unpack(data, "u1")
             bitmap[row["start"] // 8: row["start"] // 8 + len(part)] |= part
-    return _pack(found[0]), _pack(found[1])
+        book.append(_unpack_steps(row["book"]))
+    return Known(_pack(found[0]), _pack(found[1]), _pack_steps(np.unique(np.concatenate(book))))
 
 
 def _known(bitmap: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -371,23 +401,22 @@ def gains(rows: pd.DataFrame, learned: Totals) -> tuple[np.ndarray, np.ndarray]:
     return key[order], np.concatenate([g.astype("<f4") for g in out], axis=1)[:, order]
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, Totals, int, tuple[bytes, bytes]]:
-    """(counts by shard, totals, number of shards, bitmaps of known words), from trusted documents."""
+def train(docs: DataFrame) -> tuple[DataFrame, Totals, int, Known]:
+    """(counts by shard, totals, number of shards, known words), from trusted documents."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(SHARDS, -(-size // (4 * SHARD_WORDS)))
     counted = store(count_bigrams(docs, shards), "lm_bigrams")
     seconds = store(second_words(counted, shards), "lm_words")
     asked = seconds.where("source >= -1").select("shard", "source", "words", "before")
-    return counted.unionByName(asked, allowMissingColumns=True), totals(seconds), shards, known_words(seconds)
+    return counted.unionByName(asked, allowMissingColumns=True), totals(seconds), shards, known_words(seconds, shards)
 
 
-def chunks(docs: DataFrame, shards: int, known: tuple[bytes, bytes]) -> DataFrame:
+def chunks(docs: DataFrame, shards: int, shared: Broadcast) -> DataFrame:
     """Per chunk a header (ids, languages, folds, words) and the pairs of its documents that can add something, by shard."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
     schema = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), *PAIRS, ("members", pa.binary()), ("columns", pa.binary()), ("doc_ids", pa.list_(pa.int64())),
                         ("langs", pa.list_(pa.string())), ("folds", pa.list_(pa.int32())), ("words", pa.list_(pa.int64()))])
 
-    def rows(bitmaps, chunk, ids, langs, folds, hashed):
+    def rows(bitmaps, book, chunk, ids, langs, folds, hashed):
         columns = np.array([FOLDS if f is None else f for f in folds], dtype=np.uint8)
         out = [{"chunk": chunk, "shard": chunk % shards, "doc_ids": ids, "langs": langs, "folds": folds,
                 "words": [len(w) for w in hashed]}]
@@ -404,13 +433,14 @@ def chunks(docs: DataFrame, shards: int, known: tuple[bytes, bytes]) -> DataFram
             first, second, member = first[kept], second[kept], member[kept]
             for s, at in _slices(shard_of(first, shards).astype(np.int16 if shards < 32768 else np.int64)):
                 at = at[np.argsort(first[at], kind="stable")]
-                out.append({"chunk": chunk, "shard": s, **_pack_pairs(first[at], second[at]),
+                out.append({"chunk": chunk, "shard": s, **_pack_pairs(first[at], second[at], book),
                             "members": _pack_steps(member[at]), "columns": _pack(columns)})
         return pa.RecordBatch.from_pylist(out, schema)
 
     def run(batches):
         part, made = TaskContext.get().partitionId(), 0
-        bitmaps = [_unpack(data, "u1") for data in shared.value]
+        known = shared.value
+        bitmaps, book = [_unpack(data, "u1") for data in (known.any, known.several)], _unpack_steps(known.book)
         hashes = Hashes()
         ids, langs, folds, hashed, held = [], [], [], [], 0
         for batch in batches:
@@ -421,10 +451,10 @@ def chunks(docs: DataFrame, shards: int, known: tuple[bytes, bytes]) -> DataFram
                 hashed.append(hashes.of(text.as_py()))
                 held += len(hashed[-1])
                 if held >= CHUNK_WORDS or len(ids) >= CHUNK_DOCS:
-                    yield rows(bitmaps, (part << 32) + made, ids, langs, folds, hashed)
+                    yield rows(bitmaps, book, (part << 32) + made, ids, langs, folds, hashed)
                     ids, langs, folds, hashed, held, made = [], [], [], [], 0, made + 1
         if ids:
-            yield rows(bitmaps, (part << 32) + made, ids, langs, folds, hashed)
+            yield rows(bitmaps, book, (part << 32) + made, ids, langs, folds, hashed)
 
     fold = F.col("fold") if "fold" in docs.columns else F.lit(None).cast("int")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("binary"), fold)
@@ -440,22 +470,23 @@ def find(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == asked, at, -1)
 
 
-def score(docs: DataFrame, model: DataFrame, learned: Totals, shards: int, known: tuple[bytes, bytes]) -> DataFrame:
+def score(docs: DataFrame, model: DataFrame, learned: Totals, shards: int, known: Known) -> DataFrame:
     """doc_id, lang, fold, n_words, log_probability of every row. A row with a `fold` is scored without the texts of that fold."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     salts = max(1, -(-2 * size // (SALT_BYTES * shards)))
-    sent = chunks(docs, shards, known).withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)))
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    sent = chunks(docs, shards, shared).withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)))
     held = model.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     heads = ["doc_ids", "langs", "folds", "words"]
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         keys, values = gains(right, learned)
-        out = []
+        book, out = _unpack_steps(shared.value.book), []
         for row in left.itertuples(index=False):
             if row.firsts is None:
                 out.append((row.chunk, None, row.doc_ids, row.langs, row.folds, row.words))
             elif len(keys):
-                first, runs, second = _unpack_pairs(row)
+                first, runs, second = _unpack_pairs(row, book)
                 members = _unpack_steps(row.members, "<u2")
                 column = _unpack(row.columns, "u1")[members]
                 gain = np.repeat(find(keys, first), runs), find(keys, pair(np.repeat(first, runs), second))

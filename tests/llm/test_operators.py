@@ -341,6 +341,20 @@ def test_quality_folds_leave_their_own_texts_out(spark, small, monkeypatch):
         assert row.log_probability == pytest.approx(logs[fold](text), rel=1e-4, abs=1e-3)
 
 
+def test_quality_book_saves_bytes_and_changes_no_result(spark, small, monkeypatch):
+    good = quality_lm.trusted(small, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    sent, scores = {}, {}
+    for book in (0, 3200, quality_lm.BOOK):
+        monkeypatch.setattr(quality_lm, "BOOK", book)
+        model = quality_lm.train(good)
+        parts = quality_lm.chunks(small.coalesce(1), model[2], spark.sparkContext.broadcast(model[3]))
+        sent[book] = parts.agg(F.sum(sum(F.octet_length(c) for c in ("firsts", "runs", "list", "uses", "seconds")))).first()[0]
+        scores[book] = {r.doc_id: r.log_probability for r in quality_lm.score(small, *model).collect()}
+    none, some, most = sent
+    assert scores[some] == pytest.approx(scores[none], rel=1e-6) and scores[most] == pytest.approx(scores[none], rel=1e-6)
+    assert sent[most] < sent[some] < sent[none] and sent[most] < 0.7 * sent[none]
+
+
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
 def test_quality_rejects_bad_labels_at_every_size(spark, size):
     folder = f"/root/testdata/{size}"
