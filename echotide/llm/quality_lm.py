@@ -12,10 +12,10 @@ broadcast. Every word is the first of one pair (the last word pairs with END), s
 send, by shard, the pairs of a chunk of documents that can add something. Words that trusted text lacks (for a trusted document:
 that other folds lack) add nothing; a bitmap of FILTER_BITS places, which each shard fills its range of, finds most of them. It
 has the same size whatever trusted text holds, and a word that shares its place with a known one is sent in vain. First words
-are sorted and delta-coded, second words are ranks in the list of those that the slice has, document numbers rise within a first
-word; all is compressed. Of the words themselves, those of a book go as their places in it, the others as hashes: the book has the
-BOOK commonest words of trusted text, every task has it, and it only says how a word is written, so no result depends on it. A
-shard answers one partial sum per document. Groups of the join are bounded: a shard by SHARD_WORDS, the chunks it meets by SALT_BYTES.
+are sorted and sent as steps, document numbers rise within a first word. Words go as their places in a book, the others as hashes:
+the book has the BOOK commonest words of trusted text, every task has it, and it only says how a word is written, so no result
+depends on it. What a pair takes does not depend on how many shards there are. A shard answers one partial sum per document.
+Groups of the join are bounded: a shard by SHARD_WORDS, the chunks it meets by SALT_BYTES.
 
 A document is rejected when its log perplexity, drawn towards the median of its language by PRIOR words, exceeds the quantile
 LEVEL of its language. Median and quantile are those of trusted documents, each scored by a model without the trusted texts of
@@ -57,10 +57,10 @@ FILTER_BITS = 1 << 27  # a power of two
 UNKNOWN = 0  # stands for a second word that adds nothing
 BOOK = 1 << 20  # words that are sent by their place in a list that every task has
 MANY_LANGUAGES = 100_000  # beyond, thresholds are not broadcast
-NO_BOOK = np.array([UNKNOWN], dtype=np.uint64)
 WORD_BYTES = 6  # of a word's hash
-PAIRS = [(name, pa.binary()) for name in ("firsts", "runs", "list", "uses", "seconds")]
-PACKED = pa.schema([("shard", pa.int32()), *PAIRS, ("counts", pa.binary())])
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+COUNTED = pa.schema([("shard", pa.int32()), *[(c, pa.binary()) for c in ("firsts", "runs", "list", "uses", "seconds", "counts")]])
+SENT = [(c, pa.binary()) for c in ("firsts", "runs", "seconds", "others", "members", "columns")]
 
 
 class Totals(NamedTuple):
@@ -82,7 +82,21 @@ class Known(NamedTuple):
 
     any: bytes  # bitmap of the words
     several: bytes  # bitmap of those in two folds at least
-    book: bytes  # UNKNOWN and the commonest words, sorted
+    book: bytes  # UNKNOWN, END and the commonest words, by use
+
+
+class Book:
+    """The words that are sent by their places: in order of use, and sorted."""
+
+    def __init__(self, packed: bytes):
+        self.by_use = _unpack(packed, "<u8")
+        self.rank = np.argsort(self.by_use)
+        self.words = self.by_use[self.rank]
+
+    def places(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the sorted words, whether the word is there) of each word."""
+        at = np.searchsorted(self.words, words)
+        return at, self.words.take(at, mode="clip") == words
 
 
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -98,6 +112,17 @@ def _trusted_ids(labels: DataFrame) -> tuple[DataFrame, bool]:
     return F.broadcast(ids) if few else ids, few
 
 
+def _settled(df: DataFrame, name: str) -> DataFrame:
+    """The stored frame. The shuffle files that made it go at once, else they stay until the driver collects its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return store(df, name)
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def _pack(values: np.ndarray) -> bytes:
     """Compressed byte by byte of the values, so that the bytes that are alike lie together."""
     flat = np.ascontiguousarray(values).reshape(-1)
@@ -109,43 +134,112 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
+def _pack_numbers(values: np.ndarray) -> bytes:
+    """Of whole numbers below 2^48: how many bits each has, compressed, then its bits below the highest."""
+    sizes = np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+    coded = zstandard.ZstdCompressor(level=1).compress(sizes.tobytes())
+    out = [len(coded).to_bytes(4, "little"), coded]
+    for size in range(2, sizes.max(initial=0) + 1):
+        bits = np.unpackbits(values[sizes == size].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        out.append(np.packbits(bits[:, 65 - size:]).tobytes())
+    return b"".join(out)
+
+
+def _unpack_numbers(data: bytes) -> np.ndarray:
+    at = 4 + int.from_bytes(data[:4], "little")
+    sizes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[4:at]), dtype=np.uint8)
+    values = (sizes > 0).astype(np.int64)
+    for size in range(2, sizes.max(initial=0) + 1):
+        rows = np.flatnonzero(sizes == size)
+        held = len(rows) * (size - 1)
+        bits = np.zeros((len(rows), 64), dtype=np.uint8)
+        bits[:, 64 - size] = 1
+        part = np.frombuffer(data, dtype=np.uint8, count=-(-held // 8), offset=at)
+        bits[:, 65 - size:] = np.unpackbits(part, count=held).reshape(-1, size - 1)
+        values[rows] = np.packbits(bits, axis=1).view(">i8").reshape(-1)
+        at += len(part)
+    return values
+
+
 def _pack_steps(values: np.ndarray) -> bytes:
-    """Of unsigned values; steps down wrap around."""
-    return _pack(np.diff(values, prepend=values.dtype.type(0)))
+    """Of unsigned values that rise."""
+    return _pack_numbers(np.diff(values, prepend=values.dtype.type(0)))
+
 
+def _unpack_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack_numbers(data)).astype(np.uint64)
 
-def _unpack_steps(data: bytes, kind: str = "<u8") -> np.ndarray:
-    return np.cumsum(_unpack(data, kind), dtype=kind)
 
+def _pack_rising(values: np.ndarray, at: np.ndarray) -> bytes:
+    """Of values that rise within runs, which start at these places."""
+    steps = np.diff(values.astype(np.int64), prepend=0)
+    steps[at] = values[at]
+    return _pack_numbers(steps)
 
-def _pack_words(words: np.ndarray, book: np.ndarray) -> bytes:
+
+def _unpack_rising(data: bytes, runs: np.ndarray) -> np.ndarray:
+    steps = _unpack_numbers(data)
+    total, at = np.cumsum(steps), np.cumsum(runs) - runs
+    return total - np.repeat(total[at] - steps[at], runs)
+
+
+def _pack_words(words: np.ndarray, book: Book) -> bytes:
     """Words that rise: those of the book by their places there, then the others."""
-    at = np.searchsorted(book, words).astype("<u4")
-    inside = book.take(at, mode="clip") == words
-    places = _pack_steps(at[inside])
+    at, inside = book.places(words)
+    places = _pack_steps(at[inside].astype(np.uint64))
     return len(places).to_bytes(4, "little") + places + _pack_steps(words[~inside])
 
 
-def _unpack_words(data: bytes, book: np.ndarray) -> np.ndarray:
+def _unpack_words(data: bytes, book: Book) -> np.ndarray:
     others = 4 + int.from_bytes(data[:4], "little")
-    return np.sort(np.concatenate((book[_unpack_steps(data[4:others], "<u4")], _unpack_steps(data[others:]))))
+    places = _unpack_steps(data[4:others]).astype(np.int64)
+    return np.sort(np.concatenate((book.words[places], _unpack_steps(data[others:]))))
 
 
-def _pack_pairs(first: np.ndarray, second: np.ndarray, book: np.ndarray = NO_BOOK) -> dict[str, bytes]:
-    """Pairs in their order, which the first words rise in. Second words are ranks by use in a list of their own."""
+def _pack_sent(first: np.ndarray, second: np.ndarray, member: np.ndarray, book: Book) -> dict[str, bytes]:
+    """Pairs in their order, which the first words rise in, and documents within a first word. A second word is 1 + its rank in
+    the book, or 0 and stands among the others."""
     at = _starts(first)
+    listed, of = np.unique(second, return_inverse=True)
+    place, inside = book.places(listed)
+    rank = np.where(inside, book.rank.take(place, mode="clip") + 1, 0)[of]
+    return {"firsts": _pack_words(first[at], book), "runs": _pack_numbers(np.diff(at, append=len(first))),
+            "seconds": _pack_numbers(rank), "others": _pack(second[rank == 0]), "members": _pack_rising(member, at)}
+
+
+def _unpack_sent(row, book: Book) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first words, how many pairs each has, second word of every pair, its document) of a row of _pack_sent."""
+    runs, rank = _unpack_numbers(row.runs), _unpack_numbers(row.seconds)
+    second = book.by_use[np.maximum(rank - 1, 0)]
+    second[rank == 0] = _unpack(row.others, "<u8")
+    return _unpack_words(row.firsts, book), runs, second, _unpack_rising(row.members, runs)
+
+
+def _pack_counted(first: np.ndarray, second: np.ndarray, counts: np.ndarray) -> dict[str, bytes]:
+    """Distinct pairs and FOLDS counts of each. Second words are ranks by use in a list of their own, and rise within a first word.
+    Counts up to 2 have two bits each, the others follow."""
     words, place, uses = np.unique(second, return_inverse=True, return_counts=True)
-    rank = np.empty(len(words), dtype="<u4")
-    rank[np.argsort(-uses, kind="stable")] = np.arange(len(words), dtype="<u4")
-    return {"firsts": _pack_words(first[at], book), "runs": _pack(np.diff(at, append=len(first)).astype("<u4")),
-            "list": _pack_words(words, book), "uses": _pack(uses.astype("<u4")), "seconds": _pack(rank[place])}
+    rank = np.empty(len(words), dtype=np.int64)
+    rank[np.argsort(-uses, kind="stable")] = np.arange(len(words))
+    rank = rank[place]
+    order = np.lexsort((rank, first))
+    first, rank, counts = first[order], rank[order], counts[:, order]
+    at = _starts(first)
+    low = np.minimum(counts, 3)
+    bits = sum((low[f] << (2 * f) for f in range(FOLDS)), np.zeros(len(first), dtype=np.int64)).astype("<u4")
+    bits, more = _pack(bits), _pack_numbers(counts[low == 3] - 3)
+    return {"firsts": _pack_steps(first[at]), "runs": _pack_numbers(np.diff(at, append=len(first))), "list": _pack_steps(words),
+            "uses": _pack_numbers(uses), "seconds": _pack_rising(rank, at), "counts": len(bits).to_bytes(4, "little") + bits + more}
 
 
-def _unpack_pairs(row, book: np.ndarray = NO_BOOK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first words, how many pairs each has, second word of every pair) of a row that has the columns of _pack_pairs."""
-    uses = _unpack(row.uses, "<u4").astype(np.int64)
-    ranked = _unpack_words(row.list, book)[np.argsort(-uses, kind="stable")]
-    return _unpack_words(row.firsts, book), _unpack(row.runs, "<u4").astype(np.int64), ranked[_unpack(row.seconds, "<u4")]
+def _unpack_counted(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first words, how many pairs each has, second word of every pair, its counts) of a row of _pack_counted."""
+    runs, uses, more = _unpack_numbers(row.runs), _unpack_numbers(row.uses), 4 + int.from_bytes(row.counts[:4], "little")
+    ranked = _unpack_steps(row.list)[np.argsort(-uses, kind="stable")]
+    bits = _unpack(row.counts[4:more], "<u4").astype(np.int64)
+    counts = np.stack([bits >> (2 * f) & 3 for f in range(FOLDS)])
+    counts[counts == 3] += _unpack_numbers(row.counts[more:])
+    return _unpack_steps(row.firsts), runs, ranked[_unpack_rising(row.seconds, runs)], counts
 
 
 def mixed(keys: np.ndarray) -> np.ndarray:
@@ -213,7 +307,7 @@ def _summed(first: np.ndarray, second: np.ndarray, counts: np.ndarray) -> tuple[
 
 
 def count_bigrams(docs: DataFrame, shards: int) -> DataFrame:
-    """One row per shard: its pairs, sorted by first and second word, and their counts by fold."""
+    """One row per shard: its pairs, sorted by first word, and their counts by fold."""
 
     def rows(parts) -> pa.RecordBatch:
         first, second, fold = (np.concatenate(p) for p in zip(*parts))
@@ -221,8 +315,7 @@ def count_bigrams(docs: DataFrame, shards: int) -> DataFrame:
         counts[fold, np.arange(len(first))] = 1
         first, second, counts = _summed(first, second, counts)
         return pa.RecordBatch.from_pylist(
-            [{"shard": s, **_pack_pairs(first[at], second[at]), "counts": _pack(counts[:, at])}
-             for s, at in _slices(shard_of(first, shards))], PACKED)
+            [{"shard": s, **_pack_counted(first[at], second[at], counts[:, at])} for s, at in _slices(shard_of(first, shards))], COUNTED)
 
     def run(batches):
         hashes, parts, held = Hashes(), [], 0
@@ -241,12 +334,11 @@ def count_bigrams(docs: DataFrame, shards: int) -> DataFrame:
     def merge(table):
         columns = [[], [], []]
         for row in table.to_pandas().itertuples():
-            first, runs, second = _unpack_pairs(row)
-            for column, value in zip(columns, (np.repeat(first, runs), second, _unpack(row.counts, "<i8").reshape(FOLDS, -1))):
+            first, runs, second, counts = _unpack_counted(row)
+            for column, value in zip(columns, (np.repeat(first, runs), second, counts)):
                 column.append(value)
         first, second, counts = _summed(*(np.concatenate(c, axis=-1) for c in columns))
-        return pa.Table.from_pylist([{"shard": table.column("shard")[0].as_py(), **_pack_pairs(first, second),
-                                      "counts": _pack(counts)}], PACKED)
+        return pa.Table.from_pylist([{"shard": table.column("shard")[0].as_py(), **_pack_counted(first, second, counts)}], COUNTED)
 
     schema = "shard int, firsts binary, runs binary, list binary, uses binary, seconds binary, counts binary"
     texts = docs.select(F.col("text").cast("binary").alias("text"), fold_of(docs).alias("fold"))
@@ -280,8 +372,8 @@ def second_words(counted: DataFrame, shards: int) -> DataFrame:
     def ask(batches):
         for batch in batches:
             for row in batch.to_pandas().itertuples():
-                shard, (_, _, second) = row.shard, _unpack_pairs(row)
-                counts = _columns(_unpack(row.counts, "<i8").reshape(FOLDS, -1))
+                shard, (_, _, second, counts) = row.shard, _unpack_counted(row)
+                counts = _columns(counts)
                 order = np.argsort(second, kind="stable")
                 at = _starts(second[order])
                 word, before = second[order][at], np.add.reduceat((counts[:, order] > 0).astype(np.int64), at, axis=1)
@@ -330,7 +422,7 @@ def _places(words: np.ndarray) -> np.ndarray:
 
 def known_words(seconds: DataFrame, shards: int) -> Known:
     """Each shard sends its range of the bitmaps, and its share of the book: words that come second in most bigrams."""
-    schema = pa.schema([("start", pa.int64()), ("any", pa.binary()), ("several", pa.binary()), ("book", pa.binary())])
+    schema = pa.schema([("start", pa.int64()), ("any", pa.binary()), ("several", pa.binary()), ("book", pa.binary()), ("uses", pa.binary())])
 
     def ranges(batches):
         for batch in batches:
@@ -343,19 +435,21 @@ def known_words(seconds: DataFrame, shards: int) -> Known:
                 bits[0, place - start] = True
                 bits[1, place[several] - start] = True
                 packed = [_pack(np.packbits(b, bitorder="little")) for b in bits]
-                common = np.sort(word[np.argsort(-before[FOLDS], kind="stable")[:BOOK // shards]])
+                common = np.sort(np.argsort(-before[FOLDS], kind="stable")[:BOOK // shards])
                 yield pa.RecordBatch.from_pylist([{"start": start, "any": packed[0], "several": packed[1],
-                                                   "book": _pack_steps(common)}], schema)
+                                                   "book": _pack_steps(word[common]), "uses": _pack_numbers(before[FOLDS, common])}], schema)
 
-    found, book = np.zeros((2, FILTER_BITS // 8), dtype=np.uint8), [NO_BOOK]
+    found, book, uses = np.zeros((2, FILTER_BITS // 8), dtype=np.uint8), [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     sent = seconds.where("source = -1").select("words", "before").mapInArrow(
-        ranges, "start long, any binary, several binary, book binary")
+        ranges, "start long, any binary, several binary, book binary, uses binary")
     for row in sent.toLocalIterator():
         for bitmap, data in zip(found, row[1:3]):
             part = _unpack(data, "u1")
             bitmap[row["start"] // 8: row["start"] // 8 + len(part)] |= part
         book.append(_unpack_steps(row["book"]))
-    return Known(_pack(found[0]), _pack(found[1]), _pack_steps(np.unique(np.concatenate(book))))
+        uses.append(_unpack_numbers(row["uses"]))
+    by_use = np.concatenate(book)[np.argsort(-np.concatenate(uses), kind="stable")]
+    return Known(_pack(found[0]), _pack(found[1]), _pack(np.concatenate((np.array([UNKNOWN, END], dtype=np.uint64), by_use))))
 
 
 def _known(bitmap: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -368,14 +462,14 @@ def gains(rows: pd.DataFrame, learned: Totals) -> tuple[np.ndarray, np.ndarray]:
     keys, out = [np.empty(0, np.uint64)], [np.empty((FOLDS + 1, 0), dtype="<f4")]
     first, log_weight = np.empty(0, np.uint64), np.empty((FOLDS + 1, 0))
     for row in rows[rows["firsts"].notna()].itertuples():
-        first, runs, second = _unpack_pairs(row)
+        first, runs, second, counts = _unpack_counted(row)
         asked = rows[rows["source"] >= 0].sort_values("source")
         before = np.concatenate([_unpack(b, "<i8").reshape(FOLDS + 1, -1) for b in asked["before"]], axis=1)
         where = np.searchsorted(np.unique(second), second)
         lower = learned.lower(before)
         at = np.cumsum(runs) - runs
         of = np.repeat(np.arange(len(at)), runs)
-        counts = _columns(_unpack(row.counts, "<i8").reshape(FOLDS, -1))
+        counts = _columns(counts)
         log_weight, gain = np.zeros((FOLDS + 1, len(at))), np.zeros(counts.shape, dtype="<f4")
         for k, c in enumerate(counts):
             cut = np.where(c > 0, learned.discounts[k][np.clip(c, 1, 3) - 1], 0.0)
@@ -405,15 +499,15 @@ def train(docs: DataFrame) -> tuple[DataFrame, Totals, int, Known]:
     """(counts by shard, totals, number of shards, known words), from trusted documents."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(SHARDS, -(-size // (4 * SHARD_WORDS)))
-    counted = store(count_bigrams(docs, shards), "lm_bigrams")
-    seconds = store(second_words(counted, shards), "lm_words")
+    counted = _settled(count_bigrams(docs, shards), "lm_bigrams")
+    seconds = _settled(second_words(counted, shards), "lm_words")
     asked = seconds.where("source >= -1").select("shard", "source", "words", "before")
     return counted.unionByName(asked, allowMissingColumns=True), totals(seconds), shards, known_words(seconds, shards)
 
 
 def chunks(docs: DataFrame, shards: int, shared: Broadcast) -> DataFrame:
     """Per chunk a header (ids, languages, folds, words) and the pairs of its documents that can add something, by shard."""
-    schema = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), *PAIRS, ("members", pa.binary()), ("columns", pa.binary()), ("doc_ids", pa.list_(pa.int64())),
+    schema = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), *SENT, ("doc_ids", pa.list_(pa.int64())),
                         ("langs", pa.list_(pa.string())), ("folds", pa.list_(pa.int32())), ("words", pa.list_(pa.int64()))])
 
     def rows(bitmaps, book, chunk, ids, langs, folds, hashed):
@@ -433,14 +527,14 @@ def chunks(docs: DataFrame, shards: int, shared: Broadcast) -> DataFrame:
             first, second, member = first[kept], second[kept], member[kept]
             for s, at in _slices(shard_of(first, shards).astype(np.int16 if shards < 32768 else np.int64)):
                 at = at[np.argsort(first[at], kind="stable")]
-                out.append({"chunk": chunk, "shard": s, **_pack_pairs(first[at], second[at], book),
-                            "members": _pack_steps(member[at]), "columns": _pack(columns)})
+                out.append({"chunk": chunk, "shard": s, **_pack_sent(first[at], second[at], member[at], book),
+                            "columns": _pack(columns)})
         return pa.RecordBatch.from_pylist(out, schema)
 
     def run(batches):
         part, made = TaskContext.get().partitionId(), 0
         known = shared.value
-        bitmaps, book = [_unpack(data, "u1") for data in (known.any, known.several)], _unpack_steps(known.book)
+        bitmaps, book = [_unpack(data, "u1") for data in (known.any, known.several)], Book(known.book)
         hashes = Hashes()
         ids, langs, folds, hashed, held = [], [], [], [], 0
         for batch in batches:
@@ -458,7 +552,7 @@ def chunks(docs: DataFrame, shards: int, shared: Broadcast) -> DataFrame:
 
     fold = F.col("fold") if "fold" in docs.columns else F.lit(None).cast("int")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("binary"), fold)
-    return texts.mapInArrow(run, "chunk long, shard int, firsts binary, runs binary, list binary, uses binary, seconds binary, "
+    return texts.mapInArrow(run, "chunk long, shard int, firsts binary, runs binary, seconds binary, others binary, "
                                  "members binary, columns binary, doc_ids array<long>, langs array<string>, folds array<int>, words array<long>")
 
 
@@ -481,13 +575,12 @@ def score(docs: DataFrame, model: DataFrame, learned: Totals, shards: int, known
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         keys, values = gains(right, learned)
-        book, out = _unpack_steps(shared.value.book), []
+        book, out = Book(shared.value.book), []
         for row in left.itertuples(index=False):
             if row.firsts is None:
                 out.append((row.chunk, None, row.doc_ids, row.langs, row.folds, row.words))
             elif len(keys):
-                first, runs, second = _unpack_pairs(row, book)
-                members = _unpack_steps(row.members, "<u2")
+                first, runs, second, members = _unpack_sent(row, book)
                 column = _unpack(row.columns, "u1")[members]
                 gain = np.repeat(find(keys, first), runs), find(keys, pair(np.repeat(first, runs), second))
                 gain = sum(np.where(at >= 0, values[column, at], 0.0) for at in gain)
@@ -515,7 +608,7 @@ def score(docs: DataFrame, model: DataFrame, learned: Totals, shards: int, known
 
 def judge(scored: DataFrame) -> DataFrame:
     """Adds log_perplexity, threshold (of the language) and kept. Rows with a fold are trusted."""
-    rows = store(scored.withColumn("language", F.coalesce("lang", F.lit(""))).withColumn(
+    rows = _settled(scored.withColumn("language", F.coalesce("lang", F.lit(""))).withColumn(
         "own", F.when(F.col("n_words") > 0, -F.col("log_probability") / F.col("n_words"))), "lm_scored")
     drawn = _of_language(rows, "own", 0.5, "middle").withColumn("log_perplexity", (
         F.col("own") * F.col("n_words") + F.coalesce("middle", "own") * PRIOR) / (F.col("n_words") + PRIOR))

@@ -9,6 +9,7 @@ import struct
 import time
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -348,13 +349,40 @@ def test_quality_book_saves_bytes_and_changes_no_result(spark, small, monkeypatc
         monkeypatch.setattr(quality_lm, "BOOK", book)
         model = quality_lm.train(good)
         parts = quality_lm.chunks(small.coalesce(1), model[2], spark.sparkContext.broadcast(model[3]))
-        sent[book] = parts.agg(F.sum(sum(F.octet_length(c) for c in ("firsts", "runs", "list", "uses", "seconds")))).first()[0]
+        sent[book] = parts.agg(F.sum(sum(F.octet_length(c) for c in ("firsts", "runs", "seconds", "others")))).first()[0]
         scores[book] = {r.doc_id: r.log_probability for r in quality_lm.score(small, *model).collect()}
     none, some, most = sent
     assert scores[some] == pytest.approx(scores[none], rel=1e-6) and scores[most] == pytest.approx(scores[none], rel=1e-6)
     assert sent[most] < sent[some] < sent[none] and sent[most] < 0.7 * sent[none]
 
 
+def test_quality_coding_is_exact_and_as_short_in_many_shards(small):
+    of = quality_lm.Hashes()
+    hashed = [w for w in (of.of((t or "").encode()) for _, t in texts(small)) if len(w)]
+    second = np.concatenate(hashed)
+    first = np.concatenate([quality_lm._before(w) for w in hashed])
+    member = np.repeat(np.arange(len(hashed)), [len(w) for w in hashed])
+    words, uses = np.unique(second, return_counts=True)
+    known = words[np.argsort(-uses, kind="stable")][:len(words) // 2]
+    book = quality_lm.Book(quality_lm._pack(np.concatenate((np.array([quality_lm.UNKNOWN, quality_lm.END], dtype="u8"), known))))
+    size = {}
+    for shards in (4, 64):
+        size[shards] = 0
+        for _, at in quality_lm._slices(quality_lm.shard_of(first, shards)):
+            at = at[np.argsort(first[at], kind="stable")]
+            packed = quality_lm._pack_sent(first[at], second[at], member[at], book)
+            size[shards] += sum(map(len, packed.values()))
+            firsts, runs, *found = quality_lm._unpack_sent(SimpleNamespace(**packed), book)
+            for have, want in zip((np.repeat(firsts, runs), *found), (first, second, member)):
+                assert np.array_equal(have, want[at])
+    assert size[64] < 1.1 * size[4]
+    counts = np.random.default_rng(3).integers(0, 9, (quality_lm.FOLDS, len(first)))
+    summed = quality_lm._summed(first, second, counts)
+    firsts, runs, *found = quality_lm._unpack_counted(SimpleNamespace(**quality_lm._pack_counted(*summed)))
+    for have, want in zip(quality_lm._summed(np.repeat(firsts, runs), *found), summed):
+        assert np.array_equal(have, want)
+
+
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
 def test_quality_rejects_bad_labels_at_every_size(spark, size):
     folder = f"/root/testdata/{size}"
